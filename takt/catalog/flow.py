@@ -4,22 +4,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from takt import bindings as b
+from takt.catalog.base import registry, rounded, rounded_sql
 from takt.catalog.sql import with_ctes
 from takt.contracts import FLOW_FEATURES, FLOW_META
 from takt.plans import station_flow as sf
 
-QUERIES, ORACLE = {}, {}
-
-
-def query(name: str, sql: str | None = None):
-    def put(fn):
-        QUERIES[name] = fn
-        if sql:
-            ORACLE[name] = sql
-        return fn
-    return put
-
-
+QUERIES, ORACLE, query = registry()
 M = 4_194_304
 _STATS_CTES = {
     "numbered": f"""
@@ -37,11 +27,11 @@ _STATS_CTES = {
     rn - last_value(CASE WHEN q IS NOT NULL THEN rn END IGNORE NULLS) OVER u AS carry_steps,
     avg(q) OVER r AS queue_mean, stddev_samp(q) OVER r AS queue_std, max(q) OVER r AS queue_max,
     avg(c) OVER r AS cycle_mean, stddev_samp(c) OVER r AS cycle_std, max(c) OVER r AS cycle_max,
-    coalesce(sum(CASE WHEN event_type = 'UNIT_ARRIVED' THEN 1.0 ELSE 0.0 END) OVER r, 0) AS arrivals,
-    coalesce(sum(CASE WHEN event_type = 'PROCESSING_COMPLETED' THEN 1.0 ELSE 0.0 END) OVER r, 0) AS services,
+    coalesce(sum(CASE WHEN event_type = 'UNIT_ARRIVED' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) OVER r, 0) AS arrivals,
+    coalesce(sum(CASE WHEN event_type = 'PROCESSING_COMPLETED' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) OVER r, 0) AS services,
     avg(q) OVER p AS prev_queue_mean,
-    coalesce(sum(CASE WHEN event_type = 'UNIT_ARRIVED' THEN 1.0 ELSE 0.0 END) OVER p, 0) AS prev_arrivals,
-    coalesce(sum(CASE WHEN event_type = 'PROCESSING_COMPLETED' THEN 1.0 ELSE 0.0 END) OVER p, 0) AS prev_services,
+    coalesce(sum(CASE WHEN event_type = 'UNIT_ARRIVED' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) OVER p, 0) AS prev_arrivals,
+    coalesce(sum(CASE WHEN event_type = 'PROCESSING_COMPLETED' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) OVER p, 0) AS prev_services,
     sum(first_ts) OVER r AS n_times, count(q) OVER r AS nq,
     regr_slope(q, timestamp_ms::DOUBLE) OVER r AS raw_slope, regr_sxx(q, timestamp_ms::DOUBLE) OVER r AS sxx,
     regr_syy(q, timestamp_ms::DOUBLE) OVER r AS syy, regr_sxy(q, timestamp_ms::DOUBLE) OVER r AS sxy
@@ -86,17 +76,6 @@ _DOUBLES = {"capacity", "capacity_headroom", "buffer_capacity", "line_fraction",
 _DIGITS = {"queue_slope_10m": 9, "eta_std": 1, "slope": 9, "slope_se": 9}
 
 
-def rounded(df, digits: dict | None = None, default: int = 5):
-    digits = digits or {}
-    return df.select(*[F.round(F.col(c), digits.get(c, default)).alias(c) if t in ("double", "float") else F.col(c)
-                       for c, t in df.dtypes])
-
-
-def rounded_sql(columns, doubles, digits: dict | None = None, default: int = 5) -> str:
-    digits = digits or {}
-    return ", ".join(f"round({c}, {digits.get(c, default)}) AS {c}" if c in doubles else c for c in columns)
-
-
 @query("bottleneck_features", with_ctes(
     "ev stations", f"SELECT {rounded_sql(FLOW_META + FLOW_FEATURES + ['y_bottleneck'], _DOUBLES, _DIGITS)} FROM f",
     **_STATS_CTES, f=_FEATURES))
