@@ -80,7 +80,7 @@ def eta_std_dark(room, slope, slope_se, occ_std, limit_ms: int = 3_600_000) -> C
     by_state = F.pow(ratio(F.lit(1.0), slope), 2) * occ_std * occ_std
     both = F.when(by_slope.isNotNull() | by_state.isNotNull(),
                   F.sqrt(F.coalesce(by_slope, F.lit(0.0)) + F.coalesce(by_state, F.lit(0.0))))
-    return F.when((slope > 0) & (ratio(room, slope) <= limit_ms), both)
+    return F.when((slope > 0) & (room >= 0) & (ratio(room, slope) <= limit_ms), both)
 
 
 def risk_percent(p) -> Column:
