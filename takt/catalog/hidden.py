@@ -13,6 +13,7 @@ from takt.operators import joins as jn
 from takt.operators import occupancy as oc
 from takt.operators import windows as wn
 from takt.plans.dark_flow import dark_features as dark_columns
+from takt.session import cut_lineage
 
 QUERIES, ORACLE, query = registry()
 DARK = ["S04", "S05", "S06"]
@@ -106,6 +107,11 @@ def prior_from_config(spark, d):
 
 
 def passages(spark, d):
+    """Zone passages written out once: every estimate below reads them several times."""
+    return cut_lineage(_passages(spark, d))
+
+
+def _passages(spark, d):
     """First-in first-out passages of the hidden zone with rescaled priors as arrays."""
     a, z = _edges(spark, d)
     e = a.withColumn("event_type", F.lit("IN")).unionByName(z.withColumn("event_type", F.lit("OUT"))).withColumn("station_id", F.col("zone_id"))
@@ -125,7 +131,7 @@ _PASS = {
 
 @query("zone_passages", with_ctes("ev", "SELECT * FROM ps", **_PASS))
 def zone_passages(spark, d):
-    return passages(spark, d)
+    return _passages(spark, d)
 
 
 def scaled_priors(spark, d):
@@ -238,9 +244,10 @@ def interval_ticks(spark, d):
 
 def with_priors(spark, d):
     """Passages with station, shape and scale arrays."""
-    p = scaled_priors(spark, d).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("station_id", "shape", "scale"))).alias("a"))
-    return passages(spark, d).join(p, "run_id").select("run_id", "zone_id", "unit_id", "entry_ts", "exit_ts", F.col("a.station_id").alias("stations"),
-                                                       F.col("a.shape").alias("shapes"), F.col("a.scale").alias("scales"), F.lit(0.9).alias("quality"))
+    psg = passages(spark, d)
+    p = ca.rescale_priors(_dark(spark, d), psg).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("station_id", "shape", "scale"))).alias("a"))
+    return cut_lineage(psg.join(p, "run_id").select("run_id", "zone_id", "unit_id", "entry_ts", "exit_ts", F.col("a.station_id").alias("stations"),
+                                                       F.col("a.shape").alias("shapes"), F.col("a.scale").alias("scales"), F.lit(0.9).alias("quality")))
 
 
 def times(spark, d):

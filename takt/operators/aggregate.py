@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from takt.contracts import SIGNALS
 from takt.functions import scalar as sc
-from takt.operators.slices import exact_quantiles, running, total
+from takt.operators.slices import hist_quantiles, running, total
+from takt.session import cut_lineage
 
 
 def stream_summary(preds: DataFrame) -> DataFrame:
@@ -50,19 +51,30 @@ def defect_rate(inspections: DataFrame, final: DataFrame, splits: DataFrame) ->
                     sc.ratio("defective_units", n).alias("actual_defect_rate"))
 
 
+def trim_limits(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Median, scaled median deviation and size per group from value counts (keys, x, n)."""
+    keys = list(keys)
+    h = hist.groupBy(*keys, F.col("x").alias("__x")).agg(F.sum("n").alias("__n"))
+    med = hist_quantiles(h, keys, {"__med": 0.5})
+    dev = h.join(med, keys).groupBy(*keys, F.abs(F.col("__x") - F.col("__med")).alias("__d")).agg(F.sum("__n").alias("__n")).withColumnRenamed("__d", "__x")
+    mad = hist_quantiles(dev, keys, {"__mad": 0.5}).withColumn("__mad", F.col("__mad") * 1.4826)
+    return h.groupBy(*keys).agg(F.sum("__n").alias("__size")).join(med, keys).join(mad, keys)
+
+
+def within_limits(x, min_n: int = 8, limit: float = 3.5) -> Column:
+    z = sc.ratio(F.abs(sc.col(x) - F.col("__med")), "__mad")
+    return (F.col("__size") < min_n) | (F.col("__mad") == 0) | (z < limit)
+
+
 def robust_trim(df: DataFrame, keys: Sequence[str], x: str, min_n: int = 8, limit: float = 3.5) -> DataFrame:
     """Drop values at 3.5 or more scaled median deviations; small groups and zero deviation stay whole.
 
-    Median and deviation are exact and come from merged value counts, not from collected groups.
+    Median and deviation are exact. They come from merged value counts, written out once because the
+    two scans over them would otherwise each go back to the source rows.
     """
     keys = list(keys)
-    stats = df.groupBy(*keys).agg(F.count(x).alias("__n")).join(exact_quantiles(df, keys, x, {"__med": 0.5}), keys)
-    dev = df.join(stats.select(*keys, "__med"), keys).withColumn("__dev", F.abs(F.col(x) - F.col("__med")))
-    mad = exact_quantiles(dev, keys, "__dev", {"__mad": 0.5}).withColumn("__mad", F.col("__mad") * 1.4826)
-    lim = stats.join(mad, keys)
-    z = sc.ratio(F.abs(F.col(x) - F.col("__med")), "__mad")
-    keep = (F.col("__n") < min_n) | (F.col("__mad") == 0) | (z < limit)
-    return df.join(lim, keys).filter(keep).select(*df.columns)
+    hist = cut_lineage(df.filter(F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n")))
+    return df.join(trim_limits(hist, keys), keys).filter(within_limits(x, min_n, limit)).select(*df.columns)
 
 
 def feature_quality(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from takt.functions import scalar as sc
 from takt.functions.gamma import gamma_shape
-from takt.operators.aggregate import robust_trim
+from takt.operators.aggregate import trim_limits, within_limits
 from takt.operators.joins import pair_by_key
 from takt.operators.windows import corridor_load
+from takt.session import cut_lineage
 
 ALL = "__ALL__"
 
@@ -82,21 +83,33 @@ def boundary_allocation(entered: DataFrame, exited: DataFrame, units: DataFrame,
                     F.col("load").alias("corridor_load"), lo.alias("station_entry_ms"), hi.alias("station_exit_ms")))
 
 
-def _gamma_params(g: DataFrame, keys: list[str], x: str) -> DataFrame:
-    g = g.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.avg(F.ln(x)).alias("mean_log"))
+def _gamma_params(hist: DataFrame, keys: list[str]) -> DataFrame:
+    n = F.col("n")
+    g = hist.groupBy(*keys).agg(F.sum(n).alias("n"), (F.sum(n * F.col("x")) / F.sum(n)).alias("mean"), (F.sum(n * F.ln("x")) / F.sum(n)).alias("mean_log"))
     return g.withColumn("shape", gamma_shape(F.col("mean"), F.col("mean_log"))).withColumn("scale", sc.ratio("mean", "shape")).drop("mean_log")
 
 
-def fit_dwell(dwell: DataFrame, x: str = "dwell_s", own_min: int = 30, pooled_min: int = 8, trim: bool = True,
-              extra: list[str] = ()) -> DataFrame:
+def value_counts(dwell: DataFrame, keys: list[str], x: str = "dwell_s") -> DataFrame:
+    """Positive dwell values as (keys, x, n), written out once: every fit below reads only this."""
+    return cut_lineage(dwell.filter(F.col(x) > 0).groupBy(*keys, F.col(x).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def fit_dwell(dwell: DataFrame, x: str = "dwell_s", own_min: int = 30, pooled_min: int = 8, trim: bool = True) -> DataFrame:
     """Gamma fit per (station, variant), pooled per station where rows are too few, else no row."""
+    return fit_counts(value_counts(dwell, ["station_id", "variant"], x), own_min, pooled_min, trim)
+
+
+def fit_counts(hist: DataFrame, own_min: int, pooled_min: int = 8, trim: bool = True, extra: list[str] = ()) -> DataFrame:
+    """The fit on value counts (station_id, variant, extra, x, n)."""
     extra = list(extra)
-    d = dwell.filter(F.col(x) > 0).select("station_id", "variant", *extra, F.col(x).cast("double").alias("x"))
-    cut = (lambda df, keys: robust_trim(df, keys, "x")) if trim else (lambda df, keys: df)
+
+    def cut(keys: list[str]) -> DataFrame:
+        return hist.join(trim_limits(hist, keys), keys).filter(within_limits("x")) if trim else hist
+
     pooled_keys, own_keys = ["station_id", *extra], ["station_id", "variant", *extra]
-    pooled = _gamma_params(cut(d, pooled_keys), pooled_keys, "x").filter((F.col("n") >= pooled_min) & F.col("shape").isNotNull()).select(
+    pooled = _gamma_params(cut(pooled_keys), pooled_keys).filter((F.col("n") >= pooled_min) & F.col("shape").isNotNull()).select(
         *pooled_keys, F.struct("n", "mean", "shape", "scale").alias("p"))
-    own = _gamma_params(cut(d, own_keys), own_keys, "x")
+    own = _gamma_params(cut(own_keys), own_keys)
     ok = (F.col("n") >= own_min) & F.col("shape").isNotNull()
     j = own.withColumn("o", F.when(ok, F.struct("n", "mean", "shape", "scale"))).select(*own_keys, "o").join(pooled, pooled_keys, "left")
     pick = F.coalesce("o", "p")
@@ -104,8 +117,8 @@ def fit_dwell(dwell: DataFrame, x: str = "dwell_s", own_min: int = 30, pooled_mi
                                              pick["scale"].alias("scale"), F.col("o").isNull().alias("fallback"))
 
 
-def _with_pooled(residence: DataFrame) -> DataFrame:
-    return residence.unionByName(residence.withColumn("variant", F.lit(ALL)))
+def _with_pooled(rows: DataFrame) -> DataFrame:
+    return rows.unionByName(rows.withColumn("variant", F.lit(ALL)))
 
 
 def fit_residence_by_load(residence: DataFrame, bin_min: int = 15, any_min: int = 20) -> DataFrame:
@@ -114,27 +127,35 @@ def fit_residence_by_load(residence: DataFrame, bin_min: int = 15, any_min: int
     First stations keep their full distribution (both the free and the queued regime are real); inner
     ones are trimmed. Output level: 'band', 'all' or 'local'; load_key names the band or load.
     """
-    r = _with_pooled(residence.withColumn("band", sc.load_band("corridor_load")))
-    inner, first = r.filter("NOT is_first"), r.filter("is_first")
+    counts = value_counts(residence, ["station_id", "variant", "is_first", "corridor_load"])
+    banded = counts.groupBy("station_id", "variant", "is_first", sc.load_band("corridor_load").alias("band"), "x").agg(F.sum("n").alias("n"))
+
+    def fits(rows: DataFrame, own_min: int, trim: bool, extra: list[str]) -> DataFrame:
+        """Own variants with a pooled fallback, and the pooled variant by itself."""
+        own = fit_counts(rows, own_min, trim=trim, extra=extra)
+        return own.unionByName(fit_counts(rows.withColumn("variant", F.lit(ALL)), own_min, trim=trim, extra=extra))
+
     parts = []
-    for rows, trim in ((inner, True), (first, False)):
-        band = fit_dwell(rows, own_min=bin_min, trim=trim, extra=["band"])
+    for rows, trim in ((banded.filter("NOT is_first"), True), (banded.filter("is_first"), False)):
+        band = fits(rows, bin_min, trim, ["band"])
         parts.append(band.withColumn("level", F.lit("band")).withColumn("load_key", F.col("band")).drop("band"))
-        parts.append(fit_dwell(rows, own_min=any_min, trim=trim).withColumn("level", F.lit("all")).withColumn("load_key", F.lit("all")))
+        parts.append(fits(rows, any_min, trim, []).withColumn("level", F.lit("all")).withColumn("load_key", F.lit("all")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumn("radius", F.lit(None).cast("int")).unionByName(local_load_models(residence))
+    # model tables are as small as stations x variants x loads; written out so that users do not refit
+    return cut_lineage(out.withColumn("radius", F.lit(None).cast("int")).unionByName(local_load_models(counts.filter("is_first"))))
 
 
-def local_load_models(residence: DataFrame, min_samples: int = 20) -> DataFrame:
+def local_load_models(counts: DataFrame, min_samples: int = 20) -> DataFrame:
     """First station, each integer load: fit on the smallest symmetric load neighbourhood with enough rows.
 
     Rows shrink to one histogram line per load; the radius search runs over load levels only.
     """
-    f = residence.filter("is_first AND dwell_s > 0").withColumn("load", F.greatest(F.lit(0), F.round("corridor_load").cast("int")))
-    hist = _with_pooled(f).groupBy("station_id", "variant", "load").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("dwell_s").alias("sx"), F.sum(F.ln("dwell_s")).alias("sl"))
+    f = counts.withColumn("load", F.greatest(F.lit(0), F.round("corridor_load").cast("int")))
+    n = F.col("n")
+    hist = cut_lineage(_with_pooled(f).groupBy("station_id", "variant", "load").agg(
+        F.sum(n).alias("n"), F.sum(n * F.col("x")).alias("sx"), F.sum(n * F.ln("x")).alias("sl")))
     levels = hist.filter(F.col("variant") == ALL).groupBy("station_id").agg(
         F.min("load").alias("lo"), F.max("load").alias("hi"), F.sum("n").alias("all_n"), F.map_from_entries(F.collect_list(F.struct("load", "n"))).alias("m"))
     t = levels.withColumn("target", F.explode(F.sequence("lo", "hi")))

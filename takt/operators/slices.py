@@ -168,14 +168,16 @@ def exact_quantiles(df: DataFrame, keys, value, outputs: dict[str, float],
     """
     keys = list(keys)
     v = df.select(*keys, col(value).cast("double").alias("__x")).filter(F.col("__x").isNotNull())
-    hist = v.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__n"))
+    return hist_quantiles(v.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__n")), keys, outputs, slice_col)
+
+
+def hist_quantiles(hist: DataFrame, keys, outputs: dict[str, float], slice_col: Column | None = None) -> DataFrame:
+    """The same from merged value counts (keys, __x, __n)."""
     x = F.col("__x")
     bucket = slice_col if slice_col is not None else (
         F.signum(x) * F.floor(F.log2(1 + F.abs(x)) * 32)).cast("long")
     ranked = running(hist, keys, ["__x"], {"__cum": total("__n")}, slice_col=bucket)
-    sizes = hist.groupBy(*keys).agg(F.sum("__n").alias("__size")) if keys else \
-        hist.agg(F.sum("__n").alias("__size"))
-    joined = ranked.join(sizes, keys) if keys else ranked.join(sizes, F.lit(True))
+    joined = ranked.join(hist.groupBy(*keys).agg(F.sum("__n").alias("__size")), keys)
     aggs = []
     for name, q in outputs.items():
         pos = F.lit(q) * (F.col("__size") - 1)
