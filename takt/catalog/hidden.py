@@ -81,7 +81,7 @@ m AS (SELECT 'S0' || (i + 1) AS station_id, 36000 + 1000 * i AS w, sum(36000 + 1
 SELECT p.run_id, 'DZ01' AS zone_id, p.unit_id, m.station_id, u.vehicle_model AS variant,
   (SELECT count(*) FROM p q WHERE q.run_id = p.run_id AND q.t0 < p.t0) - (SELECT count(*) FROM p q WHERE q.run_id = p.run_id AND q.t1 < p.t0) AS corridor_load,
   round(t0 + (t1 - t0) * (cum - w) / tot::DOUBLE, 5) AS station_entry_ms, round(CASE WHEN cum = tot THEN t1 ELSE t0 + (t1 - t0) * cum / tot::DOUBLE END, 5) AS station_exit_ms
-FROM p, m JOIN units u ON u.run_id = p.run_id AND u.unit_id = p.unit_id""").replace("\n, p AS", ",\np AS"))
+FROM p, m JOIN units u ON u.run_id = p.run_id AND u.unit_id = p.unit_id"""))
 def boundary_allocation(spark, d):
     a, z = _edges(spark, d)
     m = _dark(spark, d).select("run_id", F.lit("DZ01").alias("zone_id"), "station_id", F.col("station_index").alias("pos"), "base_cycle_time_ms")
@@ -182,7 +182,7 @@ def _split(spark, d):
 @query("leave_one_run_out", with_ctes("ev runs", f"""
 , pr AS (SELECT e.run_id, r.split, e.station_id, count(*) AS n, sum(coalesce(queue_length_after, 0)) AS q FROM ev e JOIN (SELECT run_id, {_SPLIT} AS split FROM runs) r ON r.run_id = e.run_id GROUP BY ALL)
 SELECT a.run_id, a.split, a.station_id, count(h.run_id) AS history_runs, CAST(coalesce(sum(h.n), 0) AS BIGINT) AS history_n, coalesce(sum(h.q), 0) AS history_q
-FROM pr a LEFT JOIN pr h ON h.station_id = a.station_id AND h.split = 'train' AND h.run_id <> a.run_id GROUP BY ALL""").replace("\n, pr AS", ",\npr AS"))
+FROM pr a LEFT JOIN pr h ON h.station_id = a.station_id AND h.split = 'train' AND h.run_id <> a.run_id GROUP BY ALL"""))
 def leave_one_run_out(spark, d):
     per = b.station_events(spark, d).join(_split(spark, d), "run_id").groupBy("run_id", "split", "station_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("queue_length_after", F.lit(0.0))).alias("q"))
@@ -404,7 +404,7 @@ def confirmed_exits(spark, d):
 , m AS (SELECT station_id, count(cycle_time_ms) AS n, median(cycle_time_ms) AS med FROM ev GROUP BY station_id),
 s AS (SELECT e.station_id, 1.4826::DOUBLE * median(abs(cycle_time_ms - med)) AS mad FROM ev e JOIN m ON m.station_id = e.station_id WHERE cycle_time_ms IS NOT NULL GROUP BY e.station_id)
 SELECT e.run_id, e.station_id, e.event_sequence, e.cycle_time_ms FROM ev e JOIN m ON m.station_id = e.station_id JOIN s ON s.station_id = e.station_id
-WHERE cycle_time_ms IS NOT NULL AND (n < 8 OR mad = 0 OR abs(cycle_time_ms - med) / mad < 3.5)""").replace("\n, m AS", ",\nm AS"))
+WHERE cycle_time_ms IS NOT NULL AND (n < 8 OR mad = 0 OR abs(cycle_time_ms - med) / mad < 3.5)"""))
 def robust_trim(spark, d):
     e = b.station_events(spark, d).filter("cycle_time_ms IS NOT NULL").select("run_id", "station_id", "event_sequence", "cycle_time_ms")
     return ag.robust_trim(e, ["station_id"], "cycle_time_ms")

@@ -78,4 +78,6 @@ def with_ctes(names: str, body: str, **extra: str) -> str:
     for n in names.split():
         visit(n)
     parts = [f"{n} AS ({_CTES[n]})" for n in order] + [f"{n} AS ({q})" for n, q in extra.items()]
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    body = body.lstrip()
+    # a body may start with ", name AS (...)" to add CTEs of its own
+    return "WITH " + ",\n".join(parts) + ("" if body.startswith(",") else "\n") + body

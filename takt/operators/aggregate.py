@@ -92,9 +92,11 @@ def feature_quality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def signal_coverage(features: DataFrame) -> DataFrame:
     """Share of prediction rows with any past and with any recent value of each signal."""
-    row = features.groupBy("run_id").agg(*[
-        F.avg(F.when(F.col(f"{s.lower()}_mean_{k}").isNotNull(), 1.0).otherwise(0.0)).alias(f"{k[0]}_{s}")
-        for s in SIGNALS for k in ("history", "recent")])
+    def seen(signal: str, past: str) -> Column:
+        have = [f"{signal.lower()}_{stat}_{past}" for stat in ("mean", "max") if f"{signal.lower()}_{stat}_{past}" in features.columns]
+        return F.coalesce(*[F.col(c) for c in have]).isNotNull().cast("double")
+
+    row = features.groupBy("run_id").agg(*[F.avg(seen(s, k)).alias(f"{k[0]}_{s}") for s in SIGNALS for k in ("history", "recent")])
     return row.select("run_id", F.explode(F.array(*[F.struct(
         F.lit(s).alias("signal"), F.col(f"h_{s}").alias("history_coverage"), F.col(f"r_{s}").alias("recent_coverage"))
         for s in SIGNALS])).alias("x")).select("run_id", "x.*")

@@ -47,17 +47,17 @@ def with_event_sequence(events: DataFrame, width: int = 600_000) -> DataFrame:
         F.nullif(F.regexp_extract("event_id", r"(\d+)$", 1), F.lit("")).try_cast("long"), F.col("event_sequence") - 1))
 
 
-def discover_runs(spark: SparkSession, root: str, required: list[str] = REQUIRED_FILES) -> DataFrame:
+def discover_runs(spark: SparkSession, root: str, required: list[str] = REQUIRED_FILES, glob: str = "run_*") -> DataFrame:
     """Per run folder: missing files, and complete = nothing missing and the metadata names a schema.
 
     Only paths are listed (file contents are not read, except the small metadata documents).
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.*").load(f"{root}/run_*").select("path")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.*").load(f"{root}/{glob}").select("path")
     name = F.element_at(F.split("path", "/"), -1)
     found = files.select(run_of_path("path").alias("run_id"), name.alias("name")).groupBy("run_id").agg(
         F.collect_set(F.when(F.col("name").isin(required), F.col("name"))).alias("found"))
     try:
-        meta = read_run_documents(spark, f"{root}/run_*/run_metadata.json").select(
+        meta = read_run_documents(spark, f"{root}/{glob}/run_metadata.json").select(
             "run_id", F.col("doc.schema_version").isNotNull().alias("has_schema"))
     except AnalysisException:
         meta = spark.createDataFrame([], "run_id string, has_schema boolean")
@@ -78,12 +78,12 @@ def read_prediction_stream(spark: SparkSession, path: str, kind: str) -> DataFra
     """JSON lines of a prediction stream; ``_corrupt_record`` holds bad lines, a missing path is empty."""
     schema = T.StructType(PREDICTIONS[kind].fields + [T.StructField("_corrupt_record", T.StringType())])
     try:
-        # blank lines are skipped by the JSON source
-        return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+        lines = spark.read.text(path).filter(F.trim("value") != "")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], schema)
+    return lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("r.*")
 
 
 def stream_health(preds: DataFrame) -> DataFrame:
