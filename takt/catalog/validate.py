@@ -146,4 +146,4 @@ def factory_rules(spark, d):
 SELECT 'replay_queue_mean_10m' AS rule, run_id, CAST(event_sequence AS VARCHAR) AS key, station_id AS detail FROM ev WHERE event_sequence % 100 = 0"""))
 def causal_replay(spark, d):
     f = flow_rows(spark, d).withColumn("queue_mean_10m", F.when(F.col("prediction_event_sequence") % 100 == 0, F.coalesce("queue_mean_10m", F.lit(0.0)) + 1).otherwise(F.col("queue_mean_10m")))
-    return va.causal_replay(f, b.station_events(spark, d), tol=1e-6)
+    return va.causal_replay(f, b.station_events(spark, d), slice_ms=1_800_000, tol=1e-6)
