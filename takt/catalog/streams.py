@@ -15,17 +15,32 @@ from takt.streaming import operators as so
 QUERIES, ORACLE, query = registry()
 
 
-def replay(spark, df, order, files: int = 3):
-    """Write a table in event order as several files and open it as a stream, one file per micro-batch."""
-    root = shared_folder(spark)
-    df.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(f"{root}/in")
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    return root, stream
-
-
-def drained(spark, root, out, name="out"):
-    so.run_to_end(out, f"{root}/{name}", f"{root}/{name}_checkpoint")
-    return spark.read.schema(out.schema).parquet(f"{root}/{name}")
+class Replay:
+    """A table fed to a file stream in event-order chunks; each chunk is drained before the next one
+    is written, so a query is also stopped and resumed from its checkpoint in between."""
+
+    def __init__(self, spark, df, order: str, parts: int = 3):
+        self.spark, self.df, self.root = spark, df, shared_folder(spark)
+        cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)
+        edges = [None, *cuts, None]
+        o = F.col(order)
+        self.chunks = [df.filter((F.lit(True) if lo is None else o > lo) & (F.lit(True) if hi is None else o <= hi)) for lo, hi in zip(edges, edges[1:])]
+        self._feed(self.chunks[0])
+        self.stream = spark.readStream.schema(df.schema).parquet(f"{self.root}/in")
+
+    def _feed(self, chunk):
+        chunk.write.mode("append").parquet(f"{self.root}/in")
+
+    def drain(self, run_once):
+        run_once()
+        for chunk in self.chunks[1:]:
+            self._feed(chunk)
+            run_once()
+
+    def files(self, out):
+        """Append the stream's output to files and read them back."""
+        self.drain(lambda: so.run_to_end(out, f"{self.root}/out", f"{self.root}/checkpoint"))
+        return self.spark.read.schema(out.schema).parquet(f"{self.root}/out")
 
 
 _WIN = ["queue_mean", "queue_std", "queue_max", "arrivals", "services", "prev_arrivals", "prev_services", "occupancy"]
@@ -33,16 +48,16 @@ _WIN = ["queue_mean", "queue_std", "queue_max", "arrivals", "services", "prev_ar
 
 @query("flow_windows_stream", with_ctes("ev", "SELECT run_id, station_id, ts, seq, " + ", ".join(f"round({c}, 5) AS {c}" for c in _WIN) + ", round(slope, 9) AS slope, carry_ts FROM stats", **_STATS_CTES))
 def flow_windows_stream(spark, d):
-    root, s = replay(spark, b.station_events(spark, d), "event_sequence")
-    out = drained(spark, root, so.flow_windows_stream(s))
+    r = Replay(spark, b.station_events(spark, d), "event_sequence")
+    out = r.files(so.flow_windows_stream(r.stream))
     return rounded(out.select("run_id", "station_id", "ts", "seq", *_WIN, "slope", "carry_ts"), _DIGITS)
 
 
 @query("alert_policy_stream", with_ctes("series", """
 SELECT run_id, unit_id, seq, raw, round(ema_03, 6) AS ema_03, round(ema_05, 6) AS ema_05, round(ema_07, 6) AS ema_07, two_consecutive, two_of_three FROM pol""", **POLICY_CTES))
 def alert_policy_stream(spark, d):
-    root, s = replay(spark, b.scored_series(spark, d).select("run_id", "unit_id", "seq", "score"), "seq")
-    return rounded(drained(spark, root, so.alert_policy_stream(s)), {"raw": 12, "two_consecutive": 12, "two_of_three": 12}, 6)
+    r = Replay(spark, b.scored_series(spark, d).select("run_id", "unit_id", "seq", "score"), "seq")
+    return rounded(r.files(so.alert_policy_stream(r.stream)), {"raw": 12, "two_consecutive": 12, "two_of_three": 12}, 6)
 
 
 @query("dark_transitions_stream", with_ctes("preds", """
@@ -52,15 +67,15 @@ SELECT run_id, unit_id, seq, CASE WHEN station_index = reach THEN 'refresh' WHEN
       OR row_number() OVER (PARTITION BY run_id, unit_id ORDER BY timestamp_ms, station_index, emission) = 1 AS ok FROM preds))"""))
 def dark_transitions_stream(spark, d):
     p = b.bottleneck_predictions(spark, d).select("run_id", "unit_id", "timestamp_ms", "station_index", F.col("emission").alias("seq"), "state_confidence")
-    root, s = replay(spark, p, "seq")
-    return drained(spark, root, so.dark_transitions_stream(s))
+    r = Replay(spark, p, "seq")
+    return r.files(so.dark_transitions_stream(r.stream))
 
 
 @query("warning_sessions", with_ctes("bp", "SELECT run_id, station_id AS series_key, start_ms, end_ms, point_count, open_ended FROM (" + _periods_sql("bp", "station_id") + ")", **FB))
 def warning_sessions(spark, d):
     p = b.bottleneck_predictions(spark, d).select("run_id", "station_id", "timestamp_ms", "emission", "warning")
-    root, s = replay(spark, p, "emission")
-    out = drained(spark, root, so.warning_sessions(s, "station_id"))
+    r = Replay(spark, p, "emission")
+    out = r.files(so.warning_sessions(r.stream, "station_id"))
     # a period reported open and later extended or closed counts once, in its last form
     return out.groupBy("run_id", "series_key", "start_ms").agg(F.max_by(F.struct("end_ms", "point_count", "open_ended"), F.struct(
         "point_count", F.when(F.col("open_ended"), 0).otherwise(1))).alias("r")).select("run_id", "series_key", "start_ms", "r.*")
@@ -76,10 +91,10 @@ def rate_windows(spark, d):
 @query("latest_state", with_ctes("bp", "SELECT run_id, station_id, timestamp_ms, warning FROM bp QUALIFY row_number() OVER (PARTITION BY run_id, station_id ORDER BY emission DESC) = 1"))
 def latest_state(spark, d):
     p = b.bottleneck_predictions(spark, d).select("run_id", "station_id", "timestamp_ms", "emission", "warning")
-    root, s = replay(spark, p, "emission")
-    final = so.latest_state(s, "station_id", ["emission", "timestamp_ms", "warning"])
-    sink = so.idempotent_sink(f"{root}/out", ["run_id", "station_id"])
-    q = final.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{root}/ck").foreachBatch(sink).start()
-    q.awaitTermination()
-    out = spark.read.parquet(f"{root}/out")
+    r = Replay(spark, p, "emission")
+    final = so.latest_state(r.stream, "station_id", ["emission", "timestamp_ms", "warning"])
+    sink = so.idempotent_sink(f"{r.root}/out", ["run_id", "station_id"])
+    r.drain(lambda: final.writeStream.outputMode("update").trigger(availableNow=True).option(
+        "checkpointLocation", f"{r.root}/ck").foreachBatch(sink).start().awaitTermination())
+    out = spark.read.parquet(f"{r.root}/out")
     return out.groupBy("run_id", "station_id").agg(F.max_by(F.struct("timestamp_ms", "warning"), "emission").alias("r")).select("run_id", "station_id", "r.*")
