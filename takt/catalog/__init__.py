@@ -1,7 +1,7 @@
 """All registered queries and their SQL twins."""
 from importlib import import_module
 
-MODULES = ["flow", "quality", "evaluate", "rollup", "hidden", "records", "validate", "streams"]
+MODULES = ["flow", "quality", "evaluate", "rollup", "hidden", "records", "validate", "streams", "learn"]
 
 
 def collect():
