@@ -178,3 +178,12 @@ def defect_features_line(spark, d):
     return rounded(uq.quality_features_line(
         b.station_events(spark, d), b.sensor_readings(spark, d), b.manual_checks(spark, d), b.units(spark, d),
         b.stations(spark, d), b.manual_checks(spark, d)))
+
+
+@query("defect_label", with_ctes("ev ma", """
+SELECT p.run_id, p.unit_id, p.seq AS prediction_event_sequence, CASE WHEN n_qa > 0 THEN 'complete' ELSE 'censored' END AS label_completeness_status, CASE WHEN n_qa > 0 THEN bad END AS y_defect
+FROM pred p JOIN lab l ON l.run_id = p.run_id AND l.pseq = p.seq""", **{k: v for k, v in UNIT_CTES.items() if k in ("pred", "qa", "lab")}))
+def defect_label(spark, d):
+    final = uq.final_station(b.stations(spark, d))
+    rows = uq._as_pred(uq.prediction_rows(b.station_events(spark, d), final))
+    return uq.label_rows(rows, b.inspections(spark, d), final).select("run_id", "unit_id", "prediction_event_sequence", "label_completeness_status", "y_defect")

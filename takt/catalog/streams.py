@@ -9,7 +9,10 @@ from takt.catalog.evaluate import POLICY_CTES
 from takt.catalog.flow import _DIGITS, _STATS_CTES
 from takt.catalog.sql import with_ctes
 from takt.catalog.rollup import FB, _periods_sql
-from takt.sources.runs import shared_folder
+from takt.catalog.records import BUS, _contract_preds, runtime_bus
+from takt.contracts import TABLES
+from takt.sources.runs import read_run_documents, run_of_path, shared_folder
+from takt.sources.sinks import write_predictions
 from takt.streaming import operators as so
 
 QUERIES, ORACLE, query = registry()
@@ -98,3 +101,90 @@ def latest_state(spark, d):
         "checkpointLocation", f"{r.root}/ck").foreachBatch(sink).start().awaitTermination())
     out = spark.read.parquet(f"{r.root}/out")
     return out.groupBy("run_id", "station_id").agg(F.max_by(F.struct("timestamp_ms", "warning"), "emission").alias("r")).select("run_id", "station_id", "r.*")
+
+
+@query("bus_stream", with_ctes("line_log", "SELECT run_id, kind AS record_type, count(*) AS n FROM rb GROUP BY ALL", **BUS))
+def bus_stream(spark, d):
+    bus = runtime_bus(spark, d)
+    names = TABLES["runtime_bus"].names
+    root = shared_folder(spark)
+    bus.select("run_id", *names).write.partitionBy("run_id").option("header", True).csv(f"{root}/bus")
+    s = so.bus_stream(spark, f"{root}/bus/*").select(run_of_path().alias("run_id"), F.upper("record_type").alias("record_type"))
+    so.run_to_end(s, f"{root}/out", f"{root}/checkpoint")
+    return spark.read.schema(s.schema).parquet(f"{root}/out").groupBy("run_id", "record_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("prediction_stream", with_ctes("bp", "SELECT run_id, count(*) AS n, count(*) FILTER (warning) AS warnings FROM bp GROUP BY run_id"))
+def prediction_stream(spark, d):
+    root = shared_folder(spark)
+    write_predictions(_contract_preds(spark, d), f"{root}/lines", "bottleneck")
+    s = so.prediction_stream(spark, f"{root}/lines", "bottleneck").select("run_id", "warning")
+    so.run_to_end(s, f"{root}/out", f"{root}/checkpoint")
+    return spark.read.schema(s.schema).parquet(f"{root}/out").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("warning").alias("warnings"))
+
+
+@query("ordered_input", with_ctes("line_log", """
+SELECT run_id, station_id, event_sequence, coalesce(t < max(t) OVER (PARTITION BY run_id, station_id ORDER BY event_sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late
+FROM (SELECT *, CASE WHEN event_id % 70 = 0 THEN greatest(0, timestamp_ms - 900000) ELSE timestamp_ms END AS t FROM line_log)"""))
+def ordered_input(spark, d):
+    e = b.line_log(spark, d).select("run_id", "station_id", "event_sequence", F.when(F.col("event_id") % 70 == 0, F.greatest(
+        F.lit(0), F.col("timestamp_ms") - 900000)).otherwise(F.col("timestamp_ms")).alias("timestamp_ms"))
+    r = Replay(spark, e, "event_sequence")
+    out = r.files(so.ordered_input(r.stream, ["run_id", "station_id"], "run_id string, station_id string, event_sequence long, timestamp_ms long"))
+    return out.drop("timestamp_ms")
+
+
+@query("defect_features_stream")
+def defect_features_stream(spark, d):
+    """Both stages, each stopped and resumed; the second reads the table the first one wrote."""
+    bus = b.line_log(spark, d).select("run_id", "station_id", "station_index", "unit_id", "timestamp_ms", "event_sequence", "record_type", "event_type",
+                                      "queue_length_after", "cycle_time_ms", "sensor_type", F.col("sensor_value").alias("value"), F.col("check_result").alias("result"))
+    first = Replay(spark, bus, "event_sequence")
+    elements = first.files(so.unit_elements_stream(first.stream))
+    second = Replay(spark, elements.withColumn("position", F.col("avail") + F.substring("run_id", 5, 4).cast("long") * 10_000_000), "position", 2)
+    return rounded(second.files(so.unit_history_stream(second.stream)))
+
+
+@query("interval_ticks_stream")
+def interval_ticks_stream(spark, d):
+    e = b.station_events(spark, d).filter("event_type = 'UNIT_ARRIVED' AND station_index IN (3, 6)").select(
+        "run_id", "unit_id", "timestamp_ms", "event_sequence", F.when(F.col("station_index") == 3, "ENTER").otherwise("EXIT").alias("kind"))
+    r = Replay(spark, e, "event_sequence", 2)
+    return r.files(so.interval_ticks_stream(r.stream))
+
+
+@query("unit_enrichment", with_ctes("ev units", "SELECT e.run_id, event_sequence, vehicle_model FROM ev e JOIN units u ON u.run_id = e.run_id AND u.unit_id = e.unit_id"))
+def unit_enrichment(spark, d):
+    r = Replay(spark, b.station_events(spark, d).select("run_id", "unit_id", "event_sequence"), "event_sequence")
+    body = so.unit_enrichment(r.stream, lambda: b.units(spark, d), so.idempotent_sink(f"{r.root}/out", ["event_sequence"]))
+    r.drain(lambda: r.stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{r.root}/ck").foreachBatch(body).start().awaitTermination())
+    return spark.read.parquet(f"{r.root}/out").select("run_id", "event_sequence", "vehicle_model")
+
+
+@query("run_completion", with_ctes("runs", "SELECT run_id FROM runs WHERE production_day % 3 <> 0"))
+def run_completion(spark, d):
+    """Only runs with a readable marker count as finished: every third marker is torn."""
+    return so.completed_runs(spark, _documents(spark, d), "run_id=*/*")
+
+
+def _documents(spark, d):
+    root = shared_folder(spark)
+    doc = F.to_json(F.struct("run_id", F.lit("1.0").alias("schema_version"), F.col("production_day").cast("long").alias("random_seed")))
+    b.runs(spark, d).select("run_id", F.when(F.col("production_day") % 3 == 0, '{"run_id": ').otherwise(doc).alias("value")).repartition("run_id").write.partitionBy("run_id").text(root + "/docs")
+    return root + "/docs"
+
+
+@query("read_run_documents", with_ctes("runs", "SELECT run_id, CASE WHEN production_day % 3 <> 0 THEN CAST(production_day AS BIGINT) END AS random_seed, production_day % 3 <> 0 AS readable FROM runs"))
+def read_documents(spark, d):
+    return read_run_documents(spark, _documents(spark, d) + "/run_id=*/*").select("run_id", F.col("doc.random_seed").alias("random_seed"), F.col("doc").isNotNull().alias("readable"))
+
+
+@query("isolated_queries", "SELECT 'bottleneck' AS subsystem, 'PASS' AS status UNION ALL SELECT 'defect', 'FAILED_ISOLATED'")
+def isolated_queries(spark, d):
+    """Two subsystems over the same events; the second one breaks on its data, the first is unharmed."""
+    r = Replay(spark, b.bottleneck_predictions(spark, d).select("run_id", "emission", "probability"), "emission", 1)
+    broken = r.stream.withColumn("probability", F.when(F.col("probability") > 0.9, F.raise_error(F.lit("planted failure"))).otherwise(F.col("probability")))
+
+    def start(df, name):
+        return lambda: df.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{r.root}/{name}_ck").format("parquet").option("path", f"{r.root}/{name}").start()
+    return so.isolated_queries(spark, {"bottleneck": start(r.stream, "bottleneck"), "defect": start(broken, "defect")}).select("subsystem", "status")

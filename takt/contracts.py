@@ -97,3 +97,11 @@ PREDICTIONS = {
         + [T.StructField("top_risk_drivers", _DEFECT_DRIVER),
            T.StructField("top_protective_drivers", _DEFECT_DRIVER)]),
 }
+
+
+def frozen_projection(df, columns: list[str]):
+    """Exactly these columns in this order, or an error naming what is missing."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError("feature contract broken, missing: " + ", ".join(missing))
+    return df.select(*columns)

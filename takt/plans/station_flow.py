@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from takt.contracts import BOUNDARY_EVENTS, FLOW_FEATURES, FLOW_META, HORIZON_MS, RECENT_MS
+from takt.contracts import BOUNDARY_EVENTS, FLOW_FEATURES, FLOW_META, HORIZON_MS, RECENT_MS, frozen_projection
 from takt.functions import scalar as sc
 from takt.operators.slices import UNBOUNDED, slice_number
 
@@ -221,4 +221,4 @@ def flow_features(events: DataFrame, stations: DataFrame, horizon_ms: int = HORI
         sc.eta_std(cap - occ, F.col("slope"), F.col("slope_se"), pstd).alias("eta_std"),
         F.when(~full & seen, F.coalesce(F.col("future_max") >= cap, F.lit(False)).cast("int"))
         .alias("y_bottleneck"))
-    return out.select(*FLOW_META, *FLOW_FEATURES, "y_bottleneck")
+    return frozen_projection(out, [*FLOW_META, *FLOW_FEATURES, "y_bottleneck"])

@@ -22,6 +22,7 @@ from takt.contracts import QUALITY_FEATURES, QUALITY_META, RECENT_MS, SIGNALS
 from takt.functions import scalar as sc
 from takt.operators.joins import assign_by_interval, pair_fifo
 from takt.operators.slices import UNBOUNDED, latest, peak, running, total
+from takt.session import cut_lineage
 
 LEVELS = list(range(18, -1, -2))  # slices of 2^18 ms (4.4 min) down to 1 ms
 _SIG = {s: s.lower() for s in SIGNALS}
@@ -53,15 +54,14 @@ def _state(questions: DataFrame, elements: DataFrame, keys: list[str], recent_ms
     """Running state of every source at each question (sources: what, signal, value, ts, avail, seq)."""
     ask = questions.select(*keys, F.col("prediction_time").alias("__t"), F.lit(0).alias("__k"),
                            F.struct(*[F.col(c) for c in QID]).alias("__q"), F.lit(0).cast("long").alias("__seq"))
-    base = elements.select(*keys, F.col("avail").alias("__t"), F.lit(1).alias("__k"),
-                           F.col("seq").alias("__seq"), "what", "signal", "value", "ts", F.lit(True).alias("enter"))
-    lasting = elements.filter((F.col("what") == "sensor") & (F.col("avail") < F.col("ts") + recent_ms))
-    come = lasting.select(*keys, F.col("avail").alias("__t"), F.lit(1).alias("__k"), F.col("seq").alias("__seq"),
-                          F.lit("in").alias("what"), "signal", "value", "ts", F.lit(True).alias("enter"))
-    go = lasting.select(*keys, (F.col("ts") + recent_ms).alias("__t"), F.lit(1).alias("__k"),
-                        F.col("seq").alias("__seq"), F.lit("out").alias("what"), "signal", "value", "ts",
-                        F.lit(True).alias("enter"))
-    rows = base.unionByName(come).unionByName(go).unionByName(ask, allowMissingColumns=True)
+    # a lasting reading also enters the recent window when available and leaves it ten minutes after it was made
+    lasting = (F.col("what") == "sensor") & (F.col("avail") < F.col("ts") + recent_ms)
+    step = lambda what, t: F.struct(what.alias("what"), t.alias("t"))
+    steps = F.when(lasting, F.array(step(F.lit("sensor"), F.col("avail")), step(F.lit("in"), F.col("avail")), step(F.lit("out"), F.col("ts") + recent_ms))
+                   ).otherwise(F.array(step(F.col("what"), F.col("avail"))))
+    base = elements.withColumn("__x", F.explode(steps)).select(
+        *keys, F.col("__x.t").alias("__t"), F.lit(1).alias("__k"), F.col("seq").alias("__seq"), F.col("__x.what").alias("what"), "signal", "value", "ts")
+    rows = base.unionByName(ask, allowMissingColumns=True)
     v, what = F.col("value"), F.col("what")
     cols = {}
     for sig, p in _SIG.items():
@@ -231,7 +231,9 @@ def quality_features(events: DataFrame, sensors: DataFrame, manual: DataFrame, u
     intervals, _ = pair_fifo(events)
     readings = sensors.filter(F.col("sensor_type").isin(SIGNALS) & F.col("value").isNotNull()
                               & F.col("timestamp_ms").isNotNull())
-    assigned = assign_by_interval(readings, intervals).withColumn("unit_id", F.col("assigned_unit_id"))
+    # the assigned readings feed several scans below: write them once instead of pairing and joining again
+    assigned = cut_lineage(assign_by_interval(readings, intervals).select(
+        "run_id", F.col("assigned_unit_id").alias("unit_id"), "station_index", "sensor_type", "value", "timestamp_ms", "processing_end", "event_sequence"))
     queues = events.filter((F.col("event_type") == "UNIT_ARRIVED") & F.col("queue_length_after").isNotNull()
                            & F.col("unit_id").isNotNull())
     elements = (_element(assigned, "sensor", "value", "processing_end", F.col("sensor_type"))

@@ -119,10 +119,10 @@ def unit_enrichment(stream: DataFrame, read_units: Callable[[], DataFrame], sink
     return batch
 
 
-def completed_runs(spark: SparkSession, root: str) -> DataFrame:
+def completed_runs(spark: SparkSession, root: str, glob: str = "run_*/run_metadata.json") -> DataFrame:
     """Runs whose marker document names a schema: their streams may be drained and closed."""
     from takt.sources.runs import read_run_documents
-    return read_run_documents(spark, f"{root}/run_*/run_metadata.json").filter(F.col("doc.schema_version").isNotNull()).select("run_id")
+    return read_run_documents(spark, f"{root}/{glob}").filter(F.col("doc.schema_version").isNotNull()).select("run_id")
 
 
 def idempotent_sink(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
