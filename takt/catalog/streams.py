@@ -24,7 +24,7 @@ class Replay:
 
     def __init__(self, spark, df, order: str, parts: int = 3):
         self.spark, self.df, self.root = spark, df, shared_folder(spark)
-        cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)
+        cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
         edges = [None, *cuts, None]
         o = F.col(order)
         self.chunks = [df.filter((F.lit(True) if lo is None else o > lo) & (F.lit(True) if hi is None else o <= hi)) for lo, hi in zip(edges, edges[1:])]
