@@ -15,9 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def line_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B1: every source event as one line record (STATION, SENSOR or MANUAL)."""
+def line_log(spark: SparkSession, sf_dir: str, types: tuple[str, ...] = ()) -> DataFrame:
+    """B1: every source event as one line record (STATION, SENSOR or MANUAL).
+
+    ``types`` names source event types, so that a table of one kind filters in the scan."""
     e = table(spark, sf_dir, "events")
+    if types:
+        e = e.filter(F.col("event_type").isin(*types))
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     day_us = 86_400_000_000
     index = (F.col("user_id") % N_STATIONS).cast("int")
@@ -49,19 +53,19 @@ def line_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def station_events(spark, sf_dir) -> DataFrame:
-    return line_log(spark, sf_dir).filter(F.col("record_type") == "STATION").select(
+    return line_log(spark, sf_dir, ("signup", "view", "purchase")).select(
         "run_id", "timestamp_ms", "event_sequence", "station_index", "station_id", "unit_id", "event_type",
         "queue_length_after", "cycle_time_ms")
 
 
 def sensor_readings(spark, sf_dir) -> DataFrame:
-    return line_log(spark, sf_dir).filter(F.col("record_type") == "SENSOR").select(
+    return line_log(spark, sf_dir, ("click",)).select(
         "run_id", "timestamp_ms", "event_sequence", "station_index", "station_id", "sensor_type",
         F.col("sensor_value").alias("value"))
 
 
 def manual_checks(spark, sf_dir) -> DataFrame:
-    return line_log(spark, sf_dir).filter(F.col("record_type") == "MANUAL").select(
+    return line_log(spark, sf_dir, ("error",)).select(
         "run_id", "timestamp_ms", "event_sequence", "station_index", "station_id", "unit_id",
         F.col("check_result").alias("result"))
 

