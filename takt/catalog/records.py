@@ -412,7 +412,8 @@ SELECT s.run_id, count(DISTINCT s.station_id) AS station_count, (SELECT string_a
   (SELECT string_agg(DISTINCT sensor_type, ',' ORDER BY sensor_type) FROM se WHERE se.run_id = s.run_id) AS signals, (SELECT count(*) FROM se WHERE se.run_id = s.run_id AND sensor_type = 'TORQUE') AS torque_rows,
   (SELECT count(DISTINCT station_id) FROM se WHERE se.run_id = s.run_id AND sensor_type = 'TORQUE') AS torque_stations, (SELECT min(timestamp_ms) FROM se WHERE se.run_id = s.run_id AND sensor_type = 'TORQUE') AS torque_first_ms,
   (SELECT max(timestamp_ms) FROM se WHERE se.run_id = s.run_id AND sensor_type = 'TORQUE') AS torque_last_ms, CAST(0 AS BIGINT) AS torque_invalid,
-  array_to_string(list_filter(['TORQUE', 'VIBRATION', 'TEMPERATURE', 'CURRENT'], lambda x: NOT list_contains((SELECT coalesce(list(DISTINCT sensor_type), []) FROM se WHERE se.run_id = s.run_id), x)), ',') AS missing_signals,
+  (SELECT coalesce(string_agg(v.x, ',' ORDER BY v.pos), '') FROM (VALUES (1, 'TORQUE'), (2, 'VIBRATION'), (3, 'TEMPERATURE'), (4, 'CURRENT')) v(pos, x)
+    WHERE NOT EXISTS (SELECT 1 FROM se WHERE se.run_id = s.run_id AND se.sensor_type = v.x)) AS missing_signals,
   (SELECT count(*) FROM se WHERE se.run_id = s.run_id AND sensor_type = 'TORQUE') > 0 AS torque_usable FROM stations s GROUP BY s.run_id"""))
 def contract_audit(spark, d):
     a = ag.contract_audit(b.stations(spark, d), b.station_events(spark, d), b.sensor_readings(spark, d))

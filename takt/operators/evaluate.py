@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from takt.functions import scalar as sc
 from takt.operators.slices import exact_quantiles, running, total
+from takt.session import cut_lineage
 
 POLICIES = ["raw", "ema_03", "ema_05", "ema_07", "two_consecutive", "two_of_three"]
 
@@ -251,12 +252,13 @@ def all_policies(scored_policies: DataFrame, cap: float = 0.05) -> DataFrame:
             F.struct(F.lit(p).alias("policy"), F.lit(-i).alias("policy_rank"), F.col(p).alias("s"))
             for i, p in enumerate(POLICIES)])).alias("x")).select("*", "x.*").drop("x")
     by = ["policy", "policy_rank"]
-    units = pre.groupBy(*by, "run_id", "unit_id").agg(F.max("y").alias("y"), F.max("s").alias("max_score"))
-    t = threshold_from_units(units, by, cap)
+    # unit-level tables are read by several scans each: written once, so the score series is scanned twice in all
+    units = cut_lineage(pre.groupBy(*by, "run_id", "unit_id").agg(F.max("y").alias("y"), F.max("s").alias("max_score")))
+    t = cut_lineage(threshold_from_units(units, by, cap))
     hit = F.coalesce(F.col("s") >= F.col("threshold"), F.lit(False))
-    firsts = pre.join(t.select(*by, "threshold"), by).groupBy(*by, "run_id", "unit_id").agg(
+    firsts = cut_lineage(pre.join(t.select(*by, "threshold"), by).groupBy(*by, "run_id", "unit_id").agg(
         F.max("y").alias("y"), F.bool_or(hit).alias("alerted"),
-        F.min_by("station_index", F.when(hit, F.col("seq"))).alias("first_alert_station"))
+        F.min_by("station_index", F.when(hit, F.col("seq"))).alias("first_alert_station")))
     return t.join(_policy_from_units(firsts, by).select(*by, "median_first_alert"), by, "left")
 
 
