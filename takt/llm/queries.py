@@ -2,9 +2,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from takt.llm import packing, quality_rules, secret_scan, simhash
+from takt.llm import mixing, packing, quality_rules, secret_scan, sharding, simhash, token_files, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +18,14 @@ def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.interleaved(table(spark, sf_dir, "documents"))
+
+
+def op6_url_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
@@ -27,5 +34,15 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scanned(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_sum_of_squares_packing, op7_simhash_ball, op8_secret_scan)}
-ORACLE: dict[str, str] = {}
+def op9_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "full", "extra")
+
+
+def op10_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.written_tokens(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_quality_rules, op3_sum_of_squares_packing, op5_stratified_interleaving, op6_url_sweep, op7_simhash_ball,
+    op8_secret_scan, op9_sainte_lague_mix, op10_arrow_token_files)}
+ORACLE: dict[str, str] = {"op6_url_sweep": url_filter.ORACLE}
