@@ -165,7 +165,7 @@ def _stretch(text: str, begin, n, size):
     word = r"[^\x20\x09-\x0D]+"
     gaps = F.split(F.col(text), word)
     every = F.regexp_extract_all(F.col(text), F.lit(f"({word})"))
-    joined = F.transform(every, lambda w, i: F.concat(w, F.get(gaps, i + 1)))
+    joined = F.zip_with(every, F.slice(gaps, 2, F.size(every)), lambda w, gap: F.concat(w, F.coalesce(gap, F.lit(""))))
     tail = F.slice(joined, (begin + 1).cast("int"), F.least(n, size - begin).cast("int"))
     head = F.slice(joined, 1, F.greatest(begin + n - size, F.lit(0)).cast("int"))
     joins = F.when(F.size(head) > 0, F.lit("\n")).otherwise("")
