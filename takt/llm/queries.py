@@ -3,13 +3,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from takt.llm import mixing, packing, quality_rules, secret_scan, sharding, simhash, token_files, url_filter
+from takt.llm import mixing, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, token_files, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_subword_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.scored(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measured(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -43,6 +48,6 @@ def op10_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_quality_rules, op3_sum_of_squares_packing, op5_stratified_interleaving, op6_url_sweep, op7_simhash_ball,
+    op1_subword_classifier, op2_quality_rules, op3_sum_of_squares_packing, op5_stratified_interleaving, op6_url_sweep, op7_simhash_ball,
     op8_secret_scan, op9_sainte_lague_mix, op10_arrow_token_files)}
 ORACLE: dict[str, str] = {"op6_url_sweep": url_filter.ORACLE}
