@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from takt.llm import mixing, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, token_files, url_filter
+from takt.llm import embedding_dedup, mixing, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, token_files, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_cover_tree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.linked(table(spark, sf_dir, "embeddings"))
+
+
 def op5_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleaved(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,6 @@ def op10_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_subword_classifier, op2_quality_rules, op3_sum_of_squares_packing, op5_stratified_interleaving, op6_url_sweep, op7_simhash_ball,
+    op1_subword_classifier, op2_quality_rules, op3_sum_of_squares_packing, op4_cover_tree_links, op5_stratified_interleaving, op6_url_sweep, op7_simhash_ball,
     op8_secret_scan, op9_sainte_lague_mix, op10_arrow_token_files)}
-ORACLE: dict[str, str] = {"op6_url_sweep": url_filter.ORACLE}
+ORACLE: dict[str, str] = {"op4_cover_tree_links": embedding_dedup.ORACLE, "op6_url_sweep": url_filter.ORACLE}
