@@ -78,7 +78,7 @@ def plan(rows: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE, mos
     sizes = [int(r["size"]) for r in found]
     weight = [float(weights[i % len(weights)]) for i in range(len(found))]
     want = targets(sizes, weight, total_share * sum(sizes), most)
-    cap = most * np.asarray(sizes, np.int64) // block_words
+    cap = -(-most * np.asarray(sizes, np.int64) // block_words)  # the last block of a full source may be short
     blocks = int(round(want.sum() / block_words))
     # seats go out in order of quotients: the mix's first shards hold the first seats, each shard its own quota
     upto = [apportion(want, blocks * (s + 1) // shards, cap) for s in range(shards)]
@@ -103,7 +103,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE, mo
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source"), n_words("text").alias("size"), F.xxhash64("text").alias("content"))
     rows = settled(rows.withColumn("shuffle", F.xxhash64(F.lit(seed), "doc_id", "content")))
     made = plan(rows, weights, total_share, most, block_words, shards, seed)
-    table = _plan_table(spark, made, block_words)
+    table = _plan_table(spark, made, block_words, most)
     sliced = rows.withColumn("slice", F.shiftright("shuffle", 64 - SLICES.bit_length() + 1))
     at = numbered(sliced, ["source"], "slice", ["shuffle", "doc_id", "content"], F.col("size"), "at")
     whole = at.join(table, at["source"].eqNullSafe(table["of_source"]))
@@ -120,8 +120,8 @@ def mixed(docs: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE, mo
                     "source", "begin", "full", "extra", "content"))
 
 
-def _plan_table(spark: SparkSession, made: Plan, block_words: int) -> DataFrame:
-    data = list(zip(made.sources, made.sizes, made.targets, [b * block_words for b in made.blocks], made.starts))
+def _plan_table(spark: SparkSession, made: Plan, block_words: int, most: int) -> DataFrame:
+    data = list(zip(made.sources, made.sizes, made.targets, [min(b * block_words, most * n) for b, n in zip(made.blocks, made.sizes)], made.starts))
     return spark.createDataFrame(data, StructType.fromDDL("of_source string, source_size long, target double, words long, first long"))
 
 

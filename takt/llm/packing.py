@@ -54,8 +54,9 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     for i, size in enumerate(lengths.tolist()):
         gaps = np.flatnonzero(count[size:]) + size
         if len(gaps):
-            after = np.where(gaps == size, -1, count[gaps - size])  # a full sequence counts no more
-            gap = int(gaps[np.argmin(after - count[gaps])])
+            # half the change of the sum, less one; a filled sequence counts no more
+            change = np.where(gaps == size, -0.5, count[gaps - size]) - count[gaps]
+            gap = int(gaps[np.argmin(change)])
             at = open_at[gap].pop()
             count[gap] -= 1
         else:

@@ -63,9 +63,9 @@ class ShardWriter:
 
     def _flush(self, last: bool) -> None:
         ids = np.concatenate(self.held) if self.held else np.zeros(0, "<u4")
-        whole = len(ids) if last else len(ids) // self.length * self.length
+        step = self.length * self.batch  # all batches but the last have as many sequences
+        whole = len(ids) if last else len(ids) // step * step
         self.held, self.n_held = [ids[whole:]], len(ids) - whole
-        step = self.length * self.batch
         for at in range(0, whole, step):
             part = ids[at:min(at + step, whole)]
             rows = -(-len(part) // self.length)
