@@ -6,7 +6,7 @@ are within two flips of the variant, so within four of each other: a bucket is o
 in a chain loses nothing and lists no pairs.
 
 Variants are shuffled by their leading bits: a fingerprint goes once to each block of variants that it has any in,
-with the flips it has left there, and its variants are made where they meet. Blocks with too many fingerprints are
+and its variants are made where they meet. There are 256 blocks at least, more with more fingerprints. Blocks with too many fingerprints are
 cut by further bits until they hold few or no bits are left.
 """
 from __future__ import annotations
@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from takt.llm.common import free_name, settled
@@ -27,7 +27,7 @@ from takt.llm.components import components, local_roots
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 BLOCK_VARIANTS = 3_000_000
-STEP_BITS = 4
+FIRST_BITS, STEP_BITS = 8, 4
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -68,18 +68,20 @@ def masks(bits: int, flips: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for k in range(flips + 1) for c in combinations(range(bits), k)], np.uint64)
 
 
-def deal(rows: DataFrame, used: int, step: int) -> DataFrame:
-    """Rows (block, print, left) dealt to the finer blocks of ``step`` more leading bits.
+def flips_left(used: int) -> Column:
+    """Flips that a print may still make below the ``used`` leading bits of the variants of its block."""
+    if not used:
+        return F.lit(RADIUS // 2)
+    return F.lit(RADIUS // 2) - F.bit_count(F.shiftrightunsigned("print", BITS - used).bitwiseXOR(F.col("block")))
 
-    ``left`` is the number of flips a print may still make below its block's bits.
-    """
-    below = BITS - used - step
-    moves = F.array(*[F.struct(F.lit(int(m)).alias("mask"), F.lit(int(m).bit_count()).alias("cost")) for m in masks(step, RADIUS // 2)])
-    own = F.shiftrightunsigned(F.col("print"), below).bitwiseAND(F.lit((1 << step) - 1)).cast("long")
-    return (rows.select("block", "print", "left", own.alias("own"), F.explode(moves).alias("move"))
-            .where("move.cost <= left")
-            .select((F.shiftleft(F.col("block"), step).bitwiseOR(F.col("own").bitwiseXOR(F.col("move.mask").cast("long")))).alias("block"),
-                    "print", (F.col("left") - F.col("move.cost")).cast("int").alias("left")))
+
+def deal(rows: DataFrame, used: int, step: int) -> DataFrame:
+    """Rows (block, print) dealt to the finer blocks of ``step`` more leading bits that the print has variants in."""
+    moves = F.array(*[F.struct(F.lit(int(m)).cast("long").alias("mask"), F.lit(int(m).bit_count()).alias("cost")) for m in masks(step, RADIUS // 2)])
+    own = F.shiftrightunsigned("print", BITS - used - step).bitwiseAND(F.lit((1 << step) - 1).cast("long"))
+    return (rows.select("block", "print", own.alias("own"), F.explode(moves).alias("move"))
+            .where(F.col("move.cost") <= flips_left(used))
+            .select(F.shiftleft("block", step).bitwiseOR(F.col("own").bitwiseXOR(F.col("move.mask"))).alias("block"), "print"))
 
 
 def meet(prints: np.ndarray, left: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,34 +109,36 @@ def links(prints: DataFrame, block_variants: int = BLOCK_VARIANTS) -> DataFrame:
     prints holds each fingerprint once, in a column of that name. A block is cut by further bits while it would
     make more than ``block_variants`` variants, so no task holds more, however close many fingerprints are.
     """
-    rows = prints.select(F.lit(0).cast("long").alias("block"), "print", F.lit(RADIUS // 2).alias("left"))
+    rows = prints.select(F.lit(0).cast("long").alias("block"), "print")
     every, used, edges = prints.count() * len(masks(BITS, RADIUS // 2)), 0, []
-    step = STEP_BITS
-    while every >> step > block_variants * 2 // 3 and step < 24:
-        step += STEP_BITS
+    step = FIRST_BITS
+    while every >> step > block_variants * 2 // 3 and step < 28:
+        step += 1
     while True:
         rows = deal(rows, used, step)
         used, step = used + step, STEP_BITS
         below = BITS - used
         if below <= 2 * STEP_BITS:
-            edges.append(edges_of(rows, below))
+            edges.append(edges_of(rows, used))
             break
         made = F.lit(0)
         for flips in range(RADIUS // 2 + 1):
-            made = F.when(F.col("left") == flips, len(masks(below, flips))).otherwise(made)
+            made = F.when(flips_left(used) == flips, len(masks(below, flips))).otherwise(made)
         crowded = settled(rows.groupBy("block").agg(F.sum(made).alias("made")).where(F.col("made") > block_variants).select("block"))
         if crowded.isEmpty():
-            edges.append(edges_of(rows, below))
+            edges.append(edges_of(rows, used))
             break
-        edges.append(edges_of(rows.join(crowded, "block", "left_anti"), below))
+        edges.append(edges_of(rows.join(crowded, "block", "left_anti"), used))
         rows = rows.join(crowded, "block", "left_semi")
     return reduce(DataFrame.unionByName, edges)
 
 
-def edges_of(rows: DataFrame, bits: int) -> DataFrame:
+def edges_of(rows: DataFrame, used: int) -> DataFrame:
     def run(part: pd.DataFrame) -> pd.DataFrame:
         prints = part["print"].to_numpy().view(np.uint64)
-        a, b = meet(prints, part["left"].to_numpy(), bits)
+        block = np.uint64(part["block"].iat[0])
+        left = RADIUS // 2 - np.bitwise_count((prints >> np.uint64(BITS - used)) ^ block).astype(np.int64)
+        a, b = meet(prints, left, BITS - used)
         # checked again on the whole fingerprints: a chain link joins prints at most RADIUS apart
         near = np.bitwise_count(prints[a] ^ prints[b]) <= RADIUS
         a, b = a[near], b[near]
