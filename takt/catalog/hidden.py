@@ -112,10 +112,10 @@ def passages(spark, d):
 
 
 def _passages(spark, d):
-    """First-in first-out passages of the hidden zone with rescaled priors as arrays."""
+    """First-in first-out passages of the hidden zone; a unit still inside has no exit."""
     a, z = _edges(spark, d)
     e = a.withColumn("event_type", F.lit("IN")).unionByName(z.withColumn("event_type", F.lit("OUT"))).withColumn("station_id", F.col("zone_id"))
-    iv, _ = jn.pair_fifo(e, start="IN", end="OUT")
+    iv, _ = jn.pair_fifo(e, start="IN", end="OUT", keep_open=True)
     return iv.select("run_id", F.col("station_id").alias("zone_id"), "unit_id", F.col("processing_start").alias("entry_ts"), F.col("processing_end").alias("exit_ts"))
 
 
@@ -124,8 +124,11 @@ _PASS = {
   SELECT run_id, unit_id, timestamp_ms, event_sequence, CASE WHEN station_index = 3 THEN 1 ELSE 0 END AS is_start, 'DZ01' AS station_id, 0 AS station_index
   FROM ev WHERE event_type = 'UNIT_ARRIVED' AND station_index IN (3, 6)""",
     **{k: v for k, v in FIFO.items() if k != "pr"},
-    "ps": "SELECT run_id, 'DZ01' AS zone_id, unit_id, processing_start AS entry_ts, processing_end AS exit_ts FROM intervals",
-    "obs": "SELECT run_id, avg((exit_ts - entry_ts) / 1000.0::DOUBLE) AS observed FROM ps GROUP BY run_id",
+    "ps": """
+  SELECT run_id, 'DZ01' AS zone_id, unit_id, processing_start AS entry_ts, processing_end AS exit_ts FROM intervals
+  UNION ALL SELECT run_id, 'DZ01', unit_id, timestamp_ms, NULL FROM run_peaks a WHERE is_start = 1 AND NOT EXISTS (
+    SELECT 1 FROM paired p WHERE p.run_id = a.run_id AND p.unit_id = a.unit_id AND p.start_event_sequence = a.event_sequence)""",
+    "obs": "SELECT run_id, avg((exit_ts - entry_ts) / 1000.0::DOUBLE) AS observed FROM ps WHERE exit_ts IS NOT NULL GROUP BY run_id",
 }
 
 
@@ -160,12 +163,12 @@ def calibration_quality(spark, d):
 SELECT r.request_id, r.station_id, r.variant, r.target_load, m.load, m.n FROM req r LEFT JOIN LATERAL (
   SELECT load, n FROM (SELECT load, n, 0 AS lv FROM md WHERE md.station_id = r.station_id AND md.variant = r.variant
     UNION ALL SELECT load, n, 1 FROM md WHERE md.station_id = r.station_id AND md.variant = '__ALL__') ORDER BY lv, abs(load - r.target_load), load LIMIT 1) m ON true""",
-    md="""SELECT station_id, event_type AS variant, CAST(queue_length_after AS INTEGER) AS load, count(*) AS n FROM ev WHERE queue_length_after % 2 = 0 AND event_type <> 'UNIT_ARRIVED' GROUP BY ALL
-  UNION ALL SELECT station_id, '__ALL__', CAST(queue_length_after AS INTEGER), count(*) FROM ev WHERE queue_length_after % 2 = 0 GROUP BY ALL""",
+    md="""SELECT station_id, event_type AS variant, CAST(queue_length_after AS INTEGER) AS load, count(*) AS n FROM ev WHERE queue_length_after IS NOT NULL AND event_type <> 'UNIT_ARRIVED' GROUP BY ALL
+  UNION ALL SELECT station_id, '__ALL__', CAST(queue_length_after AS INTEGER), count(*) FROM ev WHERE queue_length_after IS NOT NULL GROUP BY ALL""",
     req="SELECT event_sequence AS request_id, station_id, event_type AS variant, CAST(event_sequence % 9 AS INTEGER) AS target_load FROM ev"))
 def nearest_load(spark, d):
     e = b.station_events(spark, d)
-    q = e.filter("queue_length_after % 2 = 0").select("station_id", F.col("event_type").alias("variant"), F.col("queue_length_after").cast("int").alias("load"))
+    q = e.filter("queue_length_after IS NOT NULL").select("station_id", F.col("event_type").alias("variant"), F.col("queue_length_after").cast("int").alias("load"))
     both = q.filter("variant <> 'UNIT_ARRIVED'").unionByName(q.withColumn("variant", F.lit("__ALL__")))
     m = both.groupBy("station_id", "variant", "load").agg(F.count(F.lit(1)).alias("n")).withColumn("mean", F.col("load") * 1.0).withColumn("std", F.lit(1.0))
     r = e.select(F.col("event_sequence").alias("request_id"), "station_id", F.col("event_type").alias("variant"), (F.col("event_sequence") % 9).cast("int").alias("target_load"))
@@ -237,7 +240,8 @@ def monotone_filter(spark, d):
 
 
 @query("interval_ticks", with_ctes("ev", """
-SELECT run_id, zone_id, unit_id, entry_ts, exit_ts, unnest(range(entry_ts + 60000, exit_ts + 1, 60000)) AS tick_ms FROM ps WHERE exit_ts >= entry_ts + 60000""", **_PASS))
+SELECT run_id, zone_id, unit_id, entry_ts, exit_ts, unnest(range(entry_ts + 60000, until + 1, 60000)) AS tick_ms FROM (
+  SELECT *, coalesce(exit_ts, max(greatest(entry_ts, exit_ts)) OVER (PARTITION BY run_id)) AS until FROM ps) WHERE until >= entry_ts + 60000""", **_PASS))
 def interval_ticks(spark, d):
     return oc.interval_ticks(passages(spark, d))
 

@@ -94,7 +94,7 @@ def band(spark, d):
 
 @query("text_expressions", with_ctes("line_log", """
 SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'peak_' || unit_id ELSE run_id END AS scenario, substr(sha256(run_id || unit_id), 1, 16) AS fingerprint,
-  CAST(('0x' || substr(sha256(run_id || '|' || unit_id || '|' || CAST(timestamp_ms AS VARCHAR)), 1, 8)) AS BIGINT) % 2147483647 AS seed,
+  CAST(('0x' || substr(sha256(run_id || '|' || unit_id || '|' || CAST(timestamp_ms AS VARCHAR)), 1, 15)) AS BIGINT) AS seed,
   CASE WHEN timestamp_ms >= 3600000 THEN (timestamp_ms // 3600000) || ':' || lpad(CAST(timestamp_ms // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(timestamp_ms // 1000 % 60 AS VARCHAR), 2, '0')
     ELSE lpad(CAST(timestamp_ms // 60000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(timestamp_ms // 1000 % 60 AS VARCHAR), 2, '0') || '.' || (timestamp_ms // 100 % 10) END AS clock,
   CASE WHEN k = 0 THEN '0s' WHEN k * 1000 < 60000 THEN format('{:.1f}s', k::DOUBLE) ELSE (k // 60) || 'm ' || (k % 60) || 's' END AS duration FROM line_log"""))

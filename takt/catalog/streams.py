@@ -28,6 +28,7 @@ class Replay:
         edges = [None, *cuts, None]
         o = F.col(order)
         self.chunks = [df.filter((F.lit(True) if lo is None else o > lo) & (F.lit(True) if hi is None else o <= hi)) for lo, hi in zip(edges, edges[1:])]
+        self.chunks[-1] = df.filter(o.isNull() | (F.lit(True) if edges[-2] is None else o > edges[-2]))  # rows without a place in the order come last
         self._feed(self.chunks[0])
         self.stream = spark.readStream.schema(df.schema).parquet(f"{self.root}/in")
 
@@ -96,11 +97,10 @@ def latest_state(spark, d):
     p = b.bottleneck_predictions(spark, d).select("run_id", "station_id", "timestamp_ms", "emission", "warning")
     r = Replay(spark, p, "emission")
     final = so.latest_state(r.stream, "station_id", ["emission", "timestamp_ms", "warning"])
-    sink = so.idempotent_sink(f"{r.root}/out", ["run_id", "station_id"])
+    sink = so.idempotent_sink(f"{r.root}/out", ["run_id", "station_id"], "emission")
     r.drain(lambda: final.writeStream.outputMode("update").trigger(availableNow=True).option(
         "checkpointLocation", f"{r.root}/ck").foreachBatch(sink).start().awaitTermination())
-    out = spark.read.parquet(f"{r.root}/out")
-    return out.groupBy("run_id", "station_id").agg(F.max_by(F.struct("timestamp_ms", "warning"), "emission").alias("r")).select("run_id", "station_id", "r.*")
+    return so.read_idempotent(spark, f"{r.root}/out", ["run_id", "station_id"], "emission").select("run_id", "station_id", "timestamp_ms", "warning")
 
 
 @query("bus_stream", with_ctes("line_log", "SELECT run_id, kind AS record_type, count(*) AS n FROM rb GROUP BY ALL", **BUS))
@@ -156,7 +156,7 @@ def interval_ticks_stream(spark, d):
 @query("unit_enrichment", with_ctes("ev units", "SELECT e.run_id, event_sequence, vehicle_model FROM ev e JOIN units u ON u.run_id = e.run_id AND u.unit_id = e.unit_id"))
 def unit_enrichment(spark, d):
     r = Replay(spark, b.station_events(spark, d).select("run_id", "unit_id", "event_sequence"), "event_sequence")
-    body = so.unit_enrichment(r.stream, lambda: b.units(spark, d), so.idempotent_sink(f"{r.root}/out", ["event_sequence"]))
+    body = so.unit_enrichment(r.stream, lambda: b.units(spark, d), so.idempotent_sink(f"{r.root}/out", ["event_sequence"], "event_sequence"))
     r.drain(lambda: r.stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{r.root}/ck").foreachBatch(body).start().awaitTermination())
     return spark.read.parquet(f"{r.root}/out").select("run_id", "event_sequence", "vehicle_model")
 

@@ -135,9 +135,9 @@ def fingerprint(text, length: int = 16) -> Column:
 
 
 def stable_seed(*parts) -> Column:
-    """Positive 31-bit seed from text parts; the same text always gives the same seed."""
+    """Positive 60-bit seed from text parts; the same text always gives the same seed."""
     joined = F.concat_ws("|", *[col(p).cast("string") for p in parts])
-    return F.conv(F.substring(F.sha2(joined, 256), 1, 8), 16, 10).cast("long") % 2147483647
+    return F.conv(F.substring(F.sha2(joined, 256), 1, 15), 16, 10).cast("long")
 
 
 def sim_clock(ms) -> Column:

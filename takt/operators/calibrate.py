@@ -198,7 +198,7 @@ def prior_from_config(stations: DataFrame) -> DataFrame:
 
 def rescale_priors(stations: DataFrame, windows: DataFrame) -> DataFrame:
     """Scale configured means and stds so that the corridor's sum equals its observed mean (seconds)."""
-    observed = windows.groupBy("run_id").agg(F.avg((F.col("exit_ts") - F.col("entry_ts")) / 1000.0).alias("observed"))
+    observed = windows.filter("exit_ts IS NOT NULL").groupBy("run_id").agg(F.avg((F.col("exit_ts") - F.col("entry_ts")) / 1000.0).alias("observed"))
     mean, std = F.col("base_cycle_time_ms") / 1000.0, F.col("cycle_time_std_ms") / 1000.0
     declared = stations.groupBy("run_id").agg(F.sum(mean).alias("declared"))
     j = stations.join(declared, "run_id").join(observed, "run_id")

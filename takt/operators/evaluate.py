@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from takt.functions import scalar as sc
-from takt.operators.slices import exact_quantiles, running, total
+from takt.operators.slices import beside, exact_quantiles, running, total
 from takt.session import cut_lineage
 
 POLICIES = ["raw", "ema_03", "ema_05", "ema_07", "two_consecutive", "two_of_three"]
@@ -19,6 +19,16 @@ def scoped(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(by)) if by else (df.withColumn("scope", F.lit("all")), ["scope"])
 
 
+def totals_of(df: DataFrame, by: list[str], *aggregates: Column) -> DataFrame:
+    """Totals per group; over everything, one row without a key, where the only group is the whole."""
+    return df.agg(*aggregates) if by == ["scope"] else df.groupBy(*by).agg(*aggregates)
+
+
+def attached(df: DataFrame, totals: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Totals beside each row of their group: an equi-join, or a scalar subquery for the whole."""
+    return beside(df, totals) if by == ["scope"] else df.join(totals, by, how)
+
+
 def curve(scored: DataFrame, by: list[str], score: str = "score", weight: Column | None = None) -> DataFrame:
     """Per distinct score (descending): own and cumulative counts of rows and positives, and totals."""
     w = weight if weight is not None else F.lit(1)
@@ -26,8 +36,8 @@ def curve(scored: DataFrame, by: list[str], score: str = "score", weight: Column
             .groupBy(*by, "__neg").agg(F.sum(w).alias("n"), F.sum(w * F.col("y")).alias("pos")))
     cum = running(hist, by, ["__neg"], {"cum_n": total("n"), "cum_pos": total("pos")},
                   slice_col=F.floor(F.col("__neg") * 1024))
-    tot = hist.groupBy(*by).agg(F.sum("n").alias("all_n"), F.sum("pos").alias("all_pos"))
-    return cum.join(tot, by).withColumn("threshold", -F.col("__neg")).drop("__neg")
+    tot = totals_of(hist, by, F.sum("n").alias("all_n"), F.sum("pos").alias("all_pos"))
+    return attached(cum, tot, by).withColumn("threshold", -F.col("__neg")).drop("__neg")
 
 
 def confusion(scored: DataFrame, threshold: float, by: list[str] = ()) -> DataFrame:
@@ -172,19 +182,20 @@ def unit_threshold(scored: DataFrame, score: str = "score", cap: float = 0.05, s
 def threshold_from_units(df: DataFrame, by: list[str], cap: float, slack: float = 1e-15, floor_one: bool = False) -> DataFrame:
     """The same search from unit rows (y, max_score); units without a score stay in the denominators."""
     c = curve(df.withColumnRenamed("max_score", "s"), by, "s")
-    totals = df.groupBy(*by).agg(F.count_if(F.col("y") == 1).alias("total_pos"), F.count_if(F.col("y") == 0).alias("total_neg"),
-                                 F.max("max_score").alias("top"))
-    j = c.join(totals, by)
+    totals = totals_of(df, by, F.count_if(F.col("y") == 1).alias("total_pos"), F.count_if(F.col("y") == 0).alias("total_neg"),
+                       F.max("max_score").alias("top"))
+    j = attached(c, totals, by)
     recall = sc.ratio("cum_pos", "total_pos")
     fwr = sc.ratio(F.col("cum_n") - F.col("cum_pos"), "total_neg")
     precision = F.col("cum_pos") / (F.greatest(F.lit(1), F.col("cum_n")) if floor_one else F.col("cum_n"))
     rank = F.struct(recall.alias("recall"), precision.alias("precision"), (-fwr).alias("neg_fwr"))
-    best = j.withColumn("rank", rank).filter(-F.col("rank.neg_fwr") <= cap + slack).groupBy(*by).agg(
-        F.max(F.struct("rank", "threshold")).alias("b"))
+    best = totals_of(j.withColumn("rank", rank).filter(-F.col("rank.neg_fwr") <= cap + slack), by, F.max(F.struct("rank", "threshold")).alias("b"))
     none_rank = F.struct(F.lit(0.0).alias("recall"), F.lit(0.0).alias("precision"), F.lit(0.0).alias("neg_fwr"))
     use = F.col("b").isNotNull() & ~F.coalesce(none_rank > F.col("b.rank"), F.lit(False))
     above = F.col("top") + F.greatest(F.abs("top"), F.lit(1e-300)) * 2.220446049250313e-16
-    return totals.join(best, by, "left").select(
+    if by == ["scope"]:
+        totals = totals.filter("total_pos + total_neg > 0 OR top IS NOT NULL").withColumn("scope", F.lit("all"))
+    return attached(totals, best, by, "left").select(
         *by, F.when(use, F.col("b.threshold")).otherwise(above).alias("threshold"),
         F.when(use, F.col("b.rank.recall")).otherwise(0.0).alias("unit_recall"),
         F.when(use, -F.col("b.rank.neg_fwr")).otherwise(0.0).alias("false_warning_rate"),
@@ -203,8 +214,7 @@ def unit_threshold_grid(scored: DataFrame, score: str = "score", cap: float = 0.
                                    F.struct("cum_n", "cum_pos").alias("got"), "all_n", "all_pos"), allowMissingColumns=True))
     from takt.operators.slices import latest
     seen = running(asked, ["scope"], ["__neg", "k"], {"at": latest("got")}, slice_col=F.floor(F.col("__neg") * 1024))
-    tot = c.select("scope", "all_n", "all_pos").distinct()
-    r = seen.filter("k = 1").drop("all_n", "all_pos").join(tot, "scope")
+    r = beside(seen.filter("k = 1").drop("all_n", "all_pos"), c.agg(F.max("all_n").alias("all_n"), F.max("all_pos").alias("all_pos")))
     recall, fwr = sc.ratio("at.cum_pos", "all_pos"), sc.ratio(F.col("at.cum_n") - F.col("at.cum_pos"), F.col("all_n") - F.col("all_pos"))
     ranked = r.select("q", recall.alias("unit_recall"), fwr.alias("false_warning_rate"),
                       sc.rate("at.cum_pos", "at.cum_n").alias("unit_precision")).filter(F.col("false_warning_rate") <= cap)
@@ -298,8 +308,8 @@ def run_block_bootstrap(scored: DataFrame, threshold: float, iterations: int = 1
         F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"),
         F.count_if((F.col("y") == 1) & F.col("alerted")).alias("tp"), F.count_if((F.col("y") == 0) & F.col("alerted")).alias("fp"))
     ids = numbered_runs(per_run)
-    size = per_run.agg(F.count(F.lit(1)).alias("r")).withColumn("g", F.lit(0))
-    draws = (ids.select("pos").withColumn("g", F.lit(0)).join(size, "g")
+    size = per_run.agg(F.count(F.lit(1)).alias("r"))
+    draws = (beside(ids.select("pos"), size)
              .select("pos", "r", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
              .select("iteration", F.pmod(F.xxhash64(F.lit(seed), "iteration", "pos"), F.col("r")).alias("pos")))
     sums = draws.join(ids, "pos").groupBy("iteration").agg(*[F.sum(c).alias(c) for c in ("p", "n", "tp", "fp")])
@@ -371,10 +381,10 @@ def resample_units(df: DataFrame, target_rate: float, seed: int = 0, forced: Dat
         u = u.join(forced.select("run_id", "unit_id", F.lit(True).alias("forced")), ["run_id", "unit_id"], "left")
         u = u.withColumn("h", F.when(F.coalesce("forced", F.lit(False)), F.lit(-(1 << 63))).otherwise(F.col("h"))).drop("forced")
     u = u.withColumn("g", F.lit(0))
-    need = u.groupBy("g").agg(F.round(F.count_if(F.col("y") == 1) * (1 - target_rate) / target_rate).cast("long").alias("need"))
+    need = u.agg(F.round(F.count_if(F.col("y") == 1) * (1 - target_rate) / target_rate).cast("long").alias("need"))
     neg = running(u.filter("y = 0"), ["g"], ["h", "run_id", "unit_id"], {"rn": total(F.lit(1))},
                   slice_col=F.shiftright("h", 50))
-    kept = neg.join(need, "g").filter(F.col("rn") <= F.col("need")).select("run_id", "unit_id").unionByName(
+    kept = beside(neg, need).filter(F.col("rn") <= F.col("need")).select("run_id", "unit_id").unionByName(
         u.filter("y = 1").select("run_id", "unit_id"))
     return df.join(kept, ["run_id", "unit_id"], "left_semi")
 
@@ -389,9 +399,9 @@ def hard_examples(scored: DataFrame, policy_units: DataFrame, share: float = 0.1
     """Hardest ceil(share) negatives by largest score, and positives the policy missed."""
     u = unit_table(scored).withColumn("g", F.lit(0))
     neg = u.filter("y = 0").withColumn("neg", -F.coalesce("max_score", F.lit(-1.0)))
-    size = neg.groupBy("g").agg(F.ceil(share * F.count(F.lit(1))).alias("take"))
+    size = neg.agg(F.ceil(share * F.count(F.lit(1))).alias("take"))
     ranked = running(neg, ["g"], ["neg", "run_id", "unit_id"], {"rn": total(F.lit(1))}, slice_col=F.floor(F.col("neg") * 1024))
-    hard_neg = ranked.join(size, "g").filter(F.col("rn") <= F.col("take")).select(
+    hard_neg = beside(ranked, size).filter(F.col("rn") <= F.col("take")).select(
         "run_id", "unit_id", F.lit("hard_negative").alias("kind"))
     missed = policy_units.filter((F.col("y") == 1) & ~F.col("alerted")).select(
         "run_id", "unit_id", F.lit("hard_positive").alias("kind"))

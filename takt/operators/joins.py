@@ -25,8 +25,8 @@ def pair_by_key(entries: DataFrame, exits: DataFrame, keys=("run_id", "unit_id",
 
 
 def pair_fifo(events: DataFrame, keys=("run_id", "unit_id", "station_id"), start="PROCESSING_STARTED",
-              end="PROCESSING_COMPLETED", width: int = 600_000) -> tuple[DataFrame, DataFrame]:
-    """First-in first-out intervals and per-run pairing counts.
+              end="PROCESSING_COMPLETED", width: int = 600_000, keep_open: bool = False) -> tuple[DataFrame, DataFrame]:
+    """First-in first-out intervals and per-run pairing counts; with ``keep_open`` starts without an end too.
 
     With D = completions - starts so far and U = the largest D seen before (at least 0), a
     completion finds an open start iff D <= U, and that start is number C - U. Both sides then meet
@@ -63,7 +63,8 @@ def pair_fifo(events: DataFrame, keys=("run_id", "unit_id", "station_id"), start
         F.max(F.when(F.col("is_start") == 0, F.col("event_sequence"))).alias("end_event_sequence")))
     both = F.col("processing_start").isNotNull() & F.col("processing_end").isNotNull()
     positive = F.col("processing_end") > F.col("processing_start")
-    intervals = paired.filter(both & positive).drop("ordinal", "lone")
+    still = F.col("processing_end").isNull() if keep_open else F.lit(False)
+    intervals = paired.filter(both & positive | still).drop("ordinal", "lone")
     diagnostics = paired.groupBy("run_id").agg(
         F.count_if(both & positive).alias("valid_intervals"),
         F.count_if(F.col("processing_end").isNull()).alias("unmatched_starts"),

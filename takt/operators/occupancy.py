@@ -334,7 +334,14 @@ def confirmed_exits(intervals: DataFrame) -> DataFrame:
 
 
 def interval_ticks(passages: DataFrame, step_ms: int = 60_000) -> DataFrame:
-    """One tick per full step while a unit is inside (batch twin of the timer operator)."""
-    last = F.col("entry_ts") + step_ms
-    ticks = F.when(last <= F.col("exit_ts"), F.sequence(last, F.col("exit_ts"), F.lit(step_ms).cast("long")))
+    """One tick per full step while a unit is inside (batch twin of the timer operator).
+
+    A unit whose exit is not known yet ticks up to its run's last known time, ``now_ms`` where passages have such
+    a column, else up to the run's last entry or exit.
+    """
+    if "now_ms" not in passages.columns:
+        ends = passages.groupBy("run_id").agg(F.max(F.greatest("entry_ts", "exit_ts")).alias("now_ms"))
+        passages = passages.join(ends, "run_id")
+    last, end = F.col("entry_ts") + step_ms, F.coalesce("exit_ts", "now_ms")
+    ticks = F.when(last <= end, F.sequence(last, end, F.lit(step_ms).cast("long")))
     return passages.select("run_id", "zone_id", "unit_id", "entry_ts", "exit_ts", F.explode(ticks).alias("tick_ms"))

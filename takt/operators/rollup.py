@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from takt.functions import scalar as sc
+from takt.operators.slices import beside
 from takt.operators.windows import trend, warning_totals
 
 POINT = ["timestamp_ms", "emission", "probability", "risk_percent", "threshold", "warning", "state_confidence", "zone",
@@ -193,7 +194,7 @@ def recurring_constraints(points: DataFrame, runs: DataFrame, high: float = 70.0
     """Stations by how persistently they constrain flow; drivers counted once per affected day."""
     day = _per_key(points, "station_id")
     hit = F.col("warnings") > 0
-    scope = runs.agg(F.count(F.lit(1)).alias("days_in_scope")).withColumn("g", F.lit(0))
+    scope = runs.agg(F.count(F.lit(1)).alias("days_in_scope"))
     st = day.groupBy("station_id").agg(
         F.count_if(hit).alias("days_affected"), F.sum(F.when(hit, F.col("warnings"))).alias("alert_count"),
         F.bround(F.max(F.when(hit, F.col("peak"))) * 100.0, 1).alias("peak_risk_percent"),
@@ -204,7 +205,7 @@ def recurring_constraints(points: DataFrame, runs: DataFrame, high: float = 70.0
     top = freq.withColumn("r", F.row_number().over(Window.partitionBy("station_id").orderBy(F.col("n").desc(), "driver"))).filter("r <= 3")
     named = top.groupBy("station_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "driver"))),
                                                                    lambda x: x["driver"]), ", ").alias("drivers"))
-    j = st.withColumn("g", F.lit(0)).join(scope, "g").join(named, "station_id", "left")
+    j = beside(st, scope).join(named, "station_id", "left")
     level = (F.when(((F.col("days_in_scope") > 1) & (F.col("days_affected") >= F.col("days_in_scope"))) | (F.col("peak_risk_percent") >= high), "High")
              .when((F.col("peak_risk_percent") >= elevated) | (F.col("days_affected") > 1), "Elevated").otherwise("Watch"))
     return j.select("station_id", "days_affected", "days_in_scope", "alert_count", "peak_risk_percent", "avg_confidence_percent",
@@ -228,14 +229,13 @@ def observability(stations: DataFrame, points_b: DataFrame, points_d: DataFrame,
     def stream(points, name, dark):
         return points.agg(sc.percent_half_even(F.sum("state_confidence"), F.count("state_confidence")).alias(f"{name}_confidence_percent"),
                           F.count_if(sc.low_confidence("state_confidence")).alias(f"low_{name}"),
-                          F.count_if(dark).alias(f"dark_{name}")).withColumn("g", F.lit(0))
+                          F.count_if(dark).alias(f"dark_{name}"))
     st = stations.agg(F.count(F.lit(1)).alias("total_stations"), F.count_if("is_dark").alias("dark_zone_stations"),
-                      *[F.count_if(F.col("sensor_coverage") == c).alias(f"coverage_{c.lower()}") for c in ("HIGH", "PARTIAL", "NONE")]
-                      ).withColumn("g", F.lit(0))
+                      *[F.count_if(F.col("sensor_coverage") == c).alias(f"coverage_{c.lower()}") for c in ("HIGH", "PARTIAL", "NONE")])
     issue = lambda c: F.count_if(~F.coalesce(F.col(c), F.lit("UNKNOWN")).isin("PASS", "—", "UNKNOWN"))
     h = health.agg(F.count_if(F.coalesce(F.col("status") != "PASS", F.lit(True))).alias("degraded_runs"), F.count(F.lit(1)).alias("runs_in_scope"),
-                   issue("bottleneck_status").alias("bottleneck_issue_runs"), issue("defect_status").alias("defect_issue_runs")).withColumn("g", F.lit(0))
-    j = st.join(stream(points_b, "bottleneck", F.col("zone") == "DARK"), "g").join(stream(points_d, "defect", sc.dark_route("route")), "g").join(h, "g")
+                   issue("bottleneck_status").alias("bottleneck_issue_runs"), issue("defect_status").alias("defect_issue_runs"))
+    j = beside(beside(beside(st, stream(points_b, "bottleneck", F.col("zone") == "DARK")), stream(points_d, "defect", sc.dark_route("route"))), h)
     return j.select("total_stations", "dark_zone_stations", "coverage_high", "coverage_partial", "coverage_none",
                     sc.rate(F.col("total_stations") - F.col("coverage_none"), "total_stations").alias("instrumented_fraction"),
                     "bottleneck_confidence_percent", "defect_confidence_percent",
@@ -291,7 +291,7 @@ def observe_by_station(points_b: DataFrame, points_d: DataFrame) -> DataFrame:
 def _totals(by_day: DataFrame, by_station: DataFrame) -> DataFrame:
     t = by_day.agg(*[F.sum(c).alias(c) for c in ("units", "maintenance_alarms", "defective_units")], F.count(F.lit(1)).alias("days"))
     s = by_station.agg(F.sum("units").alias("station_units"))
-    return t.withColumn("g", F.lit(0)).join(s.withColumn("g", F.lit(0)), "g")
+    return beside(t, s)
 
 
 def financial_overview(by_day: DataFrame, by_station: DataFrame, a: Assumptions) -> DataFrame:
@@ -306,8 +306,7 @@ def financial_overview(by_day: DataFrame, by_station: DataFrame, a: Assumptions)
 
 def station_economics(by_day: DataFrame, by_station: DataFrame, a: Assumptions) -> DataFrame:
     """Revenue pool shared by throughput, minus alarm cost."""
-    t = _totals(by_day, by_station).select(F.col("units").alias("all_units"), "station_units", "g")
-    j = by_station.withColumn("g", F.lit(0)).join(t, "g")
+    j = beside(by_station, _totals(by_day, by_station).select(F.col("units").alias("all_units"), "station_units"))
     revenue = (F.col("units") * F.lit(a.revenue_per_station_operation) if a.revenue_per_station_operation else
                sc.rate(F.col("all_units") * F.lit(a.revenue_per_unit) * F.col("units"), "station_units"))
     cost = F.col("alarms") * F.lit(a.alarm_cost)
@@ -376,8 +375,8 @@ def scope_filter(runs: DataFrame, choice: str | None, selected_run: str | None =
     else:
         cond = F.lit(False)
     flagged = runs.withColumn("__hit", cond)
-    any_hit = flagged.agg(F.coalesce(F.bool_or("__hit"), F.lit(False)).alias("any")).withColumn("g", F.lit(0))
-    j = flagged.withColumn("g", F.lit(0)).join(any_hit, "g").join(newest.withColumn("g", F.lit(0)), "g")
+    any_hit = flagged.agg(F.coalesce(F.bool_or("__hit"), F.lit(False)).alias("any"))
+    j = beside(beside(flagged, any_hit), newest)
     return j.filter(F.when(F.col("any"), F.col("__hit")).otherwise(F.col("run_id") == F.col("newest"))).select(*runs.columns)
 
 

@@ -29,6 +29,14 @@ def slice_number(ts, width) -> Column:
     return ((t - F.pmod(t, F.lit(int(width)).cast("long"))) / F.lit(int(width))).cast("long")
 
 
+def beside(df: DataFrame, one: DataFrame) -> DataFrame:
+    """The columns of a one-row table beside every row of df: a scalar subquery, run once, instead of a join."""
+    if not one.columns:
+        return df
+    held = df.withColumn("__one", one.select(F.struct(*one.columns)).scalar())
+    return held.select(*df.columns, *[F.col("__one")[c].alias(c) for c in one.columns])
+
+
 @dataclass(frozen=True)
 class Running:
     """One running aggregate: kind is 'sum', 'max', 'min', 'latest' or 'first'."""

@@ -1,20 +1,72 @@
 """Per-key series operators built on sliced scans (see ``slices``)."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from takt.operators.slices import last_rows, latest, numbered, peak, previous, running, total
+from takt.operators.slices import last_rows, latest, numbered, peak, previous, running, slice_number, total
 
 EMA_ALPHAS = (0.3, 0.5, 0.7)
-# (1 - 0.3)^255 < 4e-40: older scores are below the last bit of a double in [0, 1]
-EMA_BACK = 255
+EMA_BLOCK = 1 << 16
 
 
-def ema_fold(scores: Column, alpha: float) -> Column:
-    """Ordered exponential mean of an array, seeded with its first element."""
-    return F.aggregate(F.slice(scores, 2, F.greatest(F.size(scores), F.lit(1))), F.get(scores, F.lit(0)),
-                       lambda e, x: F.lit(alpha) * x + F.lit(1 - alpha) * e)
+def ema_name(alpha: float) -> str:
+    return f"ema_{int(alpha * 10):02d}"
+
+
+def exponential_means(numbered_rows: DataFrame, keys: list[str], score: str, block: int = EMA_BLOCK) -> DataFrame:
+    """Ordered exponential means of every row of a numbered key (``rn`` from 1), whole histories included.
+
+    A score x that comes g rows after the last one moves the mean e to (b^g e + a x) / (b^g + a) with b = 1 - a;
+    rows without a score repeat the mean before them. Such steps e -> p e + s compose, so rows are folded inside
+    blocks of equal size, blocks to one (p, s) each, and the mean before a block is folded from the blocks
+    before it. No task holds more than a block's batch, no row an array.
+    """
+    gap = running(numbered_rows, keys, ["rn"], {"__last": latest(F.when(F.col(score).isNotNull(), F.col("rn")))}, block, strict=True)
+    rows = gap.withColumn("__block", slice_number(F.col("rn") - 1, block)).withColumn("__gap", F.col("rn") - F.col("__last")).drop("__last")
+    folded = [f"__{x}_{ema_name(a)}" for a in EMA_ALPHAS for x in "ps"]
+    schema = rows.schema
+    for name in folded:
+        schema = schema.add(name, "double")
+    names = [*keys, "__block"]
+
+    def fold(batches):
+        group, state = None, None
+        for part in batches:
+            made = np.empty((len(part), len(folded)))
+            groups = list(zip(*[part[c] for c in names]))
+            gaps, values = part["__gap"].to_numpy(float), part[score].to_numpy(float)
+            for i, g in enumerate(groups):
+                if g != group:
+                    group, state = g, [1.0, 0.0] * len(EMA_ALPHAS)
+                x = values[i]
+                if x == x:
+                    for k, alpha in enumerate(EMA_ALPHAS):
+                        if gaps[i] == gaps[i]:
+                            old = (1 - alpha) ** gaps[i]
+                            p, s = old / (old + alpha), alpha * x / (old + alpha)
+                        else:  # the key's first score
+                            p, s = 0.0, x
+                        state[2 * k:2 * k + 2] = p * state[2 * k], p * state[2 * k + 1] + s
+                made[i] = state
+            yield part.assign(**{name: made[:, k] for k, name in enumerate(folded)})
+
+    scanned = rows.repartition(*names).sortWithinPartitions(*names, "rn").mapInPandas(fold, schema)
+    ends = scanned.groupBy(*names).agg(*[F.max_by(c, "rn").alias(c) for c in folded])
+    # one row a block of a key: lists as short as rows / block
+    held = F.array_sort(F.collect_list(F.struct("__block", *folded)))
+    before = ends.groupBy(*keys).agg(held.alias("__ends"))
+    out = scanned.filter("__block = 0").withColumn("__ends", F.lit(None).cast(before.schema["__ends"].dataType)).unionByName(
+        scanned.filter("__block > 0").join(before, keys))
+
+    def carried(alpha: float) -> Column:
+        p, s = f"__p_{ema_name(alpha)}", f"__s_{ema_name(alpha)}"
+        earlier = F.filter(F.coalesce("__ends", F.array().cast(before.schema["__ends"].dataType)), lambda b: b["__block"] < F.col("__block"))
+        start = F.aggregate(earlier, F.lit(0.0), lambda e, b: b[p] * e + b[s])
+        return F.when(F.col(score).isNotNull() | F.col("__gap").isNotNull(), F.col(p) * start + F.col(s)).alias(ema_name(alpha))
+
+    return out.select(*numbered_rows.columns, *[carried(a) for a in EMA_ALPHAS])
 
 
 def second_highest(scores: Column) -> Column:
@@ -25,19 +77,15 @@ def second_highest(scores: Column) -> Column:
 def alert_policies(scored: DataFrame, keys=("run_id", "unit_id"), order="seq", score="score",
                    width: int = 1 << 16) -> DataFrame:
     """Six policy columns per row: raw, three exponential means, two in a row, two of three."""
-    n = numbered(scored, list(keys), [order], width)
+    n = exponential_means(numbered(scored, list(keys), [order], width), list(keys), score)
     s = F.col(score)
-    lists = last_rows(n, list(keys), "rn", {
-        "__all": F.collect_list(s)}, back=EMA_BACK)
-    recent3 = F.slice(F.col("__all"), F.greatest(F.size("__all") - 2, F.lit(1)), F.lit(3))
-    # NULL scores would vanish from the list; policies are defined on rows, so they are not expected
-    out = lists.withColumn("__r3", recent3)
-    prev = F.when(F.col("rn") > 1, F.get(F.col("__all"), F.size("__all") - 2))
-    return out.select(
-        *scored.columns, s.alias("raw"),
-        *[ema_fold(F.col("__all"), a).alias(f"ema_{int(a * 10):02d}") for a in EMA_ALPHAS],
-        F.when(prev.isNotNull(), F.least(s, prev)).alias("two_consecutive"),
-        second_highest(F.col("__r3")).alias("two_of_three"))
+    # structs keep rows without a score in their places
+    lists = last_rows(n, list(keys), "rn", {"__r3": F.collect_list(F.struct(s.alias("v")))}, back=2)
+    prev = F.when(F.col("rn") > 1, F.get(F.col("__r3"), F.size("__r3") - 2)["v"])
+    return lists.select(
+        *scored.columns, s.alias("raw"), *[ema_name(a) for a in EMA_ALPHAS],
+        F.when(prev.isNotNull() & s.isNotNull(), F.least(s, prev)).alias("two_consecutive"),
+        second_highest(F.filter(F.col("__r3.v"), lambda x: x.isNotNull())).alias("two_of_three"))
 
 
 def prev_next(df: DataFrame, keys, order, value: str, flag: str, width: int = 1 << 16) -> DataFrame:
@@ -92,14 +140,14 @@ def trend(preds: DataFrame, key: str, window: int = 20, deadband: float = 0.02)
 
 
 def corridor_load(intervals: DataFrame, keys=("run_id",), width: int = 600_000) -> DataFrame:
-    """Units inside at each entry: entries strictly before minus exits strictly before."""
+    """Units inside at each entry: entries strictly before minus exits strictly before. A NULL exit is a unit still inside."""
     keys = list(keys)
     ask = intervals.select(*keys, F.col("entry_ts").alias("__t"), F.lit(0).alias("__k"), F.lit(0).alias("__d"),
                            F.struct(*[F.col(c) for c in intervals.columns]).alias("__row"))
     moves = intervals.select(*keys, F.explode(F.array(
         F.struct(F.col("entry_ts").alias("t"), F.lit(1).alias("d")),
         F.struct(F.col("exit_ts").alias("t"), F.lit(-1).alias("d")))).alias("m")).select(
-        *keys, F.col("m.t").alias("__t"), F.lit(1).alias("__k"), F.col("m.d").alias("__d"))
+        *keys, F.col("m.t").alias("__t"), F.lit(1).alias("__k"), F.col("m.d").alias("__d")).filter(F.col("__t").isNotNull())
     both = ask.unionByName(moves, allowMissingColumns=True)
     out = running(both, keys, ["__t", "__k"], {"load": total("__d")}, width)
     return out.filter(F.col("__k") == 0).select("__row.*", "load")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from takt.functions import scalar as sc
 from takt.operators import evaluate as ev
+from takt.operators.slices import beside
 from takt.session import cut_lineage
 
 
@@ -20,15 +21,22 @@ def _numeric(df: DataFrame, numeric: list[str]) -> DataFrame:
                      *[F.col(c).isNull().cast("double").alias(f"m_{c}") for c in numeric])
 
 
-def _pipeline(numeric: list[str], categorical: list[str], target: str, weight: str | None, iterations: int, depth: int, seed: int) -> Pipeline:
+def _pipeline(numeric: list[str], categorical: list[str], target: str, weight: str | None, iterations: int, depth: int, seed: int,
+              levels: int) -> Pipeline:
+    """``levels`` is the largest number of different values of a categorical column: trees need a bin for each."""
     index = [StringIndexer(inputCol=c, outputCol=f"i_{c}", handleInvalid="keep", stringOrderType="alphabetAsc") for c in categorical]
     parts = [f"n_{c}" for c in numeric] + [f"m_{c}" for c in numeric] + [f"i_{c}" for c in categorical]
-    gbt = GBTClassifier(labelCol=target, featuresCol="features", maxIter=iterations, maxDepth=depth, seed=seed, maxBins=64)
+    gbt = GBTClassifier(labelCol=target, featuresCol="features", maxIter=iterations, maxDepth=depth, seed=seed, maxBins=max(64, levels + 2))
     if weight:
         gbt = gbt.setWeightCol(weight)
     return Pipeline(stages=[*index, VectorAssembler(inputCols=parts, outputCol="features"), gbt])
 
 
+def most_levels(df: DataFrame, categorical: list[str]) -> int:
+    """The largest number of different values of any of the columns."""
+    return max([0, *df.agg(*[F.count_distinct(c).alias(c) for c in categorical]).first()]) if categorical else 0
+
+
 def score_features(model: PipelineModel, features: DataFrame, numeric: list[str], threshold: float | None = None) -> DataFrame:
     """Probability per row; with a threshold also risk, warning and the threshold itself."""
     out = model.transform(_numeric(features, numeric)).withColumn("score", F.element_at(vector_to_array("probability"), 2)).select(*features.columns, "score")
@@ -54,7 +62,8 @@ def train_risk_model(features: DataFrame, split: DataFrame, numeric: list[str],
     The labelled feature table is written out once: boosting passes over it many times.
     """
     data = cut_lineage(features.filter(F.col(target).isNotNull()).join(split, "run_id"))
-    model = _pipeline(numeric, categorical, target, weight, iterations, depth, seed).fit(_numeric(data.filter("split = 'train'"), numeric))
+    levels = most_levels(data, categorical)
+    model = _pipeline(numeric, categorical, target, weight, iterations, depth, seed, levels).fit(_numeric(data.filter("split = 'train'"), numeric))
     scored = cut_lineage(score_features(model, data, numeric).withColumn("y", F.col(target)).select("run_id", "split", "y", "score"))
     best = ev.pick_threshold(scored.filter("split = 'val'"), 2.0).select("threshold").first()
     threshold = float(best["threshold"]) if best else 0.5
@@ -67,9 +76,10 @@ def cross_run_cv(features: DataFrame, folds: int, numeric: list[str], categorica
     """Whole-run folds: every row is scored once by a model that never saw its run. The driver loops
     over folds only; each fit is distributed."""
     data = cut_lineage(features.filter(F.col(target).isNotNull()).join(ev.group_folds(features, folds, seed), "run_id"))
+    levels = most_levels(data, categorical)
     out = None
     for k in range(folds):
-        m = _pipeline(numeric, categorical, target, None, iterations, depth, seed).fit(_numeric(data.filter(F.col("fold") != k), numeric))
+        m = _pipeline(numeric, categorical, target, None, iterations, depth, seed, levels).fit(_numeric(data.filter(F.col("fold") != k), numeric))
         s = score_features(m, data.filter(F.col("fold") == k), numeric)
         out = s if out is None else out.unionByName(s)
     scored = cut_lineage(out.withColumn("y", F.col(target)))
@@ -103,9 +113,9 @@ def calibrate(scored: DataFrame, folds: int = 3, seed: int = 7) -> tuple[DataFra
             out = out.unionByName(part.select(*out.columns))
     long = cut_lineage(out.select("run_id", "unit_id", "seq", "y", "method", F.col("calibrated").alias("score")))
     table = ev.metric_table(long, ["method"])
-    raw = table.filter("method = 'none'").select(*[F.col(c).alias(f"r_{c}") for c in ("brier", "log_loss", "ece", "pr_auc", "roc_auc")], F.lit(0).alias("g"))
-    best = table.agg(F.min_by("method", F.struct("brier", "log_loss", "ece", "method")).alias("b")).withColumn("g", F.lit(0))
-    j = table.withColumn("g", F.lit(0)).join(raw, "g").join(best, "g")
+    raw = table.filter("method = 'none'").select(*[F.col(c).alias(f"r_{c}") for c in ("brier", "log_loss", "ece", "pr_auc", "roc_auc")])
+    best = table.agg(F.min_by("method", F.struct("brier", "log_loss", "ece", "method")).alias("b"))
+    j = beside(beside(table, raw), best)
     better = sum((F.when(F.col(m) < F.col(f"r_{m}"), 1).otherwise(0) for m in ("brier", "log_loss", "ece")), F.lit(0))
     allowed = ((F.col("method") == "platt") & (F.col("brier") < F.col("r_brier")) & (better >= 2)
                & (F.col("r_pr_auc") - F.col("pr_auc") <= 0.005) & (F.col("r_roc_auc") - F.col("roc_auc") <= 0.002))

@@ -1,23 +1,32 @@
 """Session settings the library relies on."""
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the only setting that changes values: the clock of zone-free timestamps is UTC."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Where it is unset, a local session gets a temporary folder; on a cluster there is no such folder to fall
+    back on, so that is an error.
+    """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="takt-")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a local folder only where none is set."""
+    """Reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="takt-checkpoint-"))
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -34,4 +43,4 @@ def local_session(app: str = "takt", cores: str = "8", partitions: int = 8) -> S
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return prepare(spark)
+    return spark

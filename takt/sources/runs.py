@@ -1,7 +1,6 @@
 """Readers of run folders, bundles, documents, prediction streams and feature tables."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -12,15 +11,15 @@ from pyspark.sql import types as T
 from takt.contracts import PREDICTIONS, TABLES
 from takt.functions import scalar as sc
 from takt.operators.slices import numbered
+from takt.session import shared_root
 
 REQUIRED_FILES = ["station_events.csv", "sensor_readings.csv", "manual_checks.csv", "inspection_results.csv",
                   "stations.csv", "units.csv", "run_metadata.json"]
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the shared one the cluster names; a local one only where none is set (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named.rstrip('/')}/takt-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="takt-")
+    """A new folder below the shared one (see ``session.shared_root``)."""
+    return f"{shared_root(spark)}/takt-{uuid.uuid4().hex}"
 
 
 def run_of_path(path: Column | str = "_metadata.file_path") -> Column:

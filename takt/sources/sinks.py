@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from takt.contracts import PREDICTIONS
 from takt.functions import scalar as sc
+from takt.operators.slices import beside
 
 
 def write_features(df: DataFrame, path: str) -> None:
@@ -41,9 +42,9 @@ def upsert_run_history(history: DataFrame, incoming: DataFrame) -> DataFrame:
     merged = newest.groupBy("run_id").agg(
         F.max_by(F.struct(*rest), F.struct("__src", "updated_at")).alias("r"), F.min("created_at").alias("created_at"),
         F.max_by("production_day", F.when(F.col("production_day").isNotNull(), F.struct("__src", "updated_at"))).alias("day"))
-    top = merged.agg(F.coalesce(F.max("day"), F.lit(0)).alias("top")).withColumn("g", F.lit(0))
-    fresh = merged.filter("day IS NULL").withColumn("g", F.lit(0)).join(top, "g").withColumn(
-        "day", F.col("top") + F.row_number().over(Window.partitionBy("g").orderBy("r.updated_at", "run_id"))).drop("g", "top")
+    top = merged.agg(F.coalesce(F.max("day"), F.lit(0)).alias("top"))
+    fresh = beside(merged.filter("day IS NULL"), top).withColumn(
+        "day", F.col("top") + F.row_number().over(Window.orderBy("r.updated_at", "run_id"))).drop("top")
     both = merged.filter("day IS NOT NULL").unionByName(fresh)
     return both.select("run_id", F.col("day").alias("production_day"), *[F.col("r")[c].alias(c) for c in rest], "created_at")
 

@@ -125,13 +125,28 @@ def completed_runs(spark: SparkSession, root: str, glob: str = "run_*/run_metada
     return read_run_documents(spark, f"{root}/{glob}").filter(F.col("doc.schema_version").isNotNull()).select("run_id")
 
 
-def idempotent_sink(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer: each batch owns one folder, so a replayed batch overwrites itself."""
+def idempotent_sink(path: str, keys: Sequence[str], order: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer: each batch owns one folder, so a replayed batch overwrites itself.
+
+    Of rows with equal keys the one with the largest ``order`` stays; duplicates over batches: see ``read_idempotent``.
+    """
     def write(df: DataFrame, batch_id: int) -> None:
-        df.dropDuplicates(list(keys)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        last_of_key(df, keys, order).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
     return write
 
 
+def last_of_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """One row a key: the one with the largest order, of equal ones the largest in its columns' order."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max(F.struct(order, *[c for c in rest if c != order])).alias("__last")).select(
+        *[F.col(c) if c in keys else F.col("__last")[c].alias(c) for c in df.columns])
+
+
+def read_idempotent(spark: SparkSession, path: str, keys: Sequence[str], order: str) -> DataFrame:
+    """What the writer's batches hold together, one row a key."""
+    return last_of_key(spark.read.parquet(path).drop("batch"), keys, order)
+
+
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", fmt: str = "parquet"):
     """Drain what is there (AvailableNow) into files; returns the query for its status."""
     w = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint)
@@ -147,11 +162,11 @@ def isolated_queries(spark: SparkSession, starters: dict[str, Callable]) -> Data
         try:
             running[name] = start()
         except Exception as e:  # a subsystem that cannot start is a failed subsystem
-            rows.append((name, "FAILED_ISOLATED", str(e)[:200]))
+            rows.append((name, "FAILED_ISOLATED", str(e)))
     for name, q in running.items():
         try:
             q.awaitTermination()
             rows.append((name, "PASS", None))
         except Exception as e:
-            rows.append((name, "FAILED_ISOLATED", str(e)[:200]))
+            rows.append((name, "FAILED_ISOLATED", str(e)))
     return spark.createDataFrame(rows, "subsystem string, status string, error string")

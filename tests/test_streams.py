@@ -62,8 +62,9 @@ def test_ticks_and_enrichment_steps():
 
 
 def test_replayed_batch_is_written_once(spark, tmp_path):
-    d = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "k int, v string")
-    write = so.idempotent_sink(str(tmp_path), ["k"])
+    d = spark.createDataFrame([(1, 5, "a"), (1, 7, "c"), (1, 6, "b"), (2, 1, None)], "k int, seq int, v string")
+    write = so.idempotent_sink(str(tmp_path), ["k"], "seq")
     write(d, 0)
     write(d, 0)
-    assert spark.read.parquet(str(tmp_path)).count() == 2
+    write(d.filter("seq = 6"), 1)
+    assert sorted(map(tuple, so.read_idempotent(spark, str(tmp_path), ["k"], "seq").collect())) == [(1, 7, "c"), (2, 1, None)]
