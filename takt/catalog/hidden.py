@@ -17,6 +17,7 @@ from takt.session import cut_lineage
 
 QUERIES, ORACLE, query = registry()
 DARK = ["S04", "S05", "S06"]
+K = 50  # draws a passage in the registered queries; the library default is 200
 
 
 def _dark(spark, d):
@@ -260,37 +261,121 @@ def times(spark, d):
         F.lit(600000).cast("long"), F.lit(7200000).cast("long"), F.lit(600000).cast("long"))).alias("t_ms"))
 
 
-@query("draw_hypotheses")
+_DRAWS = {
+    **_PASS,
+    "prior": """
+  SELECT s.run_id, s.station_id, row_number() OVER (PARTITION BY s.run_id ORDER BY s.station_id) - 1 AS i, count(*) OVER (PARTITION BY s.run_id) AS n,
+    (base_cycle_time_ms / cycle_time_std_ms::DOUBLE) ** 2 AS a, cycle_time_std_ms / 1000.0::DOUBLE * cycle_time_std_ms / base_cycle_time_ms::DOUBLE * observed / 120.0::DOUBLE AS b
+  FROM stations s JOIN obs ON obs.run_id = s.run_id WHERE is_dark""",
+    "digits": f"""
+  SELECT ps.*, particle, station_id, i, n, a, b, sha256('0|' || ps.run_id || '|' || zone_id || '|' || unit_id || '|' || entry_ts || '|' || particle || '|' || i) AS h
+  FROM ps JOIN prior ON prior.run_id = ps.run_id, range({K}) AS r(particle)""",
+    "drawn": """
+  SELECT *, greatest(0.001::DOUBLE, a * b * greatest(0, 1 - 1 / (9 * a) + z / (3 * sqrt(a))) ** 3) AS t FROM (
+    SELECT *, sqrt(-2 * ln((CAST('0x' || substr(h, 1, 13) AS BIGINT) + 1) / 4503599627370496.0::DOUBLE))
+      * cos(6.283185307179586::DOUBLE * CAST('0x' || substr(h, 14, 13) AS BIGINT) / 4503599627370496.0::DOUBLE) AS z FROM digits)""",
+    "hyp": """
+  SELECT *, sum(t) OVER w AS c1, coalesce(sum(t) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c0,
+    sum(t) OVER (PARTITION BY run_id, unit_id, entry_ts, particle) AS total FROM drawn WINDOW w AS (PARTITION BY run_id, unit_id, entry_ts, particle ORDER BY i)""",
+    "times": "SELECT run_id, unnest(range(600000, 7200001, 600000)) AS t_ms FROM runs",
+    "qs": """
+  SELECT ps.*, t_ms, concat_ws('|', ps.run_id, zone_id, unit_id, entry_ts, t_ms) AS query_id FROM ps JOIN times ON times.run_id = ps.run_id
+  WHERE t_ms >= entry_ts AND (exit_ts IS NULL OR t_ms < exit_ts)""",
+}
+_POST = {
+    "seen": """
+  SELECT q.query_id, q.run_id, q.zone_id, q.unit_id, q.entry_ts, q.t_ms, particle, station_id, i, n, total, (q.t_ms - q.entry_ts) / 1000.0::DOUBLE AS el,
+    CASE WHEN total < (q.t_ms - q.entry_ts) / 1000.0::DOUBLE THEN CENSOR ELSE 1.0::DOUBLE END AS w, c0, t
+  FROM qs q JOIN hyp h ON h.run_id = q.run_id AND h.unit_id = q.unit_id AND h.entry_ts = q.entry_ts
+  WHERE (c0 <= (q.t_ms - q.entry_ts) / 1000.0::DOUBLE OR i = 0) AND ((q.t_ms - q.entry_ts) / 1000.0::DOUBLE < c1 OR i = n - 1)""".replace("CENSOR", f"{oc.CENSOR}::DOUBLE"),
+    "cell": """
+  SELECT query_id, run_id, zone_id, unit_id, entry_ts, t_ms, station_id, i, n, sum(w) AS sw, sum(w * w) AS sww, sum(w * pr) AS sp, sum(w * pr * pr) AS spp,
+    sum(w * rem) AS sr, sum(w * rem * rem) AS srr FROM (SELECT *, least(1, greatest(0, (el - c0) / t)) AS pr, greatest(0, total - el) AS rem FROM seen) GROUP BY ALL""",
+    "probs": """
+  SELECT *, sw / sum(sw) OVER w AS p, sum(sw) OVER w AS tw, sum(sww) OVER w AS tww, sum(sr) OVER w AS tr, sum(srr) OVER w AS trr FROM cell WINDOW w AS (PARTITION BY query_id)""",
+    "est": """
+  SELECT query_id, run_id, zone_id, unit_id, entry_ts, t_ms, arg_max(station_id, p - i * 1e-13) AS most_likely_station, max(p) AS confidence,
+    -sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) AS entropy, max(n) AS n, arg_max(sp / sw, p - i * 1e-13) AS progress_mean,
+    arg_max(sqrt(greatest(0, spp / sw - (sp / sw) ** 2)), p - i * 1e-13) AS progress_std, max(tr / tw) AS eta_s,
+    max(sqrt(greatest(0, trr / tw - (tr / tw) ** 2))) AS eta_std_s, max(tw * tw / tww) AS effective_samples
+  FROM probs GROUP BY ALL""",
+}
+_POSTERIOR = {**_DRAWS, **_POST}
+_READINGS = {**_POSTERIOR, "times": "SELECT DISTINCT run_id, timestamp_ms AS t_ms FROM se WHERE station_id IN ('S04', 'S05', 'S06')", "shares": """
+  SELECT e.run_id, p.zone_id, e.event_sequence AS evidence_id, e.timestamp_ms AS ts_ms, e.station_id, e.station_index, p.unit_id, p / sum(p) OVER (PARTITION BY e.run_id, e.event_sequence) AS share, p AS score
+  FROM se e JOIN probs p ON p.run_id = e.run_id AND p.t_ms = e.timestamp_ms AND p.station_id = e.station_id WHERE p > 0"""}
+_ONE = {
+    **_DRAWS,
+    "single": "SELECT *, greatest(0.001::DOUBLE, a * (b * 3) * greatest(0, 1 - 1 / (9 * a) + z / (3 * sqrt(a))) ** 3) AS t3 FROM drawn WHERE i = 0",
+    "one": """
+  SELECT query_id, run_id, zone_id, unit_id, entry_ts, t_ms, sp / sw AS progress_mean, sqrt(greatest(0, spp / sw - (sp / sw) ** 2)) AS progress_std, sr / sw AS eta_s,
+    sqrt(greatest(0, srr / sw - (sr / sw) ** 2)) AS eta_std_s, exp(-sqrt(greatest(0, srr / sw - (sr / sw) ** 2)) / 8) AS confidence FROM (
+    SELECT query_id, run_id, zone_id, unit_id, entry_ts, t_ms, sum(w) AS sw, sum(w * pr) AS sp, sum(w * pr * pr) AS spp, sum(w * rem) AS sr, sum(w * rem * rem) AS srr FROM (
+      SELECT q.query_id, q.run_id, q.zone_id, q.unit_id, q.entry_ts, q.t_ms, least(1, el / t3) AS pr, greatest(0, t3 - el) AS rem, CASE WHEN t3 < el THEN CENSOR ELSE 1.0::DOUBLE END AS w
+      FROM (SELECT *, (t_ms - entry_ts) / 1000.0::DOUBLE AS el FROM qs) q JOIN single h ON h.run_id = q.run_id AND h.unit_id = q.unit_id AND h.entry_ts = q.entry_ts) GROUP BY ALL)""".replace(
+        "CENSOR", f"{oc.CENSOR}::DOUBLE"),
+}
+
+
+def _snapshots(share: float, fractions: tuple) -> str:
+    """SQL of the queries that ``backtest_queries`` makes."""
+    return f"""
+  SELECT *, concat_ws('|', run_id, zone_id, unit_id, entry_ts, fraction) AS query_id, (exit_ts - t_ms) / 1000.0::DOUBLE AS true_remaining_s FROM (
+    SELECT *, CAST(trunc(entry_ts + fraction * (exit_ts - entry_ts)) AS BIGINT) AS t_ms FROM (
+      SELECT *, unnest([{', '.join(f'{f}::DOUBLE' for f in fractions)}]) AS fraction FROM (
+        SELECT *, quantile_cont(entry_ts, {share}) OVER (PARTITION BY run_id) AS cutoff FROM ps WHERE exit_ts - entry_ts >= 15000) WHERE entry_ts >= cutoff))"""
+
+
+_BACK = {**_ONE, "qs": _snapshots(0.7, (0.25, 0.5, 0.75)), "errors": """
+  SELECT q.fraction, o.confidence, abs(progress_mean - fraction) AS p_err, abs(eta_s - true_remaining_s) AS e_err FROM one o JOIN qs q ON q.query_id = o.query_id"""}
+
+
+@query("draw_hypotheses", with_ctes("ev stations", "SELECT run_id, zone_id, unit_id, entry_ts, CAST(particle AS INTEGER) AS particle, round(total, 5) AS total_s FROM hyp WHERE i = n - 1",
+                                    **{k: v for k, v in _DRAWS.items() if k not in ("times", "qs")}))
 def draw_hypotheses(spark, d):
-    h = oc.draw_hypotheses(with_priors(spark, d), 50)
+    h = oc.draw_hypotheses(with_priors(spark, d), K)
     return h.select("run_id", "zone_id", "unit_id", "entry_ts", "particle", F.round(F.element_at("cum_t", -1), 5).alias("total_s"))
 
 
-def _posterior(spark, d, k=50):
+def _posterior(spark, d, k=K):
     p = with_priors(spark, d)
     q = oc.active_queries(p, times(spark, d))
     return p, q, *oc.station_posterior(oc.draw_hypotheses(p, k), q.drop("quality"))
 
 
-@query("station_posterior")
+@query("station_posterior", with_ctes("ev stations runs", """
+SELECT query_id, run_id, zone_id, unit_id, entry_ts, t_ms, most_likely_station, round(confidence, 5) AS confidence, round(entropy, 5) AS entropy,
+  round(coalesce(entropy / nullif(ln(n), 0), 0), 5) AS entropy_normalized, round(progress_mean, 5) AS progress_mean, round(progress_std, 5) AS progress_std,
+  round(eta_s, 5) AS eta_s, round(eta_std_s, 5) AS eta_std_s, round(effective_samples, 5) AS effective_samples FROM est""", **_POSTERIOR))
 def station_posterior(spark, d):
     return rounded(_posterior(spark, d)[3])
 
 
-@query("station_probabilities")
+@query("station_probabilities", with_ctes("ev stations runs", "SELECT query_id, run_id, zone_id, unit_id, entry_ts, t_ms, station_id, round(p, 5) AS p FROM probs", **_POSTERIOR))
 def station_probabilities(spark, d):
     return rounded(_posterior(spark, d)[2])
 
 
-@query("expected_queue")
+@query("expected_queue", with_ctes("ev stations runs", """
+SELECT run_id, zone_id, station_id, t_ms, round(m, 5) AS queue_mean, round(sqrt(greatest(0, v - m * m)), 5) AS queue_std, round(exp(-sqrt(greatest(0, v - m * m))) * 0.9, 5) AS confidence FROM (
+  SELECT *, s1 - 1 + p0 AS m, sv + (s1 - 1) ** 2 - p0 AS v FROM (
+    SELECT run_id, zone_id, station_id, t_ms, sum(p) AS s1, sum(p * (1 - p)) AS sv, CASE WHEN max(p) >= 1 THEN 0 ELSE exp(sum(ln(1 - p))) END AS p0 FROM (SELECT run_id, zone_id, station_id, t_ms, least(p, 1) AS p FROM probs) GROUP BY ALL))""", **_POSTERIOR))
 def expected_queue(spark, d):
     _, q, probs, _ = _posterior(spark, d)
     return rounded(oc.expected_queue(probs, q))
 
 
-@query("expected_crossings")
+@query("expected_crossings", with_ctes("ev stations runs", f"""
+, cross_ AS (SELECT run_id, station_id, CAST(round(entry_ts * 1000 + 1e6 * c0) AS BIGINT) AS i_us, CAST(round(entry_ts * 1000 + 1e6 * c1) AS BIGINT) AS o_us FROM hyp)
+SELECT t.run_id, 'DZ01' AS zone_id, s.station_id, t_ms,
+  round(count(*) FILTER (i_us <= t_ms * 1000 AND i_us >= (t_ms - 600000) * 1000) / {K}.0::DOUBLE, 5) AS arrivals10,
+  round(count(*) FILTER (i_us < (t_ms - 600000) * 1000 AND i_us >= (t_ms - 1200000) * 1000) / {K}.0::DOUBLE, 5) AS arrivals_prev,
+  round(count(*) FILTER (o_us <= t_ms * 1000 AND o_us >= (t_ms - 600000) * 1000) / {K}.0::DOUBLE, 5) AS services10,
+  round(count(*) FILTER (o_us < (t_ms - 600000) * 1000 AND o_us >= (t_ms - 1200000) * 1000) / {K}.0::DOUBLE, 5) AS services_prev
+FROM times t JOIN stations s ON s.run_id = t.run_id AND is_dark LEFT JOIN cross_ c ON c.run_id = t.run_id AND c.station_id = s.station_id GROUP BY ALL""",
+                                      **{k: v for k, v in _DRAWS.items() if k != "qs"}))
 def expected_crossings(spark, d):
-    h = oc.draw_hypotheses(with_priors(spark, d), 50)
+    h = oc.draw_hypotheses(with_priors(spark, d), K)
     q = times(spark, d).withColumn("station_id", F.explode(F.array(*[F.lit(s) for s in DARK])))
     return rounded(oc.expected_crossings(h, q))
 
@@ -328,23 +413,29 @@ def _identified(spark, d):
 def checkpoint_weight(spark, d):
     p = with_priors(spark, d)
     q = oc.active_queries(p, times(spark, d))
-    w = oc.checkpoint_weight(oc.draw_hypotheses(p, 50), _identified(spark, d), q)
+    w = oc.checkpoint_weight(oc.draw_hypotheses(p, K), _identified(spark, d), q)
     return rounded(w.groupBy("query_id").agg(F.sum("weight").alias("total_weight"), F.max("effective_samples").alias("effective_samples")))
 
 
-@query("evidence_association")
+@query("evidence_association", with_ctes("ev se stations", "SELECT * EXCLUDE (station_index, share, score), round(share, 5) AS share, round(score, 5) AS score FROM shares", **_READINGS))
 def evidence_association(spark, d):
     return rounded(_association(spark, d))
 
 
 def _association(spark, d):
-    s = b.sensor_readings(spark, d).filter(F.col("station_id").isin(DARK)).select(
-        "run_id", F.lit("DZ01").alias("zone_id"), F.col("event_sequence").alias("evidence_id"), F.col("timestamp_ms").alias("ts_ms"), "station_id",
-        F.lit(None).cast("double").alias("progress"), F.lit(0.12).alias("std"))
-    return oc.evidence_association(with_priors(spark, d), s, 50)
+    e = b.sensor_readings(spark, d).filter(F.col("station_id").isin(DARK)).select(
+        "run_id", F.lit("DZ01").alias("zone_id"), F.col("event_sequence").alias("evidence_id"), F.col("timestamp_ms").alias("ts_ms"), "station_id")
+    p = with_priors(spark, d)
+    q = oc.active_queries(p, e.select("run_id", "zone_id", F.col("ts_ms").alias("t_ms")).distinct())
+    return oc.evidence_association(oc.station_posterior(oc.draw_hypotheses(p, K), q.drop("quality"))[0], e)
 
 
-@query("attribute_readings")
+@query("attribute_readings", with_ctes("ev se stations", """
+SELECT run_id, evidence_id, CASE WHEN conf >= 0.55 THEN unit_id END AS unit_id, round(conf, 5) AS confidence FROM (
+  SELECT s.run_id, evidence_id, s.unit_id, share / sum(share) OVER (PARTITION BY s.run_id, evidence_id) AS conf FROM shares s LEFT JOIN (
+    SELECT run_id, unit_id, max(station_index) AS reached FROM ev WHERE station_index BETWEEN 3 AND 4 AND event_type = 'PROCESSING_COMPLETED' GROUP BY ALL) r
+    ON r.run_id = s.run_id AND r.unit_id = s.unit_id WHERE reached IS NULL OR reached <= station_index)
+QUALIFY row_number() OVER (PARTITION BY run_id, evidence_id ORDER BY conf DESC, unit_id DESC) = 1""", **_READINGS))
 def attribute_readings(spark, d):
     a = _association(spark, d).withColumn("station_index", F.substring("station_id", 2, 2).cast("int") - 1)
     reached = b.station_events(spark, d).filter("station_index BETWEEN 3 AND 4 AND event_type = 'PROCESSING_COMPLETED'").groupBy("run_id", "unit_id").agg(
@@ -356,35 +447,40 @@ def attribute_readings(spark, d):
 def evidence_gates(spark, d):
     p = with_priors(spark, d)
     e = _identified(spark, d).withColumn("query_id", F.concat_ws("|", "run_id", "unit_id", "entry_ts", "ts_ms", "checkpoint_id"))
-    one = oc.station_posterior(oc.draw_hypotheses(p, 50), e.select("query_id", "run_id", "zone_id", "unit_id", "entry_ts", F.col("ts_ms").alias("t_ms")))[1]
+    one = oc.station_posterior(oc.draw_hypotheses(p, K), e.select("query_id", "run_id", "zone_id", "unit_id", "entry_ts", F.col("ts_ms").alias("t_ms")))[1]
     j = e.join(one.select("query_id", "progress_mean", "progress_std"), "query_id").withColumn("elapsed_s", (F.col("ts_ms") - F.col("entry_ts")) / 1000.0).withColumn(
         "mean_duration_s", F.lit(120.0))
     ok, bad = oc.evidence_gates(j)
     return ok.groupBy().agg(F.count(F.lit(1)).alias("accepted")).join(bad.groupBy().agg(F.count(F.lit(1)).alias("rejected")), F.lit(True))
 
 
-@query("single_station_progress")
+@query("single_station_progress", with_ctes("ev stations runs", """
+SELECT query_id, run_id, zone_id, unit_id, entry_ts, t_ms, round(progress_mean, 5) AS progress_mean, round(progress_std, 5) AS progress_std, round(eta_s, 5) AS eta_s,
+  round(eta_std_s, 5) AS eta_std_s, round(confidence, 5) AS confidence FROM one""", **_ONE))
 def single_station_progress(spark, d):
     p = with_priors(spark, d).select("run_id", "zone_id", "unit_id", "entry_ts", "exit_ts", F.slice("stations", 1, 1).alias("stations"), F.slice("shapes", 1, 1).alias("shapes"),
                                      F.transform(F.slice("scales", 1, 1), lambda s: s * 3).alias("scales"))
     q = oc.active_queries(p, times(spark, d))
-    return rounded(oc.single_station_progress(oc.draw_hypotheses(p, 50), q))
+    return rounded(oc.single_station_progress(oc.draw_hypotheses(p, K), q))
 
 
 def _backtest(spark, d):
     p = with_priors(spark, d).select("run_id", "zone_id", "unit_id", "entry_ts", "exit_ts", F.slice("stations", 1, 1).alias("stations"), F.slice("shapes", 1, 1).alias("shapes"),
                                      F.transform(F.slice("scales", 1, 1), lambda s: s * 3).alias("scales"))
     q = oc.backtest_queries(p)
-    est = oc.single_station_progress(oc.draw_hypotheses(p, 50), q.select("query_id", "run_id", "zone_id", "unit_id", "entry_ts", "t_ms"))
+    est = oc.single_station_progress(oc.draw_hypotheses(p, K), q.select("query_id", "run_id", "zone_id", "unit_id", "entry_ts", "t_ms"))
     return oc.occupancy_backtest(est, q)
 
 
-@query("occupancy_backtest")
+@query("occupancy_backtest", with_ctes("ev stations", """
+SELECT fraction, count(*) AS n, round(avg(p_err), 5) AS progress_mae, round(avg(e_err), 5) AS eta_mae_s, round(avg(confidence), 5) AS mean_confidence,
+  round(quantile_cont(p_err, 0.5), 5) AS progress_median_error FROM errors GROUP BY fraction""", **{k: v for k, v in _BACK.items() if k != "times"}))
 def occupancy_backtest(spark, d):
     return rounded(_backtest(spark, d)[0])
 
 
-@query("occupancy_backtest_confidence")
+@query("occupancy_backtest_confidence", with_ctes("ev stations", "SELECT count(*) AS n, round(corr(confidence, p_err), 5) AS corr_confidence_error FROM errors",
+                                                 **{k: v for k, v in _BACK.items() if k != "times"}))
 def occupancy_backtest_confidence(spark, d):
     return rounded(_backtest(spark, d)[1])
 
@@ -393,7 +489,7 @@ def occupancy_backtest_confidence(spark, d):
 def posterior_calibration(spark, d):
     p = with_priors(spark, d)
     q = oc.backtest_queries(p, 0.0, (0.15, 0.3, 0.5, 0.7, 0.85))
-    probs, est = oc.station_posterior(oc.draw_hypotheses(p, 50), q.select("query_id", "run_id", "zone_id", "unit_id", "entry_ts", "t_ms"))
+    probs, est = oc.station_posterior(oc.draw_hypotheses(p, K), q.select("query_id", "run_id", "zone_id", "unit_id", "entry_ts", "t_ms"))
     truth = q.select("query_id", "fraction", F.element_at("stations", F.least(F.lit(3), F.floor(F.col("fraction") * 3).cast("int") + 1)).alias("true_station"))
     return rounded(oc.posterior_calibration(probs, est, truth)[0])
 
@@ -437,7 +533,7 @@ def weighted_stats(spark, d):
 def dark_feature_rows(spark, d):
     p, q, probs, _ = _posterior(spark, d)
     ledger = oc.expected_queue(probs, q)
-    rates = oc.expected_crossings(oc.draw_hypotheses(p, 50), times(spark, d).withColumn("station_id", F.explode(F.array(*[F.lit(s) for s in DARK]))))
+    rates = oc.expected_crossings(oc.draw_hypotheses(p, K), times(spark, d).withColumn("station_id", F.explode(F.array(*[F.lit(s) for s in DARK]))))
     return dark_columns(ledger, rates, scaled_priors(spark, d), b.stations(spark, d))
 
 

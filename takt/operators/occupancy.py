@@ -21,22 +21,26 @@ HYPOTHESIS = ("run_id string, zone_id string, unit_id string, entry_ts long, par
               "cum_t array<double>")
 
 
-def draw_hypotheses(passages: DataFrame, k: int = 200, seed: int = 0) -> DataFrame:
-    """K seeded duration draws per passage; the seed comes from run, zone, unit and entry time."""
-    seeded = passages.withColumn("__seed", sc.stable_seed(F.lit(str(seed)), "run_id", "zone_id", "unit_id", "entry_ts"))
+def gamma_draw(shape: Column, scale: Column, text: Column) -> Column:
+    """A gamma draw that text decides: a hashed normal deviate through the Wilson-Hilferty cube, at least 1 ms.
+
+    Two uniforms come from 26 hexadecimal digits of the text's SHA-256 (Box-Muller). Any engine draws the same.
+    """
+    digits = F.sha2(text, 256)
+    u = lambda at: F.conv(F.substring(digits, at, 13), 16, 10).cast("double")
+    z = F.sqrt(-2 * F.ln((u(1) + 1) / 4503599627370496.0)) * F.cos(6.283185307179586 * u(14) / 4503599627370496.0)
+    root = F.greatest(F.lit(0.0), 1 - 1 / (9 * shape) + z / (3 * F.sqrt(shape)))
+    return F.greatest(F.lit(1e-3), shape * scale * root * root * root)
 
-    def draw(batches):
-        import numpy as np
-        import pandas as pd
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                rng = np.random.default_rng(int(row[-1]))
-                t = np.column_stack([np.clip(rng.gamma(a, b, size=k), 1e-3, None) for a, b in zip(row[5], row[6])])
-                cum = np.cumsum(t, axis=1)
-                yield pd.DataFrame({"run_id": row[0], "zone_id": row[1], "unit_id": row[2], "entry_ts": row[3],
-                                    "particle": np.arange(k, dtype="int32"), "stations": [row[4]] * k, "cum_t": list(cum)})
 
-    return seeded.select(*PASSAGE, "stations", "shapes", "scales", "__seed").mapInPandas(draw, HYPOTHESIS)
+def draw_hypotheses(passages: DataFrame, k: int = 200, seed: int = 0) -> DataFrame:
+    """K seeded duration draws per passage; the seed comes from run, zone, unit and entry time."""
+    drawn = passages.select(*PASSAGE, "stations", "shapes", "scales", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("particle"))
+    key = F.concat_ws("|", F.lit(str(seed)), *PASSAGE, "particle")
+    t = lambda i: gamma_draw(F.get("shapes", i), F.get("scales", i), F.concat_ws("|", key, i.cast("string")))
+    cum = F.aggregate(F.sequence(F.lit(0), F.size("stations") - 1), F.array().cast("array<double>"),
+                      lambda done, i: F.concat(done, F.array(F.coalesce(F.get(done, F.size(done) - 1), F.lit(0.0)) + t(i))))
+    return drawn.select(*PASSAGE, "particle", "stations", cum.alias("cum_t"))
 
 
 def _at(elapsed: Column) -> dict[str, Column]:
@@ -161,69 +165,19 @@ def checkpoint_weight(hypotheses: DataFrame, evidence: DataFrame, queries: DataF
                                              (F.col("sr") * F.col("sr") / F.col("srr")).alias("effective_samples"))
 
 
-def busy_periods(passages: DataFrame) -> DataFrame:
-    """Name the stretches of a zone's time line between empty moments by their first entry time."""
-    loaded = corridor_load(passages, ["run_id", "zone_id"])
-    return running(loaded, ["run_id", "zone_id"], ["entry_ts", "unit_id"],
-                   {"period": latest(F.when(F.col("load") <= 0, F.col("entry_ts")))}, 600_000)
-
-
-def evidence_association(passages: DataFrame, evidence: DataFrame, k: int = 200, seed: int = 0) -> DataFrame:
-    """Share of each active unit in each anonymous observation, applied in time order.
+def evidence_association(probs: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Share of each unit inside in each anonymous observation: its chance of standing at that station then.
 
-    ``passages`` as for drawing, plus exit_ts; ``evidence``: run_id, zone_id, evidence_id, ts_ms,
-    station_id, progress (NULL = station only), std. Units only interact while the zone is occupied, so
-    the work splits by busy period; a task sees passage and evidence lines and keeps particles of the
-    units inside at that moment only.
+    ``probs``: station chances (``station_posterior``) asked at the observations' times, with run_id, zone_id,
+    unit_id, t_ms, station_id, p; ``evidence``: run_id, zone_id, evidence_id, ts_ms, station_id. share = p / sum of
+    p over the units inside; observations don't feed back into the chances. One equi-join and one sum per
+    observation; an observation that no unit can explain has no row.
     """
-    p = busy_periods(passages).withColumn("__seed", sc.stable_seed(F.lit(str(seed)), "run_id", "zone_id", "unit_id", "entry_ts"))
-    spans = p.groupBy("run_id", "zone_id", "period").agg(F.min("entry_ts").alias("t0"), F.max("exit_ts").alias("t1"))
-    starts = spans.select("run_id", "zone_id", F.col("t0").alias("start_ts"), "period", "t1")
-    e = as_of(evidence, starts, ["run_id", "zone_id"], "ts_ms", "start_ts", ["period", "t1"]).filter(F.col("ts_ms") <= F.col("t1"))
-    rows = (p.select("run_id", "zone_id", "period", F.lit(0).alias("what"), F.col("entry_ts").alias("ts"), "unit_id", "exit_ts", "stations",
-                     "shapes", "scales", "__seed")
-            .unionByName(e.select("run_id", "zone_id", "period", F.lit(1).alias("what"), F.col("ts_ms").alias("ts"), "evidence_id", "station_id",
-                                  "progress", "std"), allowMissingColumns=True))
-    schema = "run_id string, zone_id string, evidence_id long, ts_ms long, station_id string, unit_id string, share double, score double"
-
-    def replay(key, pdf):
-        import numpy as np
-        import pandas as pd
-        out, active = [], {}
-        for r in pdf.sort_values(["ts", "what", "unit_id", "evidence_id"], kind="stable").itertuples(index=False):
-            if r.what == 0:
-                rng = np.random.default_rng(int(r.seed))
-                t = np.column_stack([np.clip(rng.gamma(a, b, size=k), 1e-3, None) for a, b in zip(r.shapes, r.scales)])
-                active[(r.unit_id, r.ts)] = [r.ts, r.exit_ts, list(r.stations), np.cumsum(t, axis=1), np.full(k, 1.0 / k)]
-                continue
-            for gone in [u for u, s in active.items() if s[1] <= r.ts]:
-                del active[gone]
-            seen = []
-            for u, (t0, _t1, names, cum, w) in active.items():
-                el = (r.ts - t0) / 1000.0
-                pos = np.minimum((cum <= el).sum(axis=1), len(names) - 1)
-                idx = np.arange(k)
-                lo = np.where(pos == 0, 0.0, cum[idx, np.maximum(pos - 1, 0)])
-                prog = np.clip((el - lo) / (cum[idx, pos] - lo), 0, 1)
-                at = pos == (names.index(r.station_id) if r.station_id in names else -1)
-                if np.isnan(r.progress):
-                    lik = np.where(at, 1.0, 0.05)
-                else:
-                    lik = np.where(at, np.exp(-0.5 * ((prog - r.progress) / r.std) ** 2) / (r.std * 2.5066282746310002), 0.02)
-                w2 = np.where(cum[:, -1] < el, w * CENSOR, w) + 1e-300
-                w2 /= w2.sum()
-                seen.append((u, lik, w2, float((lik * w2).sum())))
-            whole = sum(s for *_, s in seen)
-            if not whole > 0:
-                continue
-            for u, lik, w2, score in seen:
-                beta = score / whole
-                nw = w2 * ((1 - beta) + beta * lik / max(score, 1e-300)) + 1e-300
-                active[u][4] = nw / nw.sum()
-                out.append((key[0], key[1], int(r.evidence_id), int(r.ts), r.station_id, u[0], beta, score))
-        return pd.DataFrame(out, columns=["run_id", "zone_id", "evidence_id", "ts_ms", "station_id", "unit_id", "share", "score"])
-
-    return rows.withColumnRenamed("__seed", "seed").groupBy("run_id", "zone_id", "period").applyInPandas(replay, schema)
+    p = probs.filter("p > 0").select("run_id", "zone_id", "unit_id", F.col("t_ms").alias("ts_ms"), "station_id", F.col("p").alias("score"))
+    j = evidence.select("run_id", "zone_id", "evidence_id", "ts_ms", "station_id").join(p, ["run_id", "zone_id", "ts_ms", "station_id"])
+    whole = j.groupBy("evidence_id", "run_id").agg(F.sum("score").alias("whole"))
+    return j.join(whole, ["evidence_id", "run_id"]).select("run_id", "zone_id", "evidence_id", "ts_ms", "station_id", "unit_id",
+                                                           (F.col("score") / F.col("whole")).alias("share"), "score")
 
 
 def evidence_gates(evidence: DataFrame, gate_sigma: float = 4.0, plausible: float = 0.15) -> tuple[DataFrame, DataFrame]:
