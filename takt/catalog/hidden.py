@@ -485,7 +485,12 @@ def occupancy_backtest_confidence(spark, d):
     return rounded(_backtest(spark, d)[1])
 
 
-@query("posterior_calibration")
+@query("posterior_calibration", with_ctes("ev stations", """
+SELECT fraction, count(*) AS n, round(avg(CASE WHEN most_likely_station = true_station THEN 1.0::DOUBLE ELSE 0 END), 5) AS top1_accuracy, round(avg(s2 - 2 * pt + 1), 5) AS brier,
+  round(avg(-ln(greatest(pt, 1e-9::DOUBLE))), 5) AS log_loss, round(avg(confidence), 5) AS mean_confidence FROM (
+  SELECT t.query_id, fraction, true_station, sum(p * p) AS s2, coalesce(sum(p) FILTER (station_id = true_station), 0) AS pt FROM probs p JOIN truth t ON t.query_id = p.query_id GROUP BY ALL) x
+JOIN est ON est.query_id = x.query_id GROUP BY fraction""", **{**{k: v for k, v in _POSTERIOR.items() if k != "times"}, "qs": _snapshots(0.0, (0.15, 0.3, 0.5, 0.7, 0.85)),
+    "truth": "SELECT query_id, fraction, list_extract(['S04', 'S05', 'S06'], CAST(least(3, floor(fraction * 3) + 1) AS BIGINT)) AS true_station FROM qs"}))
 def posterior_calibration(spark, d):
     p = with_priors(spark, d)
     q = oc.backtest_queries(p, 0.0, (0.15, 0.3, 0.5, 0.7, 0.85))

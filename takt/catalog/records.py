@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from takt import bindings as b
 from takt.catalog.base import registry, rounded
-from takt.catalog.quality import ASSIGN, _assigned
+from takt.catalog.quality import ASSIGN, UNIT_CTES, _assigned, unit_features
 from takt.catalog.sql import with_ctes
 from takt.contracts import QUALITY_FEATURES, SIGNALS
 from takt.functions import scalar as sc
@@ -452,9 +452,14 @@ def dedupe_station_time(spark, d):
     return rounded(sel.dedupe_station_time(p.select("run_id", "station_id", "timestamp_ms", "emission", "probability")), default=6)
 
 
-@query("signal_coverage")
+def _seen(signal: str, past: str) -> str:
+    have = [c for c in (f"{signal.lower()}_{stat}_{past}" for stat in ("mean", "max")) if c in QUALITY_FEATURES]
+    return f"round(avg(CASE WHEN coalesce({', '.join(have)}, NULL) IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 6)"
+
+
+@query("signal_coverage", with_ctes("ev se ma units", " UNION ALL ".join(
+    f"SELECT run_id, '{s}' AS signal, {_seen(s, 'history')} AS history_coverage, {_seen(s, 'recent')} AS recent_coverage FROM f GROUP BY run_id" for s in SIGNALS), **UNIT_CTES))
 def signal_coverage(spark, d):
-    from takt.catalog.quality import unit_features
     return rounded(ag.signal_coverage(unit_features(spark, d)), default=6)
 
 
@@ -463,10 +468,11 @@ PROVENANCE = [(f, "sensor_readings" if f.split("_")[0].upper() in SIGNALS else "
                "units" if f in ("vehicle_model", "supplier_batch") else "stations", "10 minutes" if "recent" in f else "all past") for f in QUALITY_FEATURES]
 
 
-@query("feature_provenance")
+@query("feature_provenance", with_ctes("ev se ma units", " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, '{source}' AS source, '{window}' AS \"window\", true AS present, round(avg(CASE WHEN {f} IS NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS null_rate FROM f"
+    for f, source, window in PROVENANCE), **UNIT_CTES))
 def feature_provenance(spark, d):
     """Definition rows joined to the observed share of filled values."""
-    from takt.catalog.quality import unit_features
     p = spark.createDataFrame(PROVENANCE, "feature string, source string, window string")
     return rounded(p.join(ag.feature_quality(unit_features(spark, d), QUALITY_FEATURES).select("feature", "present", "null_rate"), "feature", "left"), default=6)
 

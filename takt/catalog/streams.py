@@ -145,7 +145,11 @@ def defect_features_stream(spark, d):
     return rounded(second.files(so.unit_history_stream(second.stream)))
 
 
-@query("interval_ticks_stream")
+@query("interval_ticks_stream", with_ctes("ev", """
+, edges AS (SELECT run_id, unit_id, timestamp_ms, event_sequence, station_index = 6 AS leaves FROM ev WHERE event_type = 'UNIT_ARRIVED' AND station_index IN (3, 6)),
+stays AS (SELECT *, count(*) FILTER (leaves) OVER (PARTITION BY run_id, unit_id ORDER BY timestamp_ms, event_sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stay FROM edges),
+spans AS (SELECT run_id, unit_id, stay, min(timestamp_ms) FILTER (NOT leaves) AS entry_ts, max(timestamp_ms) AS last_ts FROM stays GROUP BY ALL)
+SELECT run_id, unit_id, entry_ts, unnest(range(entry_ts + 60000, last_ts + 1, 60000)) AS tick_ms FROM spans WHERE last_ts >= entry_ts + 60000"""))
 def interval_ticks_stream(spark, d):
     e = b.station_events(spark, d).filter("event_type = 'UNIT_ARRIVED' AND station_index IN (3, 6)").select(
         "run_id", "unit_id", "timestamp_ms", "event_sequence", F.when(F.col("station_index") == 3, "ENTER").otherwise("EXIT").alias("kind"))
