@@ -297,12 +297,25 @@ def wilson_interval(spark, d):
     return rounded(g.select("run_id", "k", "n", low.alias("low"), high.alias("high")), default=6)
 
 
-@query("run_block_bootstrap")
+_HASH = "CAST('0x' || substr(sha256({}), 1, 13) AS BIGINT)"
+
+
+@query("run_block_bootstrap", with_ctes("series", f"""
+, per AS (SELECT run_id, row_number() OVER (ORDER BY run_id) - 1 AS pos, count(*) OVER () AS r, p, n, tp, fp FROM (SELECT run_id, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n,
+  count(*) FILTER (y = 1 AND alerted) AS tp, count(*) FILTER (y = 0 AND alerted) AS fp FROM ({_first_sql('score', 'series', UTHR)}) GROUP BY run_id)),
+draws AS (SELECT iteration, {_HASH.format("'7|' || iteration || '|' || pos")} % r AS pos FROM per, range(1000) AS t(iteration)),
+sums AS (SELECT iteration, sum(p) AS p, sum(n) AS n, sum(tp) AS tp, sum(fp) AS fp FROM draws JOIN per ON per.pos = draws.pos GROUP BY iteration),
+m AS (SELECT unnest([{{'metric': 'unit_recall', 'v': tp / nullif(p, 0)}}, {{'metric': 'false_warning_rate', 'v': fp / nullif(n, 0)}}, {{'metric': 'unit_precision', 'v': coalesce(tp / nullif(tp + fp, 0), 0)}}]) AS x FROM sums)
+SELECT x.metric AS metric, round(avg(x.v), 6) AS mean, round(quantile_cont(x.v, 0.025), 6) AS low, round(quantile_cont(x.v, 0.975), 6) AS high FROM m GROUP BY x.metric"""))
 def run_block_bootstrap(spark, d):
     return rounded(ev.run_block_bootstrap(b.scored_series(spark, d), UTHR), default=6)
 
 
-@query("median_bootstrap")
+@query("median_bootstrap", with_ctes("series", f"""
+, alerts AS (SELECT first_alert_station::DOUBLE AS x, run_id || '|' || unit_id AS unit_key FROM ({_first_sql('score', 'series', UTHR)}) WHERE y = 1 AND alerted),
+drawn AS (SELECT iteration, x, len([c FOR c IN {ev.poisson_steps()} IF {_HASH.format("'7|' || iteration || '|' || unit_key")} / 4503599627370496.0::DOUBLE >= c]) AS m FROM alerts, range(200) AS t(iteration)),
+meds AS (SELECT iteration, quantile_cont(x, 0.5) AS med FROM (SELECT iteration, x, unnest(range(m)) FROM drawn) GROUP BY iteration)
+SELECT round(avg(med), 6) AS mean, round(quantile_cont(med, 0.025), 6) AS low, round(quantile_cont(med, 0.975), 6) AS high FROM meds"""))
 def median_bootstrap(spark, d):
     f = ev.first_alerts(b.scored_series(spark, d), UTHR).filter("y = 1 AND alerted").withColumn(
         "unit_key", F.concat_ws("|", "run_id", "unit_id"))
@@ -334,7 +347,11 @@ def split_runs(spark, d):
     return ev.split_runs(b.scored(spark, d), 0.15, 0.2, 7)
 
 
-@query("resample_units")
+@query("resample_units", with_ctes("scored", f"""
+, u AS (SELECT run_id, unit_id, max(y) AS y, {_HASH.format("'7|' || run_id || '|' || unit_id")} AS h FROM scored GROUP BY run_id, unit_id),
+kept AS (SELECT run_id, unit_id FROM u WHERE y = 1 UNION ALL SELECT run_id, unit_id FROM (SELECT *, row_number() OVER (ORDER BY h, run_id, unit_id) AS r FROM u WHERE y = 0)
+  WHERE r <= (SELECT round(count(*) FILTER (y = 1) * 0.7 / 0.3) FROM u))
+SELECT s.run_id, s.unit_id, s.y, s.seq FROM scored s JOIN kept k ON k.run_id = s.run_id AND k.unit_id = s.unit_id"""))
 def resample_units(spark, d):
     return ev.resample_units(b.scored(spark, d), 0.3, 7).select("run_id", "unit_id", "y", "seq")
 

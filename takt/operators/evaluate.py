@@ -5,6 +5,8 @@ scores with counts, scanned in score slices, so a metric over all rows never sor
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -311,7 +313,7 @@ def run_block_bootstrap(scored: DataFrame, threshold: float, iterations: int = 1
     size = per_run.agg(F.count(F.lit(1)).alias("r"))
     draws = (beside(ids.select("pos"), size)
              .select("pos", "r", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
-             .select("iteration", F.pmod(F.xxhash64(F.lit(seed), "iteration", "pos"), F.col("r")).alias("pos")))
+             .select("iteration", F.pmod(hashed(F.lit(str(seed)), "iteration", "pos"), F.col("r")).alias("pos")))
     sums = draws.join(ids, "pos").groupBy("iteration").agg(*[F.sum(c).alias(c) for c in ("p", "n", "tp", "fp")])
     m = sums.select(sc.ratio("tp", "p").alias("unit_recall"), sc.ratio("fp", "n").alias("false_warning_rate"),
                     sc.rate("tp", F.col("tp") + F.col("fp")).alias("unit_precision"))
@@ -321,22 +323,39 @@ def run_block_bootstrap(scored: DataFrame, threshold: float, iterations: int = 1
                                       F.percentile("v", F.lit(0.975)).alias("high"))
 
 
+def hashed(*parts) -> Column:
+    """Whole number below 16^13 that the parts' text decides, the same in any engine that has SHA-256."""
+    text = F.concat_ws("|", *[sc.col(p).cast("string") for p in parts])
+    return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("long")
+
+
+def poisson_steps(mean: float = 1.0) -> list[float]:
+    """Cumulative Poisson probabilities up to the last one below 1 in double precision."""
+    p, total, steps, k = math.exp(-mean), 0.0, [], 0
+    while total + p > total:
+        total += p
+        steps.append(total)
+        k += 1
+        p *= mean / k
+    return [x for x in steps if x < 1.0]
+
+
 def median_bootstrap(values: DataFrame, value: str, iterations: int = 200, seed: int = 7) -> DataFrame:
     """Bootstrap of a median over few distinct levels: each iteration reweights the level counts.
 
-    Poisson(1)-like multiplicities per (iteration, row) are summed per level before any shuffle, so the
-    shuffle carries iterations x levels, not rows.
+    Poisson(1) multiplicities per (iteration, row), by the whole inverse distribution of a hashed uniform, are
+    summed per level before any shuffle, so the shuffle carries iterations x levels, not rows. A median of an even
+    number of rows is the mean of the two in the middle.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), "iteration", "unit_key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # Cumulative Poisson(1) probabilities
-    cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    times = sum((F.when(F.col("u") >= c, 1).otherwise(0) for c in cdf), F.lit(0))
+    u = hashed(F.lit(str(seed)), "iteration", "unit_key") / F.lit(float(16 ** 13))
+    times = sum((F.when(F.col("u") >= c, 1).otherwise(0) for c in poisson_steps()), F.lit(0))
     w = (values.select(F.col(value).cast("double").alias("x"), "unit_key",
                        F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration")).withColumn("u", u)
          .withColumn("m", times).filter("m > 0").groupBy("iteration", "x").agg(F.sum("m").alias("m")))
     order = Window.partitionBy("iteration").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     c = w.withColumn("cum", F.sum("m").over(order)).withColumn("all", F.sum("m").over(Window.partitionBy("iteration")))
-    med = c.filter(F.col("cum") * 2 >= F.col("all")).groupBy("iteration").agg(F.min("x").alias("median"))
+    low, high = F.min(F.when(F.col("cum") * 2 >= F.col("all"), F.col("x"))), F.min(F.when(F.col("cum") * 2 > F.col("all"), F.col("x")))
+    med = c.groupBy("iteration").agg(((low + high) / 2).alias("median"))
     return med.agg(F.avg("median").alias("mean"), F.percentile("median", F.lit(0.025)).alias("low"),
                    F.percentile("median", F.lit(0.975)).alias("high"))
 
@@ -376,14 +395,14 @@ def resample_units(df: DataFrame, target_rate: float, seed: int = 0, forced: Dat
     The n-th smallest seeded hash is found from hash-slice counts; no single task ranks all units.
     """
     u = df.groupBy("run_id", "unit_id").agg(F.max("y").alias("y")).withColumn(
-        "h", F.xxhash64(F.lit(seed), "run_id", "unit_id"))
+        "h", hashed(F.lit(str(seed)), "run_id", "unit_id"))
     if forced is not None:
         u = u.join(forced.select("run_id", "unit_id", F.lit(True).alias("forced")), ["run_id", "unit_id"], "left")
-        u = u.withColumn("h", F.when(F.coalesce("forced", F.lit(False)), F.lit(-(1 << 63))).otherwise(F.col("h"))).drop("forced")
+        u = u.withColumn("h", F.when(F.coalesce("forced", F.lit(False)), F.lit(-1).cast("long")).otherwise(F.col("h"))).drop("forced")
     u = u.withColumn("g", F.lit(0))
     need = u.agg(F.round(F.count_if(F.col("y") == 1) * (1 - target_rate) / target_rate).cast("long").alias("need"))
     neg = running(u.filter("y = 0"), ["g"], ["h", "run_id", "unit_id"], {"rn": total(F.lit(1))},
-                  slice_col=F.shiftright("h", 50))
+                  slice_col=F.shiftright("h", 42))
     kept = beside(neg, need).filter(F.col("rn") <= F.col("need")).select("run_id", "unit_id").unionByName(
         u.filter("y = 1").select("run_id", "unit_id"))
     return df.join(kept, ["run_id", "unit_id"], "left_semi")
