@@ -89,7 +89,33 @@ def boundary_allocation(spark, d):
     return rounded(ca.boundary_allocation(a, z, b.units(spark, d), m))
 
 
-@query("fit_dwell")
+def _newton_sql(source: str, steps: int = 6) -> dict[str, str]:
+    """CTEs g0 .. g<steps>: the maximum-likelihood gamma shape k of rows with mean and ml (mean logarithm)."""
+    digamma = "(ln(k + 6) - 1 / (2 * (k + 6)) - i2 * (1 / 12.0::DOUBLE - i2 * (1 / 120.0::DOUBLE - i2 * (1 / 252.0::DOUBLE - i2 / 240))) - (" + " + ".join(
+        f"1 / (k + {j})" for j in range(6)) + "))"
+    trigamma = "(1 / (k + 6) + i2 / 2 + i2 / (k + 6) * (1 / 6.0::DOUBLE - i2 * (1 / 30.0::DOUBLE - i2 * (1 / 42.0::DOUBLE - i2 / 30))) + (" + " + ".join(
+        f"1 / ((k + {j}) * (k + {j}))" for j in range(6)) + "))"
+    ctes = {"g0": f"SELECT *, (3 - s + sqrt((s - 3) * (s - 3) + 24 * s)) / (12 * s) AS k FROM (SELECT *, ln(mean) - ml AS s FROM {source}) WHERE s > 1e-9"}
+    for n in range(steps):
+        ctes[f"g{n + 1}"] = (f"SELECT * REPLACE (greatest(1e-6::DOUBLE, k - (ln(k) - {digamma} - s) / (1 / k - {trigamma})) AS k) "
+                             f"FROM (SELECT *, 1 / ((k + 6) * (k + 6)) AS i2 FROM g{n}{'' if not n else ' '})".replace("SELECT *, 1", "SELECT * EXCLUDE (i2), 1" if n else "SELECT *, 1"))
+    return ctes
+
+
+@query("fit_dwell", with_ctes("ev units", """
+SELECT w.station_id, w.variant, CASE WHEN o.k IS NOT NULL THEN o.n ELSE p.n END AS n, round(CASE WHEN o.k IS NOT NULL THEN o.mean ELSE p.mean END, 5) AS mean,
+  round(coalesce(o.k, p.k), 5) AS shape, round(CASE WHEN o.k IS NOT NULL THEN o.mean / o.k ELSE p.mean / p.k END, 5) AS scale, o.k IS NULL AS fallback
+FROM (SELECT DISTINCT station_id, variant FROM fitted WHERE lv = 0) w LEFT JOIN (SELECT * FROM g6 WHERE lv = 0 AND n >= 30) o ON o.station_id = w.station_id AND o.variant = w.variant
+LEFT JOIN (SELECT * FROM g6 WHERE lv = 1 AND n >= 8) p ON p.station_id = w.station_id WHERE coalesce(o.k, p.k) IS NOT NULL""",
+    dw="""
+  SELECT a.station_id, u.vehicle_model AS variant, (z.timestamp_ms - a.timestamp_ms) / 1000.0::DOUBLE AS x
+  FROM ev a JOIN ev z ON a.run_id = z.run_id AND a.unit_id = z.unit_id AND a.station_id = z.station_id JOIN units u ON u.run_id = a.run_id AND u.unit_id = a.unit_id
+  WHERE a.event_type = 'PROCESSING_STARTED' AND z.event_type = 'PROCESSING_COMPLETED' AND z.timestamp_ms > a.timestamp_ms AND a.station_id IN ('S04', 'S05', 'S06')""",
+    lv="SELECT 0 AS lv, * FROM dw UNION ALL SELECT 1, station_id, '', x FROM dw",
+    md="SELECT *, count(*) OVER w AS size, median(x) OVER w AS med FROM lv WINDOW w AS (PARTITION BY lv, station_id, variant)",
+    mad="SELECT *, 1.4826::DOUBLE * median(abs(x - med)) OVER (PARTITION BY lv, station_id, variant) AS mad FROM md",
+    fitted="SELECT lv, station_id, variant, count(*) AS n, avg(x) AS mean, avg(ln(x)) AS ml FROM mad WHERE size < 8 OR mad = 0 OR abs(x - med) / mad < 3.5 GROUP BY ALL",
+    **_newton_sql("fitted")))
 def fit_dwell(spark, d):
     return rounded(ca.fit_dwell(dwell_history(spark, d)))
 
