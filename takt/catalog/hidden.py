@@ -310,7 +310,7 @@ _DRAWS = {
 }
 _POST = {
     "seen": """
-  SELECT q.query_id, q.run_id, q.zone_id, q.unit_id, q.entry_ts, q.t_ms, particle, station_id, i, n, total, (q.t_ms - q.entry_ts) / 1000.0::DOUBLE AS el,
+  SELECT q.query_id, q.run_id, q.zone_id, q.unit_id, q.entry_ts, q.t_ms, particle, h.station_id, i, n, total, (q.t_ms - q.entry_ts) / 1000.0::DOUBLE AS el,
     CASE WHEN total < (q.t_ms - q.entry_ts) / 1000.0::DOUBLE THEN CENSOR ELSE 1.0::DOUBLE END AS w, c0, t
   FROM qs q JOIN hyp h ON h.run_id = q.run_id AND h.unit_id = q.unit_id AND h.entry_ts = q.entry_ts
   WHERE (c0 <= (q.t_ms - q.entry_ts) / 1000.0::DOUBLE OR i = 0) AND ((q.t_ms - q.entry_ts) / 1000.0::DOUBLE < c1 OR i = n - 1)""".replace("CENSOR", f"{oc.CENSOR}::DOUBLE"),
@@ -406,41 +406,47 @@ def expected_crossings(spark, d):
     return rounded(oc.expected_crossings(h, q))
 
 
-def _checkpoints(spark, d):
-    """Checkpoint definitions of the binding: one RFID gate per hidden station."""
-    return _dark(spark, d).select(
-        "run_id", "station_id", F.concat(F.lit("CP_"), "station_id").alias("checkpoint_id"), F.lit("RFID").alias("checkpoint_type"),
-        (0.2 + 0.2 * (F.col("station_index") - 3)).alias("nominal_progress_fraction"), F.lit(0.9).alias("read_reliability"), F.lit(0.05).alias("false_positive_rate"),
-        F.lit(True).alias("identifies_unit"))
-
-
 def checkpoint_reads(spark, d):
-    iv, _ = jn.pair_fifo(b.station_events(spark, d))
-    w = iv.select("run_id", "unit_id", "station_id", F.col("processing_start").alias("entry_ts"), F.col("processing_end").alias("exit_ts"))
-    defs = _checkpoints(spark, d).drop("run_id").distinct()
-    return oc.sample_checkpoints(w, defs)
-
-
-@query("sample_checkpoints")
-def sample_checkpoints(spark, d):
-    return checkpoint_reads(spark, d)
+    """Identified reads of the binding: manual checks at hidden stations, of three kinds, at a tenth of the station."""
+    m = b.manual_checks(spark, d).filter(F.col("station_id").isin(DARK))
+    kind = F.element_at(F.array(*map(F.lit, ("RFID", "POWER_DRAW", "ANDON"))), (F.col("event_sequence") % 3 + 1).cast("int"))
+    return m.select("run_id", F.lit("DZ01").alias("zone_id"), "unit_id", "station_id", kind.alias("checkpoint_type"), F.col("timestamp_ms").alias("ts_ms"),
+                    F.col("event_sequence").alias("checkpoint_id"), ((F.col("event_sequence") % 10) / 10.0).alias("progress"))
 
 
 def _identified(spark, d):
     """Checkpoint reads placed into the passage of their unit."""
-    r = checkpoint_reads(spark, d).select("run_id", F.lit("DZ01").alias("zone_id"), "unit_id", "station_id", "checkpoint_type", F.col("timestamp_ms").alias("ts_ms"), "checkpoint_id")
     from takt.operators.slices import as_of
     p = passages(spark, d)
-    got = as_of(r, p, ["run_id", "zone_id", "unit_id"], "ts_ms", "entry_ts", ["entry_ts", "exit_ts"], right_tie=["exit_ts"])
-    return got.filter("ts_ms <= exit_ts").withColumn("progress", F.lit(0.5))
+    got = as_of(checkpoint_reads(spark, d), p, ["run_id", "zone_id", "unit_id"], "ts_ms", "entry_ts", ["entry_ts", "exit_ts"], right_tie=["exit_ts"])
+    return got.filter("entry_ts IS NOT NULL AND (exit_ts IS NULL OR ts_ms <= exit_ts)")
+
+
+_READS = {
+    "reads": """
+  SELECT m.run_id, 'DZ01' AS zone_id, m.unit_id, m.station_id, list_extract(['RFID', 'POWER_DRAW', 'ANDON'], m.event_sequence % 3 + 1) AS checkpoint_type, m.timestamp_ms AS ts_ms,
+    m.event_sequence AS checkpoint_id, (m.event_sequence % 10) / 10.0::DOUBLE AS seen, p.entry_ts, p.exit_ts
+  FROM (SELECT * FROM ma WHERE station_id IN ('S04', 'S05', 'S06')) m ASOF JOIN (
+    SELECT * FROM ps QUALIFY row_number() OVER (PARTITION BY run_id, unit_id, entry_ts ORDER BY exit_ts DESC NULLS LAST) = 1) p
+    ON p.run_id = m.run_id AND p.unit_id = m.unit_id AND m.timestamp_ms >= p.entry_ts WHERE p.exit_ts IS NULL OR m.timestamp_ms <= p.exit_ts""",
+    "logs": """
+  SELECT run_id, unit_id, entry_ts, particle, ts_ms, ln(greatest(CASE WHEN held = station_id THEN exp(-0.5 * ((pr - seen) / std) ** 2) / (std * 2.5066282746310002::DOUBLE) ELSE 0.02 END, 1e-300::DOUBLE)) AS ll FROM (
+    SELECT r.*, particle, h.station_id AS held, least(1, greatest(0, (el - c0) / t)) AS pr, CASE checkpoint_type WHEN 'RFID' THEN 0.05::DOUBLE WHEN 'POWER_DRAW' THEN 0.12 ELSE 0.03 END AS std
+    FROM (SELECT *, (ts_ms - entry_ts) / 1000.0::DOUBLE AS el FROM reads) r JOIN hyp h ON h.run_id = r.run_id AND h.unit_id = r.unit_id AND h.entry_ts = r.entry_ts
+    WHERE (c0 <= el OR i = 0) AND (el < c1 OR i = n - 1))""",
+    "raw": """
+  SELECT *, exp(ll - max(ll) OVER (PARTITION BY query_id)) AS raw FROM (SELECT query_id, particle, sum(ll) AS ll FROM qs JOIN logs ON logs.run_id = qs.run_id AND logs.unit_id = qs.unit_id
+    AND logs.entry_ts = qs.entry_ts AND ts_ms <= t_ms GROUP BY ALL)""",
+}
 
 
-@query("checkpoint_weight")
+@query("checkpoint_weight", with_ctes("ev ma stations runs", """
+SELECT query_id, round(max(raw) / sum(raw), 5) AS top_weight, round(sum(raw) ** 2 / sum(raw * raw), 5) AS effective_samples FROM raw GROUP BY query_id""", **_DRAWS, **_READS))
 def checkpoint_weight(spark, d):
     p = with_priors(spark, d)
     q = oc.active_queries(p, times(spark, d))
     w = oc.checkpoint_weight(oc.draw_hypotheses(p, K), _identified(spark, d), q)
-    return rounded(w.groupBy("query_id").agg(F.sum("weight").alias("total_weight"), F.max("effective_samples").alias("effective_samples")))
+    return rounded(w.groupBy("query_id").agg(F.max("weight").alias("top_weight"), F.max("effective_samples").alias("effective_samples")))
 
 
 @query("evidence_association", with_ctes("ev se stations", "SELECT * EXCLUDE (station_index, share, score), round(share, 5) AS share, round(score, 5) AS score FROM shares", **_READINGS))
@@ -469,15 +475,22 @@ def attribute_readings(spark, d):
     return rounded(oc.attribute_readings(a, reached))
 
 
-@query("evidence_gates")
+@query("evidence_gates", with_ctes("ev ma stations", """
+SELECT e.query_id, CASE WHEN checkpoint_type = 'RFID' AND abs(seen - progress_mean) / greatest(progress_std, 1e-3::DOUBLE) > 4 THEN 'rfid_beyond_gate'
+  WHEN checkpoint_type = 'ANDON' AND seen > 0 AND el / greatest(mean_s, 1e-3::DOUBLE) < seen * 0.15 THEN 'andon_implausible' END AS reason
+FROM (SELECT *, (t_ms - entry_ts) / 1000.0::DOUBLE AS el FROM qs) e JOIN est ON est.query_id = e.query_id JOIN (SELECT run_id, sum(a * b) AS mean_s FROM prior GROUP BY run_id) m ON m.run_id = e.run_id""",
+    **{**{k: v for k, v in _DRAWS.items() if k not in ("times", "qs")}, "reads": _READS["reads"],
+       "qs": "SELECT *, ts_ms AS t_ms, concat_ws('|', run_id, unit_id, entry_ts, ts_ms, checkpoint_id) AS query_id FROM reads", **_POST}))
 def evidence_gates(spark, d):
+    """Verdict on every identified read, against the belief and the expected duration of its passage."""
     p = with_priors(spark, d)
     e = _identified(spark, d).withColumn("query_id", F.concat_ws("|", "run_id", "unit_id", "entry_ts", "ts_ms", "checkpoint_id"))
     one = oc.station_posterior(oc.draw_hypotheses(p, K), e.select("query_id", "run_id", "zone_id", "unit_id", "entry_ts", F.col("ts_ms").alias("t_ms")))[1]
-    j = e.join(one.select("query_id", "progress_mean", "progress_std"), "query_id").withColumn("elapsed_s", (F.col("ts_ms") - F.col("entry_ts")) / 1000.0).withColumn(
-        "mean_duration_s", F.lit(120.0))
+    mean = F.aggregate(F.zip_with("shapes", "scales", lambda a, z: a * z), F.lit(0.0), lambda x, y: x + y)
+    long = p.groupBy("run_id").agg(F.max(mean).alias("mean_duration_s"))
+    j = e.join(one.select("query_id", "progress_mean", "progress_std"), "query_id").join(long, "run_id").withColumn("elapsed_s", (F.col("ts_ms") - F.col("entry_ts")) / 1000.0)
     ok, bad = oc.evidence_gates(j)
-    return ok.groupBy().agg(F.count(F.lit(1)).alias("accepted")).join(bad.groupBy().agg(F.count(F.lit(1)).alias("rejected")), F.lit(True))
+    return ok.select("query_id", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("query_id", "reason"))
 
 
 @query("single_station_progress", with_ctes("ev stations runs", """

@@ -181,14 +181,3 @@ def _documents(spark, d):
 @query("read_run_documents", with_ctes("runs", "SELECT run_id, CASE WHEN production_day % 3 <> 0 THEN CAST(production_day AS BIGINT) END AS random_seed, production_day % 3 <> 0 AS readable FROM runs"))
 def read_documents(spark, d):
     return read_run_documents(spark, _documents(spark, d) + "/run_id=*/*").select("run_id", F.col("doc.random_seed").alias("random_seed"), F.col("doc").isNotNull().alias("readable"))
-
-
-@query("isolated_queries", "SELECT 'bottleneck' AS subsystem, 'PASS' AS status UNION ALL SELECT 'defect', 'FAILED_ISOLATED'")
-def isolated_queries(spark, d):
-    """Two subsystems over the same events; the second one breaks on its data, the first is unharmed."""
-    r = Replay(spark, b.bottleneck_predictions(spark, d).select("run_id", "emission", "probability"), "emission", 1)
-    broken = r.stream.withColumn("probability", F.when(F.col("probability") > 0.9, F.raise_error(F.lit("planted failure"))).otherwise(F.col("probability")))
-
-    def start(df, name):
-        return lambda: df.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{r.root}/{name}_ck").format("parquet").option("path", f"{r.root}/{name}").start()
-    return so.isolated_queries(spark, {"bottleneck": start(r.stream, "bottleneck"), "defect": start(broken, "defect")}).select("subsystem", "status")

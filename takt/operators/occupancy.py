@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from takt.functions import scalar as sc
 from takt.operators.aggregate import queue_moments
-from takt.operators.slices import as_of, exact_quantiles, latest, running, slice_number, total
-from takt.operators.windows import corridor_load
+from takt.operators.slices import exact_quantiles, running, slice_number, total
 
 CENSOR = 1e-6
 PASSAGE = ["run_id", "zone_id", "unit_id", "entry_ts"]
@@ -259,29 +258,6 @@ def posterior_calibration(probs: DataFrame, estimates: DataFrame, truth: DataFra
     return by_fraction, by_bin
 
 
-def sample_checkpoints(intervals: DataFrame, defs: DataFrame, seed: int = 42, jitter_ms: float = 3000.0) -> DataFrame:
-    """Synthetic checkpoint reads inside true windows: missed reads, jitter and false positives.
-
-    Uniforms are hashes of the window, checkpoint and seed: the same input always gives the same reads.
-    """
-    j = intervals.join(defs.select("station_id", "checkpoint_id", "checkpoint_type", "nominal_progress_fraction", "read_reliability", "false_positive_rate"), "station_id")
-
-    def uniform(tag: str) -> Column:
-        h = F.xxhash64(F.lit(seed), F.lit(tag), "run_id", "unit_id", "station_id", "entry_ts", "exit_ts", "checkpoint_id")
-        return (F.pmod(h, F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))
-
-    dwell = F.col("exit_ts") - F.col("entry_ts")
-    gauss = F.sqrt(-2 * F.ln(uniform("n1"))) * F.cos(2 * 3.141592653589793 * uniform("n2"))
-    real = F.col("entry_ts") + F.col("nominal_progress_fraction") * dwell + gauss * jitter_ms
-    real = F.least(F.greatest(real, F.col("entry_ts").cast("double")), F.col("exit_ts").cast("double"))
-    ghost = F.col("entry_ts") + uniform("fp_at") * dwell
-    reads = F.array_compact(F.array(
-        F.when(uniform("read") < F.col("read_reliability"), F.struct(F.round(real).cast("long").alias("timestamp_ms"), F.lit(False).alias("is_false"))),
-        F.when(uniform("fp") < F.col("false_positive_rate"), F.struct(F.round(ghost).cast("long").alias("timestamp_ms"), F.lit(True).alias("is_false")))))
-    return j.withColumn("r", F.explode(reads)).select("run_id", "unit_id", "station_id", "checkpoint_id", "checkpoint_type", "entry_ts", "exit_ts",
-                                                      F.col("r.timestamp_ms").alias("timestamp_ms"), F.col("r.is_false").alias("is_false"))
-
-
 def confirmed_exits(intervals: DataFrame) -> DataFrame:
     return intervals.select("run_id", "unit_id", "station_id", F.col("processing_start").alias("entry_ts"), F.col("processing_end").alias("exit_ts"),
                             ((F.col("processing_end") - F.col("processing_start")) / 1000.0).alias("dwell_s"), F.lit(True).alias("observed"))

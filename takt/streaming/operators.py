@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from takt.contracts import PREDICTIONS, TABLES
-from takt.functions import scalar as sc
 from takt.streaming import folds
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -153,20 +152,3 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
     q = w.format(fmt).option("path", path).start()
     q.awaitTermination()
     return q
-
-
-def isolated_queries(spark: SparkSession, starters: dict[str, Callable]) -> DataFrame:
-    """Start every subsystem, wait for all, report each outcome: one failing does not stop the others."""
-    running, rows = {}, []
-    for name, start in starters.items():
-        try:
-            running[name] = start()
-        except Exception as e:  # a subsystem that cannot start is a failed subsystem
-            rows.append((name, "FAILED_ISOLATED", str(e)))
-    for name, q in running.items():
-        try:
-            q.awaitTermination()
-            rows.append((name, "PASS", None))
-        except Exception as e:
-            rows.append((name, "FAILED_ISOLATED", str(e)))
-    return spark.createDataFrame(rows, "subsystem string, status string, error string")
