@@ -345,12 +345,12 @@ def oracle_compare(spark, d):
 
 
 def _reads(spark, d):
-    return b.manual_checks(spark, d).filter("event_sequence % 2 = 0").withColumn("checkpoint_id", F.concat(F.lit("CP_"), F.col("station_id"))).withColumn(
+    return b.manual_checks(spark, d).withColumn("checkpoint_id", F.concat(F.lit("CP_"), F.col("station_id"))).withColumn(
         "unit_id", F.when(F.col("event_sequence") % 3 != 0, F.col("unit_id")))
 
 
 @query("checkpoint_window_check", with_ctes("ev ma se", """
-SELECT m.run_id, m.event_sequence FROM ma m WHERE event_sequence % 2 = 0 AND event_sequence % 3 <> 0 AND (
+SELECT m.run_id, m.event_sequence FROM ma m WHERE event_sequence % 3 <> 0 AND (
   EXISTS (SELECT 1 FROM intervals i WHERE i.run_id = m.run_id AND i.unit_id = m.unit_id AND i.station_id = m.station_id AND m.timestamp_ms BETWEEN processing_start AND processing_end)
   OR NOT EXISTS (SELECT 1 FROM intervals i WHERE i.run_id = m.run_id AND i.unit_id = m.unit_id AND i.station_id = m.station_id))""", **ASSIGN))
 def checkpoint_window_check(spark, d):
@@ -359,7 +359,7 @@ def checkpoint_window_check(spark, d):
 
 
 @query("checkpoint_progress", with_ctes("ma", """
-SELECT run_id, event_sequence, (station_index + 1) / 20.0::DOUBLE AS nominal_progress_fraction FROM ma WHERE event_sequence % 2 = 0 AND station_index <> 11 AND (event_sequence % 3 <> 0 OR station_index % 2 = 1)"""))
+SELECT run_id, event_sequence, (station_index + 1) / 20.0::DOUBLE AS nominal_progress_fraction FROM ma WHERE station_index <> 11 AND (event_sequence % 3 <> 0 OR station_index % 2 = 1)"""))
 def checkpoint_progress(spark, d):
     return jn.checkpoint_progress(_reads(spark, d), checkpoint_defs(spark, d)).select("run_id", "event_sequence", "nominal_progress_fraction")
 
