@@ -6,7 +6,7 @@ are within two flips of the variant, so within four of each other: a bucket is o
 in a chain loses nothing and lists no pairs.
 
 Variants are shuffled by their leading bits: a fingerprint goes once to each block of variants that it has any in,
-and its variants are made where they meet. There are 256 blocks at least, more with more fingerprints. Blocks with too many fingerprints are
+and its variants are made where they meet, part by part. There are 64 blocks at least, more with more fingerprints. Blocks with too many fingerprints are
 cut by further bits until they hold few or no bits are left.
 """
 from __future__ import annotations
@@ -26,8 +26,8 @@ from takt.llm.common import free_name, settled
 from takt.llm.components import components, local_roots
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
-BLOCK_VARIANTS = 3_000_000
-FIRST_BITS, STEP_BITS = 8, 4
+BLOCK_PRINTS, AT_ONCE = 150_000, 500_000
+FIRST_BITS, STEP_BITS = 6, 4
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -86,6 +86,8 @@ def deal(rows: DataFrame, used: int, step: int) -> DataFrame:
 
 def meet(prints: np.ndarray, left: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Chain edges (i, j) between fingerprints of one block that share a variant of its ``bits`` lowest bits."""
+    if not len(prints):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     low = prints & np.uint64((1 << bits) - 1) if bits < 64 else prints
     made, owner = [], []
     for flips in range(RADIUS // 2 + 1):
@@ -99,32 +101,46 @@ def meet(prints: np.ndarray, left: np.ndarray, bits: int) -> tuple[np.ndarray, n
     variant, who = variant[order], who[order]
     same = np.flatnonzero(variant[1:] == variant[:-1])
     a, b = who[same].astype(np.int64), who[same + 1].astype(np.int64)
-    pair = np.unique(np.minimum(a, b) * len(prints) + np.maximum(a, b))
+    near = np.bitwise_count(prints[a] ^ prints[b]) <= RADIUS  # verified: a bucket's members always are
+    pair = np.unique((np.minimum(a, b) * len(prints) + np.maximum(a, b))[near])
     return pair // len(prints), pair % len(prints)
 
 
-def links(prints: DataFrame, block_variants: int = BLOCK_VARIANTS) -> DataFrame:
+def chains(prints: np.ndarray, left: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """``meet`` for any number of prints: many are cut by two more bits at a time, so few variants exist at once."""
+    if bits <= 8 or sum(len(masks(bits, f)) * int((left == f).sum()) for f in range(RADIUS // 2 + 1)) <= AT_ONCE:
+        return meet(prints, left, bits)
+    own = (prints >> np.uint64(bits - 2)) & np.uint64(3)
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for part in range(4):
+        rest = left - np.bitwise_count(own ^ np.uint64(part)).astype(np.int64)
+        here = np.flatnonzero(rest >= 0)
+        i, j = chains(prints[here], rest[here], bits - 2)
+        a, b = np.concatenate([a, here[i]]), np.concatenate([b, here[j]])
+        if len(a) > AT_ONCE:  # edges within a class say no more than its root does
+            root = local_roots(len(prints), a, b)
+            a = np.flatnonzero(root != np.arange(len(prints)))
+            b = root[a]
+    return a, b
+
+
+def links(prints: DataFrame, block_prints: int = BLOCK_PRINTS) -> DataFrame:
     """(a, b) edges between different fingerprints that connect all that are within RADIUS bits of each other.
 
-    prints holds each fingerprint once, in a column of that name. A block is cut by further bits while it would
-    make more than ``block_variants`` variants, so no task holds more, however close many fingerprints are.
+    prints holds each fingerprint once, in a column of that name. A block that more than twice ``block_prints``
+    are dealt to is cut by further bits, however close its fingerprints are.
     """
     rows = prints.select(F.lit(0).cast("long").alias("block"), "print")
-    every, used, edges = prints.count() * len(masks(BITS, RADIUS // 2)), 0, []
-    step = FIRST_BITS
-    while every >> step > block_variants * 2 // 3 and step < 28:
+    n, used, edges, step = prints.count(), 0, [], FIRST_BITS
+    while n * len(masks(step, RADIUS // 2)) >> step > block_prints and step < 28:
         step += 1
     while True:
         rows = deal(rows, used, step)
         used, step = used + step, STEP_BITS
-        below = BITS - used
-        if below <= 2 * STEP_BITS:
+        if used + 2 * STEP_BITS >= BITS:
             edges.append(edges_of(rows, used))
             break
-        made = F.lit(0)
-        for flips in range(RADIUS // 2 + 1):
-            made = F.when(flips_left(used) == flips, len(masks(below, flips))).otherwise(made)
-        crowded = settled(rows.groupBy("block").agg(F.sum(made).alias("made")).where(F.col("made") > block_variants).select("block"))
+        crowded = settled(rows.groupBy("block").count().where(F.col("count") > 2 * block_prints).select("block"))
         if crowded.isEmpty():
             edges.append(edges_of(rows, used))
             break
@@ -138,10 +154,7 @@ def edges_of(rows: DataFrame, used: int) -> DataFrame:
         prints = part["print"].to_numpy().view(np.uint64)
         block = np.uint64(part["block"].iat[0])
         left = RADIUS // 2 - np.bitwise_count((prints >> np.uint64(BITS - used)) ^ block).astype(np.int64)
-        a, b = meet(prints, left, BITS - used)
-        # checked again on the whole fingerprints: a chain link joins prints at most RADIUS apart
-        near = np.bitwise_count(prints[a] ^ prints[b]) <= RADIUS
-        a, b = a[near], b[near]
+        a, b = chains(prints, left, BITS - used)
         root = local_roots(len(prints), a, b)
         hung = np.flatnonzero(root != np.arange(len(prints)))
         signed = part["print"].to_numpy()

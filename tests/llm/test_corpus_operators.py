@@ -177,7 +177,7 @@ def test_simhash_classes(spark, corpus):
     assert simhash.classes(df.limit(0)).collect() == [] and simhash.keep_first(df.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("limit", [simhash.BLOCK_VARIANTS, 60_000])
+@pytest.mark.parametrize("limit", [simhash.BLOCK_PRINTS, 40])
 def test_ball_hashing_connects_as_comparing_all_pairs(spark, limit):
     draw = random.Random(3)
     prints = {draw.getrandbits(64) for _ in range(60)} | {0, 2**64 - 1}
@@ -194,6 +194,16 @@ def test_ball_hashing_connects_as_comparing_all_pairs(spark, limit):
     assert all(len(v) == 1 for v in found.values()) and len(set().union(*found.values())) == len(found)
 
 
+def test_variants_made_part_by_part_meet_alike(monkeypatch):
+    draw = random.Random(5)
+    center = draw.getrandbits(64)
+    prints = np.array(sorted({center ^ sum(1 << b for b in draw.sample(range(64), draw.randint(1, 5))) for _ in range(60)}), np.uint64)
+    left = np.array([draw.randint(0, 2) for _ in prints])
+    whole = local_roots(len(prints), *simhash.meet(prints, left, 64))
+    monkeypatch.setattr(simhash, "AT_ONCE", 500)
+    assert np.array_equal(whole, local_roots(len(prints), *simhash.chains(prints, left, 64)))
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(0, 70)] + [(500, i) for i in range(501, 560)] + [(600, 600), (700, 701), (701, 700), (702, 700)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
