@@ -25,11 +25,8 @@ def _dark(spark, d):
 
 
 @query("dwell_history", with_ctes("ev units", """
-SELECT a.run_id, a.unit_id, a.station_id, a.timestamp_ms AS entry_ts, z.timestamp_ms AS exit_ts, u.vehicle_model AS variant,
-  (z.timestamp_ms - a.timestamp_ms) / 1000.0::DOUBLE AS dwell_s
-FROM ev a JOIN ev z ON a.run_id = z.run_id AND a.unit_id = z.unit_id AND a.station_id = z.station_id
-JOIN units u ON u.run_id = a.run_id AND u.unit_id = a.unit_id
-WHERE a.event_type = 'PROCESSING_STARTED' AND z.event_type = 'PROCESSING_COMPLETED' AND z.timestamp_ms > a.timestamp_ms AND a.station_id IN ('S04', 'S05', 'S06')"""))
+SELECT i.run_id, i.unit_id, i.station_id, processing_start AS entry_ts, processing_end AS exit_ts, u.vehicle_model AS variant, (processing_end - processing_start) / 1000.0::DOUBLE AS dwell_s
+FROM intervals i JOIN units u ON u.run_id = i.run_id AND u.unit_id = i.unit_id WHERE i.station_id IN ('S04', 'S05', 'S06')""", **FIFO))
 def dwell_history(spark, d):
     return ca.dwell_history(b.station_events(spark, d), b.units(spark, d), _dark(spark, d))
 
@@ -75,20 +72,6 @@ def _edges(spark, d):
     return e.filter("station_index = 3"), e.filter("station_index = 6")
 
 
-@query("boundary_allocation", with_ctes("ev units", """
-, p AS (SELECT a.run_id, a.unit_id, a.timestamp_ms AS t0, z.timestamp_ms AS t1 FROM ev a JOIN ev z ON a.run_id = z.run_id AND a.unit_id = z.unit_id
-  WHERE a.event_type = 'UNIT_ARRIVED' AND z.event_type = 'UNIT_ARRIVED' AND a.station_index = 3 AND z.station_index = 6 AND z.timestamp_ms > a.timestamp_ms),
-m AS (SELECT 'S0' || (i + 1) AS station_id, 36000 + 1000 * i AS w, sum(36000 + 1000 * i) OVER (ORDER BY i) AS cum, sum(36000 + 1000 * i) OVER () AS tot FROM range(3, 6) AS r(i))
-SELECT p.run_id, 'DZ01' AS zone_id, p.unit_id, m.station_id, u.vehicle_model AS variant,
-  (SELECT count(*) FROM p q WHERE q.run_id = p.run_id AND q.t0 < p.t0) - (SELECT count(*) FROM p q WHERE q.run_id = p.run_id AND q.t1 < p.t0) AS corridor_load,
-  round(t0 + (t1 - t0) * (cum - w) / tot::DOUBLE, 5) AS station_entry_ms, round(CASE WHEN cum = tot THEN t1 ELSE t0 + (t1 - t0) * cum / tot::DOUBLE END, 5) AS station_exit_ms
-FROM p, m JOIN units u ON u.run_id = p.run_id AND u.unit_id = p.unit_id"""))
-def boundary_allocation(spark, d):
-    a, z = _edges(spark, d)
-    m = _dark(spark, d).select("run_id", F.lit("DZ01").alias("zone_id"), "station_id", F.col("station_index").alias("pos"), "base_cycle_time_ms")
-    return rounded(ca.boundary_allocation(a, z, b.units(spark, d), m))
-
-
 def _newton_sql(source: str, steps: int = 6) -> dict[str, str]:
     """CTEs g0 .. g<steps>: the maximum-likelihood gamma shape k of rows with mean and ml (mean logarithm)."""
     digamma = "(ln(k + 6) - 1 / (2 * (k + 6)) - i2 * (1 / 12.0::DOUBLE - i2 * (1 / 120.0::DOUBLE - i2 * (1 / 252.0::DOUBLE - i2 / 240))) - (" + " + ".join(
@@ -107,10 +90,9 @@ SELECT w.station_id, w.variant, CASE WHEN o.k IS NOT NULL THEN o.n ELSE p.n END
   round(coalesce(o.k, p.k), 5) AS shape, round(CASE WHEN o.k IS NOT NULL THEN o.mean / o.k ELSE p.mean / p.k END, 5) AS scale, o.k IS NULL AS fallback
 FROM (SELECT DISTINCT station_id, variant FROM fitted WHERE lv = 0) w LEFT JOIN (SELECT * FROM g6 WHERE lv = 0 AND n >= 30) o ON o.station_id = w.station_id AND o.variant = w.variant
 LEFT JOIN (SELECT * FROM g6 WHERE lv = 1 AND n >= 8) p ON p.station_id = w.station_id WHERE coalesce(o.k, p.k) IS NOT NULL""",
-    dw="""
-  SELECT a.station_id, u.vehicle_model AS variant, (z.timestamp_ms - a.timestamp_ms) / 1000.0::DOUBLE AS x
-  FROM ev a JOIN ev z ON a.run_id = z.run_id AND a.unit_id = z.unit_id AND a.station_id = z.station_id JOIN units u ON u.run_id = a.run_id AND u.unit_id = a.unit_id
-  WHERE a.event_type = 'PROCESSING_STARTED' AND z.event_type = 'PROCESSING_COMPLETED' AND z.timestamp_ms > a.timestamp_ms AND a.station_id IN ('S04', 'S05', 'S06')""",
+    **FIFO, dw="""
+  SELECT i.station_id, u.vehicle_model AS variant, (processing_end - processing_start) / 1000.0::DOUBLE AS x
+  FROM intervals i JOIN units u ON u.run_id = i.run_id AND u.unit_id = i.unit_id WHERE i.station_id IN ('S04', 'S05', 'S06')""",
     lv="SELECT 0 AS lv, * FROM dw UNION ALL SELECT 1, station_id, '', x FROM dw",
     md="SELECT *, count(*) OVER w AS size, median(x) OVER w AS med FROM lv WINDOW w AS (PARTITION BY lv, station_id, variant)",
     mad="SELECT *, 1.4826::DOUBLE * median(abs(x - med)) OVER (PARTITION BY lv, station_id, variant) AS mad FROM md",
@@ -159,6 +141,19 @@ _PASS = {
 }
 
 
+@query("boundary_allocation", with_ctes("ev units", """
+, p AS (SELECT run_id, unit_id, entry_ts AS t0, exit_ts AS t1 FROM ps),
+m AS (SELECT 'S0' || (i + 1) AS station_id, 36000 + 1000 * i AS w, sum(36000 + 1000 * i) OVER (ORDER BY i) AS cum, sum(36000 + 1000 * i) OVER () AS tot FROM range(3, 6) AS r(i))
+SELECT p.run_id, 'DZ01' AS zone_id, p.unit_id, m.station_id, u.vehicle_model AS variant,
+  (SELECT count(*) FROM p q WHERE q.run_id = p.run_id AND q.t0 < p.t0) - (SELECT count(*) FROM p q WHERE q.run_id = p.run_id AND q.t1 < p.t0) AS corridor_load,
+  round(t0 + (t1 - t0) * (cum - w) / tot::DOUBLE, 5) AS station_entry_ms, round(CASE WHEN cum = tot THEN t1 ELSE t0 + (t1 - t0) * cum / tot::DOUBLE END, 5) AS station_exit_ms
+FROM p, m JOIN units u ON u.run_id = p.run_id AND u.unit_id = p.unit_id WHERE t1 IS NOT NULL""", **{k: v for k, v in _PASS.items() if k != "obs"}))
+def boundary_allocation(spark, d):
+    a, z = _edges(spark, d)
+    m = _dark(spark, d).select("run_id", F.lit("DZ01").alias("zone_id"), "station_id", F.col("station_index").alias("pos"), "base_cycle_time_ms")
+    return rounded(ca.boundary_allocation(a, z, b.units(spark, d), m))
+
+
 @query("zone_passages", with_ctes("ev", "SELECT * FROM ps", **_PASS))
 def zone_passages(spark, d):
     return _passages(spark, d)
@@ -369,6 +364,11 @@ def _posterior(spark, d, k=K):
     return p, q, *oc.station_posterior(oc.draw_hypotheses(p, k), q.drop("quality"))
 
 
+def posterior(spark, d, k: int):
+    """Estimates of every active unit and display time from k draws a passage."""
+    return _posterior(spark, d, k)[3]
+
+
 @query("station_posterior", with_ctes("ev stations runs", """
 SELECT query_id, run_id, zone_id, unit_id, entry_ts, t_ms, most_likely_station, round(confidence, 5) AS confidence, round(entropy, 5) AS entropy,
   round(coalesce(entropy / nullif(ln(n), 0), 0), 5) AS entropy_normalized, round(progress_mean, 5) AS progress_mean, round(progress_std, 5) AS progress_std,

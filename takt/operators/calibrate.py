@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from takt.functions import scalar as sc
 from takt.functions.gamma import gamma_shape
 from takt.operators.aggregate import trim_limits, within_limits
-from takt.operators.joins import pair_by_key
+from takt.operators.joins import pair_fifo
 from takt.operators.windows import corridor_load
 from takt.session import cut_lineage
 
@@ -15,9 +15,9 @@ ALL = "__ALL__"
 
 
 def dwell_history(events: DataFrame, units: DataFrame, stations: DataFrame) -> DataFrame:
-    """Started / completed pairs at the given stations with the unit's variant; no variant, no row."""
+    """First-in first-out processing intervals at the given stations with the unit's variant; no variant, no row."""
     here = events.join(stations.select("run_id", "station_id"), ["run_id", "station_id"], "left_semi")
-    p = pair_by_key(here.filter("event_type = 'PROCESSING_STARTED'"), here.filter("event_type = 'PROCESSING_COMPLETED'"))
+    p = pair_fifo(here)[0].select("run_id", "unit_id", "station_id", F.col("processing_start").alias("entry_ts"), F.col("processing_end").alias("exit_ts"))
     v = units.filter("vehicle_model IS NOT NULL").select("run_id", "unit_id", F.col("vehicle_model").alias("variant"))
     return p.join(v, ["run_id", "unit_id"]).withColumn("dwell_s", (F.col("exit_ts") - F.col("entry_ts")) / 1000.0)
 
@@ -62,13 +62,15 @@ def corridor_residence(events: DataFrame, units: DataFrame, corridor: DataFrame)
 def boundary_allocation(entered: DataFrame, exited: DataFrame, units: DataFrame, members: DataFrame) -> DataFrame:
     """Total zone residence split over its stations in proportion to base cycle times.
 
-    ``entered`` / ``exited``: run_id, zone_id, unit_id, timestamp_ms; ``members``: run_id, zone_id,
-    station_id, pos, base_cycle_time_ms. The last station takes the remainder, so parts add up.
+    ``entered`` / ``exited``: run_id, zone_id, unit_id, timestamp_ms, event_sequence; ``members``: run_id, zone_id,
+    station_id, pos, base_cycle_time_ms. Passages pair first in, first out; units still inside count in the load
+    only. The last station takes the remainder, so parts add up.
     """
-    p = (entered.select("run_id", "zone_id", "unit_id", F.col("timestamp_ms").alias("entry_ts"))
-         .join(exited.select("run_id", "zone_id", "unit_id", F.col("timestamp_ms").alias("exit_ts")), ["run_id", "zone_id", "unit_id"])
-         .filter("exit_ts > entry_ts"))
-    p = corridor_load(p, ["run_id", "zone_id"])
+    edge = lambda df, kind: df.select(
+        "run_id", F.col("zone_id").alias("station_id"), "unit_id", "timestamp_ms", "event_sequence", F.lit(kind).alias("event_type"))
+    p = pair_fifo(edge(entered, "IN").unionByName(edge(exited, "OUT")), start="IN", end="OUT", keep_open=True)[0].select(
+        "run_id", F.col("station_id").alias("zone_id"), "unit_id", F.col("processing_start").alias("entry_ts"), F.col("processing_end").alias("exit_ts"))
+    p = corridor_load(p, ["run_id", "zone_id"]).filter("exit_ts IS NOT NULL")
     order = Window.partitionBy("run_id", "zone_id").orderBy("pos")
     w = F.greatest(F.col("base_cycle_time_ms").cast("double"), F.lit(1.0))
     m = (members.withColumn("w", w).withColumn("cum", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)))

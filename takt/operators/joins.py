@@ -169,19 +169,20 @@ def checkpoint_progress(events: DataFrame, defs: DataFrame) -> DataFrame:
 
 
 def nearest_load(requests: DataFrame, models: DataFrame, request_id: str = "request_id") -> DataFrame:
-    """Model with the load closest to the requested one, own variant first, then ``__ALL__``.
+    """Model with the load closest to the requested one, own variant first, then ``__ALL__``; the lower of two.
 
-    Models per (station, variant) are as few as the load levels, so the join fans out by that count.
+    A (station, variant) has as few models as load levels: they stand in one array, each request picks from it,
+    and no request is paired with every level.
     """
-    want = requests.select(request_id, "station_id", "variant", "target_load",
-                           F.explode(F.array(F.struct(F.col("variant").alias("v"), F.lit(0).alias("level")),
-                                             F.struct(F.lit("__ALL__").alias("v"), F.lit(1).alias("level")))).alias("x"))
-    m = models.select("station_id", F.col("variant").alias("v"), "load", "mean", "std", "n")
-    hit = want.select("*", "x.v", "x.level").drop("x").join(m, ["station_id", "v"])
-    best = hit.groupBy(request_id).agg(F.min_by(
-        F.struct("level", "load", "mean", "std", "n"),
-        F.struct("level", F.abs(F.col("load") - F.col("target_load")), "load")).alias("m"))
-    return requests.join(best.select(request_id, "m.*"), request_id, "left")
+    level = F.struct("load", "mean", "std", "n")
+    arrays = models.groupBy("station_id", "variant").agg(F.array_sort(F.collect_list(level)).alias("levels"))
+    own = arrays.select("station_id", "variant", F.col("levels").alias("own"))
+    pooled = arrays.filter("variant = '__ALL__'").select("station_id", F.col("levels").alias("pooled"))
+    j = requests.join(own, ["station_id", "variant"], "left").join(pooled, "station_id", "left")
+    pick = F.aggregate(F.coalesce("own", "pooled"), F.lit(None).cast(arrays.schema["levels"].dataType.elementType), lambda best, m: F.when(
+        best.isNull() | (F.abs(m["load"] - F.col("target_load")) < F.abs(best["load"] - F.col("target_load"))), m).otherwise(best))
+    level = F.when(F.col("own").isNotNull(), 0).when(F.col("pooled").isNotNull(), 1)
+    return j.select(*requests.columns, level.alias("level"), pick.alias("m")).select(*requests.columns, "level", "m.*")
 
 
 def unrecorded_runs(runs: DataFrame, history: DataFrame) -> DataFrame:

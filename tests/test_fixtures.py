@@ -222,13 +222,14 @@ def test_f13_zone_ranges(spark):
 
 
 def test_f14_boundary_split_adds_up(spark):
-    a = spark.createDataFrame([("r", "Z", "U1", 1000)], "run_id string, zone_id string, unit_id string, timestamp_ms long")
-    z = spark.createDataFrame([("r", "Z", "U1", 2001)], a.schema)
+    a = spark.createDataFrame([("r", "Z", "U1", 1000, 1), ("r", "Z", "U9", 900, 0)], "run_id string, zone_id string, unit_id string, timestamp_ms long, event_sequence long")
+    z = spark.createDataFrame([("r", "Z", "U1", 2001, 2)], a.schema)
     m = spark.createDataFrame([("r", "Z", s, i, w) for i, (s, w) in enumerate([("A", 1000), ("B", 2000), ("C", 1000)])],
                               "run_id string, zone_id string, station_id string, pos int, base_cycle_time_ms long")
     u = spark.createDataFrame([("r", "U1", "M")], "run_id string, unit_id string, vehicle_model string")
     rows = sorted(ca.boundary_allocation(a, z, u, m).collect(), key=lambda r: r.station_id)
     parts = [r.station_exit_ms - r.station_entry_ms for r in rows]
+    assert [r.corridor_load for r in rows] == [1, 1, 1]  # U9 never left
     assert sum(parts) == 1001 and parts[1] == pytest.approx(500.5) and rows[-1].station_exit_ms == 2001.0
 
 
@@ -296,7 +297,9 @@ def test_occupancy_is_seeded_and_places_units(spark):
 def test_evidence_shares(spark):
     e = spark.createDataFrame([("r", "Z", 1, 5_000, "A", None, .12), ("r", "Z", 2, 55_000, "B", None, .12)],
                               "run_id string, zone_id string, evidence_id long, ts_ms long, station_id string, progress double, std double")
-    rows = oc.evidence_association(passages(spark), e, 200).collect()
+    p = passages(spark)
+    q = oc.active_queries(p, e.select("run_id", "zone_id", "ts_ms").withColumnRenamed("ts_ms", "t_ms"))
+    rows = oc.evidence_association(oc.station_posterior(oc.draw_hypotheses(p, 200), q)[0], e).collect()
     first = [r for r in rows if r.evidence_id == 1]
     assert [(r.unit_id, r.share) for r in first] == [("U1", 1.0)]
     second = {r.unit_id: r.share for r in rows if r.evidence_id == 2}
@@ -306,6 +309,37 @@ def test_evidence_shares(spark):
     assert oc.attribute_readings(a, reached).first().unit_id == "U2"
 
 
+def test_units_still_inside_count(spark):
+    p = spark.createDataFrame([("r", "Z", "U1", 0, None), ("r", "Z", "U2", 100_000, 150_000), ("r", "Z", "U3", 200_000, 300_000)],
+                              "run_id string, zone_id string, unit_id string, entry_ts long, exit_ts long")
+    assert {r.unit_id: r.load for r in wn.corridor_load(p).collect()} == {"U1": 0, "U2": 1, "U3": 1}
+    ticks = {u: [r.tick_ms for r in oc.interval_ticks(p).collect() if r.unit_id == u] for u in ("U1", "U2", "U3")}
+    assert ticks == {"U1": [60_000, 120_000, 180_000, 240_000, 300_000], "U2": [], "U3": [260_000]}
+
+
+def test_policies_keep_rows_without_a_score(spark):
+    s = spark.createDataFrame([("r", "u", i, x) for i, x in enumerate([.1, .9, None, .2])], "run_id string, unit_id string, seq long, score double")
+    rows = sorted(wn.alert_policies(s).collect(), key=lambda r: r.seq)
+    assert [r.two_consecutive for r in rows] == [None, .1, None, None] and [r.two_of_three for r in rows] == [None, .1, .1, .2]
+    assert [r.ema_03 for r in rows] == pytest.approx([.1, .34, .34, (.49 * .34 + .3 * .2) / .79])
+
+
+@pytest.mark.parametrize("block", [7, 64, 1 << 16])
+def test_exponential_means_over_blocks(spark, block):
+    import random
+    draw = random.Random(2)
+    scores = [draw.choice([None, draw.random() * 1e6]) if i % 3 else draw.random() for i in range(500)]
+    df = spark.createDataFrame([("r", "u", i + 1, x) for i, x in enumerate(scores)], "run_id string, unit_id string, rn long, score double")
+    got = [r.ema_05 for r in sorted(wn.exponential_means(df, ["run_id", "unit_id"], "score", block).collect(), key=lambda r: r.rn)]
+    mean, old, want = None, 1.0, []
+    for x in scores:
+        old *= .5
+        if x is not None:
+            mean, old = (x if mean is None else (old * mean + .5 * x) / (old + .5)), 1.0
+        want.append(mean)
+    assert got == pytest.approx(want, rel=1e-9)
+
+
 def test_gates(spark):
     e = spark.createDataFrame([("RFID", .5, .5, .1, 10., 20.), ("RFID", .99, .5, .1, 10., 20.), ("ANDON", 1.0, .5, .1, 1., 100.)],
                               "checkpoint_type string, progress double, progress_mean double, progress_std double, elapsed_s double, mean_duration_s double")
