@@ -135,17 +135,19 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
     taken = mixed(docs, **settings).groupBy("doc_id", "content", "source").agg(
         F.sum("taken").alias("words"), F.max("size").alias("size"), F.min(F.when(F.col("extra") > 0, F.col("begin"))).alias("begin"),
         F.count(F.lit(1)).alias("rows")).select(F.struct("*").alias("__take"))
-    hashed = docs.withColumn("__content", F.xxhash64("text"))
+    content, held, copy = (free_name(docs, n) for n in ("__content", "__take", "__copy"))
+    hashed = docs.withColumn(content, F.xxhash64("text"))
     if not taken.where("__take.rows > 1").isEmpty():
-        hashed = hashed.dropDuplicates(["doc_id", "__content", "source"])
-    take = F.col("__take")
+        hashed = hashed.dropDuplicates(["doc_id", content, "source"])
+    taken = taken.withColumnRenamed("__take", held)
+    take = F.col(held)
     same = (hashed["doc_id"].cast("long").eqNullSafe(take["doc_id"]) & hashed["source"].eqNullSafe(take["source"])
-            & (hashed["__content"] == take["content"]))
+            & (hashed[content] == take["content"]))
     # copy 0 is the cut one, where there is one
-    copies = F.sequence(F.when(take["words"] % take["size"] > 0, 0).otherwise(1), F.expr("__take.words div __take.size").cast("int"))
-    out = (hashed.join(taken.where("__take.words > 0"), same)
-           .select(*[hashed[c] for c in docs.columns], take, F.explode(copies).alias("__copy")))
-    whole = F.col("__copy") > 0
+    copies = F.sequence(F.when(take["words"] % take["size"] > 0, 0).otherwise(1), F.expr(f"{held}.words div {held}.size").cast("int"))
+    out = (hashed.join(taken.where(take["words"] > 0), same)
+           .select(*[hashed[c] for c in docs.columns], take, F.explode(copies).alias(copy)))
+    whole = F.col(copy) > 0
     size = take["size"]
     name = free_name(docs, "__part")
     parts = out.withColumn(name, F.when(whole, F.col("text")).otherwise(

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from takt.llm import embedding_dedup as embeddings
@@ -136,8 +137,9 @@ def test_mix_meets_targets_within_blocks(spark, corpus):
     assert len({round(target[s] / weights[s], 6) for s in free}) <= 1
     assert all(abs(taken[s] - target[s]) <= mixing.BLOCK_WORDS + 1 for s in names)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mixed(df.repartition(5)).collect()))
+    df = df.withColumn("__content", F.lit("kept")).withColumn("__take", F.lit(5)).withColumn("__copy", F.lit(6))
     made = mixing.mix(df)
-    assert made.columns == df.columns
+    assert made.columns == df.columns and made.select("__content", "__take", "__copy").distinct().collect() == [("kept", 5, 6)]
     words = Counter()
     for r in made.collect():
         words[r.source] += size(r.text)
