@@ -38,62 +38,63 @@ QUALITY_META = ["run_id", "unit_id", "prediction_station", "prediction_time",
                 "prediction_event_sequence", "label_completeness_status", "final_station_index"]
 
 
-def _struct(spec: str) -> T.StructType:
-    kinds = {"s": T.StringType(), "l": T.LongType(), "d": T.DoubleType(), "i": T.IntegerType(),
-             "b": T.BooleanType()}
-    return T.StructType([T.StructField(name, kinds[kind])
-                         for name, kind in (part.split(":") for part in spec.split())])
+def _struct(ddl: str) -> T.StructType:
+    """Plain column list of Spark DDL to a schema, without a running session."""
+    out = T.StructType()
+    for part in ddl.split(","):
+        out = out.add(*part.split())
+    return out
 
 
-# Raw tables as they lie in a run folder (run_id comes from the folder name).
+# Column names and types of the run folder's tables (run_id comes from the folder name).
 TABLES = {
-    "stations": _struct("station_id:s name:s archetype:s base_cycle_time_ms:l cycle_time_std_ms:l "
-                        "buffer_capacity:i sensor_coverage:s"),
-    "units": _struct("unit_id:s created_at_ms:l vehicle_model:s supplier_batch:s"),
-    "station_events": _struct("event_id:s timestamp_ms:l event_type:s station_id:s unit_id:s "
-                              "queue_length_after:d previous_state:s new_state:s cycle_time_ms:d "
-                              "dark_zone_id:s"),
-    "sensor_readings": _struct("timestamp_ms:l station_id:s sensor_type:s value:d unit:s"),
-    "manual_checks": _struct("timestamp_ms:l station_id:s unit_id:s check_type:s result:s"),
-    "inspection_results": _struct("timestamp_ms:l station_id:s unit_id:s defect_type:s severity:i "
-                                  "result:s"),
-    "checkpoint_events": _struct("event_id:s timestamp_ms:l event_type:s station_id:s unit_id:s "
-                                 "checkpoint_id:s"),
-    "station_checkpoints": _struct("station_id:s checkpoint_id:s checkpoint_type:s "
-                                   "nominal_progress_fraction:d read_reliability:d "
-                                   "false_positive_rate:d identifies_unit:b"),
-    "dark_zones": _struct("dark_zone_id:s name:s start_station_id:s end_station_id:s "
-                          "sensor_telemetry:b manual_checks:b checkpoints:b"),
-    "runtime_bus": _struct("sequence:l timestamp_ms:l record_type:s event_id:s event_type:s "
-                           "station_id:s unit_id:s queue_length_after:d previous_state:s new_state:s "
-                           "cycle_time_ms:d dark_zone_id:s checkpoint_id:s sensor_type:s "
-                           "sensor_value:d sensor_unit:s check_type:s check_result:s"),
-    "run_metadata": _struct("run_id:s random_seed:l simulation_duration_ms:l station_count:i "
-                            "units_created:i schema_version:s"),
-    "runtime_health": _struct("run_id:s status:s bottleneck_status:s defect_status:s"),
-    "prediction_manifest": _struct("run_id:s predictions_dir:s run_dir:s generated_at:s"),
+    "stations": _struct("station_id string, name string, archetype string, base_cycle_time_ms long, cycle_time_std_ms long, "
+        "buffer_capacity integer, sensor_coverage string"),
+    "units": _struct("unit_id string, created_at_ms long, vehicle_model string, supplier_batch string"),
+    "station_events": _struct("event_id string, timestamp_ms long, event_type string, station_id string, unit_id string, "
+        "queue_length_after double, previous_state string, new_state string, cycle_time_ms double, "
+        "dark_zone_id string"),
+    "sensor_readings": _struct("timestamp_ms long, station_id string, sensor_type string, value double, unit string"),
+    "manual_checks": _struct("timestamp_ms long, station_id string, unit_id string, check_type string, result string"),
+    "inspection_results": _struct("timestamp_ms long, station_id string, unit_id string, defect_type string, severity integer, "
+        "result string"),
+    "checkpoint_events": _struct("event_id string, timestamp_ms long, event_type string, station_id string, unit_id string, "
+        "checkpoint_id string"),
+    "station_checkpoints": _struct("station_id string, checkpoint_id string, checkpoint_type string, nominal_progress_fraction double, "
+        "read_reliability double, false_positive_rate double, identifies_unit boolean"),
+    "dark_zones": _struct("dark_zone_id string, name string, start_station_id string, end_station_id string, "
+        "sensor_telemetry boolean, manual_checks boolean, checkpoints boolean"),
+    "runtime_bus": _struct("sequence long, timestamp_ms long, record_type string, event_id string, event_type string, "
+        "station_id string, unit_id string, queue_length_after double, previous_state string, "
+        "new_state string, cycle_time_ms double, dark_zone_id string, checkpoint_id string, "
+        "sensor_type string, sensor_value double, sensor_unit string, check_type string, check_result string"),
+    "run_metadata": _struct("run_id string, random_seed long, simulation_duration_ms long, station_count integer, "
+        "units_created integer, schema_version string"),
+    "runtime_health": _struct("run_id string, status string, bottleneck_status string, defect_status string"),
+    "prediction_manifest": _struct("run_id string, predictions_dir string, run_dir string, generated_at string"),
 }
 
-_DRIVER = T.ArrayType(_struct("feature:s value:s shap_log_odds:d direction:s"))
-_DEFECT_DRIVER = T.ArrayType(_struct("feature:s label:s feature_value:s shap_value_raw:d "
-                                     "absolute_shap_value:d effect:s"))
+# Columns of the two prediction streams.
+_DRIVER = T.ArrayType(_struct("feature string, value string, shap_log_odds double, direction string"))
+_DEFECT_DRIVER = T.ArrayType(_struct("feature string, label string, feature_value string, shap_value_raw double, "
+        "absolute_shap_value double, effect string"))
 PREDICTIONS = {
     "bottleneck": T.StructType(
-        _struct("schema_version:s run_id:s timestamp_ms:l station_id:s vehicle_id:s zone:s route:s "
-                "prediction_trigger:s bottleneck_probability:d bottleneck_risk_percent:d warning:b "
-                "decision_threshold:d decision_threshold_percent:d state_confidence:d event_id:s "
-                "event_sequence:l").fields
+        _struct("schema_version string, run_id string, timestamp_ms long, station_id string, vehicle_id string, "
+        "zone string, route string, prediction_trigger string, bottleneck_probability double, "
+        "bottleneck_risk_percent double, warning boolean, decision_threshold double, "
+        "decision_threshold_percent double, state_confidence double, event_id string, event_sequence long").fields
         + [T.StructField("explanation", T.StructType(
             [T.StructField("top_drivers", _DRIVER)]
-            + _struct("base_margin:d explained_probability:d probability_additivity_error:d "
-                      "best_iteration_explained:i").fields))]),
+            + _struct("base_margin double, explained_probability double, probability_additivity_error double, "
+        "best_iteration_explained integer").fields))]),
     "defect": T.StructType(
-        _struct("run_id:s unit_id:s station_id:s timestamp_ms:l station_index:i "
-                "final_inspection_station:s defect_probability:d defect_risk_percent:d "
-                "raw_defect_probability:d warning:b threshold_crossed:b alert_policy:s "
-                "alert_policy_score:d decision_threshold:d route:s prediction_trigger:s "
-                "state_confidence:d data_source:s estimated_transition_time_ms:l "
-                "transition_confirmation_lag_ms:l").fields
+        _struct("run_id string, unit_id string, station_id string, timestamp_ms long, station_index integer, "
+        "final_inspection_station string, defect_probability double, defect_risk_percent double, "
+        "raw_defect_probability double, warning boolean, threshold_crossed boolean, alert_policy string, "
+        "alert_policy_score double, decision_threshold double, route string, prediction_trigger string, "
+        "state_confidence double, data_source string, estimated_transition_time_ms long, "
+        "transition_confirmation_lag_ms long").fields
         + [T.StructField("top_risk_drivers", _DEFECT_DRIVER),
            T.StructField("top_protective_drivers", _DEFECT_DRIVER)]),
 }

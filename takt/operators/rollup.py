@@ -83,6 +83,12 @@ NOTE_NO_BOTTLENECK = "No bottleneck prediction stream for this run; station risk
 NOTE_NO_DEFECT = "No defect prediction stream for this run; unit quality risk is unavailable."
 NOTE_LOW = "{n} current prediction(s) below 75% state confidence (reconstructed / DARK state) — weight these lower."
 NOTE_DARK = "{n} active alert(s) rely on DARK-zone / inferred state."
+MAINTENANCE_TEXT = "Maintenance cost concentrates at %s: %s modeled alarm(s), ~{currency}%s."
+QUALITY_TEXT = "Quality loss concentrates at %s: %s unit(s) flagged over %s event(s), ~{currency}%s."
+AVOIDABLE_TEXT = "Modeled avoidable loss is ~{currency}%s%s across %s production day(s)."
+SHARE_TEXT = " (%.1f%% of modeled revenue)"
+NO_SHARE_TEXT = "; set a revenue-per-unit assumption to see it in context"
+QUIET_TEXT = "No maintenance or defect alerts in the selected scope — the model shows no avoidable-loss concentration."
 NOTE_QUIET = "No active alerts and runtime health is PASS — no intervention required."
 
 
@@ -338,27 +344,20 @@ def scenario_savings(overview: DataFrame, reductions=(0.10, 0.20, 0.30)) -> Data
 
 def headline_messages(stations: DataFrame, losses: DataFrame, overview: DataFrame, a: Assumptions) -> DataFrame:
     """Up to three sentences from the top rows, or the all-quiet line; one row each, in order."""
-    c = a.currency
     top_s = stations.filter("estimated_maintenance_cost > 0").agg(F.max_by(F.struct(
         "station", "maintenance_alarm_count", "estimated_maintenance_cost"), F.struct(
             "estimated_maintenance_cost", -F.col("net_modeled_contribution"), "station")).alias("t"))
     top_q = losses.filter("estimated_defect_loss > 0").agg(F.max_by(F.struct(
         "station", "units_affected", "defect_events", "estimated_defect_loss"), F.struct("estimated_defect_loss", "station")).alias("t"))
     money = lambda x: F.format_number(x, 0)
-    m1 = top_s.filter("t IS NOT NULL").select(F.lit(1).alias("position"), F.concat(
-        F.lit("Maintenance cost concentrates at "), F.col("t.station"), F.lit(": "), F.col("t.maintenance_alarm_count").cast("string"),
-        F.lit(f" modeled alarm(s), ~{c}"), money(F.col("t.estimated_maintenance_cost")), F.lit(".")).alias("message"))
-    m2 = top_q.filter("t IS NOT NULL").select(F.lit(2).alias("position"), F.concat(
-        F.lit("Quality loss concentrates at "), F.col("t.station"), F.lit(": "), F.col("t.units_affected").cast("string"),
-        F.lit(" unit(s) flagged over "), F.col("t.defect_events").cast("string"), F.lit(f" event(s), ~{c}"),
-        money(F.col("t.estimated_defect_loss")), F.lit(".")).alias("message"))
-    context = F.when(F.col("revenue") > 0, F.format_string(" (%.1f%% of modeled revenue)", 100.0 * sc.ratio("avoidable_loss", "revenue"))
-                     ).otherwise("; set a revenue-per-unit assumption to see it in context")
-    m3 = overview.filter("avoidable_loss > 0").select(F.lit(3).alias("position"), F.concat(
-        F.lit(f"Modeled avoidable loss is ~{c}"), money(F.col("avoidable_loss")), context, F.lit(" across "),
-        F.col("days").cast("string"), F.lit(" production day(s).")).alias("message"))
-    m4 = overview.filter("coalesce(avoidable_loss, 0) <= 0").select(F.lit(4).alias("position"), F.lit(
-        "No maintenance or defect alerts in the selected scope — the model shows no avoidable-loss concentration.").alias("message"))
+    text = lambda t: t.replace("{currency}", a.currency.replace("%", "%%"))
+    said = lambda rows, n, t, *parts: rows.select(F.lit(n).alias("position"), F.format_string(text(t), *parts).alias("message"))
+    digits = lambda name: F.col(name).cast("string")
+    m1 = said(top_s.filter("t IS NOT NULL"), 1, MAINTENANCE_TEXT, F.col("t.station"), digits("t.maintenance_alarm_count"), money(F.col("t.estimated_maintenance_cost")))
+    m2 = said(top_q.filter("t IS NOT NULL"), 2, QUALITY_TEXT, F.col("t.station"), digits("t.units_affected"), digits("t.defect_events"), money(F.col("t.estimated_defect_loss")))
+    context = F.when(F.col("revenue") > 0, F.format_string(SHARE_TEXT, 100.0 * sc.ratio("avoidable_loss", "revenue"))).otherwise(NO_SHARE_TEXT)
+    m3 = said(overview.filter("avoidable_loss > 0"), 3, AVOIDABLE_TEXT, money(F.col("avoidable_loss")), context, digits("days"))
+    m4 = overview.filter("coalesce(avoidable_loss, 0) <= 0").select(F.lit(4).alias("position"), F.lit(QUIET_TEXT).alias("message"))
     return m1.unionByName(m2).unionByName(m3).unionByName(m4)
 
 

@@ -13,6 +13,7 @@ from takt.functions import scalar as sc
 from takt.operators.slices import numbered
 from takt.session import shared_root
 
+# File names of a complete run folder.
 REQUIRED_FILES = ["station_events.csv", "sensor_readings.csv", "manual_checks.csv", "inspection_results.csv",
                   "stations.csv", "units.csv", "run_metadata.json"]
 
