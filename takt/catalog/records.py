@@ -463,9 +463,39 @@ def signal_coverage(spark, d):
     return rounded(ag.signal_coverage(unit_features(spark, d)), default=6)
 
 
-# Source table and window of each quality feature group.
-PROVENANCE = [(f, "sensor_readings" if f.split("_")[0].upper() in SIGNALS else "manual_checks" if "manual" in f else "station_events" if "queue" in f or "cycle" in f else
-               "units" if f in ("vehicle_model", "supplier_batch") else "stations", "10 minutes" if "recent" in f else "all past") for f in QUALITY_FEATURES]
+# Source table and window of each quality feature.
+PROVENANCE = [
+    ("torque_delta_recent_vs_history", "sensor_readings", "10 minutes"),
+    ("manual_fail_count_cum", "manual_checks", "all past"),
+    ("prediction_station_index", "stations", "all past"),
+    ("torque_mean_history", "sensor_readings", "all past"),
+    ("line_fraction", "stations", "all past"),
+    ("last_manual_fail", "manual_checks", "all past"),
+    ("manual_check_count_cum", "manual_checks", "all past"),
+    ("torque_mean_recent", "sensor_readings", "10 minutes"),
+    ("queue_history_mean", "station_events", "all past"),
+    ("current_mean_recent", "sensor_readings", "10 minutes"),
+    ("current_missing_recent", "sensor_readings", "10 minutes"),
+    ("vibration_delta_recent_vs_history", "sensor_readings", "10 minutes"),
+    ("current_mean_history", "sensor_readings", "all past"),
+    ("torque_max_recent", "sensor_readings", "10 minutes"),
+    ("temperature_mean_history", "sensor_readings", "all past"),
+    ("torque_max_history", "sensor_readings", "all past"),
+    ("supplier_batch", "units", "all past"),
+    ("current_max_history", "sensor_readings", "all past"),
+    ("cycle_history_max", "station_events", "all past"),
+    ("temperature_max_recent", "sensor_readings", "10 minutes"),
+    ("vibration_mean_history", "sensor_readings", "all past"),
+    ("temperature_max_history", "sensor_readings", "all past"),
+    ("stations_since_last_manual_fail", "manual_checks", "all past"),
+    ("vehicle_model", "units", "all past"),
+    ("vibration_max_history", "sensor_readings", "all past"),
+    ("vibration_max_recent", "sensor_readings", "10 minutes"),
+    ("temperature_mean_recent", "sensor_readings", "10 minutes"),
+    ("torque_std_history", "sensor_readings", "all past"),
+    ("queue_history_std", "station_events", "all past"),
+    ("cycle_history_std", "station_events", "all past"),
+]
 
 
 @query("feature_provenance", with_ctes("ev se ma units", " UNION ALL ".join(
