@@ -135,7 +135,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end
         shard = TaskContext.get().partitionId()
         path, encode, writer = f"{folder}/shard-{shard:08d}", encoder(vocabulary), None
         for b in batches:
-            ids, texts, step = b.column(0).to_pylist(), b.column(1), 256
+            ids, texts, step = b.column(0).to_pylist(), b.column(1), 2048
             for at in range(0, len(ids), step):
                 writer = writer or ShardWriter(path, width(encode.size), length, batch)
                 made = [np.append(x, np.uint32(end)).astype("<u4") for x in encode.encode(texts.slice(at, step).to_pylist())]

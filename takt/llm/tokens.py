@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 LETTERS = "[A-Za-zÀ-ÖØ-öø-įı-ɏ]"  # Latin letters that normal forms leave alone
 KEPT_UNITS = 600_000
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 4_000_000
 
 
 class TextEncoder:
