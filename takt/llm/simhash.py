@@ -18,14 +18,15 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from takt.llm import near_copies
 from takt.llm.common import free_name, settled
 from takt.llm.components import components, local_roots
+from takt.llm.near_copies import shingle_hashes
 
-BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
+BITS, RADIUS, SHINGLE = 64, 4, 4
 BLOCK_PRINTS, AT_ONCE = 150_000, 500_000
 FIRST_BITS, STEP_BITS = 6, 4
 
@@ -35,15 +36,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
     A-Z are lower-cased; fewer words than a shingle are one shingle; no words give 0.
     """
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    k = min(shingle, len(words))
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    made = [digest(line[a:b], SEED) for a, b in zip(starts[:len(words) - k + 1].tolist(), ends[k - 1:].tolist())]
+    made = shingle_hashes(text, shingle)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(made), 1 << 16):  # bounded memory for very long texts
         part = np.array(made[at:at + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
@@ -186,18 +179,19 @@ def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = near_copies.SHINGLE, similarity: float = near_copies.SIMILARITY) -> DataFrame:
     """docs with one row of each component: the one with its smallest doc_id (rows without one come last).
 
-    All columns stay. Of rows with equal doc_id and component the one with the smallest text hash stays, of rows
+    Links are pairs of texts whose sets of ``shingle``-word shingles have at least that Jaccard similarity. All
+    columns stay. Of rows with equal doc_id and component the one with the smallest text hash stays, of rows
     equal in both any one. Empty and NULL texts are one component.
     """
-    marked = settled(fingerprints(docs, shingle))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content"))
-    kept = (marked.join(_named(marked), "print").groupBy("component").agg(first.alias("first"))
-            .select(F.col("first.doc_id").alias("keep_doc"), F.col("first.content").alias("keep_content")))
-    same = docs["doc_id"].cast("long").eqNullSafe(kept["keep_doc"]) & (F.xxhash64(docs["text"]) == kept["keep_content"])
-    out = docs.join(kept, same, "left_semi")
+    marked = near_copies.marked(docs, shingle)
+    firsts = settled(near_copies.first_rows(marked))
+    found = near_copies.near_components(docs, marked, firsts, shingle, similarity)
+    kept = (firsts.join(found, firsts["shape"] == found["node"], "left").groupBy(F.coalesce("component", "shape").alias("class"))
+            .agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("at_doc"), F.col("first.content").alias("at_content")))
+    out = docs.join(kept, near_copies.same_row(docs, kept), "left_semi")
     repeated = marked.groupBy("doc_id", "content").count().where("count > 1")
     if repeated.isEmpty():
         return out

@@ -275,3 +275,38 @@ def test_pipeline_stage_by_stage(spark, corpus, tmp_path):
     assert [n for n, _ in seen] == ["quality_rules", "simhash_dedup", "secret_scan", "mixing", "packing"]
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, df.select(*base).limit(0), str(tmp_path)).collect() == []
+
+
+def plain_shingles(text):
+    words = "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()
+    return {b" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_stage_keeps_one_of_texts_at_four_fifths(spark):
+    """Near copies at 0.8 to 0.95, chains, near misses, and a hub whose copies are alike only through it."""
+    draw = random.Random(12)
+    rows = []
+    for _ in range(40):
+        words = prose(draw, draw.randint(40, 200)).split()
+        rows.append(" ".join(words))
+        for _ in range(4):
+            for at in draw.sample(range(len(words)), max(1, len(words) // draw.choice([40, 60, 80]))):
+                words[at] = words[at] + "x"
+            rows.append(" ".join(words))
+    words = prose(draw, 200).split()
+    rows.append(" ".join(words))
+    for _ in range(60):
+        mine = list(words)
+        for at in draw.sample(range(200), 3):
+            mine[at] += "q"
+        rows.append(" ".join(mine))
+    rows += [None, "", " ", "one two", "ONE  two"]
+    sets = [plain_shingles(t) for t in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i)
+            if (not sets[i] and not sets[j]) or len(sets[i] & sets[j]) / (len(sets[i] | sets[j]) or 1) >= 0.8]
+    far = [p for p in near if (simhash.fingerprint(rows[p[0]]) ^ simhash.fingerprint(rows[p[1]])).bit_count() > 4]
+    assert len(far) > 50
+    root = local_roots(len(rows), *np.array(near).T)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.stage_near_duplicates(spark, df, "").collect()}
+    assert kept == set(root.tolist())
