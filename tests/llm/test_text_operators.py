@@ -59,6 +59,21 @@ def test_compression_bands_reject_repetition_and_noise_and_keep_prose():
     assert measure(half)[9] > 0.5
 
 
+@pytest.mark.parametrize("size", [170, 190, 250, 380, 500, 760, 1000, 2000, 4000, 16000, 60_000])
+def test_encoded_noise_of_every_length_is_rejected(size):
+    draw = random.Random(size)
+    for _ in range(20):
+        words = " ".join(base64.b64encode(draw.randbytes(9)).decode() for _ in range(size // 13 + 1))[:size]
+        code = base64.b64encode(draw.randbytes(size)).decode()
+        lines = "\n".join(code[i:i + 76] for i in range(0, size, 77))[:size]
+        assert not rules.measurer()(words)[5] and not rules.measurer()(words)[6] and not rules.measurer()(lines)[6]
+
+
+def test_short_repetition_is_rejected():
+    text = "a" * 100 + " b c d e f g h i j"
+    assert not rules.measurer()(text)[5] and not rules.measurer()(text)[6]
+
+
 def test_rules_keep_all_columns_and_repeated_rows(spark):
     good = " ".join(f"w{i}" for i in range(40))
     df = spark.createDataFrame([(1, good, "x", 5), (1, good, "x", 5), (2, None, None, 0), (3, "", "y", 1)], "doc_id long, text string, ratio string, __kept int")
