@@ -30,7 +30,7 @@ BANDS = (Band(160, 0.30, 1.25), Band(192, 0.25, 0.95), Band(256, 0.22, 0.88), Ba
          Band(1024, 0.15, 0.72), Band(2048, 0.13, 0.68), Band(4096, 0.13, 0.63), Band(16384, 0.11, 0.55), Band(float("inf"), 0.09, 0.50))
 CHUNK = 4096
 CHUNK_BAND = Band(CHUNK, 0.13, 0.60)
-BAD_SHARE = 0.5
+BAD_SHARE = 0.25
 
 FIELDS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
           "kept boolean, n_bytes long, ratio double, bad_chunks double")
@@ -95,8 +95,8 @@ def measurer(bands=BANDS, chunk: int = CHUNK, chunk_band: Band = CHUNK_BAND, bad
         ratio, share, good = None, 0.0, True
         if data:
             ratio, bad = outside(data, next(b for b in bands if len(data) <= b.up_to))
-            cuts = range(0, len(data) - chunk + 1, chunk)  # full chunks; a shorter text is its own chunk
-            if len(cuts) > 1:
+            if len(data) > chunk:  # a shorter text is its own chunk
+                cuts = [*range(0, len(data) - chunk, chunk), len(data) - chunk]  # the last one reaches back to be full
                 share = sum(outside(data[i:i + chunk], chunk_band)[1] for i in cuts) / len(cuts)
             good = not bad and share <= bad_share
         return n, chars, symbols, len(lines) - len(set(lines)), repeats, failed, good and not failed, len(data), ratio, share
@@ -110,7 +110,7 @@ def measured(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
     n_words, word_chars (code points in words), n_symbols, n_dup_lines (lines with a word that equal an earlier
     line), n_repeat_words (words in five-word windows found twice or more), base_failed (under ten words, or
     over a fifth of the words repeated), kept: not base_failed and zstandard's ratio of the whole text lies in
-    the band of its length and no more than ``bad_share`` of its full chunks leave the chunk band.
+    the band of its length and no more than ``bad_share`` of its chunks leave the chunk band (all of a text's bytes are in some chunk).
     NULL and empty texts: all counts 0, ratio NULL, base_failed, not kept. Every row is judged by itself, so
     ties, repeated rows and an empty table need no rule. Input columns that have one of these names give way
     to the measured ones.

@@ -69,6 +69,20 @@ def test_encoded_noise_of_every_length_is_rejected(size):
         assert not rules.measurer()(words)[5] and not rules.measurer()(words)[6] and not rules.measurer()(lines)[6]
 
 
+def test_every_chunk_is_judged_to_the_last_byte():
+    draw = random.Random(6)
+    prose = " ".join("".join(draw.choices(["ta", "ri", "mo", "ken", "su", "la", "ver", "di", "no", "pa", "ster", "ul", "ge", "ba"], k=draw.randint(1, 4))) for _ in range(9000))
+    noise = "".join(chr(draw.randint(33, 126)) if i % 9 else " " for i in range(20_000))
+    measure = rules.measurer()
+    for good, bad in ((4096, 4096), (8192, 8192), (4096, 3000), (3000, 4000)):
+        got = measure(prose[:good] + noise[:bad])
+        assert not got[5] and got[9] > 0 and not got[6], (good, bad)
+    assert measure(prose[:12_288] + noise[:4095])[9] == 0.25  # the tail is seen; a quarter is still borne
+    wide = rules.measurer(bands=(rules.Band(float("inf"), 0.0, 9.0),))  # chunks alone
+    assert [wide(prose[:good] + noise[:bad])[6] for good, bad in ((4096, 4096), (8192, 8192), (4096, 3000), (20_480, 0), (5000, 0))] == [False, False, False, True, True]
+    assert measure(prose[:4096])[9] == measure(prose[:5000])[9] == measure(prose[:40_000])[9] == 0
+
+
 def test_short_repetition_is_rejected():
     text = "a" * 100 + " b c d e f g h i j"
     assert not rules.measurer()(text)[5] and not rules.measurer()(text)[6]
