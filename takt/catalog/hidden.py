@@ -17,7 +17,7 @@ from takt.session import cut_lineage
 
 QUERIES, ORACLE, query = registry()
 DARK = ["S04", "S05", "S06"]
-K = 50  # draws a passage in the registered queries; the library default is 200
+K = 200  # draws a passage in the registered queries, as the library's default
 
 
 def _dark(spark, d):

@@ -18,7 +18,7 @@ NUMERIC = [c for c in FLOW_FEATURES if c not in CATEGORICAL]
 def _train(spark, d):
     f = flow_rows(spark, d)
     split = ev.split_runs(b.runs(spark, d), 0.2, 0.2, 7)
-    return f, md.train_risk_model(f, split, NUMERIC, CATEGORICAL, "y_bottleneck", iterations=5)
+    return f, md.train_risk_model(f, split, NUMERIC, CATEGORICAL, "y_bottleneck")
 
 
 @query("train_risk_model")
@@ -39,7 +39,7 @@ def score_features(spark, d):
 
 @query("cross_run_cv")
 def cross_run_cv(spark, d):
-    return rounded(md.cross_run_cv(flow_rows(spark, d), 3, NUMERIC, CATEGORICAL, "y_bottleneck", iterations=3)[1])
+    return rounded(md.cross_run_cv(flow_rows(spark, d), 3, NUMERIC, CATEGORICAL, "y_bottleneck")[1])
 
 
 @query("calibrate")

@@ -13,3 +13,12 @@ NAMES = ["unit_threshold", "unit_threshold_grid", "resample_units", "hard_exampl
 def test_no_cross_join(spark, name):
     plan = collect()[0][name](spark, SF)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+def test_registered_queries_use_the_library_defaults():
+    import inspect
+
+    from takt.catalog import hidden, learn
+    from takt.operators.occupancy import draw_hypotheses
+    assert hidden.K >= inspect.signature(draw_hypotheses).parameters["k"].default
+    assert "iterations=" not in inspect.getsource(learn)
