@@ -1,11 +1,15 @@
 """Centroid clustering, WARC archives and collocations against brute force."""
+import base64
 import hashlib
 import math
 import random
+import struct
 
 import numpy as np
+import pytest
+import zstandard
 
-from takt.llm import centroids
+from takt.llm import centroids, warc
 
 VECTORS = "vec_id long, embedding array<double>, label int, cluster int, v string"
 
@@ -83,3 +87,92 @@ def test_loosening_holds_for_every_vector_of_the_sphere_and_is_below_the_drift()
                 assert gain.max() <= got[a, j] + 1e-9 and got[a, j] <= drift * (1 + 1e-6)
                 spared += got[a, j] < 0.9 * drift
     assert spared > 500
+
+
+PAGES = "page_id long, url string, html string, sha string, bucket int, first string"
+
+
+def pages(spark, rows):
+    return spark.createDataFrame([(*r, "x", 3, "y") for r in rows], PAGES)
+
+
+def sha32(text):
+    return base64.b32encode(hashlib.sha1((text or "").encode()).digest()).decode()
+
+
+def page_rows():
+    draw = random.Random(9)
+    text = lambda n: "<p>" + " ".join(draw.choice(["alpha", "beta", "gämma", "δ", "\r\n\r\n"]) for _ in range(n)) + "</p>"
+    hot = text(40)
+    rows = [(i, f"https://h{i}.example/ä b?q={i}", hot if i % 3 == 0 else text(draw.randint(1, 200))) for i in range(20, 300)]
+    rows += [(5, None, hot), (6, "a\r\nWARC-Type: evil", ""), (7, "", None), (8, "u", text(200_000)), (None, "v", hot), (None, "v", "only without id"), (None, None, "only without id")]
+    return rows + [rows[0], rows[1], (5, "again", hot), (9, "w", "pair"), (9, "w", "pair"), (10, "w", "pair")]
+
+
+def test_archives_hold_every_page_once_and_revisit_equal_payloads(spark, tmp_path):
+    rows = page_rows()
+    low = {}
+    for page, _, html in rows:
+        low[html or ""] = min(low.get(html or "", math.inf), math.inf if page is None else page)
+    want = []
+    for page, _, html in rows:
+        first = None if low[html or ""] == math.inf else low[html or ""]
+        want.append((page, len((html or "").encode()), sha32(html), "response" if page == first else "revisit", None if page == first else first))
+    assert sorted(map(tuple, warc.archived(pages(spark, rows), str(tmp_path / "a")).collect()), key=str) == sorted(want, key=str)
+    files = warc.write_archives(pages(spark, rows).repartition(3), str(tmp_path / "b"), least=10**6, file_bytes=20_000)
+    assert files.count() > 3
+    got = warc.read_archives(files).collect()
+    assert sorted(((r["page_id"], bytes(r["payload"]).decode()) for r in got), key=str) == sorted(((p, h or "") for p, _, h in rows), key=str)
+    assert {r["record_type"] for r in got} == {"response"}  # no payload reaches the length that revisits start from
+
+
+def test_no_page_gives_no_file(spark, tmp_path):
+    assert warc.archived(pages(spark, []), str(tmp_path / "none")).collect() == []
+
+
+def archive(path, payloads, dictionary):
+    out = warc.ArchiveWriter(str(path), dictionary)
+    for i, payload in enumerate(payloads):
+        out.add(warc.record(i, "https://x.example/", payload, 0, i > 0 and payload == payloads[0]))
+    out.close()
+    return path.read_bytes()
+
+
+def test_reader_takes_the_dictionary_from_the_file_and_rejects_what_is_broken(tmp_path):
+    draw = random.Random(3)
+    payloads = [("<html>" + " ".join(draw.choice(["one", "two", "three", "four"]) for _ in range(300))).encode() for _ in range(200)]
+    payloads.append(payloads[0])
+    learned = zstandard.train_dictionary(4096, payloads, k=200, d=8).as_bytes()
+    whole = archive(tmp_path / "whole.warc.zst", payloads, learned)
+    plain = archive(tmp_path / "plain.warc.zst", payloads, None)
+    assert struct.unpack("<I", whole[:4])[0] == warc.DICTIONARY_FRAME and plain[:4] == warc.FRAME
+    for name in ("whole", "plain"):
+        read = list(warc.ArchiveReader(str(tmp_path / f"{name}.warc.zst")).records())
+        assert [r["payload"] for _, r in read] == [*payloads[:-1], None]
+        assert read[-1][1]["record_type"] == "revisit" and read[-1][1]["payload_bytes"] == len(payloads[0]) and read[-1][1]["refers_to"] == 0
+        raw = (tmp_path / f"{name}.warc.zst").read_bytes()
+        unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(learned) if name == "whole" else None)
+        at = read[7][0]  # one record alone, by its offset
+        assert warc.parsed(unpack.decompressobj().decompress(raw[at:]))["payload"] == payloads[7]
+    size = struct.unpack("<I", whole[4:8])[0]
+    raw_dictionary = struct.pack("<II", warc.DICTIONARY_FRAME, len(learned)) + learned + whole[8 + size:]
+    (tmp_path / "raw").write_bytes(raw_dictionary)  # an uncompressed dictionary is allowed
+    assert len(list(warc.ArchiveReader(str(tmp_path / "raw")).records())) == 201
+    other = zstandard.train_dictionary(4096, [p[::-1] for p in payloads], k=200, d=8, dict_id=77).as_bytes()
+    for bad in (whole[:-9], whole[:8 + size // 2], struct.pack("<II", warc.DICTIONARY_FRAME, 5) + b"hello" + whole[8 + size:], whole[8 + size:], whole + b"rest",
+                struct.pack("<II", warc.DICTIONARY_FRAME, len(other)) + other + whole[8 + size:], whole[:8 + size + 40] + b"\0\0\0\0" + whole[8 + size + 44:]):
+        (tmp_path / "bad").write_bytes(bad)
+        with pytest.raises(ValueError):
+            list(warc.ArchiveReader(str(tmp_path / "bad")).records())
+
+
+def test_records_with_wrong_headers_or_lengths_are_errors():
+    good = warc.record(3, "https://x.example/", b"abc", 1, False)
+    assert warc.parsed(good)["payload"] == b"abc"
+    for old, new in ((b"WARC/1.1", b"WARC/9.9"), (b"Content-Length: 3", b"Content-Length: 4"), (b"WARC-Date", b"WARC-Day"), (b"abc", b"abd"), (b"response", b"metadata"),
+                     (b"WARC-Type:", b"WARC-Type"), (b"\r\nWARC-Date", b"\r\nWARC-Type: response\r\nWARC-Date"), (b"urn:x-page:3", b"urn:3")):
+        with pytest.raises((ValueError, KeyError)):
+            warc.parsed(good.replace(old, new, 1))
+    for cut in (good[:-1], good + b"x", good[:40]):
+        with pytest.raises(ValueError):
+            warc.parsed(cut)
