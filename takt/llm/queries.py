@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from takt.llm import centroids, embedding_dedup, mixing, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, token_files, url_filter, warc
+from takt.llm import centroids, collocations, embedding_dedup, mixing, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, token_files, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +59,14 @@ def op12_zstandard_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
+def op13_collocation_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_subword_classifier, op2_quality_rules, op3_sum_of_squares_packing, op4_cover_tree_links, op5_stratified_interleaving, op6_url_sweep, op7_simhash_ball,
     op8_secret_scan, op9_sainte_lague_mix, op10_arrow_token_files,
-    op11_geometric_drift_centroids, op12_zstandard_warc)}
+    op11_geometric_drift_centroids, op12_zstandard_warc, op13_collocation_automata)}
 ORACLE: dict[str, str] = {"op4_cover_tree_links": embedding_dedup.ORACLE, "op6_url_sweep": url_filter.ORACLE,
-                          "op11_geometric_drift_centroids": centroids.ORACLE, "op12_zstandard_warc": warc.ORACLE}
+                          "op11_geometric_drift_centroids": centroids.ORACLE, "op12_zstandard_warc": warc.ORACLE,
+                          "op13_collocation_automata": collocations.ORACLE}

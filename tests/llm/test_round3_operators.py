@@ -3,13 +3,15 @@ import base64
 import hashlib
 import math
 import random
+import re
 import struct
+from collections import Counter
 
 import numpy as np
 import pytest
 import zstandard
 
-from takt.llm import centroids, warc
+from takt.llm import centroids, collocations, warc
 
 VECTORS = "vec_id long, embedding array<double>, label int, cluster int, v string"
 
@@ -176,3 +178,87 @@ def test_records_with_wrong_headers_or_lengths_are_errors():
     for cut in (good[:-1], good + b"x", good[:40]):
         with pytest.raises(ValueError):
             warc.parsed(cut)
+
+
+def plain_collocations(rows, least, longest, top):
+    """Everything by lists of words and Python integers."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    counts, n = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate(low)):
+            words = re.findall("[^\x20\x09]+", piece)
+            n[lang] += len(words)
+            counts.update((lang, tuple(words[i:i + k])) for k in range(1, longest + 1) for i in range(len(words) - k + 1))
+    frequent = {p: f for p, f in counts.items() if f >= least and len(p[1]) > 1}
+    inside = {(lang, p[i:i + k]) for (lang, p), f in frequent.items() for k in range(2, len(p)) for i in range(len(p) - k + 1)
+              if 100 * f >= 100 * counts[lang, p[i:i + k]]}
+    out = []
+    for (lang, p), a in frequent.items():
+        if (lang, p) not in inside:
+            score, k = min((1000 * a * n[lang] // (counts[lang, p[:k]] * counts[lang, p[k:]]), k) for k in range(1, len(p)))
+            out.append((lang, -score, -a, " ".join(p).encode(), counts[lang, p[:k]], counts[lang, p[k:]], n[lang], k))
+    out.sort()
+    rank, made = Counter(), []
+    for lang, score, a, phrase, left, right, total, k in out:
+        rank[lang] += 1
+        if rank[lang] <= top:
+            made.append((lang, rank[lang], phrase.decode(), -a, left, right, total, -score, k))
+    return made
+
+
+def phrase_rows():
+    draw = random.Random(12)
+    vocabulary = ["the", "The", "of", "naïve", "Ünder", "x\u0085y", "日本", "z\x1cq", "new", "york", "a", "b"]
+    common = "the united states of america and the people"
+    rows = []
+    for i in range(150):
+        words = [draw.choice(vocabulary) + draw.choice(["", "", "", ",", ".", "\n", "\x0b", "?!"]) for _ in range(draw.randint(0, 60))]
+        rows.append((["en", "en", "de", None, "und", "pt br", ""][i % 7], " ".join(words).replace("a ", "a\t ") + (" " + common if i % 3 == 0 else "")))
+    rows += [("en", "the " * 3000), ("en", "New York, new york. " * 700), ("de", None), ("de", ""), ("de", " .\n"), (None, "only once"), ("en", "of " + "x" * 5000)]
+    return rows + rows[:9]
+
+
+@pytest.mark.parametrize("settings", [{}, {"range_bytes": 300, "chunk": 97}, {"range_bytes": 3000, "chunk": 4}])
+def test_collocations_equal_plain_counts(spark, settings):
+    rows = phrase_rows()
+    df = spark.createDataFrame([(None if i % 9 == 0 else i, t, lang, "s", 1, 2, 3) for i, (lang, t) in enumerate(rows)],
+                               "doc_id long, text string, lang string, phrase string, part int, f int, n int").repartition(3)
+    got = sorted(map(tuple, collocations.collocations(df, least=6, top=40, **settings).collect()))
+    assert got == sorted(plain_collocations(rows, 6, 5, 40))
+
+
+def test_collocations_of_nothing(spark):
+    df = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert collocations.collocations(df).collect() == []
+
+
+def test_text_in_blocks_is_the_whole_text():
+    text = "Aa bb, cc\tdd " * 50 + "y" * 300 + " end"
+    whole = [t for part in collocations.split_words(text, 10**9) for t in part]
+    for size in (1, 7, 64, 1000):
+        assert [t for part in collocations.split_words(text, size) for t in part] == whole
+
+
+def test_scores_pass_64_bits(spark):
+    rows = [(9 * 10**14 + i, 8 * 10**15, 9 * 10**14 + 7 * i, 10**15 + i) for i in range(5)]
+    got = spark.createDataFrame(rows, "a long, n long, l long, r long").select(collocations.score("a", "n", "l", "r").alias("s")).collect()
+    assert [r["s"] for r in got] == [1000 * a * n // (x * y) for a, n, x, y in rows]
+
+
+def test_automata_keep_paths_and_weights():
+    draw = np.random.default_rng(2)
+    words = [b"w%02d" % i for i in range(30)]
+    rows = collocations.paths_of(np.where(draw.random(4000) < 0.1, -1, draw.integers(0, 30, 4000)).astype(np.int32), 4)
+    rows = rows[rows[:, 0] >= 0]
+    paths, weights = collocations.merged(rows, np.ones(len(rows), np.int64), 30)
+    want = Counter(map(tuple, rows.tolist()))
+    assert {tuple(p): w for p, w in zip(paths.tolist(), weights.tolist())} == want and list(map(tuple, paths.tolist())) == sorted(want)
+    half = len(paths) // 2
+    parts = [collocations.dump(words, paths[a:b], weights[a:b]) for a, b in ((0, half), (half, len(paths)), (half // 2, half))]
+    made = collocations.united(parts)
+    twice = want + Counter({tuple(p): w for p, w in zip(paths[half // 2:half].tolist(), weights[half // 2:half].tolist())})
+    back = {tuple(int(made.words[i][1:]) if i >= 0 else -1 for i in p): w for p, w in zip(made.paths.tolist(), made.run(made.paths).tolist())}
+    assert back == twice
+    assert sum(made.levels[0][3]) == sum(twice.values())
+    assert made.run(np.array([[29, 29, 29, 29], [len(made.words), -1, -1, -1]], np.int32)).tolist() == [twice.get((29, 29, 29, 29), 0), 0]
