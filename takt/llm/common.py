@@ -42,6 +42,11 @@ def dropped(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hashed_share(df: DataFrame, n: int, rows: int, *columns: str) -> DataFrame:
+    """About ``rows`` rows, and no more, of the n in df, by a hash of columns: what a fit on a bounded sample may take to the driver."""
+    return df.where(F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) < min(1 << 30, -(-rows * (1 << 30) // max(n, 1)))).limit(rows)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that no column of df has, whatever the case."""
     taken = {c.lower() for c in df.columns}

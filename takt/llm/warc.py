@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from takt.llm.common import settled
+from takt.llm.common import hashed_share, settled
 from takt.llm.token_files import place
 from takt.sources.runs import shared_folder
 
@@ -213,12 +213,12 @@ class ArchiveReader:
 
 
 def trained(pages: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS, size: int = DICTIONARY_BYTES) -> bytes | None:
-    """A dictionary from records of at most ``sample`` pages (the first by hash) and ``chars`` characters of each.
+    """A dictionary from records of at most ``sample`` pages (by hash) and ``chars`` characters of each.
 
     It only changes how well records shrink, never what is in them. Too few bytes to learn from give none; the files then have no
     leading frame.
     """
-    rows = pages.select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, chars).alias("html")).orderBy(F.xxhash64("page_id", "url")).limit(sample).collect()
+    rows = hashed_share(pages, pages.count(), sample, "page_id", "url").select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, chars).alias("html")).collect()
     try:
         return zstandard.train_dictionary(size, [record(r["page_id"], r["url"], r["html"].encode(), None, False) for r in rows], k=200, d=8).as_bytes()
     except zstandard.ZstdError:
