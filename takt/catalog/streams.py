@@ -4,31 +4,42 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from takt import bindings as b
-from takt.catalog.base import registry, rounded
+from takt.catalog.base import registry, rounded, rounded_sql
 from takt.catalog.evaluate import POLICY_CTES
 from takt.catalog.flow import _DIGITS, _STATS_CTES
+from takt.catalog.flow import ORACLE as ORACLE_FLOW
+from takt.catalog.quality import _DBL, UNIT_CTES
 from takt.catalog.sql import with_ctes
 from takt.catalog.rollup import FB, _periods_sql
 from takt.catalog.records import BUS, _contract_preds, runtime_bus
-from takt.contracts import TABLES
+from takt.contracts import HORIZON_MS, QUALITY_FEATURES, QUALITY_META, TABLES
+from takt.operators.joins import pair_fifo
 from takt.sources.runs import read_run_documents, run_of_path, shared_folder
 from takt.sources.sinks import write_predictions
 from takt.streaming import operators as so
+from takt.streaming.timed import DAY_MS, PROVIDER, ROCKSDB, station_readings_stream
+from takt.streaming.timed import interval_ticks_stream as interval_ticks
 
 QUERIES, ORACLE, query = registry()
 
 
 class Replay:
-    """A table fed to a file stream in event-order chunks; each chunk is drained before the next one
-    is written, so a query is also stopped and resumed from its checkpoint in between."""
+    """A table fed to a file stream in chunks by a column; each chunk is drained before the next one is
+    written, so a query is also stopped and resumed from its checkpoint in between. ``then`` is fed last. A chunk may be a
+    function that feeds something else.
 
-    def __init__(self, spark, df, order: str, parts: int = 3):
-        self.spark, self.df, self.root = spark, df, shared_folder(spark)
-        cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
+    The stateful operators need the RocksDB store; as the application, this sets it for the session.
+    """
+
+    def __init__(self, spark, df, order: str, parts: int = 3, cuts: list | None = None, then=None):
+        self.spark, self.df, self.root, self.progress = spark, df, shared_folder(spark), []
+        spark.conf.set(PROVIDER, ROCKSDB)
+        cuts = cuts or (df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01) if parts > 1 else [])
         edges = [None, *cuts, None]
         o = F.col(order)
         self.chunks = [df.filter((F.lit(True) if lo is None else o > lo) & (F.lit(True) if hi is None else o <= hi)) for lo, hi in zip(edges, edges[1:])]
         self.chunks[-1] = df.filter(o.isNull() | (F.lit(True) if edges[-2] is None else o > edges[-2]))  # rows without a place in the order come last
+        self.chunks += [] if then is None else [then]
         self._feed(self.chunks[0])
         self.stream = spark.readStream.schema(df.schema).parquet(f"{self.root}/in")
 
@@ -38,14 +49,34 @@ class Replay:
     def drain(self, run_once):
         run_once()
         for chunk in self.chunks[1:]:
-            self._feed(chunk)
+            if callable(chunk):
+                chunk()
+            else:
+                self._feed(chunk)
             run_once()
 
     def files(self, out):
         """Append the stream's output to files and read them back."""
-        self.drain(lambda: so.run_to_end(out, f"{self.root}/out", f"{self.root}/checkpoint"))
+        def once():
+            self.progress += so.run_to_end(out, f"{self.root}/out", f"{self.root}/checkpoint").recentProgress
+        self.drain(once)
         return self.spark.read.schema(out.schema).parquet(f"{self.root}/out")
 
+    def state(self, what: str) -> list[int]:
+        """A figure of the first stateful operator, one a micro-batch."""
+        return [p["stateOperators"][0][what] for p in self.progress if p["stateOperators"]]
+
+
+def heartbeat(df, ms: int):
+    """One row without a run, ``ms`` after the last event: what an idle stream gets to move its watermark."""
+    late = df.agg((F.max("event_time") + F.make_dt_interval(secs=F.lit(ms / 1000))).alias("event_time"))
+    return late.select(*[F.col(c) if c == "event_time" else F.lit(None).cast(t).alias(c) for c, t in df.dtypes])
+
+
+def delivered(df, ms: int = 300_000):
+    """Rows with the time they arrive at: every fiftieth comes ``ms`` late, out of order."""
+    return b.on_clock(df).withColumn("arrival", F.unix_millis("event_time") + F.when(F.col("event_sequence") % 50 == 0, ms).otherwise(0))
+
 
 _WIN = ["queue_mean", "queue_std", "queue_max", "arrivals", "services", "prev_arrivals", "prev_services", "occupancy"]
 
@@ -75,6 +106,17 @@ def dark_transitions_stream(spark, d):
     return r.files(so.dark_transitions_stream(r.stream))
 
 
+@query("state_after_completion", with_ctes("bp runs", "SELECT CAST(count(DISTINCT (run_id, unit_id)) AS BIGINT) AS keys_left FROM bp JOIN runs USING (run_id) WHERE runs.production_day % 3 = 0"))
+def state_after_completion(spark, d):
+    """Marker documents end the state of every unit of their runs; only runs without a readable marker keep theirs."""
+    p = b.bottleneck_predictions(spark, d).select("run_id", "unit_id", "timestamp_ms", "station_index", F.col("emission").alias("seq"), "state_confidence")
+    r = Replay(spark, p, "seq", 2)
+    r.chunks.append(lambda: _write_markers(spark, d, f"{r.root}/docs"))
+    ends = so.end_rows(so.finished_runs(spark, f"{r.root}/docs/*/*"), b.units(spark, d).select("run_id", "unit_id"))
+    r.files(so.dark_transitions_stream(r.stream, ends))
+    return spark.createDataFrame([(r.state("numRowsTotal")[-1],)], "keys_left long")
+
+
 @query("warning_sessions", with_ctes("bp", "SELECT run_id, station_id AS series_key, start_ms, end_ms, point_count, open_ended FROM (" + _periods_sql("bp", "station_id") + ")", **FB))
 def warning_sessions(spark, d):
     p = b.bottleneck_predictions(spark, d).select("run_id", "station_id", "timestamp_ms", "emission", "warning")
@@ -85,11 +127,36 @@ def warning_sessions(spark, d):
         "point_count", F.when(F.col("open_ended"), 0).otherwise(1))).alias("r")).select("run_id", "series_key", "start_ms", "r.*")
 
 
+# rows of a run's third of the month come together; every seventieth comes with the next third, mostly too late
+_THIRDS = {
+    "fed": """SELECT *, production_day::BIGINT * 86400000 + timestamp_ms AS et, least(3, (production_day - 1) // 10 + 1 + CASE WHEN event_id % 70 = 0 THEN 1 ELSE 0 END) AS third FROM ev""",
+    "marks": """SELECT third, coalesce(max(max(et)) OVER (ORDER BY third ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 600000, 0) AS mark FROM fed GROUP BY third""",
+    "placed": """SELECT f.*, unnest(range(timestamp_ms // 60000 * 60000 - 540000, timestamp_ms // 60000 * 60000 + 1, 60000)) AS w, mark FROM fed f JOIN marks USING (third)""",
+    "judged": """SELECT *, w + production_day::BIGINT * 86400000 + 600000 <= mark AS late FROM placed""",
+}
+
+
+def _rate_replay(spark, d):
+    e = b.on_clock(b.station_events(spark, d)).withColumn("day", F.substring("run_id", 5, 4).cast("int"))
+    e = e.withColumn("third", F.least(F.lit(3), F.expr("(day - 1) div 10 + 1").cast("int") + F.when(F.col("event_sequence") % 70 == 0, 1).otherwise(0)))
+    r = Replay(spark, e, "third", cuts=[1, 2], then=heartbeat(e, 3_600_000))
+    return r, r.files(so.rate_windows(r.stream.withWatermark("event_time", "10 minutes")))
+
+
 @query("rate_windows", with_ctes("ev", """
 SELECT run_id, station_id, w AS window_start_ms, count(*) FILTER (event_type = 'UNIT_ARRIVED') AS arrivals, count(*) FILTER (event_type = 'PROCESSING_COMPLETED') AS services
-FROM (SELECT *, unnest(range(timestamp_ms // 60000 * 60000 - 540000, timestamp_ms // 60000 * 60000 + 1, 60000)) AS w FROM ev) GROUP BY ALL"""))
+FROM judged WHERE NOT late GROUP BY ALL""", **_THIRDS))
 def rate_windows(spark, d):
-    return so.rate_windows(b.station_events(spark, d).withColumn("event_time", F.timestamp_millis("timestamp_ms")))
+    """Windows as the stream appends them, each once, when the watermark has passed its end; what came later is left out."""
+    out = _rate_replay(spark, d)[1].filter("run_id IS NOT NULL")
+    return out.withColumn("window_start_ms", F.col("window_start_ms") - F.substring("run_id", 5, 4).cast("long") * 86_400_000)
+
+
+@query("rate_windows_late", with_ctes("ev", "SELECT CAST(count(DISTINCT (third, run_id, station_id, w)) AS BIGINT) AS late_groups FROM judged WHERE late", **_THIRDS))
+def rate_windows_late(spark, d):
+    """How many windows of a micro-batch came too late, as the query's progress counts them."""
+    r, _ = _rate_replay(spark, d)
+    return spark.createDataFrame([(sum(r.state("numRowsDroppedByWatermark")),)], "late_groups long")
 
 
 @query("latest_state", with_ctes("bp", "SELECT run_id, station_id, timestamp_ms, warning FROM bp QUALIFY row_number() OVER (PARTITION BY run_id, station_id ORDER BY emission DESC) = 1"))
@@ -134,27 +201,50 @@ def ordered_input(spark, d):
     return out.drop("timestamp_ms")
 
 
-@query("defect_features_stream")
+@query("bottleneck_features_stream", ORACLE_FLOW["bottleneck_features"])
+def bottleneck_features_stream(spark, d):
+    """Events out of order within the watermark's delay, stopped and resumed: the batch table, labels included."""
+    e = delivered(b.station_events(spark, d))
+    r = Replay(spark, e, "arrival", then=heartbeat(e, 2 * DAY_MS))
+    return rounded(so.labelled_flow_features(r.files(so.bottleneck_features_stream(r.stream, b.stations(spark, d)))), _DIGITS)
+
+
+_LIVE = [c for c in QUALITY_META if c != "label_completeness_status"] + QUALITY_FEATURES
+
+
+@query("defect_features_stream", with_ctes("ev se ma units", f"SELECT {rounded_sql(_LIVE, _DBL)} FROM f", **UNIT_CTES))
 def defect_features_stream(spark, d):
-    """Both stages, each stopped and resumed; the second reads the table the first one wrote."""
-    bus = b.line_log(spark, d).select("run_id", "station_id", "station_index", "unit_id", "timestamp_ms", "event_sequence", "record_type", "event_type",
-                                      "queue_length_after", "cycle_time_ms", "sensor_type", F.col("sensor_value").alias("value"), F.col("check_result").alias("result"))
-    first = Replay(spark, bus, "event_sequence")
-    elements = first.files(so.unit_elements_stream(first.stream))
-    second = Replay(spark, elements.withColumn("position", F.col("avail") + F.substring("run_id", 5, 4).cast("long") * 10_000_000), "position", 2)
-    return rounded(second.files(so.unit_history_stream(second.stream)))
-
-
-@query("interval_ticks_stream", with_ctes("ev", """
-, edges AS (SELECT run_id, unit_id, timestamp_ms, event_sequence, station_index = 6 AS leaves FROM ev WHERE event_type = 'UNIT_ARRIVED' AND station_index IN (3, 6)),
-stays AS (SELECT *, count(*) FILTER (leaves) OVER (PARTITION BY run_id, unit_id ORDER BY timestamp_ms, event_sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stay FROM edges),
-spans AS (SELECT run_id, unit_id, stay, min(timestamp_ms) FILTER (NOT leaves) AS entry_ts, max(timestamp_ms) AS last_ts FROM stays GROUP BY ALL)
+    """Both stages, each stopped and resumed; the second reads the table the first one wrote.
+
+    A start that never completes is only known at the end, so the log is fed without such starts; they are no interval in
+    the batch table either.
+    """
+    pairs, _ = pair_fifo(b.station_events(spark, d))
+    log = b.line_log(spark, d)
+    done = pairs.select("run_id", F.col("start_event_sequence").alias("event_sequence"))
+    starts = F.coalesce(F.col("event_type") == "PROCESSING_STARTED", F.lit(False))
+    kept = log.filter(~starts).unionByName(log.filter(starts).join(done, ["run_id", "event_sequence"], "left_semi").select(*log.columns))
+    bus = delivered(kept.select("run_id", "station_id", "station_index", "unit_id", "timestamp_ms", "event_sequence", "record_type", "event_type",
+                                "queue_length_after", "cycle_time_ms", "sensor_type", F.col("sensor_value").alias("value"), F.col("check_result").alias("result")))
+    first = Replay(spark, bus, "arrival", then=heartbeat(bus, 2 * DAY_MS))
+    elements = first.files(station_readings_stream(first.stream))
+    elements = elements.withColumn("position", F.unix_millis("event_time"))
+    second = Replay(spark, elements, "position", 2, then=heartbeat(elements, 2 * DAY_MS))
+    return rounded(second.files(so.defect_features_stream(second.stream, b.units(spark, d), b.stations(spark, d))).select(*_LIVE))
+
+
+@query("interval_ticks_stream", with_ctes("ev", f"""
+, edges AS (SELECT run_id, unit_id, timestamp_ms AS t, station_index = 6 AS leaves FROM ev WHERE event_type = 'UNIT_ARRIVED' AND station_index IN (3, 6)),
+cuts AS (SELECT *, coalesce(lag(leaves) OVER o OR t - lag(t) OVER o > {HORIZON_MS}, false) AS fresh FROM edges WINDOW o AS (PARTITION BY run_id, unit_id ORDER BY t, leaves)),
+stays AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY run_id, unit_id ORDER BY t, leaves ROWS UNBOUNDED PRECEDING) AS stay FROM cuts),
+spans AS (SELECT run_id, unit_id, stay, min(t) FILTER (NOT leaves) AS entry_ts, coalesce(min(t) FILTER (leaves), max(t) + {HORIZON_MS}) AS last_ts FROM stays GROUP BY ALL)
 SELECT run_id, unit_id, entry_ts, unnest(range(entry_ts + 60000, last_ts + 1, 60000)) AS tick_ms FROM spans WHERE last_ts >= entry_ts + 60000"""))
 def interval_ticks_stream(spark, d):
-    e = b.station_events(spark, d).filter("event_type = 'UNIT_ARRIVED' AND station_index IN (3, 6)").select(
-        "run_id", "unit_id", "timestamp_ms", "event_sequence", F.when(F.col("station_index") == 3, "ENTER").otherwise("EXIT").alias("kind"))
-    r = Replay(spark, e, "event_sequence", 2)
-    return r.files(so.interval_ticks_stream(r.stream))
+    """Units tick while inside, without further rows of their own, until they leave or have been silent for half an hour."""
+    e = delivered(b.station_events(spark, d).filter("event_type = 'UNIT_ARRIVED' AND station_index IN (3, 6)").select(
+        "run_id", "unit_id", "timestamp_ms", "event_sequence", F.when(F.col("station_index") == 3, "ENTER").otherwise("EXIT").alias("kind")))
+    r = Replay(spark, e, "arrival", then=heartbeat(e, DAY_MS))
+    return r.files(interval_ticks(r.stream))
 
 
 @query("unit_enrichment", with_ctes("ev units", "SELECT e.run_id, event_sequence, vehicle_model FROM ev e JOIN units u ON u.run_id = e.run_id AND u.unit_id = e.unit_id"))
@@ -172,10 +262,14 @@ def run_completion(spark, d):
 
 
 def _documents(spark, d):
-    root = shared_folder(spark)
+    folder = shared_folder(spark) + "/docs"
+    _write_markers(spark, d, folder)
+    return folder
+
+
+def _write_markers(spark, d, folder):
     doc = F.to_json(F.struct("run_id", F.lit("1.0").alias("schema_version"), F.col("production_day").cast("long").alias("random_seed")))
-    b.runs(spark, d).select("run_id", F.when(F.col("production_day") % 3 == 0, '{"run_id": ').otherwise(doc).alias("value")).repartition("run_id").write.partitionBy("run_id").text(root + "/docs")
-    return root + "/docs"
+    b.runs(spark, d).select("run_id", F.when(F.col("production_day") % 3 == 0, '{"run_id": ').otherwise(doc).alias("value")).repartition("run_id").write.partitionBy("run_id").text(folder)
 
 
 @query("read_run_documents", with_ctes("runs", "SELECT run_id, CASE WHEN production_day % 3 <> 0 THEN CAST(production_day AS BIGINT) END AS random_seed, production_day % 3 <> 0 AS readable FROM runs"))

@@ -182,21 +182,25 @@ def window_stats(events: DataFrame, **kw) -> DataFrame:
 def flow_features(events: DataFrame, stations: DataFrame, horizon_ms: int = HORIZON_MS, **kw) -> DataFrame:
     """The 28 station flow features with meta columns and the overflow label."""
     stats = window_stats(events, horizon_ms=horizon_ms, **kw)
+    return feature_rows(stats.withColumn("seen", F.col("station_last_ts") >= F.col("ts") + horizon_ms), stations)
+
+
+def feature_rows(stats: DataFrame, stations: DataFrame, extra: list[str] = ()) -> DataFrame:
+    """Features and label of window statistics; ``seen`` says whether the horizon has passed (NULL: not yet known)."""
     line = stations.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_stations"))
     dim = stations.join(line, "run_id").select(
         "run_id", "station_id", "archetype", "base_cycle_time_ms", "cycle_time_std_ms",
         sc.station_index("station_id").alias("station_index"),
         F.col("buffer_capacity").cast("double").alias("capacity"), "n_stations")
     f = stats.join(dim, KEYS)
-    occ, cap = F.col("occupancy"), F.col("capacity")
+    occ, cap, seen = F.col("occupancy"), F.col("capacity"), F.col("seen")
     full = sc.at_capacity(occ, cap)
-    seen = F.col("station_last_ts") >= F.col("ts") + horizon_ms
     pstd = sc.progress_std("q", "carry_ts", "queue_std", "carry_steps")
     out = f.select(
         "run_id", F.col("station_id").alias("station_id_buffer_id"), F.col("ts").alias("prediction_time"),
         F.col("seq").alias("prediction_event_sequence"), cap.alias("capacity"),
         full.alias("currently_at_capacity"),
-        F.when(full, "already_full").when(seen, "eligible").otherwise("censored")
+        F.when(full, "already_full").when(seen, "eligible").when(~seen, "censored").otherwise("pending")
         .alias("target_eligibility_status"),
         (cap - occ).alias("capacity_headroom"), "station_id", "base_cycle_time_ms",
         F.col("archetype").alias("station_archetype"),
@@ -220,5 +224,5 @@ def flow_features(events: DataFrame, stations: DataFrame, horizon_ms: int = HORI
         pstd.alias("progress_std"),
         sc.eta_std(cap - occ, F.col("slope"), F.col("slope_se"), pstd).alias("eta_std"),
         F.when(~full & seen, F.coalesce(F.col("future_max") >= cap, F.lit(False)).cast("int"))
-        .alias("y_bottleneck"))
-    return frozen_projection(out, [*FLOW_META, *FLOW_FEATURES, "y_bottleneck"])
+        .alias("y_bottleneck"), *extra)
+    return frozen_projection(out, [*FLOW_META, *FLOW_FEATURES, "y_bottleneck", *extra])

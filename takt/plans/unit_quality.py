@@ -138,9 +138,14 @@ def _gather(parts: list[DataFrame]) -> DataFrame:
 
 
 def _features(pred: DataFrame, state: DataFrame, units: DataFrame, stations: DataFrame) -> DataFrame:
+    return feature_rows(pred.join(state, QID), units, stations)
+
+
+def feature_rows(rows: DataFrame, units: DataFrame, stations: DataFrame) -> DataFrame:
+    """The 30 features with meta columns and label of rows that hold an arrival's upstream state."""
     line = stations.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_stations"))
-    j = (pred.join(state, QID).join(units.select("run_id", "unit_id", "vehicle_model", "supplier_batch"),
-                                    ["run_id", "unit_id"], "left").join(line, "run_id"))
+    j = (rows.join(units.select("run_id", "unit_id", "vehicle_model", "supplier_batch"), ["run_id", "unit_id"], "left")
+         .join(line, "run_id"))
 
     def mean(p, r=""):
         return sc.ratio(f"{p}_{r}s", f"{p}_{r}n")

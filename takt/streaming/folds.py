@@ -11,10 +11,6 @@ import pandas as pd
 RECENT, KEEP = 600_000, 1_200_000
 
 
-def _nan_to_none(x):
-    return None if x is None or x != x else float(x)
-
-
 def quarantine(key, state, pdf):
     """Mark rows older than what the key has already seen."""
     last = state.get("last")
@@ -81,83 +77,6 @@ FLOW_SCHEMA = ("run_id string, station_id string, ts long, seq long, q double, o
                + ", ".join(f"{c} double" for c in FLOW_OUT[8:]))
 
 
-def attribute_step(key, state, pdf):
-    """Station side of the unit features: readings wait for their interval to end, then belong to its unit."""
-    opened = state.get("open", [])  # [start, unit, readings]
-    out = []
-    for r in pdf.itertuples(index=False):
-        t, seq = int(r.timestamp_ms), int(r.event_sequence)
-        base = (r.run_id, None, int(r.station_index))
-        if r.record_type == "SENSOR":
-            fit = [o for o in opened if o[0] <= t]
-            if fit:
-                max(fit, key=lambda o: o[0])[2].append((t, seq, r.sensor_type, float(r.value)))
-            else:  # the completion of this very instant may have been read first
-                done = state.get("done")
-                if done and done[0] <= t <= done[1]:
-                    out.append((*base[:1], done[2], base[2], "sensor", r.sensor_type, float(r.value), t, done[1], seq, None))
-        elif r.record_type == "MANUAL":
-            out.append((r.run_id, r.unit_id, base[2], "manual", None, 1.0 if r.result == "FAIL" else 0.0, t, t, seq, None))
-        elif r.event_type == "PROCESSING_STARTED":
-            opened.append([t, r.unit_id, []])
-        elif r.event_type == "PROCESSING_COMPLETED":
-            mine = [o for o in opened if o[1] == r.unit_id]
-            if mine:
-                o = mine[0]
-                opened.remove(o)
-                if t > o[0]:
-                    state["done"] = (o[0], t, r.unit_id)
-                    out += [(r.run_id, r.unit_id, base[2], "sensor", s, v, ts, t, q, None) for ts, q, s, v in o[2]]
-            if r.cycle_time_ms == r.cycle_time_ms and r.cycle_time_ms is not None:
-                out.append((r.run_id, r.unit_id, base[2], "cycle", None, float(r.cycle_time_ms), t, t, seq, None))
-        elif r.event_type == "UNIT_ARRIVED":
-            if r.queue_length_after == r.queue_length_after and r.queue_length_after is not None:
-                out.append((r.run_id, r.unit_id, base[2], "queue", None, float(r.queue_length_after), t, t, seq, None))
-            out.append((r.run_id, r.unit_id, base[2], "arrival", None, None, t, t, seq, r.station_id))
-    return {"open": opened, "done": state.get("done")}, pd.DataFrame(out, columns=ELEMENTS)
-
-
-ELEMENTS = ["run_id", "unit_id", "src", "what", "signal", "value", "ts", "avail", "seq", "station_id"]
-ELEMENT_SCHEMA = "run_id string, unit_id string, src int, what string, signal string, value double, ts long, avail long, seq long, station_id string"
-
-
-def history_step(key, state, pdf):
-    """Unit side: feature values of each arrival from what became available strictly before it."""
-    kept = state.get("rows", [])
-    out = []
-    rows = sorted(pdf.itertuples(index=False), key=lambda r: (r.avail, r.seq))
-    pending = kept + [tuple(r) for r in rows if r.what != "arrival"]
-    for r in (x for x in rows if x.what == "arrival"):
-        t, s = int(r.ts), int(r.src)
-        seen = [p for p in pending if p[7] < t and p[2] < s]
-        vals = {}
-        for sig in ("TORQUE", "VIBRATION", "TEMPERATURE", "CURRENT"):
-            v = np.array([p[5] for p in seen if p[3] == "sensor" and p[4] == sig])
-            w = np.array([p[5] for p in seen if p[3] == "sensor" and p[4] == sig and p[6] >= t - RECENT])
-            n = sig.lower()
-            vals[f"{n}_mean_history"], vals[f"{n}_max_history"] = (v.mean(), v.max()) if len(v) else (None, None)
-            vals[f"{n}_mean_recent"], vals[f"{n}_max_recent"] = (w.mean(), w.max()) if len(w) else (None, None)
-            if sig == "TORQUE":
-                vals["torque_std_history"] = v.std(ddof=1) if len(v) > 1 else None
-        for kind in ("queue", "cycle"):
-            v = np.array([p[5] for p in seen if p[3] == kind])
-            vals[f"{kind}_mean"], vals[f"{kind}_max"] = (v.mean(), v.max()) if len(v) else (None, None)
-            vals[f"{kind}_std"] = v.std(ddof=1) if len(v) > 1 else None
-        checks = sorted((p for p in seen if p[3] == "manual"), key=lambda p: (p[6], p[8]))
-        fails = [p for p in checks if p[5] == 1.0]
-        vals.update(checks=float(len(checks)), fails=float(len(fails)), last_fail=checks[-1][5] if checks else None,
-                    since_fail=float(s - fails[-1][2]) if fails else None)
-        out.append((r.run_id, r.unit_id, r.station_id, t, int(r.seq), s, *[_nan_to_none(vals[c]) for c in HISTORY_VALUES]))
-    return {"rows": pending}, pd.DataFrame(out, columns=HISTORY_META + HISTORY_VALUES)
-
-
-HISTORY_META = ["run_id", "unit_id", "prediction_station", "prediction_time", "prediction_event_sequence", "prediction_station_index"]
-HISTORY_VALUES = [f"{s}_{a}_{w}" for s in ("torque", "vibration", "temperature", "current") for w in ("history", "recent") for a in ("mean", "max")] + [
-    "torque_std_history", "queue_mean", "queue_max", "queue_std", "cycle_mean", "cycle_max", "cycle_std", "checks", "fails", "last_fail", "since_fail"]
-HISTORY_SCHEMA = ("run_id string, unit_id string, prediction_station string, prediction_time long, prediction_event_sequence long, "
-                  "prediction_station_index int, " + ", ".join(f"{c} double" for c in HISTORY_VALUES))
-
-
 def monotone_step(key, state, pdf, min_confidence=0.6):
     """Accept inferred stations only downstream; the first one at any confidence."""
     reach, out = state.get("reach"), []
@@ -196,18 +115,3 @@ def session_step(key, state, pdf):
     if cur is not None:
         out.append((key[0], key[1], *cur, True))
     return {"cur": cur}, pd.DataFrame(out, columns=["run_id", "series_key", "start_ms", "end_ms", "point_count", "open_ended"])
-
-
-def tick_step(key, state, pdf, step_ms=60_000):
-    """Ticks every step while a unit is inside; ``now`` rows advance the run clock, exits end the ticks."""
-    entry, nxt, out = state.get("entry"), state.get("next"), []
-    for r in pdf.itertuples(index=False):
-        t = int(r.timestamp_ms)
-        while nxt is not None and nxt <= t:
-            out.append((key[0], key[1], entry, nxt))
-            nxt += step_ms
-        if r.kind == "ENTER" and entry is None:
-            entry, nxt = t, t + step_ms
-        elif r.kind == "EXIT":
-            entry, nxt = None, None
-    return {"entry": entry, "next": nxt}, pd.DataFrame(out, columns=["run_id", "unit_id", "entry_ts", "tick_ms"])

@@ -4,10 +4,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from takt.catalog.streams import Replay
+from takt.catalog.streams import Replay, heartbeat
+from takt.contracts import FLOW_FEATURES, QUALITY_FEATURES
+from takt.plans import station_flow as sf
 from takt.plans import unit_quality as uq
-from takt.streaming import folds
 from takt.streaming import operators as so
+from takt.streaming import timed
 
 BUS = ("run_id string, station_id string, station_index int, unit_id string, timestamp_ms long, event_sequence long, record_type string, event_type string, "
        "queue_length_after double, cycle_time_ms double, sensor_type string, value double, result string")
@@ -39,26 +41,97 @@ def test_unit_features_stream_equals_batch(spark):
     st = spark.createDataFrame([("r", f"S{i + 1:02d}", i, "INSPECTION" if i == 3 else "AUTOMATED") for i in range(4)], "run_id string, station_id string, station_index int, archetype string")
     un = bus.filter("unit_id IS NOT NULL").select("run_id", "unit_id").distinct().withColumn("vehicle_model", F.lit("M")).withColumn("supplier_batch", F.lit("B"))
     batch = {r.prediction_event_sequence: r for r in uq.quality_features(e, bus.filter("record_type = 'SENSOR'"), m, un, st, m).collect()}
-    first = Replay(spark, bus, "event_sequence")
-    elements = first.files(so.unit_elements_stream(first.stream))
-    second = Replay(spark, elements, "avail", 2)
-    rows = second.files(so.unit_history_stream(second.stream)).collect()
+    fed = late(bus)
+    first = Replay(spark, fed, "arrival", then=heartbeat(fed, 2 * timed.DAY_MS))
+    elements = first.files(timed.station_readings_stream(first.stream))
+    elements = elements.withColumn("position", F.unix_millis("event_time"))
+    second = Replay(spark, elements, "position", 2, then=heartbeat(elements, 2 * timed.DAY_MS))
+    rows = second.files(so.defect_features_stream(second.stream, un, st)).collect()
     assert len(rows) == len(batch) > 0
-    same = ["torque_mean_history", "torque_max_history", "torque_std_history", "torque_mean_recent", "torque_max_recent", "current_mean_recent", "current_max_history"]
-    renamed = {"queue_mean": "queue_history_mean", "queue_std": "queue_history_std", "cycle_max": "cycle_history_max", "cycle_std": "cycle_history_std",
-               "checks": "manual_check_count_cum", "fails": "manual_fail_count_cum", "last_fail": "last_manual_fail", "since_fail": "stations_since_last_manual_fail"}
     assert any(r.torque_mean_history is not None for r in rows)
     for r in rows:
         b = batch[r.prediction_event_sequence]
-        for got, want in [(c, c) for c in same] + list(renamed.items()):
-            assert r[got] == (None if b[want] is None else pytest.approx(b[want], abs=1e-9)), (got, r)
+        for c in QUALITY_FEATURES:
+            assert r[c] == (pytest.approx(b[c], abs=1e-9) if isinstance(b[c], float) else b[c]), (c, r)
+    assert first.state("numRowsTotal")[-1] == second.state("numRowsTotal")[-1] == 0
 
 
-def test_ticks_and_enrichment_steps():
-    import pandas as pd
-    rows = pd.DataFrame({"timestamp_ms": [0, 125_000, 130_000, 500_000], "kind": ["ENTER", "NOW", "EXIT", "NOW"]})
-    state, out = folds.tick_step(("r", "u"), {}, rows)
-    assert list(out["tick_ms"]) == [60_000, 120_000] and state == {"entry": None, "next": None}
+def late(df, ms=200_000):
+    """On the common clock; every fifth row arrives late, but within the watermark's delay."""
+    timed_rows = df.withColumn("event_time", F.timestamp_millis(F.col("timestamp_ms") + timed.DAY_MS))
+    return timed_rows.withColumn("arrival", F.unix_millis("event_time") + F.when(F.col("event_sequence") % 5 == 0, ms).otherwise(0))
+
+
+def test_flow_features_and_labels_stream_equal_batch_and_leave_no_state(spark):
+    bus = line(spark, units=60)
+    e = bus.filter("record_type = 'STATION'").select("run_id", "station_id", "timestamp_ms", "event_sequence", "event_type", "queue_length_after", "cycle_time_ms")
+    st = spark.createDataFrame([("r", f"S{i + 1:02d}", "AUTOMATED", 30_000, 3_000, 4) for i in range(4)],
+                               "run_id string, station_id string, archetype string, base_cycle_time_ms long, cycle_time_std_ms long, buffer_capacity int")
+    fed = late(e)
+    r = Replay(spark, fed, "arrival", then=heartbeat(fed, 2 * timed.DAY_MS))
+    rows = r.files(so.bottleneck_features_stream(r.stream, st, slack_ms=0))
+    got = {x.prediction_event_sequence: x for x in so.labelled_flow_features(rows).collect()}
+    want = {x.prediction_event_sequence: x for x in sf.flow_features(e, st).collect()}
+    assert got.keys() == want.keys() and {x.target_eligibility_status for x in want.values()} == {"eligible", "already_full", "censored"}
+    assert {x.y_bottleneck for x in want.values()} == {0, 1, None}
+    for k, w in want.items():
+        for c in [*FLOW_FEATURES, "target_eligibility_status", "y_bottleneck", "currently_at_capacity"]:
+            assert got[k][c] == (pytest.approx(w[c], rel=1e-6, abs=1e-6) if isinstance(w[c], float) else w[c]), (c, k)
+    assert rows.filter("kind = 'label'").count() == len(want)  # what has no label by the end is censored by a row of its own
+    assert max(r.state("numRowsTotal")) > 0 and r.state("numRowsTotal")[-1] == 0
+
+
+def test_silent_unit_ticks_until_it_leaves_or_is_given_up(spark):
+    rows = [("r", "a", 0, "ENTER", 1), ("r", "b", 30_000, "ENTER", 2), ("r", "b", 400_000, "EXIT", 3), ("r", "c", 900_000, "ENTER", 4), ("r", "d", 950_000, "EXIT", 6)]
+    early = [("r", "c", 850_000, "ENTER", 5)]  # comes after its later twin, within the delay
+    df = late(spark.createDataFrame(rows + early, "run_id string, unit_id string, timestamp_ms long, kind string, event_sequence long"), 0)
+    df = df.withColumn("arrival", F.when(F.col("event_sequence") == 5, F.lit(2)).otherwise(F.lit(1)))
+    r = Replay(spark, df, "arrival", cuts=[1], then=heartbeat(df, 3_000_000))
+    got = {}
+    for x in r.files(timed.interval_ticks_stream(r.stream, idle_ms=600_000, delay="5 minutes")).collect():
+        got.setdefault((x.unit_id, x.entry_ts), []).append(x.tick_ms)
+    assert {k: sorted(v) for k, v in got.items()} == {
+        ("a", 0): list(range(60_000, 600_001, 60_000)), ("b", 30_000): list(range(90_000, 400_001, 60_000)), ("c", 850_000): list(range(910_000, 1_500_001, 60_000))}
+    assert r.state("numRowsTotal")[-1] == 0
+    ticks_by_silence = [p for p in r.progress if p["stateOperators"] and p["numInputRows"] == 0]
+    assert ticks_by_silence  # timers fired in batches without a row
+
+
+def test_ticks_come_as_the_watermark_moves(spark):
+    """One unit inside; rows of another one move the time, and each batch brings the ticks that are due by then."""
+    rows = [("r", "in", 0, "ENTER", 1)] + [("r", f"x{i}", i * 200_000, "EXIT", 10 + i) for i in range(1, 5)]
+    df = late(spark.createDataFrame(rows, "run_id string, unit_id string, timestamp_ms long, kind string, event_sequence long"), 0)
+    r = Replay(spark, df, "event_sequence", cuts=[11, 12, 13])
+    out, seen = timed.interval_ticks_stream(r.stream, delay="0 seconds"), []
+    r.drain(lambda: (so.run_to_end(out, f"{r.root}/out", f"{r.root}/checkpoint"), seen.append(spark.read.schema(out.schema).parquet(f"{r.root}/out").count())))
+    assert seen == [3, 6, 9, 13]  # times 200, 400, 600 and 800 s
+
+
+def test_state_of_finished_runs_is_removed(spark):
+    preds = spark.createDataFrame([(run, f"U{u}", 1000 * s, s, 10 * s + u, 0.9) for run in ("run_1", "run_2") for u in range(3) for s in range(4)],
+                                  "run_id string, unit_id string, timestamp_ms long, station_index int, seq long, state_confidence double")
+    r = Replay(spark, preds, "seq", 2)
+    marks = f"{r.root}/marks"
+    known = preds.select("run_id", "unit_id")
+
+    def finish(run):
+        return lambda: spark.createDataFrame([(f'{{"run_id": "{run}", "schema_version": "1"}}',)], "value string").coalesce(1).write.text(f"{marks}/{run}")
+
+    r.chunks += [finish("run_1"), finish("run_2")]
+    out = r.files(so.dark_transitions_stream(r.stream, so.end_rows(so.finished_runs(spark, f"{marks}/*/*"), known)))
+    assert out.count() == preds.count()
+    left = r.state("numRowsTotal")
+    assert max(left) == 6 and 3 in left and left[-1] == 0
+
+
+def test_streams_ask_for_the_state_store_they_need(spark):
+    set_to = spark.conf.get(timed.PROVIDER, None)
+    try:
+        spark.conf.set(timed.PROVIDER, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+        with pytest.raises(ValueError, match="RocksDB"):
+            timed.check_provider(spark)
+    finally:
+        spark.conf.set(timed.PROVIDER, set_to or timed.ROCKSDB)
 
 
 def test_replayed_batch_is_written_once(spark, tmp_path):
