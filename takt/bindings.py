@@ -21,8 +21,9 @@ def line_log(spark: SparkSession, sf_dir: str, types: tuple[str, ...] = ()) -> D
     e = table(spark, sf_dir, "events")
     if types:
         e = e.filter(F.col("event_type").isin(*types))
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    day_us = 86_400_000_000
+    # ts has no zone: its clock is read as it stands, whatever the session's zone
+    t = "cast(ts AS timestamp_ntz)"
+    day_us = f"(hour({t}) * 3600 + minute({t}) * 60) * 1000000L + cast(extract(SECOND FROM {t}) * 1000000 AS bigint)"
     index = (F.col("user_id") % N_STATIONS).cast("int")
     kind = (F.when(F.col("event_type") == "click", "SENSOR").when(F.col("event_type") == "error", "MANUAL")
             .otherwise("STATION"))
@@ -30,11 +31,11 @@ def line_log(spark: SparkSession, sf_dir: str, types: tuple[str, ...] = ()) -> D
              .when(F.col("event_type") == "view", "PROCESSING_STARTED")
              .when(F.col("event_type") == "purchase", "PROCESSING_COMPLETED"))
     id_ = F.col("event_id")
-    day = F.dayofmonth(F.col("ts").cast("timestamp"))
+    day = F.dayofmonth(F.col("ts").cast("timestamp_ntz"))
     return e.select(
         F.concat(F.lit("run_"), F.lpad(day.cast("string"), 4, "0")).alias("run_id"),
         day.alias("production_day"),
-        F.expr(f"pmod(unix_micros(cast(ts as timestamp)), {day_us}) div 12000").alias("timestamp_ms"),
+        F.expr(f"({day_us}) div 12000").alias("timestamp_ms"),
         id_.alias("event_sequence"), index.alias("station_index"),
         F.concat(F.lit("S"), F.lpad((index + 1).cast("string"), 2, "0")).alias("station_id"),
         F.expr("concat('U', lpad(cast((user_id div 12) % 5 + 1 as string), 6, '0'))").alias("unit_id"),

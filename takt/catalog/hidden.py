@@ -174,10 +174,13 @@ def rescale_priors(spark, d):
 
 @query("calibration_quality")
 def calibration_quality(spark, d):
-    p = passages(spark, d)
-    req = wn.corridor_load(p).select(F.concat_ws("|", "run_id", "unit_id", "entry_ts").alias("request_id"), F.lit("S04").alias("station_id"),
-                                     F.lit("MODEL_A").alias("variant"), F.col("load").cast("int").alias("load"), F.lit(True).alias("is_first"))
-    fb = ca.fit_dwell(dwell_history(spark, d)).filter("variant = 'MODEL_A'")
+    """Every passage asks at each station of its zone, as its unit's own variant."""
+    load = wn.corridor_load(passages(spark, d)).join(b.units(spark, d).select("run_id", "unit_id", F.col("vehicle_model").alias("variant")), ["run_id", "unit_id"])
+    req = load.join(_dark(spark, d).select("run_id", "station_id"), "run_id").select(
+        F.concat_ws("|", "run_id", "unit_id", "entry_ts", "station_id").alias("request_id"), "station_id", "variant", F.col("load").cast("int").alias("load"),
+        (F.col("station_id") == DARK[0]).alias("is_first"))
+    dwell = dwell_history(spark, d)
+    fb = ca.fit_dwell(dwell).unionByName(ca.fit_dwell(dwell.withColumn("variant", F.lit(ca.ALL))))
     return rounded(ca.calibration_quality(req, ca.fit_residence_by_load(residence(spark, d)), fb))
 
 
@@ -232,9 +235,12 @@ def detect_corridors(spark, d):
 
 
 @query("dark_stations_from_events", with_ctes("ev stations", """
-SELECT run_id, station_id, NOT EXISTS (SELECT 1 FROM ev WHERE ev.run_id = s.run_id AND ev.station_id = s.station_id AND queue_length_after > 4) AS is_dark FROM stations s"""))
+SELECT run_id, station_id, is_dark OR NOT EXISTS (SELECT 1 FROM ev WHERE ev.run_id = s.run_id AND ev.station_id = s.station_id) AS is_dark FROM stations s"""))
 def dark_stations_from_events(spark, d):
-    return ca.dark_stations_from_events(b.stations(spark, d), b.station_events(spark, d).filter("queue_length_after > 4")).select("run_id", "station_id", "is_dark")
+    """All events of the log but those that hidden stations keep to themselves: found again are the hidden stations, and any without an event."""
+    e, s = b.station_events(spark, d), b.stations(spark, d)
+    seen = e.join(s.filter("is_dark").select("run_id", "station_id"), ["run_id", "station_id"], "left_anti")
+    return ca.dark_stations_from_events(s, seen).select("run_id", "station_id", "is_dark")
 
 
 @query("corridor_load", with_ctes("ev", """
@@ -383,12 +389,14 @@ def station_probabilities(spark, d):
 
 
 @query("expected_queue", with_ctes("ev stations runs", """
-SELECT run_id, zone_id, station_id, t_ms, round(m, 5) AS queue_mean, round(sqrt(greatest(0, v - m * m)), 5) AS queue_std, round(exp(-sqrt(greatest(0, v - m * m))) * 0.9, 5) AS confidence FROM (
+SELECT run_id, zone_id, station_id, t_ms, round(m + 1e-9, 5) AS queue_mean, round(sqrt(greatest(0, v - m * m)) + 1e-9, 5) AS queue_std, round(exp(-sqrt(greatest(0, v - m * m))) * 0.9 + 1e-9, 5) AS confidence FROM (
   SELECT *, s1 - 1 + p0 AS m, sv + (s1 - 1) ** 2 - p0 AS v FROM (
-    SELECT run_id, zone_id, station_id, t_ms, sum(p) AS s1, sum(p * (1 - p)) AS sv, CASE WHEN max(p) >= 1 THEN 0 ELSE exp(sum(ln(1 - p))) END AS p0 FROM (SELECT run_id, zone_id, station_id, t_ms, least(p, 1) AS p FROM probs) GROUP BY ALL))""", **_POSTERIOR))
+    SELECT run_id, zone_id, station_id, t_ms, sum(p) AS s1, sum(p * (1 - p)) AS sv, product(1 - p) AS p0 FROM (SELECT run_id, zone_id, station_id, t_ms, least(p, 1) AS p FROM probs) GROUP BY ALL))""", **_POSTERIOR))
 def expected_queue(spark, d):
     _, q, probs, _ = _posterior(spark, d)
-    return rounded(oc.expected_queue(probs, q))
+    # chances are multiples of 1 / K, so sums and products fall on exact halves of the last digit: both sides lift them alike
+    queue = oc.expected_queue(probs, q)
+    return rounded(queue.select(*[(F.col(c) + 1e-9).alias(c) if t == "double" else c for c, t in queue.dtypes]))
 
 
 @query("expected_crossings", with_ctes("ev stations runs", f"""

@@ -126,8 +126,7 @@ def queue_moments(p: Column | str, quality: Column | str) -> list[Column]:
     """
     p = sc.col(p)
     s1, sv = F.sum(p), F.sum(p * (1 - p))
-    certain = F.max(p) >= 1.0
-    p0 = F.when(certain, 0.0).otherwise(F.exp(F.sum(F.when(p < 1, F.ln(1 - p)))))
+    p0 = F.product(1 - p)
     mean = s1 - 1 + p0
     var = sv + (s1 - 1) * (s1 - 1) - p0 - mean * mean
     std = F.sqrt(F.greatest(F.lit(0.0), var))

@@ -1,7 +1,7 @@
 """Histories of hidden stations turned into dwell and residence distributions."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from takt.functions import scalar as sc
@@ -210,31 +210,44 @@ def rescale_priors(stations: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def calibration_quality(requests: DataFrame, models: DataFrame, fallback: DataFrame) -> DataFrame:
-    """Best available model of each request and how far to trust it.
+    """Best available model of each request and how far to trust it, one row a request.
 
-    Order: local load (first stations), load band, all loads, plain dwell; own variant before pooled.
-    Few rows and far loads lower the quality. Requests: request_id, station_id, variant, load, is_first.
+    Order: nearest local load (first stations), load band, all loads, plain dwell; own variant before pooled.
+    Few rows and far loads lower the quality. Requests: request_id, station_id, variant, load, is_first. ``fallback``
+    holds plain dwell fits by station and variant, pooled ones under ``__ALL__``.
+
+    A (station, variant) has few models: they stand in one array and each request picks from its own and the pooled one.
     """
-    chain = [("local", 0, 0.97), ("local", 1, 0.92), ("band", 0, 0.95), ("band", 1, 0.88), ("all", 0, 0.68), ("all", 1, 0.60)]
-    ask = requests.select("request_id", "station_id", "load", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("rank"), F.lit(level).alias("level"), F.lit(q).alias("base"),
-                 (F.lit(ALL) if pooled else F.col("variant")).alias("variant"), F.col("is_first").alias("first"))
-        for i, (level, pooled, q) in enumerate(chain)])).alias("a")).select("request_id", "station_id", "load", "a.*").filter(
-        (F.col("level") != "local") | F.col("first"))
-    hit = ask.join(models, ["station_id", "variant", "level"])
-    want = F.when(F.col("level") == "band", sc.load_band("load")).when(F.col("level") == "all", "all")
-    gap = F.when(F.col("level") == "local", F.abs(F.col("load_key").try_cast("int") - F.col("load"))).otherwise(0)
-    hit = hit.filter((F.col("level") == "local") | (F.col("load_key") == want)).withColumn("gap", gap)
-    floor = F.when(F.col("level") == "local", 0.55).otherwise(0.45)
-    near = F.when(F.col("level") == "local", 1.0 / (1.0 + 0.08 * F.coalesce("radius", F.lit(0)))).otherwise(1.0)
-    q = F.col("base") * F.least(F.lit(1.0), F.greatest(floor, F.col("n") / 80.0)) * near
-    best = hit.withColumn("quality", q).groupBy("request_id").agg(F.min_by(
-        F.struct("level", "load_key", "shape", "scale", "n", "quality"),
-        F.struct("rank", "gap", F.col("load_key").try_cast("int").alias("lk"))).alias("m"))
-    fb = fallback.select("station_id", F.col("shape").alias("fb_shape"), F.col("scale").alias("fb_scale"))
-    return requests.join(best, "request_id", "left").join(fb, "station_id", "left").select(
+    entry = F.struct("level", F.col("load_key").try_cast("int").alias("at"), "load_key", "shape", "scale", "n", "radius")
+    arrays = models.groupBy("station_id", "variant").agg(F.array_sort(F.collect_list(entry)).alias("own"))
+    pooled = arrays.filter(F.col("variant") == ALL).select("station_id", F.col("own").alias("pooled"))
+    j = requests.join(arrays, ["station_id", "variant"], "left").join(pooled, "station_id", "left")
+
+    def nearest(side: str) -> Column:
+        local = F.filter(side, lambda m: m["level"] == "local")
+        gap = lambda m: F.abs(m["at"] - F.col("load"))
+        return F.when(F.col("is_first"), F.aggregate(local, F.lit(None).cast(arrays.schema["own"].dataType.elementType), lambda best, m: F.when(
+            best.isNull() | (gap(m) < gap(best)), m).otherwise(best)))
+
+    def exactly(side: str, level: str, key: Column) -> Column:
+        return F.get(F.filter(side, lambda m: (m["level"] == level) & (m["load_key"] == key)), F.lit(0))
+
+    def judged(m: Column, base: float, floor: float) -> Column:
+        near = 1.0 / (1.0 + 0.08 * F.coalesce(m["radius"], F.lit(0))) if floor > 0.5 else F.lit(1.0)
+        quality = F.lit(base) * F.least(F.lit(1.0), F.greatest(F.lit(floor), m["n"] / 80.0)) * near
+        return F.when(m.isNotNull(), F.struct(m["level"].alias("level"), m["load_key"].alias("load_key"), m["shape"].alias("shape"), m["scale"].alias("scale"), quality.alias("quality")))
+
+    band = sc.load_band("load")
+    chain = [judged(nearest("own"), 0.97, 0.55), judged(nearest("pooled"), 0.92, 0.55), judged(exactly("own", "band", band), 0.95, 0.45),
+             judged(exactly("pooled", "band", band), 0.88, 0.45), judged(exactly("own", "all", F.lit("all")), 0.68, 0.45), judged(exactly("pooled", "all", F.lit("all")), 0.60, 0.45)]
+    picked = j.select(*requests.columns, F.coalesce(*chain).alias("m"))
+    fit = F.struct("shape", "scale")
+    own_fb = fallback.filter(F.col("variant") != ALL).select("station_id", "variant", fit.alias("f_own"))
+    all_fb = fallback.filter(F.col("variant") == ALL).select("station_id", fit.alias("f_all"))
+    fb = F.coalesce("f_own", "f_all")
+    return picked.join(own_fb, ["station_id", "variant"], "left").join(all_fb, "station_id", "left").select(
         *requests.columns, F.coalesce("m.level", F.lit("processing_dwell")).alias("level"), F.col("m.load_key").alias("load_key"),
-        F.coalesce("m.shape", "fb_shape").alias("shape"), F.coalesce("m.scale", "fb_scale").alias("scale"), F.coalesce("m.quality", F.lit(0.42)).alias("quality"))
+        F.coalesce("m.shape", fb["shape"]).alias("shape"), F.coalesce("m.scale", fb["scale"]).alias("scale"), F.coalesce("m.quality", F.lit(0.42)).alias("quality"))
 
 
 def leave_one_run_out(per_run: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:

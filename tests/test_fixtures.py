@@ -377,3 +377,18 @@ def test_scope_falls_back_to_newest(spark):
     r = spark.createDataFrame([("a", 1), ("b", 2)], "run_id string, production_day int")
     pick = lambda c, s=None: sorted(x.run_id for x in ru.scope_filter(r, c, s).collect())
     assert pick("All Runs") == ["a", "b"] and pick("Production Day 1") == ["a"] and pick("Production Day x") == ["b"] and pick("Current Run", "a") == ["a"] and pick("Current Run", "zz") == ["b"]
+
+
+def test_calibration_quality_takes_the_nearest_own_model_once_per_request(spark):
+    models = spark.createDataFrame([
+        ("S04", "A", 40, 2.0, 5.0, "local", "3", 0), ("S04", "A", 10, 3.0, 6.0, "local", "7", 2), ("S04", "__ALL__", 80, 9.0, 9.0, "local", "5", 0),
+        ("S05", "__ALL__", 200, 4.0, 1.0, "band", None, None), ("S05", "A", 16, 5.0, 2.0, "all", "all", None)],
+        "station_id string, variant string, n int, shape double, scale double, level string, load_key string, radius int")
+    bands = spark.range(1).select(sc.load_band(F.lit(5)).alias("b")).first()["b"]
+    models = models.withColumn("load_key", F.coalesce("load_key", F.lit(bands)))
+    requests = spark.createDataFrame([(1, "S04", "A", 5, True), (2, "S04", "B", 9, True), (3, "S05", "A", 5, False), (4, "S06", "A", 5, False), (5, "S06", "B", 5, False), (6, "S07", "A", 1, False)],
+                                     "request_id int, station_id string, variant string, load int, is_first boolean")
+    fallback = spark.createDataFrame([("S06", "A", 1.0, 1.5), ("S06", "__ALL__", 7.0, 7.5)], "station_id string, variant string, shape double, scale double")
+    got = {r.request_id: (r.level, r.load_key, r.shape, r.scale, round(r.quality, 6)) for r in ca.calibration_quality(requests, models, fallback).collect()}
+    assert got == {1: ("local", "3", 2.0, 5.0, round(0.97 * 0.55, 6)), 2: ("local", "5", 9.0, 9.0, 0.92), 3: ("band", bands, 4.0, 1.0, 0.88),
+                   4: ("processing_dwell", None, 1.0, 1.5, 0.42), 5: ("processing_dwell", None, 7.0, 7.5, 0.42), 6: ("processing_dwell", None, None, None, 0.42)}
