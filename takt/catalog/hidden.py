@@ -367,7 +367,7 @@ def draw_hypotheses(spark, d):
 def _posterior(spark, d, k=K):
     p = with_priors(spark, d)
     q = oc.active_queries(p, times(spark, d))
-    return p, q, *oc.station_posterior(oc.draw_hypotheses(p, k), q.drop("quality"))
+    return p, q, *oc.station_posterior(p, q.drop("quality"), k)
 
 
 def posterior(spark, d, k: int):
@@ -467,7 +467,53 @@ def _association(spark, d):
         "run_id", F.lit("DZ01").alias("zone_id"), F.col("event_sequence").alias("evidence_id"), F.col("timestamp_ms").alias("ts_ms"), "station_id")
     p = with_priors(spark, d)
     q = oc.active_queries(p, e.select("run_id", "zone_id", F.col("ts_ms").alias("t_ms")).distinct())
-    return oc.evidence_association(oc.station_posterior(oc.draw_hypotheses(p, K), q.drop("quality"))[0], e)
+    return oc.evidence_association(oc.station_posterior(p, q.drop("quality"), K)[0], e)
+
+
+_SURVIVE = f"CASE WHEN total < @ THEN {oc.CENSOR}::DOUBLE ELSE 1.0::DOUBLE END"
+
+
+def _fit(r: int) -> dict[str, str]:
+    """CTEs of round r: each draw's weight and likelihood at the observation, each unit's score and share."""
+    before = "" if r == 1 else f" * coalesce(1 - b{r - 1}.share + b{r - 1}.share * l{r - 1}.lik / b{r - 1}.score, 1)"
+    joins = "" if r == 1 else f" LEFT JOIN b{r - 1} USING (run_id, unit_id, entry_ts, t_ms) LEFT JOIN l{r - 1} USING (run_id, unit_id, entry_ts, t_ms, particle)"
+    return {
+        f"l{r}": f"""
+  SELECT o.run_id, o.t_ms, h.unit_id, h.entry_ts, particle, CASE WHEN h.station_id = o.st THEN 1.0::DOUBLE ELSE 0.05::DOUBLE END AS lik, {_SURVIVE.replace("@", "((o.ts - h.entry_ts) / 1000.0::DOUBLE)")} AS alive
+  FROM obs_r o JOIN hyp h ON h.run_id = o.run_id AND o.r = {r} AND h.entry_ts <= o.ts AND (h.exit_ts IS NULL OR h.exit_ts > o.ts)
+  WHERE (c0 <= (o.ts - h.entry_ts) / 1000.0::DOUBLE OR i = 0) AND ((o.ts - h.entry_ts) / 1000.0::DOUBLE < c1 OR i = n - 1)""",
+        f"b{r}": f"""
+  SELECT *, score / sum(score) OVER (PARTITION BY run_id, t_ms) AS share FROM (
+    SELECT l{r}.run_id, l{r}.t_ms, l{r}.unit_id, l{r}.entry_ts, sum(l{r}.alive{before} * l{r}.lik) / sum(l{r}.alive{before}) AS score FROM l{r}{joins} GROUP BY ALL)""",
+    }
+
+
+_FEEDBACK = {
+    **_DRAWS,
+    "obs_r": """
+  SELECT *, row_number() OVER (PARTITION BY run_id, t_ms ORDER BY ts, id) AS r FROM (
+    SELECT t.run_id, t_ms, e.event_sequence AS id, e.timestamp_ms AS ts, e.station_id AS st FROM times t JOIN se e ON e.run_id = t.run_id AND e.timestamp_ms <= t_ms AND e.timestamp_ms > t_ms - 600000
+      AND e.station_id IN ('S04', 'S05', 'S06') QUALIFY row_number() OVER (PARTITION BY t.run_id, t_ms ORDER BY e.timestamp_ms DESC, e.event_sequence DESC) <= 2)""",
+    **_fit(1), **_fit(2),
+    "last": f"""
+  SELECT q.query_id, q.run_id, q.unit_id, q.entry_ts, q.t_ms, h.station_id, {_SURVIVE.replace("@", "((q.t_ms - q.entry_ts) / 1000.0::DOUBLE)")}
+    * coalesce(1 - b1.share + b1.share * l1.lik / b1.score, 1) * coalesce(1 - b2.share + b2.share * l2.lik / b2.score, 1) AS w
+  FROM qs q JOIN hyp h ON h.run_id = q.run_id AND h.unit_id = q.unit_id AND h.entry_ts = q.entry_ts
+    LEFT JOIN b1 ON b1.run_id = q.run_id AND b1.unit_id = q.unit_id AND b1.entry_ts = q.entry_ts AND b1.t_ms = q.t_ms
+    LEFT JOIN l1 ON l1.run_id = q.run_id AND l1.unit_id = q.unit_id AND l1.entry_ts = q.entry_ts AND l1.t_ms = q.t_ms AND l1.particle = h.particle
+    LEFT JOIN b2 ON b2.run_id = q.run_id AND b2.unit_id = q.unit_id AND b2.entry_ts = q.entry_ts AND b2.t_ms = q.t_ms
+    LEFT JOIN l2 ON l2.run_id = q.run_id AND l2.unit_id = q.unit_id AND l2.entry_ts = q.entry_ts AND l2.t_ms = q.t_ms AND l2.particle = h.particle
+  WHERE (c0 <= (q.t_ms - q.entry_ts) / 1000.0::DOUBLE OR i = 0) AND ((q.t_ms - q.entry_ts) / 1000.0::DOUBLE < c1 OR i = n - 1)""",
+}
+
+
+@query("evidence_feedback", with_ctes("ev se stations runs", """
+SELECT query_id, run_id, unit_id, entry_ts, t_ms, station_id, round(sum(w) / max(whole), 5) AS p FROM (SELECT *, sum(w) OVER (PARTITION BY query_id) AS whole FROM last) GROUP BY ALL""", **_FEEDBACK))
+def evidence_feedback(spark, d):
+    """Station chances of every unit and display time after the two readings before it have changed the draws' weights."""
+    e = b.sensor_readings(spark, d).filter(F.col("station_id").isin(DARK)).select(
+        "run_id", F.lit("DZ01").alias("zone_id"), F.col("event_sequence").alias("evidence_id"), F.col("timestamp_ms").alias("ts_ms"), "station_id")
+    return rounded(oc.evidence_feedback(with_priors(spark, d), times(spark, d), e, 2, k=K)[0].drop("zone_id"))
 
 
 @query("attribute_readings", with_ctes("ev se stations", """
@@ -493,7 +539,7 @@ def evidence_gates(spark, d):
     """Verdict on every identified read, against the belief and the expected duration of its passage."""
     p = with_priors(spark, d)
     e = _identified(spark, d).withColumn("query_id", F.concat_ws("|", "run_id", "unit_id", "entry_ts", "ts_ms", "checkpoint_id"))
-    one = oc.station_posterior(oc.draw_hypotheses(p, K), e.select("query_id", "run_id", "zone_id", "unit_id", "entry_ts", F.col("ts_ms").alias("t_ms")))[1]
+    one = oc.station_posterior(p, e.select("query_id", "run_id", "zone_id", "unit_id", "entry_ts", F.col("ts_ms").alias("t_ms")), K)[1]
     mean = F.aggregate(F.zip_with("shapes", "scales", lambda a, z: a * z), F.lit(0.0), lambda x, y: x + y)
     long = p.groupBy("run_id").agg(F.max(mean).alias("mean_duration_s"))
     j = e.join(one.select("query_id", "progress_mean", "progress_std"), "query_id").join(long, "run_id").withColumn("elapsed_s", (F.col("ts_ms") - F.col("entry_ts")) / 1000.0)
@@ -541,7 +587,7 @@ JOIN est ON est.query_id = x.query_id GROUP BY fraction""", **{**{k: v for k, v
 def posterior_calibration(spark, d):
     p = with_priors(spark, d)
     q = oc.backtest_queries(p, 0.0, (0.15, 0.3, 0.5, 0.7, 0.85))
-    probs, est = oc.station_posterior(oc.draw_hypotheses(p, K), q.select("query_id", "run_id", "zone_id", "unit_id", "entry_ts", "t_ms"))
+    probs, est = oc.station_posterior(p, q.select("query_id", "run_id", "zone_id", "unit_id", "entry_ts", "t_ms"), K)
     truth = q.select("query_id", "fraction", F.element_at("stations", F.least(F.lit(3), F.floor(F.col("fraction") * 3).cast("int") + 1)).alias("true_station"))
     return rounded(oc.posterior_calibration(probs, est, truth)[0])
 

@@ -1,18 +1,19 @@
 """Where units are inside stretches that report nothing: seeded duration hypotheses as rows.
 
-Each passage gets K duration hypotheses once (one row per particle with its cumulative station
-boundaries). Every estimate is then a weighted aggregate over (passage, particle) rows, so the work is
+Each passage gets K duration hypotheses (particles with cumulative station boundaries), made in place
+from a hash wherever they are needed. Every estimate is then a weighted aggregate over (passage, particle) rows, so the work is
 spread over passages and a task never holds a zone. ``passages``: run_id, zone_id, unit_id, entry_ts
 (ms), stations (array), shapes (array), scales (array, seconds).
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from takt.functions import scalar as sc
 from takt.operators.aggregate import queue_moments
 from takt.operators.slices import exact_quantiles, running, slice_number, total
+from takt.session import cut_lineage
 
 CENSOR = 1e-6
 PASSAGE = ["run_id", "zone_id", "unit_id", "entry_ts"]
@@ -32,14 +33,23 @@ def gamma_draw(shape: Column, scale: Column, text: Column) -> Column:
     return F.greatest(F.lit(1e-3), shape * scale * root * root * root)
 
 
-def draw_hypotheses(passages: DataFrame, k: int = 200, seed: int = 0) -> DataFrame:
-    """K seeded duration draws per passage; the seed comes from run, zone, unit and entry time."""
-    drawn = passages.select(*PASSAGE, "stations", "shapes", "scales", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("particle"))
+def _particles(rows: DataFrame, k: int, seed: int) -> DataFrame:
+    """Every row k times, each with the cumulative station boundaries ``cum_t`` of one seeded draw.
+
+    The draws are made where the row lies: they are neither shuffled nor stored, and an aggregate that follows takes them in
+    before its shuffle.
+    """
+    drawn = rows.withColumn("particle", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     key = F.concat_ws("|", F.lit(str(seed)), *PASSAGE, "particle")
     t = lambda i: gamma_draw(F.get("shapes", i), F.get("scales", i), F.concat_ws("|", key, i.cast("string")))
     cum = F.aggregate(F.sequence(F.lit(0), F.size("stations") - 1), F.array().cast("array<double>"),
                       lambda done, i: F.concat(done, F.array(F.coalesce(F.get(done, F.size(done) - 1), F.lit(0.0)) + t(i))))
-    return drawn.select(*PASSAGE, "particle", "stations", cum.alias("cum_t"))
+    return drawn.withColumn("cum_t", cum).drop("shapes", "scales")
+
+
+def draw_hypotheses(passages: DataFrame, k: int = 200, seed: int = 0) -> DataFrame:
+    """K seeded duration draws per passage; the seed comes from run, zone, unit and entry time."""
+    return _particles(passages.select(*PASSAGE, "stations", "shapes", "scales"), k, seed).select(*PASSAGE, "particle", "stations", "cum_t")
 
 
 def _at(elapsed: Column) -> dict[str, Column]:
@@ -53,23 +63,36 @@ def _at(elapsed: Column) -> dict[str, Column]:
             "w": F.when(end < elapsed, CENSOR).otherwise(1.0)}
 
 
-def station_posterior(hypotheses: DataFrame, queries: DataFrame, weights: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Per query (query_id, passage keys, t_ms): long station probabilities, and one estimate row."""
-    j = hypotheses.join(queries, PASSAGE)
-    e = (F.col("t_ms") - F.col("entry_ts")) / 1000.0
-    j = j.withColumn("elapsed", e)
+def _asked_particles(passages: DataFrame, queries: DataFrame, k: int, seed: int) -> DataFrame:
+    """Queries (query_id, passage keys, t_ms, other columns) times the k draws of their passage.
+
+    Passages meet their queries before draws are made, so a shuffle moves passages and queries only.
+    """
+    extra = [c for c in queries.columns if c not in PASSAGE]
+    asked = queries.groupBy(*PASSAGE).agg(F.collect_list(F.struct(*extra)).alias("asks"))
+    rows = passages.select(*PASSAGE, "stations", "shapes", "scales").join(asked, PASSAGE)
+    # narrow rows that each become k of them: a number of tasks that adaptive execution doesn't fold into one for their small size
+    rows = rows.repartition(int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PASSAGE)
+    return _particles(rows, k, seed).withColumn("ask", F.explode("asks")).select(*PASSAGE, "particle", "stations", "cum_t", "ask.*")
+
+
+def station_posterior(passages: DataFrame, queries: DataFrame, k: int = 200, seed: int = 0, tempering: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Per query (query_id, passage keys, t_ms): long station probabilities, and one estimate row.
+
+    ``tempering`` weighs a draw further; it may use the query's other columns, ``cum_t`` and ``stations``.
+    """
+    j = _asked_particles(passages, queries, k, seed).withColumn("elapsed", (F.col("t_ms") - F.col("entry_ts")) / 1000.0)
     for name, c in _at(F.col("elapsed")).items():
         j = j.withColumn(name, c)
-    if weights is not None:
-        j = j.join(weights.select(*PASSAGE, "query_id", "particle", F.col("weight").alias("w2")), [*PASSAGE, "query_id", "particle"], "left")
-        j = j.withColumn("w", F.col("w") * F.coalesce("w2", F.lit(1.0)))
+    if tempering is not None:
+        j = j.withColumn("w", F.col("w") * tempering)
     w = F.col("w")
     cell = j.groupBy("query_id", *PASSAGE, "t_ms", "pos").agg(
         F.first(F.get("stations", F.col("pos"))).alias("station_id"), F.first(F.size("stations")).alias("n_stations"), F.sum("w").alias("sw"),
         F.sum(w * w).alias("sww"), F.sum(w * F.col("progress")).alias("sp"), F.sum(w * F.col("progress") * F.col("progress")).alias("spp"),
         F.sum(w * F.col("remaining")).alias("sr"), F.sum(w * F.col("remaining") * F.col("remaining")).alias("srr"))
-    tot = cell.groupBy("query_id").agg(F.sum("sw").alias("tw"), F.sum("sww").alias("tww"), F.sum("sr").alias("tr"), F.sum("srr").alias("trr"))
-    probs = cell.join(tot, "query_id").withColumn("p", F.col("sw") / F.col("tw"))
+    tot = Window.partitionBy("query_id")  # a query has as many rows as the zone has stations
+    probs = cell.select("*", *[F.sum(c).over(tot).alias(t) for c, t in (("sw", "tw"), ("sww", "tww"), ("sr", "tr"), ("srr", "trr"))]).withColumn("p", F.col("sw") / F.col("tw"))
     mean = F.col("sp") / F.col("sw")
     best = F.struct(F.col("p"), -F.col("pos"))
     est = probs.groupBy("query_id", *PASSAGE, "t_ms").agg(
@@ -83,6 +106,60 @@ def station_posterior(hypotheses: DataFrame, queries: DataFrame, weights: DataFr
     return probs.select("query_id", *PASSAGE, "t_ms", "station_id", "p"), est
 
 
+def _likelihood(r: int, floor: float) -> Column:
+    """How well a draw fits observation number r of its query: whole at the station that it names, ``floor`` elsewhere."""
+    seen = F.get("seen", F.lit(r))
+    at = _at((seen["ts_ms"] - F.col("entry_ts")) / 1000.0)
+    return F.when(F.get("stations", at["pos"]) == seen["station_id"], 1.0).otherwise(floor)
+
+
+def _tempering(rounds: int, floor: float) -> Column:
+    """What the rounds so far have made of a draw's weight: the product of 1 - share + share * likelihood / score."""
+    out = F.lit(1.0)
+    for r in range(rounds):
+        b, s = F.get("shares", F.lit(r)), F.get("scores", F.lit(r))
+        out = out * F.coalesce(1 - b + b * _likelihood(r, floor) / s, F.lit(1.0))
+    return out
+
+
+def evidence_feedback(passages: DataFrame, times: DataFrame, evidence: DataFrame, rounds: int = 2, recent_ms: int = 600_000, floor: float = 0.05,
+                      k: int = 200, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Station chances at each zone time after the last ``rounds`` anonymous observations of the ``recent_ms`` before it; with estimates.
+
+    An observation is shared by the units inside at its time in proportion to how well their draws explain it, and each unit's draws are
+    weighted by 1 - share + share * likelihood / score; the next observation meets the changed weights. A round is one pass over all
+    zones and times at once: draws shrink to one score a unit, scores are summed per observation, and the shares go back
+    to the units' rows. Only scores and shares travel; the draws' weights are made again from them in place.
+
+    ``evidence``: run_id, zone_id, evidence_id, ts_ms, station_id; ``times``: run_id, zone_id, t_ms.
+    """
+    board = ["run_id", "zone_id", "t_ms"]
+    slot = lambda c: slice_number(c, recent_ms)
+    near = times.withColumn("slot", F.explode(F.sequence(slot(F.col("t_ms") - recent_ms), slot("t_ms")))).join(
+        evidence.withColumn("slot", slot("ts_ms")), ["run_id", "zone_id", "slot"]).filter((F.col("ts_ms") <= F.col("t_ms")) & (F.col("ts_ms") > F.col("t_ms") - recent_ms))
+    last = near.withColumn("back", F.row_number().over(Window.partitionBy(*board).orderBy(F.desc("ts_ms"), F.desc("evidence_id")))).filter(F.col("back") <= rounds)
+    seen = last.groupBy(*board).agg(F.array_sort(F.collect_list(F.struct("ts_ms", "evidence_id", "station_id"))).alias("seen"))
+    # who was inside at any of the observations: all that were there within recent_ms before the time
+    wide = passages.withColumn("left_ts", F.col("exit_ts")).withColumn("exit_ts", F.col("exit_ts") + recent_ms)
+    none = F.array().cast("array<double>")
+    state = active_queries(wide, times).join(passages.select(*PASSAGE, F.col("exit_ts").alias("left_ts")), PASSAGE).join(seen, board, "left").select(
+        "query_id", *PASSAGE, "t_ms", "left_ts", F.coalesce("seen", F.array().cast(seen.schema["seen"].dataType)).alias("seen"), none.alias("shares"), none.alias("scores"))
+    for r in range(rounds):
+        ts = F.get("seen", F.lit(r))["ts_ms"]
+        inside = (F.col("entry_ts") <= ts) & (F.col("left_ts").isNull() | (F.col("left_ts") > ts))
+        state = cut_lineage(state)
+        j = _asked_particles(passages, state.filter(inside), k, seed)
+        w = _at((ts - F.col("entry_ts")) / 1000.0)["w"] * _tempering(r, floor)
+        scores = j.select("query_id", "t_ms", *PASSAGE, w.alias("w"), _likelihood(r, floor).alias("lik")).groupBy("query_id", *PASSAGE, "t_ms").agg(
+            (F.sum(F.col("w") * F.col("lik")) / F.sum("w")).alias("score"))
+        whole = scores.groupBy(*board).agg(F.sum("score").alias("whole"))
+        shared = scores.join(whole, board).select("query_id", F.col("score"), (F.col("score") / F.col("whole")).alias("share"))
+        state = state.join(shared, "query_id", "left").select(
+            "query_id", *PASSAGE, "t_ms", "left_ts", "seen", F.array_append("shares", F.col("share")).alias("shares"), F.array_append("scores", F.col("score")).alias("scores"))
+    still = state.filter(F.col("left_ts").isNull() | (F.col("t_ms") < F.col("left_ts")))
+    return station_posterior(passages, cut_lineage(still).drop("left_ts"), k, seed, _tempering(rounds, floor))
+
+
 def active_queries(passages: DataFrame, times: DataFrame, slice_ms: int = 600_000) -> DataFrame:
     """(passage, time) for every zone time at which the passage is inside (exit_ts may be NULL = still in).
 
@@ -169,7 +246,7 @@ def evidence_association(probs: DataFrame, evidence: DataFrame) -> DataFrame:
 
     ``probs``: station chances (``station_posterior``) asked at the observations' times, with run_id, zone_id,
     unit_id, t_ms, station_id, p; ``evidence``: run_id, zone_id, evidence_id, ts_ms, station_id. share = p / sum of
-    p over the units inside; observations don't feed back into the chances. One equi-join and one sum per
+    p over the units inside; here observations don't feed back into the chances (see ``evidence_feedback``). One equi-join and one sum per
     observation; an observation that no unit can explain has no row.
     """
     p = probs.filter("p > 0").select("run_id", "zone_id", "unit_id", F.col("t_ms").alias("ts_ms"), "station_id", F.col("p").alias("score"))

@@ -288,7 +288,7 @@ def test_occupancy_is_seeded_and_places_units(spark):
     h = oc.draw_hypotheses(passages(spark), 100)
     assert sorted(map(str, h.collect())) == sorted(map(str, oc.draw_hypotheses(passages(spark).repartition(3), 100).collect()))
     q = spark.createDataFrame([("q1", "r", "Z", "U1", 0, 20_000), ("q2", "r", "Z", "U1", 0, 60_000)], "query_id string, run_id string, zone_id string, unit_id string, entry_ts long, t_ms long")
-    est = {r.query_id: r for r in oc.station_posterior(h, q)[1].collect()}
+    est = {r.query_id: r for r in oc.station_posterior(passages(spark), q, 100)[1].collect()}
     assert est["q1"].most_likely_station == "A" and est["q2"].most_likely_station == "B" and est["q1"].progress_mean == pytest.approx(.5, abs=.03)
     c = oc.expected_crossings(h, spark.createDataFrame([("r", "Z", "B", 1_000_000)], "run_id string, zone_id string, station_id string, t_ms long")).first()
     assert (c.arrivals10, c.arrivals_prev, c.services_prev) == (pytest.approx(0), pytest.approx(2), pytest.approx(2))
@@ -299,7 +299,7 @@ def test_evidence_shares(spark):
                               "run_id string, zone_id string, evidence_id long, ts_ms long, station_id string, progress double, std double")
     p = passages(spark)
     q = oc.active_queries(p, e.select("run_id", "zone_id", "ts_ms").withColumnRenamed("ts_ms", "t_ms"))
-    rows = oc.evidence_association(oc.station_posterior(oc.draw_hypotheses(p, 200), q)[0], e).collect()
+    rows = oc.evidence_association(oc.station_posterior(p, q, 200)[0], e).collect()
     first = [r for r in rows if r.evidence_id == 1]
     assert [(r.unit_id, r.share) for r in first] == [("U1", 1.0)]
     second = {r.unit_id: r.share for r in rows if r.evidence_id == 2}
@@ -392,3 +392,40 @@ def test_calibration_quality_takes_the_nearest_own_model_once_per_request(spark)
     got = {r.request_id: (r.level, r.load_key, r.shape, r.scale, round(r.quality, 6)) for r in ca.calibration_quality(requests, models, fallback).collect()}
     assert got == {1: ("local", "3", 2.0, 5.0, round(0.97 * 0.55, 6)), 2: ("local", "5", 9.0, 9.0, 0.92), 3: ("band", bands, 4.0, 1.0, 0.88),
                    4: ("processing_dwell", None, 1.0, 1.5, 0.42), 5: ("processing_dwell", None, 7.0, 7.5, 0.42), 6: ("processing_dwell", None, None, None, 0.42)}
+
+
+def test_observations_change_beliefs_round_by_round(spark):
+    """What is seen weighs the draws of the units inside, and the second observation meets the changed weights."""
+    p = passages(spark).withColumn("shapes", F.array(F.lit(4.0), F.lit(4.0))).withColumn("scales", F.array(F.lit(10.0), F.lit(10.0)))
+    times = spark.createDataFrame([("r", "Z", 45_000), ("r", "Z", 300_000)], "run_id string, zone_id string, t_ms long")
+    seen = spark.createDataFrame([("r", "Z", 1, 42_000, "B"), ("r", "Z", 2, 41_000, "A"), ("r", "Z", 3, 39_000, "A")],
+                                 "run_id string, zone_id string, evidence_id long, ts_ms long, station_id string")
+    k, floor = 60, 0.05
+    draws = {}
+    for h in oc.draw_hypotheses(p, k).collect():
+        draws.setdefault((h.unit_id, h.entry_ts), []).append(list(h.cum_t))
+
+    def station(cum, elapsed):
+        return ["A", "B"][min(sum(c <= elapsed for c in cum), 1)]
+
+    def alive(cum, elapsed):
+        return 1e-6 if cum[-1] < elapsed else 1.0
+
+    weight = {u: [1.0] * k for u in draws}
+    for ts, at in ((41_000, "A"), (42_000, "B")):  # the last two, in order
+        fits = {u: [1.0 if station(c, (ts - u[1]) / 1000) == at else floor for c in draws[u]] for u in draws}
+        base = {u: [w * alive(c, (ts - u[1]) / 1000) for w, c in zip(weight[u], draws[u])] for u in draws}
+        score = {u: sum(w * x for w, x in zip(base[u], fits[u])) / sum(base[u]) for u in draws}
+        for u in draws:
+            share = score[u] / sum(score.values())
+            weight[u] = [w * (1 - share + share * x / score[u]) for w, x in zip(weight[u], fits[u])]
+    want = {}
+    for u in draws:
+        w = [x * alive(c, (45_000 - u[1]) / 1000) for x, c in zip(weight[u], draws[u])]
+        for x, c in zip(w, draws[u]):
+            key = (u[0], station(c, (45_000 - u[1]) / 1000))
+            want[key] = want.get(key, 0) + x / sum(w)
+    got = {(r.unit_id, r.station_id): r.p for r in oc.evidence_feedback(p, times, seen, 2, k=k)[0].collect()}
+    assert got == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
+    plain = {(r.unit_id, r.station_id): r.p for r in oc.evidence_feedback(p, times, seen, 0, k=k)[0].collect()}
+    assert plain.keys() == got.keys() and plain != got
