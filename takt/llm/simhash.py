@@ -186,9 +186,10 @@ def keep_first(docs: DataFrame, shingle: int = near_copies.SHINGLE, similarity:
     columns stay. Of rows with equal doc_id and component the one with the smallest text hash stays, of rows
     equal in both any one. Empty and NULL texts are one component.
     """
-    marked = near_copies.marked(docs, shingle)
+    order = near_copies.order_of(docs, shingle, similarity)
+    marked = near_copies.marked(docs, order, shingle)
     firsts = settled(near_copies.first_rows(marked))
-    found = near_copies.near_components(docs, marked, firsts, shingle, similarity)
+    found = near_copies.near_components(docs, firsts, order, shingle, similarity)
     kept = (firsts.join(found, firsts["shape"] == found["node"], "left").groupBy(F.coalesce("component", "shape").alias("class"))
             .agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("at_doc"), F.col("first.content").alias("at_content")))
     out = docs.join(kept, near_copies.same_row(docs, kept), "left_semi")
