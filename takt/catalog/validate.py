@@ -142,8 +142,37 @@ def factory_rules(spark, d):
     return va.factory_rules(s, b.dark_zones(spark, d), c)
 
 
-@query("causal_replay", with_ctes("ev", """
-SELECT 'replay_queue_mean_10m' AS rule, run_id, CAST(event_sequence AS VARCHAR) AS key, station_id AS detail FROM ev WHERE event_sequence % 100 = 0"""))
+def _planted(f, n: int, numbers: list[str], text: str | None = None):
+    """Every n-th row has one wrong value: column number i of ``numbers`` is one too high in rows i mod n, a text is another in the next."""
+    i = F.col("prediction_event_sequence") % n
+    for k, c in enumerate(numbers):
+        f = f.withColumn(c, F.when(i == k, F.coalesce(c, F.lit(0)) + 1).otherwise(F.col(c)))
+    return f if text is None else f.withColumn(text, F.when(i == len(numbers), "wrong").otherwise(F.col(text)))
+
+
+def _planted_sql(source: str, n: int, names: list[str], detail: str) -> str:
+    return " UNION ALL ".join(f"SELECT 'replay_{c}' AS rule, run_id, CAST(event_sequence AS VARCHAR) AS key, {detail} AS detail FROM {source} AND event_sequence % {n} = {k}"
+                              for k, c in enumerate(names))
+
+
+_FLOW_WRONG = ["queue_mean_10m", "queue_delta_10m", "cycle_std_10m", "line_fraction", "progress_std", "state_confidence", "arrival_rate_per_min_prev10m"]
+
+
+@query("causal_replay", with_ctes("ev", _planted_sql("ev WHERE true", 50, [*_FLOW_WRONG, "target_eligibility_status"], "station_id")))
 def causal_replay(spark, d):
-    f = flow_rows(spark, d).withColumn("queue_mean_10m", F.when(F.col("prediction_event_sequence") % 100 == 0, F.coalesce("queue_mean_10m", F.lit(0.0)) + 1).otherwise(F.col("queue_mean_10m")))
-    return va.causal_replay(f, b.station_events(spark, d), slice_ms=1_800_000, tol=1e-6)
+    """All flow columns and the label; what differs is what was planted, so all else is as the raw rows say."""
+    f = _planted(flow_rows(spark, d), 50, _FLOW_WRONG, "target_eligibility_status")
+    return va.causal_replay(f, b.station_events(spark, d), b.stations(spark, d), tol=1e-6)
+
+
+_UNIT_WRONG = ["torque_mean_history", "vibration_max_recent", "manual_check_count_cum", "stations_since_last_manual_fail", "queue_history_std"]
+
+
+@query("causal_replay_quality", with_ctes("ev", _planted_sql("ev WHERE event_type = 'UNIT_ARRIVED' AND station_index <= 10", 20, [*_UNIT_WRONG, "supplier_batch"], "unit_id")))
+def causal_replay_quality(spark, d):
+    e = b.station_events(spark, d)
+    arrivals = e.filter("event_type = 'UNIT_ARRIVED' AND station_index <= 10").select(
+        "run_id", "unit_id", F.col("timestamp_ms").alias("t"), F.col("event_sequence").alias("s"), F.col("station_index").alias("at"))
+    assigned = _assigned(spark, d).withColumnRenamed("assigned_unit_id", "unit_id")
+    return va.causal_replay_quality(_planted(unit_features(spark, d), 20, _UNIT_WRONG, "supplier_batch"), arrivals, assigned, e, b.manual_checks(spark, d), b.units(spark, d),
+                                    b.stations(spark, d), tol=1e-6)

@@ -6,7 +6,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from takt.contracts import QUALITY_FEATURES
 from takt.functions import scalar as sc
+from takt.operators import replay
 from takt.operators.slices import previous
 
 RULE_COLUMNS = ["rule", "run_id", "key", "detail"]
@@ -205,46 +207,23 @@ def factory_rules(stations: DataFrame, zones: DataFrame, checkpoints: DataFrame)
                    _rows(inside, "inspection_in_zone", "dark_zone_id", F.col("station_id"))])
 
 
-def causal_replay(features: DataFrame, events: DataFrame, slice_ms: int = 600_000, recent_ms: int = 600_000,
-                  tol: float = 1e-9) -> DataFrame:
-    """Recompute window columns of the flow features from raw rows by another route, and report differences.
-
-    Rows go to their own time slice and, as context, to the later slices whose windows reach back to
-    them; each (station, slice) is recomputed with numpy from first principles (no prefix sums).
-    """
-    reach = -(-2 * recent_ms // slice_ms)
-    own = F.floor(F.col("timestamp_ms") / slice_ms)
-    ctx = (events.filter(~F.col("event_type").isin("DARK_ZONE_ENTERED", "DARK_ZONE_EXITED"))
-           .select("run_id", "station_id", "timestamp_ms", "event_sequence", F.col("queue_length_after").alias("q"),
-                   F.col("cycle_time_ms").alias("c"), "event_type", own.alias("own"),
-                   F.explode(F.sequence(own, own + reach)).alias("slice")))
-    cols = ["queue_mean_10m", "queue_std_10m", "queue_max_10m", "cycle_mean_10m", "cycle_std_10m", "cycle_max_10m",
-            "arrival_rate_per_min_10m", "service_rate_per_min_10m", "arrival_rate_per_min_prev10m",
-            "service_rate_per_min_prev10m", "queue_delta_10m"]
-    schema = "run_id string, station_id string, prediction_event_sequence long, " + ", ".join(f"r_{c} double" for c in cols)
-
-    def replay(key, pdf):
-        import numpy as np
-        import pandas as pd
-        pdf = pdf.sort_values(["timestamp_ms", "event_sequence"], kind="stable")
-        t, q, c = (pdf[x].to_numpy(dtype=float) for x in ("timestamp_ms", "q", "c"))
-        arr, srv = (pdf["event_type"].eq(x).to_numpy() for x in ("UNIT_ARRIVED", "PROCESSING_COMPLETED"))
-        mine = np.flatnonzero(pdf["own"].to_numpy() == key[2])
-        seq = pdf["event_sequence"].to_numpy()
-        out = []
-        for i in mine:
-            lo, lo2 = np.searchsorted(t, t[i] - recent_ms), np.searchsorted(t, t[i] - 2 * recent_ms)
-            def three(v):
-                v = v[~np.isnan(v)]
-                return (v.mean() if len(v) else None, v.std(ddof=1) if len(v) > 1 else None, v.max() if len(v) else None)
-            qs, cs, ps = three(q[lo:i + 1]), three(c[lo:i + 1]), three(q[lo2:lo])
-            out.append((key[0], key[1], int(seq[i]), *qs, *cs, arr[lo:i + 1].sum() / 10, srv[lo:i + 1].sum() / 10,
-                        arr[lo2:lo].sum() / 10, srv[lo2:lo].sum() / 10,
-                        None if qs[0] is None or ps[0] is None else qs[0] - ps[0]))
-        return pd.DataFrame(out, columns=["run_id", "station_id", "prediction_event_sequence"] + [f"r_{x}" for x in cols])
-
-    again = ctx.groupBy("run_id", "station_id", "slice").applyInPandas(replay, schema)
-    j = features.join(again, ["run_id", "station_id", "prediction_event_sequence"], "full_outer")
-    rules = {f"replay_{c}": ~(F.col(c).eqNullSafe(F.col(f"r_{c}")) | F.coalesce(
-        F.abs(F.col(c) - F.col(f"r_{c}")) <= tol + tol * F.abs(F.col(f"r_{c}")), F.lit(False))) for c in cols}
-    return _checks(j, "prediction_event_sequence", rules, F.col("station_id"))
+def causal_replay(features: DataFrame, events: DataFrame, stations: DataFrame, tol: float = 1e-9) -> DataFrame:
+    """Flow features, capacity state and label against a replay from raw rows; rows that only one side has are ``replay_missing``."""
+    again = replay.flow_again(events, stations)
+    return _replayed(features, again, replay.FLOW_COLUMNS, F.coalesce("station_id", "again_station_id"), tol)
+
+
+def causal_replay_quality(features: DataFrame, arrivals: DataFrame, assigned: DataFrame, events: DataFrame, manual: DataFrame, units: DataFrame, stations: DataFrame,
+                          tol: float = 1e-9) -> DataFrame:
+    """Unit features against a replay from the raw rows of the unit."""
+    again = replay.quality_again(arrivals, assigned, events, manual, units, stations)
+    return _replayed(features, again, QUALITY_FEATURES, F.col("unit_id"), tol)
+
+
+def _replayed(features: DataFrame, again: DataFrame, columns: list[str], detail: Column, tol: float) -> DataFrame:
+    keys = ["run_id", "prediction_event_sequence"]
+    built = features.withColumn("__built", F.lit(True))
+    j = built.join(again.withColumn("__again", F.lit(True)), keys, "full_outer")
+    both = F.col("__built").isNotNull() & F.col("__again").isNotNull()
+    rules = {name: both & rule for name, rule in replay.differing(columns, dict(features.dtypes), tol).items()}
+    return _checks(j, "prediction_event_sequence", {"replay_missing": ~both, **rules}, detail)
