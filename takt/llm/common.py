@@ -43,8 +43,8 @@ def dropped(spark: SparkSession, folder: str) -> None:
 
 
 def hashed_share(df: DataFrame, n: int, rows: int, *columns: str) -> DataFrame:
-    """About ``rows`` rows, and no more, of the n in df, by a hash of columns: what a fit on a bounded sample may take to the driver."""
-    return df.where(F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) < min(1 << 30, -(-rows * (1 << 30) // max(n, 1)))).limit(rows)
+    """About ``rows`` of the n rows in df, by a hash of columns: what a fit on a bounded sample looks at."""
+    return df.where(F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) < min(1 << 30, -(-rows * (1 << 30) // max(n, 1))))
 
 
 def free_name(df: DataFrame, base: str) -> str:

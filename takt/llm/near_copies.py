@@ -1,14 +1,15 @@
 """Near copies by exact Jaccard similarity of word shingles.
 
 Texts at the limit of similarity differ in far more bits of a 64-bit fingerprint than a ball of few flips reaches, so
-candidates come from an exact join on rare shingles: in any total order of shingles, two sets of similarity t share one of the
-first n - ceil(t n) + 1 of the one and one of the first n - ceil(2 t / (1 + t) n) + 1 of the smaller one. No pair is missed. With rare shingles first, a
-line or passage that many texts share is no key unless nearly the whole text consists of it. Every link is
-verified on the whole shingle sets.
-
-Equal sets are one node. The texts of a key are first linked as a star around the smallest node, which settles groups of near
-copies without listing their pairs; only members that this leaves apart from the key's largest class meet the others, where
-sizes and places of the key allow that similarity at all.
+candidates come from MinHash bands: a pair of similarity s shares a band of ROWS minima with chance s ** ROWS, and
+misses all BANDS of them with chance (1 - s ** ROWS) ** BANDS (3e-6 at 0.8). Every link is then verified on the
+whole shingle sets.
+
+Equal sets are one node. A bucket is first linked as a star around its smallest node, which settles groups of near
+copies without listing their pairs. Texts that share a bucket with another class after that may be alike or may only have a
+passage in common. They go through an exact join on rare shingles: in any total order, two sets of similarity t share one of the first
+n - ceil(t n) + 1 shingles of the one and one of the first n - ceil(2 t / (1 + t) n) + 1 of the smaller one. With rare shingles first, a
+passage that many texts share is no key unless nearly the whole text consists of it.
 """
 from __future__ import annotations
 
@@ -26,7 +27,10 @@ from takt.llm.common import hashed_share, settled
 from takt.llm.components import components
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
-SAMPLE, MOST, LEAST = 20_000, 1 << 18, 3  # texts that the order is learned from, shingles it keeps, texts a common one is in
+BANDS, ROWS = 24, 4
+AT_ONCE = 1 << 12
+SAMPLE, MOST, LEAST = 5_000, 1 << 18, 3  # texts that the order is learned from, shingles it keeps, texts a common one is in
+MULTIPLIERS = np.random.default_rng(SEED).integers(1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: str | None, shingle: int) -> list[int]:
@@ -50,6 +54,17 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, shingle), np.uint64))
 
 
+def bands(made: np.ndarray) -> np.ndarray:
+    """One key a band of a set's minima; an empty set has none."""
+    if not len(made):
+        return np.zeros(0, np.uint64)
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(made), AT_ONCE):  # bounded memory for very long texts
+        part = made[at:at + AT_ONCE, None] ^ MULTIPLIERS[0]
+        low = np.minimum(low, ((part ^ (part >> np.uint64(31))) * MULTIPLIERS[1]).min(axis=0))
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(low.reshape(BANDS, ROWS))], np.uint64)
+
+
 class Order:
     """A total order of shingles, rare ones first, and the parts of a set that it makes responsible for pairs.
 
@@ -93,30 +108,25 @@ def _shape(made: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(made.tobytes(), SEED)
 
 
-def marked(docs: DataFrame, order: Order, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, content, shape, n, keys) of every row: hashes of its text and of its shingle set, its size, and its first shingles in the order.
-
-    NULL and empty texts have an empty set; repeated rows are repeated.
-    """
+def marked(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, content, shape, bands) of every row: hashes of its text and of its shingle set, and the set's band keys."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shapes, sizes, keys = [], [], []
+            shapes, keys = [], []
             for t in batch.column(1):
                 made = shingle_set(t.as_py(), shingle)
                 shapes.append(_shape(made))
-                sizes.append(len(made))
-                keys.append(order.prefix(made).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(shapes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()),
-                                              pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "content", "shape", "n", "keys"])
+                keys.append(bands(made).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(shapes, np.uint64).view(np.int64)),
+                                              pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "content", "shape", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("content"))
-    return settled(rows.mapInArrow(run, "doc_id long, content long, shape long, n int, keys array<long>"))
+    return settled(rows.mapInArrow(run, "doc_id long, content long, shape long, bands array<long>"))
 
 
 def first_rows(rows: DataFrame) -> DataFrame:
-    """(shape, first, n, keys) of every shape; first is the row with the smallest doc_id (rows without one last), then content."""
-    return rows.groupBy("shape").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("first"),
-                                     F.first("n").alias("n"), F.first("keys").alias("keys"))
+    """(shape, first) of every shape: the row with the smallest doc_id (rows without one last), then content."""
+    return rows.groupBy("shape").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("first"))
 
 
 def same_row(docs: DataFrame, rows: DataFrame) -> Column:
@@ -140,32 +150,61 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     one, two = sets.toDF("a", "of_a"), sets.toDF("b", "of_b")
     common = F.size(F.array_intersect("of_a", "of_b"))
     n, m = F.size("of_a"), F.size("of_b")
-    return settled(pairs.join(one, "a").join(two, "b").where(common / (n + m - common) >= similarity).select("a", "b"))
-
-
-def near_components(docs: DataFrame, firsts: DataFrame, order: Order, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, component) of every shape that has a near copy; firsts is ``first_rows`` of ``marked``."""
-    t, both = float(order.t), float(order.both)
-    early = F.col("n") - F.ceil(F.lit(both) * F.col("n") - 1e-9) + 1
-    parts = firsts.select("shape", "n", F.posexplode("keys").alias("at", "key")).withColumn("early", F.col("at") < early)
-    shared = parts.groupBy("key").agg(F.min(F.when(F.col("early"), F.col("shape"))).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1 AND hub IS NOT NULL")
-    members = settled(parts.join(shared.select("key", "hub"), "key"))
-    sets = _sets(docs, firsts.select("shape", "first").join(members.select("shape").distinct(), "shape", "left_semi"), shingle)
-    hubs = members.where("shape = hub").select("key", F.col("n").alias("hub_n"))
-    alike = lambda n, m: F.least(n, m) >= F.lit(t - 1e-9) * F.greatest(n, m)
-    stars = members.where("shape <> hub").join(hubs, "key").where(alike(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("shape").alias("b")).distinct()
-    edges = _verified(stars, sets, similarity)
-    found = components(edges)
-    placed = members.join(found, members["shape"] == found["node"], "left").select(*[members[c] for c in members.columns], F.coalesce("component", "shape").alias("class"))
-    main = placed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("many"), F.max("early").alias("some")).groupBy("key").agg(
-        F.max(F.struct("many", "class"))["class"].alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("key", "main")
-    apart = settled(placed.join(main, "key").where("shape <> hub"))  # hubs have met all
-    x, y = (apart.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("shape", "n", "at", "early", "class", "main")]) for side in "xy")
+    return settled(pairs.join(one, "a").join(two, "b").where(F.least(n, m) / F.greatest(n, m) >= similarity)
+                   .where(common / (n + m - common) >= similarity).select("a", "b"))
+
+
+def _early_keys(sets: DataFrame, order: Order) -> DataFrame:
+    """(shape, n, at, key, early) of every set: its first shingles in the order; early ones may meet a larger set."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for shape, made in zip(batch.column(0).to_pylist(), batch.column(1)):
+                n = len(made)
+                keys = order.prefix(made.values.to_numpy().view(np.uint64)).view(np.int64)
+                early = order.lengths(n)[1]
+                rows.append((np.full(len(keys), shape), np.full(len(keys), n, np.int32), np.arange(len(keys), dtype=np.int32), keys, np.arange(len(keys)) < early))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["shape", "n", "at", "key", "early"])
+
+    return sets.mapInArrow(run, "shape long, n int, at int, key long, early boolean")
+
+
+def _rare_pairs(sets: DataFrame, classes: DataFrame, order: Order) -> DataFrame:
+    """Pairs (a, b) of different classes that a rare shingle brings together and whose sizes allow the similarity: no similar pair is missed.
+
+    Under a key the largest class is not paired with itself; its members only meet those of other classes.
+    """
+    t = float(order.t)
+    parts = _early_keys(sets, order).join(classes, "shape")
+    mixed = parts.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("early").alias("some")).where("low <> high AND some").select("key")
+    parts = settled(parts.join(mixed, "key"))
+    main = parts.groupBy("key", "class").count().groupBy("key").agg(F.max(F.struct("count", "class"))["class"].alias("main"))
+    parts = parts.join(main, "key")
+    x, y = (parts.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("shape", "n", "at", "early", "class", "main")]) for side in "xy")
     n, m = F.col("x_n"), F.col("y_n")
-    # of a pair the smaller set must hold the key early, and what follows the key must be enough to reach the similarity
+    alike = F.least(n, m) >= F.lit(t - 1e-9) * F.greatest(n, m)
+    # the smaller set must hold the key early, and what follows the key must be enough to reach the similarity
     smaller = F.when(n < m, F.col("x_early")).when(m < n, F.col("y_early")).otherwise(F.col("x_early") & F.col("y_early"))
     reach = F.least(n - F.col("x_at"), m - F.col("y_at")) >= F.lit(t / (1 + t)) * (n + m) - 1e-9
-    pairs = x.where("x_class <> x_main").join(y, "key").where(F.col("x_class") != F.col("y_class")).where(
-        (F.col("y_class") == F.col("y_main")) | (F.col("x_shape") < F.col("y_shape"))).where(alike(n, m) & smaller & reach).select(
+    apart = (F.col("x_class") != F.col("y_class")) & ((F.col("y_class") == F.col("y_main")) | (F.col("x_shape") < F.col("y_shape")))
+    return x.where("x_class <> x_main").join(y, "key").where(apart & alike & smaller & reach).select(
         F.least("x_shape", "y_shape").alias("a"), F.greatest("x_shape", "y_shape").alias("b")).distinct()
+
+
+def near_components(docs: DataFrame, rows: DataFrame, firsts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, component) of every shape that has a near copy; rows is ``marked``, firsts its ``first_rows``."""
+    parts = rows.select("shape", F.explode("bands").alias("key"))
+    shared = parts.groupBy("key").agg(F.min("shape").alias("hub"), F.max("shape").alias("top")).where("hub <> top").select("key", "hub")
+    members = settled(parts.join(shared, "key").distinct())
+    sets = _sets(docs, firsts.join(members.select("shape").distinct(), "shape", "left_semi"), shingle)
+    stars = settled(members.where("hub <> shape").select(F.col("hub").alias("a"), F.col("shape").alias("b")).distinct())
+    edges = _verified(stars, sets, similarity)
+    found = components(edges)
+    placed = members.join(found, members["shape"] == found["node"], "left").select("key", "shape", F.coalesce("component", "shape").alias("class"))
+    mixed = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
+    classes = settled(placed.join(mixed, "key", "left_semi").select("shape", "class").distinct())
+    if classes.isEmpty():
+        return found
+    pairs = _rare_pairs(sets.join(classes.select("shape"), "shape", "left_semi"), classes, order_of(docs, shingle, similarity))
     return components(edges.unionByName(_verified(pairs, sets, similarity)))

@@ -218,7 +218,7 @@ def trained(pages: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS, s
     It only changes how well records shrink, never what is in them. Too few bytes to learn from give none; the files then have no
     leading frame.
     """
-    rows = hashed_share(pages, pages.count(), sample, "page_id", "url").select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, chars).alias("html")).collect()
+    rows = hashed_share(pages, pages.count(), sample, "page_id", "url").select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, chars).alias("html")).limit(sample).collect()
     try:
         return zstandard.train_dictionary(size, [record(r["page_id"], r["url"], r["html"].encode(), None, False) for r in rows], k=200, d=8).as_bytes()
     except zstandard.ZstdError:
