@@ -7,12 +7,13 @@ from takt import bindings as b
 from takt.catalog.base import registry, rounded
 from takt.catalog.quality import ASSIGN, UNIT_CTES, _assigned, unit_features
 from takt.catalog.sql import with_ctes
-from takt.contracts import QUALITY_FEATURES, SIGNALS
+from takt.contracts import QUALITY_FEATURES, SIGNALS, TABLES
 from takt.functions import scalar as sc
 from takt.operators import aggregate as ag
 from takt.operators import joins as jn
 from takt.operators import select as sel
 from takt.plans import unit_quality as uq
+from takt.sources import bundles as bd
 from takt.sources import bus as bs
 from takt.sources import runs as rs
 from takt.sources import sinks as sk
@@ -245,6 +246,18 @@ def read_run_table(spark, d):
     return rs.with_event_sequence(t).select("run_id", "timestamp_ms", "event_sequence", "event_type", "station_id", "unit_id", "queue_length_after", "cycle_time_ms")
 
 
+@query("read_run_bundles", with_ctes("ev", "SELECT run_id, timestamp_ms, event_sequence, event_type, station_id, unit_id, queue_length_after, cycle_time_ms FROM ev"))
+def read_run_bundles(spark, d):
+    """Every run's events written as a zip and all zips read back, entry by entry."""
+    e = b.station_events(spark, d)
+    names = [c for c in TABLES["station_events"].names if c not in e.columns and c != "event_id"]
+    rows = e.withColumn("event_id", F.concat(F.lit("EVT-"), "event_sequence")).withColumns({c: F.lit(None).cast(TABLES["station_events"][c].dataType) for c in names})
+    folder = rs.shared_folder(spark)
+    bd.write_run_bundles(rows, folder, "station_events", ["event_sequence"])
+    back = bd.read_run_bundles(spark, f"{folder}/*.zip", "station_events")
+    return rs.with_event_sequence(back).select("run_id", "timestamp_ms", "event_sequence", "event_type", "station_id", "unit_id", "queue_length_after", "cycle_time_ms")
+
+
 @query("discover_runs", with_ctes("runs", "SELECT run_id, 7 AS n_missing, false AS complete FROM runs"))
 def discover_runs(spark, d):
     root = _csv_runs(spark, d)

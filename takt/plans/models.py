@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from takt.functions import scalar as sc
 from takt.operators import evaluate as ev
-from takt.operators.slices import beside
+from takt.operators.slices import beside, numbered
 from takt.session import cut_lineage
 
 
@@ -21,20 +21,44 @@ def _numeric(df: DataFrame, numeric: list[str]) -> DataFrame:
                      *[F.col(c).isNull().cast("double").alias(f"m_{c}") for c in numeric])
 
 
-def _pipeline(numeric: list[str], categorical: list[str], target: str, weight: str | None, iterations: int, depth: int, seed: int,
-              levels: int) -> Pipeline:
-    """``levels`` is the largest number of different values of a categorical column: trees need a bin for each."""
-    index = [StringIndexer(inputCol=c, outputCol=f"i_{c}", handleInvalid="keep", stringOrderType="alphabetAsc") for c in categorical]
-    parts = [f"n_{c}" for c in numeric] + [f"m_{c}" for c in numeric] + [f"i_{c}" for c in categorical]
-    gbt = GBTClassifier(labelCol=target, featuresCol="features", maxIter=iterations, maxDepth=depth, seed=seed, maxBins=max(64, levels + 2))
+VALIDATION = "in_validation"
+
+
+def _pipeline(numeric: list[str], levels: dict[str, list[str]], target: str, weight: str | None, iterations: int, depth: int, seed: int, early_stop: bool = False) -> Pipeline:
+    """``levels`` are the frozen values of the categorical columns; any other value is a level of its own.
+
+    With ``early_stop`` rows marked ``in_validation`` are not learned from: boosting ends when their error no longer falls.
+    """
+    index = [StringIndexerModel.from_labels(values, inputCol=c, outputCol=f"i_{c}", handleInvalid="keep") for c, values in levels.items()]
+    parts = [f"n_{c}" for c in numeric] + [f"m_{c}" for c in numeric] + [f"i_{c}" for c in levels]
+    gbt = GBTClassifier(labelCol=target, featuresCol="features", maxIter=iterations, maxDepth=depth, seed=seed, maxBins=max(64, 2 + max([0, *map(len, levels.values())])), validationTol=STOP_TOL)
+    if early_stop:
+        gbt = gbt.setValidationIndicatorCol(VALIDATION)
     if weight:
         gbt = gbt.setWeightCol(weight)
     return Pipeline(stages=[*index, VectorAssembler(inputCols=parts, outputCol="features"), gbt])
 
 
-def most_levels(df: DataFrame, categorical: list[str]) -> int:
-    """The largest number of different values of any of the columns."""
-    return max([0, *df.agg(*[F.count_distinct(c).alias(c) for c in categorical]).first()]) if categorical else 0
+STOP_TOL = 0.0  # boosting ends with the first tree after which the validation error rises
+
+
+def known_levels(df: DataFrame, categorical: list[str]) -> dict[str, list[str]]:
+    """The values of each categorical column, in order: what a model's contract freezes. A line has as many as it has stations or kinds."""
+    if not categorical:
+        return {}
+    row = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in categorical]).first()
+    return {c: list(row[c]) for c in categorical}
+
+
+def balanced_weight(df: DataFrame, target: str) -> DataFrame:
+    """df with ``weight``: positives weigh together as much as negatives."""
+    counts = df.agg(F.count_if(F.col(target) == 1).alias("__pos"), F.count(F.lit(1)).alias("__all"))
+    up = (F.col("__all") - F.col("__pos")) / F.greatest(F.col("__pos"), F.lit(1))
+    return beside(df, counts).withColumn("weight", F.when(F.col(target) == 1, up).otherwise(1.0)).drop("__pos", "__all")
+
+
+def n_trees(model: PipelineModel) -> int:
+    return model.stages[-1].getNumTrees
 
 
 def score_features(model: PipelineModel, features: DataFrame, numeric: list[str], threshold: float | None = None) -> DataFrame:
@@ -55,35 +79,69 @@ def importance(model: PipelineModel) -> DataFrame:
     return SparkSession.active().createDataFrame(list(zip(names, values)), "feature string, importance double")
 
 
-def train_risk_model(features: DataFrame, split: DataFrame, numeric: list[str], categorical: list[str], target: str, weight: str | None = None,
-                     iterations: int = 10, depth: int = 3, seed: int = 7) -> tuple[PipelineModel, float, DataFrame]:
-    """Fit on training runs, pick the F2 threshold on validation runs, report both splits.
+def train_risk_model(features: DataFrame, split: DataFrame, numeric: list[str], categorical: list[str], target: str, iterations: int = 20, depth: int = 3, seed: int = 7,
+                     levels: dict[str, list[str]] | None = None, class_weight: bool = True) -> tuple[PipelineModel, float, DataFrame]:
+    """Fit on training runs, stop boosting and pick the F2 threshold on validation runs, report the splits with the number of trees.
 
-    The labelled feature table is written out once: boosting passes over it many times.
+    ``levels`` freezes the values of categorical columns (default: those of the whole table, not of the training part). The labelled
+    feature table is written out once: boosting passes over it many times.
     """
     data = cut_lineage(features.filter(F.col(target).isNotNull()).join(split, "run_id"))
-    levels = most_levels(data, categorical)
-    model = _pipeline(numeric, categorical, target, weight, iterations, depth, seed, levels).fit(_numeric(data.filter("split = 'train'"), numeric))
+    levels = levels or known_levels(data, categorical)
+    learn = data.filter("split <> 'test'").withColumn(VALIDATION, F.col("split") == "val")
+    weight = "weight" if class_weight else None
+    learn = balanced_weight(learn, target) if class_weight else learn
+    model = _pipeline(numeric, levels, target, weight, iterations, depth, seed, early_stop=True).fit(_numeric(learn, numeric))
     scored = cut_lineage(score_features(model, data, numeric).withColumn("y", F.col(target)).select("run_id", "split", "y", "score"))
     best = ev.pick_threshold(scored.filter("split = 'val'"), 2.0).select("threshold").first()
     threshold = float(best["threshold"]) if best else 0.5
-    table = ev.metric_table(scored, ["split"]).join(ev.confusion(scored, threshold, ["split"]), "split").withColumn("threshold", F.lit(threshold))
+    table = ev.metric_table(scored, ["split"]).join(ev.confusion(scored, threshold, ["split"]), "split").withColumn("threshold", F.lit(threshold)).withColumn(
+        "n_trees", F.lit(n_trees(model))).withColumn("most_trees", F.lit(iterations))
     return model, threshold, table
 
 
-def cross_run_cv(features: DataFrame, folds: int, numeric: list[str], categorical: list[str], target: str, iterations: int = 5, depth: int = 3,
-                 seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """Whole-run folds: every row is scored once by a model that never saw its run. The driver loops
-    over folds only; each fit is distributed."""
-    data = cut_lineage(features.filter(F.col(target).isNotNull()).join(ev.group_folds(features, folds, seed), "run_id"))
-    levels = most_levels(data, categorical)
-    out = None
+def stratified_folds(rows: DataFrame, target: str, k: int, seed: int = 0) -> DataFrame:
+    """(run_id, fold): whole runs, dealt by their positives in a snake, so folds hold similar numbers of them; equal runs in seeded hash order."""
+    runs = rows.groupBy("run_id").agg(F.count_if(F.col(target) == 1).alias("positives"))
+    at = runs.withColumn("less", -F.col("positives")).withColumn("h", F.sha2(F.concat_ws("|", F.lit(str(seed)), "run_id"), 256)).withColumn("one", F.lit(0))
+    i = F.col("rn") - 1
+    dealt = numbered(at, ["one"], ["less", "h"], slice_col=F.col("less"))  # runs of as many positives are a slice
+    return dealt.select("run_id", F.when(F.floor(i / k) % 2 == 0, i % k).otherwise(k - 1 - i % k).cast("int").alias("fold"))
+
+
+def cross_run_cv(features: DataFrame, folds: int, numeric: list[str], categorical: list[str], target: str, iterations: int = 12, depth: int = 3, seed: int = 7,
+                 inner: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Nested folds of whole runs: every row is scored once, by a model that never saw its run, with trees and threshold that inner folds chose.
+
+    Outer and inner folds deal runs by their positives. Inside the training part of an outer fold, each inner fold in turn stops the
+    boosting of a model fitted on the others; the middle number of trees is taken, and the F2 threshold of all inner scores. The
+    driver loops over folds only; each fit is distributed. Returns the rows with score, and per fold its metrics with what was chosen.
+    """
+    whole = features.filter(F.col(target).isNotNull())
+    data = cut_lineage(whole.join(stratified_folds(whole, target, folds, seed), "run_id"))
+    levels = known_levels(data, categorical)
+    out, chosen = None, []
     for k in range(folds):
-        m = _pipeline(numeric, categorical, target, None, iterations, depth, seed, levels).fit(_numeric(data.filter(F.col("fold") != k), numeric))
+        rest = data.filter(F.col("fold") != k)
+        part = cut_lineage(rest.join(stratified_folds(rest, target, inner, seed + 1).withColumnRenamed("fold", "inner_fold"), "run_id"))
+        trees, seen = [], None
+        for j in range(inner):
+            marked = balanced_weight(part.withColumn(VALIDATION, F.col("inner_fold") == j), target)
+            m = _pipeline(numeric, levels, target, "weight", iterations, depth, seed, early_stop=True).fit(_numeric(marked, numeric))
+            trees.append(n_trees(m))
+            s = score_features(m, part.filter(F.col("inner_fold") == j), numeric).select(F.col(target).alias("y"), "score")
+            seen = s if seen is None else seen.unionByName(s)
+        best = ev.pick_threshold(cut_lineage(seen), 2.0).select("threshold").first()
+        chosen.append((k, sorted(trees)[len(trees) // 2], float(best["threshold"]) if best else 0.5))
+        m = _pipeline(numeric, levels, target, "weight", chosen[-1][1], depth, seed).fit(_numeric(balanced_weight(rest, target), numeric))
         s = score_features(m, data.filter(F.col("fold") == k), numeric)
         out = s if out is None else out.unionByName(s)
-    scored = cut_lineage(out.withColumn("y", F.col(target)))
-    return scored, ev.metric_table(scored, ["fold"])
+    picked = data.sparkSession.createDataFrame(chosen, "fold int, n_trees int, threshold double")
+    scored = cut_lineage(out.withColumn("y", F.col(target)).join(picked, "fold"))
+    hit = F.col("score") >= F.col("threshold")
+    at = scored.groupBy("fold", "n_trees", "threshold").agg(F.count_if(hit & (F.col("y") == 1)).alias("tp"), F.count_if(hit & (F.col("y") == 0)).alias("fp"),
+                                                             F.count_if(~hit & (F.col("y") == 1)).alias("fn"))
+    return scored, ev.metric_table(scored, ["fold"]).join(at, "fold")
 
 
 def _platt(train: DataFrame, rows: DataFrame) -> DataFrame:

@@ -92,42 +92,6 @@ def stream_health(preds: DataFrame) -> DataFrame:
     return preds.agg(F.count_if(~bad).alias("records"), F.count_if(bad).alias("malformed_lines"))
 
 
-def read_run_bundles(spark: SparkSession, glob: str, table: str) -> DataFrame:
-    """One table out of zipped run folders; a task holds one zip at a time."""
-    schema = TABLES[table]
-    out = T.StructType([T.StructField("run_id", T.StringType())] + [f for f in schema.fields if f.name != "run_id"])
-    names = [f.name for f in schema.fields]
-    numeric = {f.name for f in schema.fields if isinstance(f.dataType, (T.DoubleType, T.LongType, T.IntegerType))}
-    whole = {f.name for f in schema.fields if isinstance(f.dataType, (T.LongType, T.IntegerType))}
-    flags = {f.name for f in schema.fields if isinstance(f.dataType, T.BooleanType)}
-
-    def unzip(batches):
-        import io
-        import os
-        import zipfile
-
-        import pandas as pd
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    inside = {os.path.basename(n): n for n in z.namelist() if not n.endswith("/")}
-                    if f"{table}.csv" not in inside:
-                        raise ValueError(f"{path}: {table}.csv is missing")
-                    with z.open(inside[f"{table}.csv"]) as f:
-                        for t in pd.read_csv(f, dtype=str, chunksize=100_000):
-                            t = t.reindex(columns=names)
-                            for c in numeric:
-                                t[c] = pd.to_numeric(t[c], errors="coerce")
-                                if c in whole:
-                                    t[c] = t[c].astype("Int64")
-                            for c in flags:
-                                t[c] = t[c].str.strip().str.lower().isin(["true", "1", "yes", "y"])
-                            t.insert(0, "run_id", os.path.splitext(os.path.basename(path))[0]) if "run_id" not in t else None
-                            yield t[out.names].astype(object).where(t.notna(), None)
-
-    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(unzip, out)
-
-
 def read_features(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Materialised features: parquet, or CSV with an explicit schema."""
     if path.endswith(".csv") or schema is not None:

@@ -23,6 +23,7 @@ from takt.operators import windows as wn
 from takt.plans import station_flow as sf
 from takt.plans import unit_quality as uq
 from takt.sources import runs as rs
+from takt.sources.bundles import read_run_bundles
 from takt.sources import sinks as sk
 
 EV = "run_id string, station_id string, unit_id string, timestamp_ms long, event_sequence long, event_type string, queue_length_after double, cycle_time_ms double"
@@ -359,8 +360,17 @@ def test_missing_run_parts_and_bundles(spark, tmp_path):
     assert rs.read_run_table(spark, str(tmp_path), "units").filter("run_id = 'run_a'").first().created_at_ms == 5
     with zipfile.ZipFile(tmp_path / "run_z.zip", "w") as z:
         z.writestr("run_z/units.csv", "unit_id,created_at_ms,vehicle_model,supplier_batch\nU9,7,M,\n")
-    r = rs.read_run_bundles(spark, str(tmp_path / "*.zip"), "units").first()
+    r = read_run_bundles(spark, str(tmp_path / "*.zip"), "units").first()
     assert (r.run_id, r.unit_id, r.created_at_ms, r.supplier_batch) == ("run_z", "U9", 7, None)
+    with zipfile.ZipFile(tmp_path / "two.zip", "w") as z:  # several runs, a bad number, a missing column, no folder
+        z.writestr("run_p/units.csv", "unit_id,created_at_ms,vehicle_model\nU1,x,M\n" + "U2,8,M\n" * 50_000)
+        z.writestr("units.csv", "unit_id,created_at_ms,vehicle_model,supplier_batch\n")
+        z.writestr("run_q/units.csv", "run_id,unit_id,created_at_ms\nrun_other,U3,9.0\n")
+    two = read_run_bundles(spark, str(tmp_path / "two.zip"), "units")
+    assert two.rdd.getNumPartitions() == 3 and two.count() == 50_002
+    assert sorted(map(tuple, two.filter("unit_id <> 'U2'").collect())) == [("run_other", "U3", 9, None, None), ("run_p", "U1", None, "M", None)]
+    with pytest.raises(Exception, match="stations.csv is missing"):
+        read_run_bundles(spark, str(tmp_path / "two.zip"), "stations").count()
     assert rs.read_prediction_stream(spark, str(tmp_path / "none"), "defect").count() == 0
 
 
