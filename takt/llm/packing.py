@@ -71,7 +71,7 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 def packed(pieces: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Pieces with the sequence they lie in and their place there.
 
-    Pieces are dealt by a hash of themselves into groups of about ``group_pieces``, far more than a sequence
+    Pieces are dealt by a hash of themselves and their number into groups of about ``group_pieces``, far more than a sequence
     holds, so groups lose next to nothing and no task grows with the data, whatever documents are like. In a
     group the largest pieces come first; full ones fill their sequence alone. Sequence numbers are unique over
     all groups; offsets of a sequence are gapless from 0. No pieces give no rows.
@@ -86,7 +86,8 @@ def packed(pieces: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PI
         part["offset"] = offset
         return part.drop(columns="group_")
 
-    dealt = held.withColumn("group_", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(3)), F.lit(groups)).cast("long"))
+    # the number of a row in what was written makes copies differ; it is read back the same by any task that runs again
+    dealt = held.withColumn("group_", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
     return dealt.groupBy("group_").applyInPandas(run, PLACED)
 
 

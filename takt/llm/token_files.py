@@ -124,12 +124,13 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end
                  rows_a_shard: int = ROWS_A_SHARD, batch: int = SEQUENCES_A_BATCH) -> list:
     """Write all documents below folder in ascending doc_id order; return (shard, path, n_docs, n_tokens) of each shard.
 
-    Documents are dealt by ranges of doc_id, so shards follow each other; each is written batch by batch as it is
+    Documents are dealt by ranges of (doc_id, hash of the text), so shards follow each other; each is written batch by batch as it is
     read, by one task. The list has one short row a shard.
     """
     shards = max(1, -(-docs.count() // rows_a_shard))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(shards, F.col("doc_id").asc_nulls_last())
-    rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
+    place = [F.col("doc_id").asc_nulls_last(), F.col("content")]  # many rows of one doc_id, or without one, are spread by their text
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("content")).repartitionByRange(shards, *place)
+    rows = rows.sortWithinPartitions(*place, "text").select("doc_id", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
@@ -171,7 +172,7 @@ def written_tokens(docs: DataFrame, folder: str | None = None, **settings) -> Da
     """Write docs as token files in folder (a new one in the shared folder by default) and report what they hold.
 
     Per row: doc_id, start (ids of all documents before it), n_tokens (end id included), ids_crc32. NULL and
-    empty texts hold the end id alone. Repeated doc_ids lie next to each other by text; rows without a doc_id come
+    empty texts hold the end id alone. Repeated doc_ids lie next to each other, by a hash of their text; rows without a doc_id come
     last. An empty table writes no shard and gives no row. Other columns are not read.
     """
     spark = docs.sparkSession

@@ -23,13 +23,15 @@ class TextEncoder:
     characters for byte-level vocabularies (the space belongs to the next word), at white space for vocabularies
     that drop it and mark word ends. Each different unit of a chunk is looked up once; ids of units are
     remembered, and forgotten all at once when too many are held. New units of the shape letters + marks are
-    encoded as one text and cut where a unit begins or ends; all others, whatever they hold, one by one.
+    encoded as one text and cut where a unit begins or ends; all others, whatever they hold, one by one. A text that
+    holds the string of a special token is encoded whole: that string is one token, whatever surrounds it.
     """
 
     def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE)
         vocabulary = self.tokenizer.get_vocab()
         self.size = max(vocabulary.values()) + 1
         ends, begins = np.zeros(self.size, bool), np.zeros(self.size, bool)
@@ -68,6 +70,15 @@ class TextEncoder:
         return lists.values, starts, starts[:-1]
 
     def _chunk(self, texts: list[str]) -> Iterator[np.ndarray]:
+        whole = [i for i, t in enumerate(texts) if self.special.search(t)]
+        if not whole:
+            yield from self._plain(texts)
+            return
+        encoded = dict(zip(whole, (np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False))))
+        for i, ids in enumerate(self._plain(["" if i in encoded else t for i, t in enumerate(texts)])):
+            yield encoded.get(i, ids)
+
+    def _plain(self, texts: list[str]) -> Iterator[np.ndarray]:
         units, bounds, first = self._cut(texts)
         coded = units.dictionary_encode()
         distinct, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 import zstandard
 
@@ -15,6 +16,7 @@ from takt.llm import quality_rules as rules
 from takt.llm import secret_scan as secrets
 from takt.llm import url_filter as urls
 from takt.llm.tokens import encoder
+from tokenizers import Tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", " ", "\n\n", "a", "é\u0301 \u3000x\u00a0y", "a b c d e a b c d e f", "x|y* #$%&<>", "l\nl\nl\n \n\nl ", "ß\r\nß\t\x0b\x0cß", "\x1c\x85 w"]
@@ -181,12 +183,14 @@ def test_urls_of_every_shape(spark):
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_ids_equal_encoding_each_text_whole(name):
     draw = random.Random(2)
-    parts = ["a", "B", " ", "  ", "\n", "\t", "é", "e\u0301", "\u00a0", "\u3000", "'s", "'", "12", "\u0663", "ß", "İ", "Σς", "<|endoftext|>", "</w>", "\x1c", "\x85", "漢字", "🙂",
+    parts = ["a", "B", " ", "  ", "\n", "\t", "é", "e\u0301", "\u00a0", "\u3000", "'s", "'", "12", "\u0663", "ß", "İ", "Σς", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "|>", "</w>", "\x1c", "\x85", "漢字", "🙂",
              ".", "...", "_", "ª", "ǅ", "ﬁ", "Ġ", "\u0361", "\u212a", "don't ", "abc", "de,", "Éa.", "\0"]
     texts = [None, "", " "] + ["".join(draw.choices(parts, k=draw.randint(0, 14))) for _ in range(5000)]
+    texts += ["Hello<|endoftext|> there <|endoftext|>", "<|endoftext|>" * 3]
     found = list(encoder(name).encode(texts))
+    fresh = Tokenizer.from_file(public_tokenizers.path(name))  # as it comes, with no option set
     for text, ids in zip(texts, found, strict=True):
-        assert np.array_equal(encoder(name).tokenizer.encode(text or "", add_special_tokens=False).ids, ids), repr(text)
+        assert np.array_equal(fresh.encode(text or "", add_special_tokens=False).ids, ids), repr(text)
 
 
 def test_classifier_learns_and_scores_the_sum_of_its_features(spark):
