@@ -5,8 +5,8 @@ candidates come from MinHash bands: a pair of similarity s shares a band of ROWS
 misses all BANDS of them with chance (1 - s ** ROWS) ** BANDS (3e-6 at 0.8). Every link is then verified on the
 whole shingle sets.
 
-Equal sets are one node. A bucket is first linked as a star around its smallest node, which settles groups of near
-copies without listing their pairs. Texts that share a bucket with another class after that may be alike or may only have a
+Equal sets are one node. A bucket is first linked as a star around the node that shares most buckets, which settles groups of near
+copies of one text without listing their pairs. Texts that share a bucket with another class after that may be alike or may only have a
 passage in common. They go through an exact join on rare shingles: in any total order, two sets of similarity t share one of the first
 n - ceil(t n) + 1 shingles of the one and one of the first n - ceil(2 t / (1 + t) n) + 1 of the smaller one. With rare shingles first, a
 passage that many texts share is no key unless nearly the whole text consists of it.
@@ -29,6 +29,7 @@ from takt.llm.components import components
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 BANDS, ROWS = 24, 4
 AT_ONCE = 1 << 12
+WORDS = 8  # longs of a set's bitmap
 SAMPLE, MOST, LEAST = 5_000, 1 << 18, 3  # texts that the order is learned from, shingles it keeps, texts a common one is in
 MULTIPLIERS = np.random.default_rng(SEED).integers(1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -154,24 +155,34 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                    .where(common / (n + m - common) >= similarity).select("a", "b"))
 
 
+def _bitmap(made: np.ndarray) -> list[int]:
+    """WORDS longs: every shingle sets one bit."""
+    out = np.zeros(WORDS * 64, np.uint8)
+    out[made % np.uint64(WORDS * 64)] = 1
+    return np.packbits(out).view(np.int64).tolist()
+
+
 def _early_keys(sets: DataFrame, order: Order) -> DataFrame:
-    """(shape, n, at, key, early) of every set: its first shingles in the order; early ones may meet a larger set."""
+    """(shape, n, at, key, early, bits) of every set: its first shingles in the order; early ones may meet a larger set."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for shape, made in zip(batch.column(0).to_pylist(), batch.column(1)):
+            rows, bits = [], []
+            for shape, held in zip(batch.column(0).to_pylist(), batch.column(1)):
+                made = held.values.to_numpy().view(np.uint64)
                 n = len(made)
-                keys = order.prefix(made.values.to_numpy().view(np.uint64)).view(np.int64)
+                keys = order.prefix(made).view(np.int64)
                 early = order.lengths(n)[1]
                 rows.append((np.full(len(keys), shape), np.full(len(keys), n, np.int32), np.arange(len(keys), dtype=np.int32), keys, np.arange(len(keys)) < early))
+                bits += [_bitmap(made)] * len(keys)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["shape", "n", "at", "key", "early"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in zip(*rows)), pa.array(bits, pa.list_(pa.int64()))],
+                                                 names=["shape", "n", "at", "key", "early", "bits"])
 
-    return sets.mapInArrow(run, "shape long, n int, at int, key long, early boolean")
+    return sets.mapInArrow(run, "shape long, n int, at int, key long, early boolean, bits array<long>")
 
 
 def _rare_pairs(sets: DataFrame, classes: DataFrame, order: Order) -> DataFrame:
-    """Pairs (a, b) of different classes that a rare shingle brings together and whose sizes allow the similarity: no similar pair is missed.
+    """Pairs (a, b) of different classes that a rare shingle brings together and whose sizes and bitmaps allow the similarity: no similar pair is missed.
 
     Under a key the largest class is not paired with itself; its members only meet those of other classes.
     """
@@ -181,24 +192,30 @@ def _rare_pairs(sets: DataFrame, classes: DataFrame, order: Order) -> DataFrame:
     parts = settled(parts.join(mixed, "key"))
     main = parts.groupBy("key", "class").count().groupBy("key").agg(F.max(F.struct("count", "class"))["class"].alias("main"))
     parts = parts.join(main, "key")
-    x, y = (parts.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("shape", "n", "at", "early", "class", "main")]) for side in "xy")
+    x, y = (parts.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("shape", "n", "at", "early", "class", "main", "bits")]) for side in "xy")
     n, m = F.col("x_n"), F.col("y_n")
     alike = F.least(n, m) >= F.lit(t - 1e-9) * F.greatest(n, m)
     # the smaller set must hold the key early, and what follows the key must be enough to reach the similarity
     smaller = F.when(n < m, F.col("x_early")).when(m < n, F.col("y_early")).otherwise(F.col("x_early") & F.col("y_early"))
     reach = F.least(n - F.col("x_at"), m - F.col("y_at")) >= F.lit(t / (1 + t)) * (n + m) - 1e-9
+    # a bit that only one set has set is a shingle that the other lacks
+    lacking = lambda a, b: sum((F.bit_count(F.get(a, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(i))))) for i in range(WORDS)), F.lit(0))
+    common = F.least(n - lacking("x_bits", "y_bits"), m - lacking("y_bits", "x_bits")) >= F.lit(t / (1 + t)) * (n + m) - 1e-9
     apart = (F.col("x_class") != F.col("y_class")) & ((F.col("y_class") == F.col("y_main")) | (F.col("x_shape") < F.col("y_shape")))
-    return x.where("x_class <> x_main").join(y, "key").where(apart & alike & smaller & reach).select(
+    return x.where("x_class <> x_main").join(y, "key").where(apart & alike & smaller & reach & common).select(
         F.least("x_shape", "y_shape").alias("a"), F.greatest("x_shape", "y_shape").alias("b")).distinct()
 
 
 def near_components(docs: DataFrame, rows: DataFrame, firsts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(node, component) of every shape that has a near copy; rows is ``marked``, firsts its ``first_rows``."""
     parts = rows.select("shape", F.explode("bands").alias("key"))
-    shared = parts.groupBy("key").agg(F.min("shape").alias("hub"), F.max("shape").alias("top")).where("hub <> top").select("key", "hub")
+    shared = parts.groupBy("key").agg(F.min("shape").alias("low"), F.max("shape").alias("high")).where("low <> high").select("key")
     members = settled(parts.join(shared, "key").distinct())
+    # the text that copies were made from shares its buckets with all of them, a copy only those that its edits left alone
+    degree = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key").groupBy("shape").agg(F.sum("size").alias("degree"))
+    hubs = members.join(degree, "shape").groupBy("key").agg(F.max(F.struct("degree", "shape"))["shape"].alias("hub"))
     sets = _sets(docs, firsts.join(members.select("shape").distinct(), "shape", "left_semi"), shingle)
-    stars = settled(members.where("hub <> shape").select(F.col("hub").alias("a"), F.col("shape").alias("b")).distinct())
+    stars = settled(members.join(hubs, "key").where("hub <> shape").select(F.col("hub").alias("a"), F.col("shape").alias("b")).distinct())
     edges = _verified(stars, sets, similarity)
     found = components(edges)
     placed = members.join(found, members["shape"] == found["node"], "left").select("key", "shape", F.coalesce("component", "shape").alias("class"))

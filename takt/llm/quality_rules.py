@@ -31,6 +31,11 @@ BANDS = (Band(160, 0.30, 1.25), Band(192, 0.25, 0.95), Band(256, 0.22, 0.88), Ba
 CHUNK = 4096
 CHUNK_BAND = Band(CHUNK, 0.13, 0.60)
 BAD_SHARE = 0.25
+# Limits for corpora of natural prose: lower ones lie two to four percent below the first percentile of the learning rows labelled 1 (none of
+# which is over 33 KB; longer texts refer back to more, so they may shrink further). Text that says little new for its length falls below.
+PROSE_BANDS = (Band(160, 0.60, 1.25), Band(192, 0.60, 0.95), Band(256, 0.58, 0.88), Band(384, 0.57, 0.84), Band(512, 0.57, 0.79), Band(768, 0.525, 0.76), Band(1024, 0.50, 0.72),
+               Band(2048, 0.47, 0.68), Band(4096, 0.445, 0.63), Band(8192, 0.42, 0.55), Band(16384, 0.405, 0.55), Band(65536, 0.38, 0.50), Band(float("inf"), 0.30, 0.50))
+PROSE_CHUNK = Band(CHUNK, 0.435, 0.60)
 
 FIELDS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
           "kept boolean, n_bytes long, ratio double, bad_chunks double")

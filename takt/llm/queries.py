@@ -16,7 +16,8 @@ def op1_subword_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.measured(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules.measured(docs, bands=quality_rules.PROSE_BANDS, chunk_band=quality_rules.PROSE_CHUNK).drop("text")
 
 
 def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import zstandard
 
@@ -61,6 +62,24 @@ def test_compression_bands_reject_repetition_and_noise_and_keep_prose():
     assert measure(half)[9] > 0.5
 
 
+def test_prose_limits_tell_labelled_rows_apart():
+    """Rows whose labels were not looked at when the limits were set; and the bands against a plain reading of them."""
+    folder = "/root/testdata/sf0.1/"
+    texts = {r["doc_id"]: r["text"] for r in pq.read_table(folder + "documents.parquet", columns=["doc_id", "text"]).to_pylist()}
+    held = {r["doc_id"]: r["quality"] for r in pq.read_table(folder + "labels.parquet").to_pylist() if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1}
+    measure = rules.measurer(bands=rules.PROSE_BANDS, chunk_band=rules.PROSE_CHUNK)
+    press = zstandard.ZstdCompressor(level=3)
+    count = Counter()
+    for doc, quality in held.items():
+        data, got = (texts[doc] or "").encode(), measure(texts[doc])
+        if not got[5]:
+            band = [b for b in rules.PROSE_BANDS if len(data) <= b.up_to][0]
+            bad = [not 0.435 <= len(press.compress(data[i:i + 4096])) / 4096 <= 0.60 for i in [*range(0, len(data) - 4096, 4096), len(data) - 4096]] if len(data) > 4096 else [False]
+            assert got[6] == (band.low <= len(press.compress(data)) / len(data) <= band.high and sum(bad) / len(bad) <= 0.25)
+            count[quality, got[6]] += 1
+    assert count[1, False] <= 0.01 * (count[1, False] + count[1, True]) and count[0, False] >= 0.5 * (count[0, False] + count[0, True])
+
+
 @pytest.mark.parametrize("size", [170, 190, 250, 380, 500, 760, 1000, 2000, 4000, 16000, 60_000])
 def test_encoded_noise_of_every_length_is_rejected(size):
     draw = random.Random(size)
