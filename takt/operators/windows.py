@@ -1,13 +1,13 @@
 """Per-key series operators built on sliced scans (see ``slices``)."""
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from takt.operators.slices import last_rows, latest, numbered, peak, previous, running, slice_number, total
+from takt.operators.slices import UNBOUNDED, last_rows, latest, numbered, peak, previous, running, slice_number, total
 
 EMA_ALPHAS = (0.3, 0.5, 0.7)
+DECAY = 400  # natural logarithms that the fastest mean loses in a block
 EMA_BLOCK = 1 << 16
 
 
@@ -15,58 +15,49 @@ def ema_name(alpha: float) -> str:
     return f"ema_{int(alpha * 10):02d}"
 
 
-def exponential_means(numbered_rows: DataFrame, keys: list[str], score: str, block: int = EMA_BLOCK) -> DataFrame:
+def exponential_means(numbered_rows: DataFrame, keys: list[str], score: str, width: int = EMA_BLOCK) -> DataFrame:
     """Ordered exponential means of every row of a numbered key (``rn`` from 1), whole histories included.
 
-    A score x that comes g rows after the last one moves the mean e to (b^g e + a x) / (b^g + a) with b = 1 - a;
-    rows without a score repeat the mean before them. Such steps e -> p e + s compose, so rows are folded inside
-    blocks of equal size, blocks to one (p, s) each, and the mean before a block is folded from the blocks
-    before it. No task holds more than a block's batch, no row an array.
+    A score x that comes g rows after the last one moves the mean e to (b^g e + a x) / (b^g + a) with b = 1 - a: a step e -> p e + s;
+    rows without a score repeat the mean before them. Steps compose, and inside a block the composition up to a row is
+    P, the product of all p, and P * sum(s / P): a running product and a running sum. Blocks end when the fastest mean has decayed by exp(-DECAY), which keeps
+    both in range; the slowest has then decayed to exp(-DECAY / 4) or less, so what came before the last two blocks is below the
+    precision of a double, and the mean at a block's start needs those two only.
     """
-    gap = running(numbered_rows, keys, ["rn"], {"__last": latest(F.when(F.col(score).isNotNull(), F.col("rn")))}, block, strict=True)
-    rows = gap.withColumn("__block", slice_number(F.col("rn") - 1, block)).withColumn("__gap", F.col("rn") - F.col("__last")).drop("__last")
-    folded = [f"__{x}_{ema_name(a)}" for a in EMA_ALPHAS for x in "ps"]
-    schema = rows.schema
-    for name in folded:
-        schema = schema.add(name, "double")
-    names = [*keys, "__block"]
-
-    def fold(batches):
-        group, state = None, None
-        for part in batches:
-            made = np.empty((len(part), len(folded)))
-            groups = list(zip(*[part[c] for c in names]))
-            gaps, values = part["__gap"].to_numpy(float), part[score].to_numpy(float)
-            for i, g in enumerate(groups):
-                if g != group:
-                    group, state = g, [1.0, 0.0] * len(EMA_ALPHAS)
-                x = values[i]
-                if x == x:
-                    for k, alpha in enumerate(EMA_ALPHAS):
-                        if gaps[i] == gaps[i]:
-                            old = (1 - alpha) ** gaps[i]
-                            p, s = old / (old + alpha), alpha * x / (old + alpha)
-                        else:  # the key's first score
-                            p, s = 0.0, x
-                        state[2 * k:2 * k + 2] = p * state[2 * k], p * state[2 * k + 1] + s
-                made[i] = state
-            yield part.assign(**{name: made[:, k] for k, name in enumerate(folded)})
-
-    scanned = rows.repartition(*names).sortWithinPartitions(*names, "rn").mapInPandas(fold, schema)
-    ends = scanned.groupBy(*names).agg(*[F.max_by(c, "rn").alias(c) for c in folded])
-    # one row a block of a key: lists as short as rows / block
-    held = F.array_sort(F.collect_list(F.struct("__block", *folded)))
-    before = ends.groupBy(*keys).agg(held.alias("__ends"))
-    out = scanned.filter("__block = 0").withColumn("__ends", F.lit(None).cast(before.schema["__ends"].dataType)).unionByName(
-        scanned.filter("__block > 0").join(before, keys))
-
-    def carried(alpha: float) -> Column:
-        p, s = f"__p_{ema_name(alpha)}", f"__s_{ema_name(alpha)}"
-        earlier = F.filter(F.coalesce("__ends", F.array().cast(before.schema["__ends"].dataType)), lambda b: b["__block"] < F.col("__block"))
-        start = F.aggregate(earlier, F.lit(0.0), lambda e, b: b[p] * e + b[s])
-        return F.when(F.col(score).isNotNull() | F.col("__gap").isNotNull(), F.col(p) * start + F.col(s)).alias(ema_name(alpha))
-
-    return out.select(*numbered_rows.columns, *[carried(a) for a in EMA_ALPHAS])
+    scored = F.col(score).isNotNull()
+    step = running(numbered_rows, keys, ["rn"], {"__last": latest(F.when(scored, F.col("rn")))}, width, strict=True)
+    gap = (F.col("rn") - F.col("__last")).cast("double")
+
+    def pulled(alpha: float) -> tuple[Column, Column]:
+        """p and s of a row's step; the first score of a key is the mean itself."""
+        old = F.pow(F.lit(1 - alpha), gap)
+        first = F.col("__last").isNull()
+        return (F.when(scored, F.when(first, 1.0).otherwise(F.greatest(old / (old + alpha), F.lit(1e-30)))),
+                F.when(scored, F.when(first, F.col(score)).otherwise(alpha * F.col(score) / (old + alpha))))
+
+    fastest = max(EMA_ALPHAS)
+    for alpha in EMA_ALPHAS:
+        p, x = pulled(alpha)
+        step = step.withColumn(f"__p_{ema_name(alpha)}", p).withColumn(f"__s_{ema_name(alpha)}", x)
+    # whole thousandths, so that the blocks are the same however the sum is put together
+    decay = F.coalesce(F.round(-1000 * F.ln(f"__p_{ema_name(fastest)}")), F.lit(0.0)).cast("long")
+    rows = running(step, keys, ["rn"], {"__decay": total(decay), "__seen": latest(F.when(scored, F.lit(True)))}, width)
+    rows = rows.withColumn("__block", slice_number("__decay", 1000 * DECAY))
+    here = Window.partitionBy(*keys, "__block").orderBy("rn").rowsBetween(UNBOUNDED, 0)
+    for alpha in EMA_ALPHAS:
+        n = ema_name(alpha)
+        rows = rows.withColumn(f"__f_{n}", F.product(F.coalesce(f"__p_{n}", F.lit(1.0))).over(here))
+    for alpha in EMA_ALPHAS:
+        n = ema_name(alpha)
+        rows = rows.withColumn(f"__i_{n}", F.col(f"__f_{n}") * F.coalesce(F.sum(F.col(f"__s_{n}") / F.col(f"__f_{n}")).over(here), F.lit(0.0)))
+    names = [ema_name(a) for a in EMA_ALPHAS]
+    ends = rows.groupBy(*keys, "__block").agg(*[F.max_by(f"__{x}_{n}", "rn").alias(f"__{x}_{n}") for n in names for x in "if"])
+    # each block's end goes to the two blocks after it; a block may be empty, so they are the next two that there are
+    after = Window.partitionBy(*keys).orderBy("__block")
+    start = {n: F.coalesce(F.lag(f"__i_{n}", 1).over(after), F.lit(0.0)) + F.coalesce(F.lag(f"__f_{n}", 1).over(after) * F.lag(f"__i_{n}", 2).over(after), F.lit(0.0)) for n in names}
+    before = ends.select(*keys, "__block", *[c.alias(f"__b_{n}") for n, c in start.items()])
+    out = rows.join(before, [*keys, "__block"])
+    return out.select(*numbered_rows.columns, *[F.when(F.col("__seen"), F.col(f"__f_{n}") * F.col(f"__b_{n}") + F.col(f"__i_{n}")).alias(n) for n in names])
 
 
 def second_highest(scores: Column) -> Column:
