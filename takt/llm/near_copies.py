@@ -29,7 +29,7 @@ from takt.llm.components import components
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 BANDS, ROWS = 24, 4
 AT_ONCE = 1 << 12
-WORDS = 8  # longs of a set's bitmap
+WORDS, SETS_AT_ONCE = 8, 256  # longs of a set's bitmap; sets in work at a time
 SAMPLE, MOST, LEAST = 5_000, 1 << 18, 3  # texts that the order is learned from, shingles it keeps, texts a common one is in
 MULTIPLIERS = np.random.default_rng(SEED).integers(1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -166,15 +166,16 @@ def _early_keys(sets: DataFrame, order: Order) -> DataFrame:
     """(shape, n, at, key, early, bits) of every set: its first shingles in the order; early ones may meet a larger set."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, bits = [], []
-            for shape, held in zip(batch.column(0).to_pylist(), batch.column(1)):
-                made = held.values.to_numpy().view(np.uint64)
-                n = len(made)
-                keys = order.prefix(made).view(np.int64)
-                early = order.lengths(n)[1]
-                rows.append((np.full(len(keys), shape), np.full(len(keys), n, np.int32), np.arange(len(keys), dtype=np.int32), keys, np.arange(len(keys)) < early))
-                bits += [_bitmap(made)] * len(keys)
-            if rows:
+            for first in range(0, batch.num_rows, SETS_AT_ONCE):
+                rows, bits = [], []
+                part = batch.slice(first, SETS_AT_ONCE)
+                for shape, held in zip(part.column(0).to_pylist(), part.column(1)):
+                    made = held.values.to_numpy().view(np.uint64)
+                    n = len(made)
+                    keys = order.prefix(made).view(np.int64)
+                    early = order.lengths(n)[1]
+                    rows.append((np.full(len(keys), shape), np.full(len(keys), n, np.int32), np.arange(len(keys), dtype=np.int32), keys, np.arange(len(keys)) < early))
+                    bits += [_bitmap(made)] * len(keys)
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in zip(*rows)), pa.array(bits, pa.list_(pa.int64()))],
                                                  names=["shape", "n", "at", "key", "early", "bits"])
 

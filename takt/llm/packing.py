@@ -18,6 +18,8 @@ GROUP_PIECES = 50_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECE + ", sequence_id long, offset long"
 
+CHARS_AT_ONCE = 1_000_000
+
 
 def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
     """Token pieces of whole texts: ids, then the end id, cut every ``length`` ids; NULL is an empty text."""
@@ -27,7 +29,8 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, length
         encode = encoder(vocabulary).encode
         for batch in batches:
             rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+            texts = (t.as_py() for t in batch.column(1))
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(texts, CHARS_AT_ONCE)):
                 ids = np.append(ids, np.uint32(end)).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), length)):
                     part = ids[at:at + length]

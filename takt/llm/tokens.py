@@ -42,13 +42,13 @@ class TextEncoder:
         self.shape = re.compile(("( " if self.spaced else "(") + LETTERS + r"+)([.,;:!?()\[\]|*%$#&\"-]*)")
         self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
-        """The ids of each text, in order; of none for an empty or NULL text."""
+    def encode(self, texts: Sequence[str | None], chunk_chars: int = CHUNK_CHARS) -> Iterator[np.ndarray]:
+        """The ids of each text, in order; of none for an empty or NULL text. About ``chunk_chars`` characters are in work at a time."""
         chunk, chars = [], 0
         for text in texts:
             chunk.append(text or "")
             chars += len(chunk[-1])
-            if chars >= CHUNK_CHARS:
+            if chars >= chunk_chars:
                 yield from self._chunk(chunk)
                 chunk, chars = [], 0
         yield from self._chunk(chunk)
