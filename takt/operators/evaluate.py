@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from takt.functions import scalar as sc
-from takt.operators.slices import beside, exact_quantiles, running, total
+from takt.operators.slices import beside, exact_quantiles, numbered, running, total
 from takt.session import cut_lineage
 
 POLICIES = ["raw", "ema_03", "ema_05", "ema_07", "two_consecutive", "two_of_three"]
@@ -365,28 +365,34 @@ def numbered_runs(df: DataFrame) -> DataFrame:
     return df.withColumn("pos", (F.row_number().over(Window.orderBy("run_id")) - 1).cast("long"))
 
 
+def _in_hash_order(df: DataFrame, seed: int) -> DataFrame:
+    """Runs with their number from 1 in seeded hash order and how many there are; counted slice by slice, not in one task."""
+    runs = df.select("run_id").distinct().withColumn("__h", F.sha2(F.concat_ws("|", F.lit(str(seed)), "run_id"), 256)).withColumn("__one", F.lit(0))
+    ranked = numbered(runs, ["__one"], ["__h", "run_id"], slice_col=F.conv(F.substring("__h", 1, 3), 16, 10).cast("long"))
+    return beside(ranked, runs.agg(F.count(F.lit(1)).alias("__n")))
+
+
 def group_folds(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """Whole runs to folds, in seeded hash order."""
-    runs = df.select("run_id").distinct()
-    order = Window.orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), "run_id"), 256), "run_id")
-    return runs.select("run_id", (F.ntile(k).over(order) - 1).alias("fold"))
+    """Whole runs to folds of sizes at most one apart, in seeded hash order."""
+    each, more, i = F.floor(F.col("__n") / k), F.col("__n") % k, F.col("rn") - 1
+    longer = more * (each + 1)  # the first folds have one run more
+    fold = F.when(i < longer, F.floor(i / (each + 1))).otherwise(more + F.floor((i - longer) / F.greatest(each, F.lit(1))))
+    return _in_hash_order(df, seed).select("run_id", fold.cast("int").alias("fold"))
 
 
 def balanced_folds(df: DataFrame, k: int) -> DataFrame:
     """Whole runs dealt in a snake by their positive units, so folds hold similar numbers of them."""
     runs = unit_table(df).groupBy("run_id").agg(F.sum("y").alias("positives"), F.count(F.lit(1)).alias("n_units"))
-    i = F.row_number().over(Window.orderBy(F.col("positives").desc(), F.col("n_units").desc(), "run_id")) - 1
-    return runs.withColumn("i", i).select("run_id", "positives", "n_units", F.when(
-        F.floor(F.col("i") / k) % 2 == 0, F.col("i") % k).otherwise(k - 1 - F.col("i") % k).cast("int").alias("fold"))
+    keyed = runs.select("*", (-F.col("positives")).alias("__p"), (-F.col("n_units")).alias("__u"), F.lit(0).alias("__one"))
+    i = F.col("rn") - 1
+    return numbered(keyed, ["__one"], ["__p", "__u", "run_id"], slice_col=F.col("__p")).select("run_id", "positives", "n_units", F.when(
+        F.floor(i / k) % 2 == 0, i % k).otherwise(k - 1 - i % k).cast("int").alias("fold"))
 
 
 def split_runs(df: DataFrame, val_share: float, test_share: float, seed: int = 0) -> DataFrame:
     """train / val / test by whole run in seeded hash order."""
-    runs = df.select("run_id").distinct()
-    order = Window.orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), "run_id"), 256), "run_id")
-    q = (F.row_number().over(order) - 1) / F.count(F.lit(1)).over(Window.partitionBy())
-    return runs.select("run_id", F.when(q < test_share, "test").when(q < test_share + val_share, "val")
-                       .otherwise("train").alias("split"))
+    q = (F.col("rn") - 1) / F.col("__n")
+    return _in_hash_order(df, seed).select("run_id", F.when(q < test_share, "test").when(q < test_share + val_share, "val").otherwise("train").alias("split"))
 
 
 def resample_units(df: DataFrame, target_rate: float, seed: int = 0, forced: DataFrame | None = None) -> DataFrame:
