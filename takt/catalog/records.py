@@ -115,6 +115,18 @@ def driver_array(spark, d):
     return b.bottleneck_predictions(spark, d).select("emission", F.array_join(sc.driver_names("drivers", 2), ", ").alias("drivers"))
 
 
+@query("defect_driver_array", with_ctes("dp", """
+SELECT emission, array_to_string(list_slice(list_filter([CASE k % 6 WHEN 1 THEN 'queue_mean_10m' WHEN 2 THEN NULL ELSE 'label ' || CAST(k % 6 AS VARCHAR) END,
+  'net_flow_rate_10m', CASE WHEN k % 6 > 2 THEN 'third' END], lambda n: n IS NOT NULL), 1, 2), ', ') AS drivers FROM dp"""))
+def defect_driver_array(spark, d):
+    """A driver's label, else its feature name, else nothing; the first two that have a name."""
+    j = F.col("k") % 6
+    named = lambda label, feature: F.struct(label.cast("string").alias("label"), feature.cast("string").alias("feature"))
+    drivers = F.array(named(F.when(j > 2, F.concat(F.lit("label "), j)).when(j == 0, "label 0").when(j == 1, ""), F.when(j == 1, "queue_mean_10m").when(j == 2, "")),
+                      named(F.lit(None), F.lit("net_flow_rate_10m")), named(F.when(j > 2, "third"), F.lit("")))
+    return b.defect_predictions(spark, d).select("emission", F.array_join(sc.defect_driver_names(drivers, 2), ", ").alias("drivers"))
+
+
 FLAGS_SQL = "SELECT run_id, station_id, true AS is_dark, true AS sensor_visible, true AS manual_visible, true AS checkpoint_visible FROM stations WHERE is_dark"
 
 
@@ -285,6 +297,16 @@ def write_predictions(spark, d):
         F.count(F.lit(1)).alias("records"), F.count_if("warning").alias("warnings"), F.sum("bottleneck_probability").alias("total_p")))
 
 
+@query("write_predictions_csv", with_ctes("bp", "SELECT run_id, count(*) AS records, count(*) FILTER (warning) AS warnings, round(sum(probability), 5) AS total_p FROM bp GROUP BY run_id"))
+def write_predictions_csv(spark, d):
+    """The flat form: a CSV, read back by name."""
+    path = rs.shared_folder(spark) + "/flat"
+    sk.write_predictions(_contract_preds(spark, d), path, "bottleneck", "csv")
+    back = spark.read.option("header", True).csv(path)
+    return rounded(back.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("records"), F.count_if(F.col("warning") == "true").alias("warnings"), F.sum(F.col("bottleneck_probability").cast("double")).alias("total_p")))
+
+
 @query("read_prediction_stream", with_ctes("bp", "SELECT count(*) FILTER (emission % 50 <> 0) AS records, count(*) FILTER (emission % 50 = 0) AS malformed_lines FROM bp"))
 def read_prediction_stream(spark, d):
     path = rs.shared_folder(spark) + "/lines"
@@ -457,6 +479,12 @@ def missing_levels(spark, d):
     return sel.missing_levels(b.units(spark, d), "vehicle_model", ["MODEL_A"])
 
 
+@query("missing_columns", with_ctes("runs", "SELECT DISTINCT unnest(['dark_zone_id', 'new_state']) AS column_name FROM runs"))
+def missing_columns(spark, d):
+    """What the log's station events lack of the contract's columns that a builder asks for."""
+    return sel.missing_columns(b.station_events(spark, d), ["station_id", "dark_zone_id", "cycle_time_ms", "new_state"])
+
+
 @query("dedupe_station_time", with_ctes("bp", """
 SELECT run_id, station_id, timestamp_ms, emission, round(probability, 6) AS probability FROM (SELECT * REPLACE (timestamp_ms // 60000 * 60000 AS timestamp_ms) FROM bp)
 QUALIFY row_number() OVER (PARTITION BY run_id, station_id, timestamp_ms ORDER BY emission DESC) = 1"""))
