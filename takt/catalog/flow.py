@@ -7,6 +7,7 @@ from takt import bindings as b
 from takt.catalog.base import registry, rounded, rounded_sql
 from takt.catalog.sql import with_ctes
 from takt.contracts import FLOW_FEATURES, FLOW_META
+from takt.operators import aggregate as ag
 from takt.plans import station_flow as sf
 
 QUERIES, ORACLE, query = registry()
@@ -158,3 +159,49 @@ def queue_slope(spark, d):
 @query("future_max", _stats_sql(["future_max"]))
 def future_max(spark, d):
     return _stats(spark, d, ["future_max"])
+
+
+_EVENTS, _STATIONS, _RECENT_WIN, _BEFORE = "station_events", "stations", "[t - 10 min, t]", "[t - 20 min, t - 10 min)"
+# feature, source, definition, window: what each value is made of
+FLOW_PROVENANCE = [
+    ("capacity_headroom", _EVENTS, "buffer capacity less occupancy", "up to t"),
+    ("station_id", _EVENTS, "the station of the event", "t"),
+    ("base_cycle_time_ms", _STATIONS, "configured mean cycle", "run"),
+    ("station_archetype", _STATIONS, "configured kind of station", "run"),
+    ("configured_cycle_std_ms", _STATIONS, "configured spread of the cycle", "run"),
+    ("station_index", _STATIONS, "place on the line from 0", "run"),
+    ("buffer_capacity", _STATIONS, "configured buffer places", "run"),
+    ("line_fraction", _STATIONS, "station index over the last index", "run"),
+    ("queue_max_10m", _EVENTS, "largest queue length", _RECENT_WIN),
+    ("queue_mean_10m", _EVENTS, "mean queue length", _RECENT_WIN),
+    ("current_occupancy", _EVENTS, "last known queue length, 0 if none", "up to t"),
+    ("queue_std_10m", _EVENTS, "sample spread of queue lengths", _RECENT_WIN),
+    ("capacity_utilization", _EVENTS, "occupancy over capacity", "up to t"),
+    ("arrival_rate_per_min_prev10m", _EVENTS, "arrivals over ten minutes", _BEFORE),
+    ("service_rate_per_min_prev10m", _EVENTS, "completions over ten minutes", _BEFORE),
+    ("service_rate_per_min_10m", _EVENTS, "completions over ten minutes", _RECENT_WIN),
+    ("arrival_rate_per_min_10m", _EVENTS, "arrivals over ten minutes", _RECENT_WIN),
+    ("utilization_headroom", _EVENTS, "one less utilization", "up to t"),
+    ("cycle_max_10m", _EVENTS, "longest cycle", _RECENT_WIN),
+    ("flow_pressure_10m", _EVENTS, "arrivals less completions", _RECENT_WIN),
+    ("queue_delta_10m", _EVENTS, "mean queue length less that of the window before", "[t - 20 min, t]"),
+    ("cycle_mean_10m", _EVENTS, "mean cycle", _RECENT_WIN),
+    ("queue_slope_10m", _EVENTS, "least-squares slope of queue length over time, from two instants on", _RECENT_WIN),
+    ("net_flow_rate_10m", _EVENTS, "arrivals less completions over ten minutes", _RECENT_WIN),
+    ("cycle_std_10m", _EVENTS, "sample spread of cycles", _RECENT_WIN),
+    ("state_confidence", _EVENTS, "1 if the queue is seen now, else exp(-age / 10 min) of the last time, 0 if never", "up to t"),
+    ("progress_std", _EVENTS, "0 if the queue is seen now, else its spread times the root of the events since", _RECENT_WIN),
+    ("eta_std", _EVENTS, "spread of the time to a full buffer, from those of slope and state, where the slope is positive", _RECENT_WIN),
+]
+
+
+@query("flow_feature_provenance", with_ctes("ev stations", " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, '{source}' AS source, '{text}' AS definition, '{window}' AS \"window\", true AS present, round(avg(CASE WHEN {f} IS NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS null_rate FROM f"
+    for f, source, text, window in FLOW_PROVENANCE), **_STATS_CTES, f=_FEATURES))
+def flow_feature_provenance(spark, d):
+    """Definition rows of all frozen columns beside the share of rows in which each has no value."""
+    if [r[0] for r in FLOW_PROVENANCE] != FLOW_FEATURES:
+        raise ValueError("provenance rows and the feature contract differ")
+    p = spark.createDataFrame(FLOW_PROVENANCE, "feature string, source string, definition string, window string")
+    f = sf.flow_features(b.station_events(spark, d), b.stations(spark, d))
+    return rounded(p.join(ag.feature_quality(f, FLOW_FEATURES).select("feature", "present", "null_rate"), "feature", "left"), default=6)

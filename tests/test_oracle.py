@@ -9,7 +9,8 @@ from tests.compare import compare, duck
 SF = os.environ.get("TAKT_SF", "/root/testdata/sf0.001")
 QUERIES, ORACLE = collect()
 QUICK = ["bottleneck_features", "defect_features", "pair_fifo", "assign_by_interval", "series_analytics", "warning_periods", "recurring_constraints",
-         "policy_table", "station_posterior", "attribute_readings", "corridor_load", "interval_ticks", "boundary_allocation", "fit_dwell", "resample_units", "median_bootstrap", "nearest_load", "evidence_gates", "metric_table", "split_bus", "sequence_gaps", "alert_policy_stream", "read_run_table"]
+         "policy_table", "station_posterior", "attribute_readings", "corridor_load", "interval_ticks", "boundary_allocation", "fit_dwell", "resample_units", "median_bootstrap", "nearest_load", "evidence_gates", "metric_table", "split_bus", "sequence_gaps", "alert_policy_stream", "read_run_table",
+         "read_run_bundles", "evidence_feedback", "causal_replay", "causal_replay_quality", "interval_ticks_stream", "rate_windows"]
 
 
 @pytest.fixture(scope="module")
