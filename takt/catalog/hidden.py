@@ -409,7 +409,7 @@ SELECT t.run_id, 'DZ01' AS zone_id, s.station_id, t_ms,
 FROM times t JOIN stations s ON s.run_id = t.run_id AND is_dark LEFT JOIN cross_ c ON c.run_id = t.run_id AND c.station_id = s.station_id GROUP BY ALL""",
                                       **{k: v for k, v in _DRAWS.items() if k != "qs"}))
 def expected_crossings(spark, d):
-    h = oc.draw_hypotheses(with_priors(spark, d), K)
+    h = oc.draw_hypotheses(oc.merged(with_priors(spark, d)), K)
     q = times(spark, d).withColumn("station_id", F.explode(F.array(*[F.lit(s) for s in DARK])))
     return rounded(oc.expected_crossings(h, q))
 
@@ -453,7 +453,7 @@ SELECT query_id, round(max(raw) / sum(raw), 5) AS top_weight, round(sum(raw) **
 def checkpoint_weight(spark, d):
     p = with_priors(spark, d)
     q = oc.active_queries(p, times(spark, d))
-    w = oc.checkpoint_weight(oc.draw_hypotheses(p, K), _identified(spark, d), q)
+    w = oc.checkpoint_weight(oc.draw_hypotheses(oc.merged(p), K), _identified(spark, d), q)
     return rounded(w.groupBy("query_id").agg(F.max("weight").alias("top_weight"), F.max("effective_samples").alias("effective_samples")))
 
 
@@ -554,14 +554,14 @@ def single_station_progress(spark, d):
     p = with_priors(spark, d).select("run_id", "zone_id", "unit_id", "entry_ts", "exit_ts", F.slice("stations", 1, 1).alias("stations"), F.slice("shapes", 1, 1).alias("shapes"),
                                      F.transform(F.slice("scales", 1, 1), lambda s: s * 3).alias("scales"))
     q = oc.active_queries(p, times(spark, d))
-    return rounded(oc.single_station_progress(oc.draw_hypotheses(p, K), q))
+    return rounded(oc.single_station_progress(oc.draw_hypotheses(oc.merged(p), K), q))
 
 
 def _backtest(spark, d):
     p = with_priors(spark, d).select("run_id", "zone_id", "unit_id", "entry_ts", "exit_ts", F.slice("stations", 1, 1).alias("stations"), F.slice("shapes", 1, 1).alias("shapes"),
                                      F.transform(F.slice("scales", 1, 1), lambda s: s * 3).alias("scales"))
     q = oc.backtest_queries(p)
-    est = oc.single_station_progress(oc.draw_hypotheses(p, K), q.select("query_id", "run_id", "zone_id", "unit_id", "entry_ts", "t_ms"))
+    est = oc.single_station_progress(oc.draw_hypotheses(oc.merged(p), K), q.select("query_id", "run_id", "zone_id", "unit_id", "entry_ts", "t_ms"))
     return oc.occupancy_backtest(est, q)
 
 
@@ -631,7 +631,7 @@ def weighted_stats(spark, d):
 def dark_feature_rows(spark, d):
     p, q, probs, _ = _posterior(spark, d)
     ledger = oc.expected_queue(probs, q)
-    rates = oc.expected_crossings(oc.draw_hypotheses(p, K), times(spark, d).withColumn("station_id", F.explode(F.array(*[F.lit(s) for s in DARK]))))
+    rates = oc.expected_crossings(oc.draw_hypotheses(oc.merged(p), K), times(spark, d).withColumn("station_id", F.explode(F.array(*[F.lit(s) for s in DARK]))))
     return dark_columns(ledger, rates, scaled_priors(spark, d), b.stations(spark, d))
 
 

@@ -439,3 +439,64 @@ def test_observations_change_beliefs_round_by_round(spark):
     assert got == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
     plain = {(r.unit_id, r.station_id): r.p for r in oc.evidence_feedback(p, times, seen, 0, k=k)[0].collect()}
     assert plain.keys() == got.keys() and plain != got
+
+
+def test_equal_passages_and_queries_draw_once_and_count_all(spark):
+    p = passages(spark)
+    q = oc.active_queries(p, spark.createDataFrame([("r", "Z", 45_000)], "run_id string, zone_id string, t_ms long")).drop("quality")
+    thrice = lambda df: df.unionByName(df).unionByName(df)
+    once, many = oc._asked_particles(p, q, 10, 0), oc._asked_particles(thrice(p), thrice(q), 10, 0)
+    assert many.count() == once.count() and {r.copies for r in many.collect()} == {9}
+    a = {r.query_id: r for r in oc.station_posterior(p, q, 50)[1].collect()}
+    for r in oc.station_posterior(thrice(p), thrice(q), 50)[1].collect():
+        assert abs(r.confidence - a[r.query_id].confidence) < 1e-9 and abs(r.effective_samples - 9 * a[r.query_id].effective_samples) < 1e-6
+
+
+def test_draws_of_few_rows_are_spread_over_tasks(spark):
+    p = passages(spark).coalesce(1)
+    assert oc.draw_hypotheses(p, 5).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_merged_draws_weigh_like_all_of_them(spark):
+    p = passages(spark)
+    thrice = p.unionByName(p).unionByName(p)
+    q = oc.active_queries(thrice, spark.createDataFrame([("r", "Z", 45_000)], "run_id string, zone_id string, t_ms long"))
+    for of in (lambda h: oc.single_station_progress(h, q), lambda h: oc.checkpoint_weight(h, p.select(
+            *oc.PASSAGE, F.lit(40_000).cast("long").alias("ts_ms"), F.lit("A").alias("station_id"), F.lit(0.5).alias("progress"), F.lit("RFID").alias("checkpoint_type")), q)):
+        whole, less = (sorted(of(h).collect(), key=str) for h in (oc.draw_hypotheses(thrice, 20), oc.draw_hypotheses(oc.merged(thrice), 20)))
+        assert len(whole) == len(less) > 0
+        assert all(abs(x - y) < 1e-9 if isinstance(x, float) else x == y for r, s in zip(whole, less) for x, y in zip(r, s))
+
+
+def test_local_models_look_at_near_levels_only(spark):
+    """A far load makes thousands of targets, each with the smallest ring that holds enough rows."""
+    n = {0: 7, 2: 9, 3: 30, 4_000: 5, 9_000: 40}
+    counts = spark.createDataFrame([("S04", "A", True, load, 10.0 + i, 1) for load, k in n.items() for i in range(k)],
+                                   "station_id string, variant string, is_first boolean, corridor_load int, x double, n long")
+    got = {int(r.load_key): (r.radius, r.n) for r in ca.local_load_models(counts).filter("variant = 'A'").collect()}
+    assert set(got) == set(range(9_001))
+    for t in (0, 1, 2, 3, 500, 2_001, 4_000, 6_501, 9_000):
+        radius = min(r for r in {abs(x - t) for x in n} if sum(k for x, k in n.items() if abs(x - t) <= r) >= 20)
+        assert got[t] == (radius, sum(k for x, k in n.items() if abs(x - t) <= radius))
+
+
+def test_corridor_load_of_residence_counts_pairs_without_making_them(spark):
+    from itertools import product
+    entries = [("r", "U1", 0), ("r", "U1", 5), ("r", "U1", 5), ("r", "U2", 3), ("r", "U2", 20), ("r", "U3", 9), ("s", "U1", 1)]
+    exits = [("r", "U1", 7), ("r", "U1", 12), ("r", "U2", 4), ("r", "U2", 15), ("r", "U3", 9), ("s", "U1", 6), ("s", "U1", 6)]
+    got = {(r.run_id, r.unit_id): r.corridor_load for r in ca._last_load(spark.createDataFrame(entries, "run_id string, unit_id string, entry_ts long"),
+                                                                          spark.createDataFrame(exits, "run_id string, unit_id string, exit_ts long"), 4).collect()}
+    pairs = [(a[0], a[1], a[2], z[2]) for a, z in product(entries, exits) if a[:2] == z[:2] and z[2] > a[2]]
+    want = {}
+    for run, unit, t0, t1 in sorted(pairs, key=lambda p: p[2:]):
+        want[run, unit] = sum(p[0] == run and p[2] < t0 for p in pairs) - sum(p[0] == run and p[3] < t0 for p in pairs)
+    assert got == want
+
+
+@pytest.mark.parametrize("name", ["causal_replay", "causal_replay_quality"])
+def test_replay_folds_pairs_without_sorting_or_collecting_them(spark, name):
+    from takt.catalog import collect
+    plan = collect()[0][name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    plan = plan[plan.index("== Physical Plan =="):]
+    pairs = [line for line in plan.splitlines() if "stddev_samp" in line]
+    assert pairs and all("SortAggregate" not in line and "collect_set" not in line and "max_by" not in line for line in pairs)
