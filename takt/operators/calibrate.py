@@ -8,6 +8,7 @@ from takt.functions import scalar as sc
 from takt.functions.gamma import gamma_shape
 from takt.operators.aggregate import trim_limits, within_limits
 from takt.operators.joins import pair_fifo
+from takt.operators.slices import as_of, numbered, running, total
 from takt.operators.windows import corridor_load
 from takt.session import cut_lineage
 
@@ -41,10 +42,7 @@ def corridor_residence(events: DataFrame, units: DataFrame, corridor: DataFrame)
     last = c.filter("is_last").select("run_id", "station_id")
     exits = e.filter("event_type = 'PROCESSING_COMPLETED'")
     out = exits.join(last, ["run_id", "station_id"], "left_semi").select("run_id", "unit_id", F.col("timestamp_ms").alias("exit_ts"))
-    passages = entry.select("run_id", "unit_id", "entry_ts").join(out, ["run_id", "unit_id"]).filter("exit_ts > entry_ts")
-    # several passages of a unit: the last one in time order carries its load
-    load = corridor_load(passages).groupBy("run_id", "unit_id").agg(
-        F.max_by("load", F.struct("entry_ts", "exit_ts")).alias("corridor_load"))
+    load = _last_load(entry.select("run_id", "unit_id", "entry_ts"), out)
     inner = (e.filter("event_type = 'UNIT_ARRIVED'").join(c.filter("NOT is_first"), ["run_id", "station_id"], "left_semi")
              .select("run_id", "unit_id", F.col("timestamp_ms").alias("entry_ts"), "station_id"))
     starts = entry.select("run_id", "unit_id", "entry_ts", "station_id").unionByName(inner)
@@ -52,13 +50,34 @@ def corridor_residence(events: DataFrame, units: DataFrame, corridor: DataFrame)
     source = best.select("run_id", F.element_at(F.array(F.lit("upstream_completed"), F.lit("first_arrived"), F.lit("first_started")),
                                                 F.col("src") + 1).alias("boundary_source"))
     v = units.select("run_id", "unit_id", F.col("vehicle_model").alias("variant"))
-    return (starts.join(ends, ["run_id", "unit_id", "station_id"]).filter("exit_ts > entry_ts").join(load, ["run_id", "unit_id"])
-            .join(v, ["run_id", "unit_id"], "left").join(source, "run_id")
-            .join(c.select("run_id", "station_id", "is_first"), ["run_id", "station_id"])
+    # all that a start says is joined before it meets its ends
+    known = (starts.join(load, ["run_id", "unit_id"]).join(v, ["run_id", "unit_id"], "left").join(source, "run_id")
+             .join(c.select("run_id", "station_id", "is_first"), ["run_id", "station_id"]))
+    return (known.join(ends, ["run_id", "unit_id", "station_id"]).filter("exit_ts > entry_ts")
             .select("run_id", "unit_id", "station_id", F.coalesce("variant", F.lit("__UNKNOWN__")).alias("variant"), "entry_ts", "exit_ts",
                     "corridor_load", "is_first", "boundary_source", ((F.col("exit_ts") - F.col("entry_ts")) / 1000.0).alias("dwell_s")))
 
 
+def _last_load(entries: DataFrame, exits: DataFrame, width: int = 600_000) -> DataFrame:
+    """Per unit the load at its last entry that has a later exit: passages begun before it minus passages ended before it, in its run.
+
+    A passage is an entry with any later exit of its unit, so an entry begins as many as it has later exits and an exit ends as many
+    as it has earlier entries. Counts stand for the pairs, which are not made.
+    """
+    unit = ["run_id", "unit_id"]
+    moves = entries.select(*unit, F.col("entry_ts").alias("__t"), F.lit(0).cast("long").alias("out"), F.lit(1).cast("long").alias("in")).unionByName(
+        exits.select(*unit, F.col("exit_ts").alias("__t"), F.lit(1).cast("long").alias("out"), F.lit(0).cast("long").alias("in"))).filter(
+        F.col("__t").isNotNull() & F.col("unit_id").isNotNull()).groupBy(*unit, "__t").agg(F.sum("in").alias("in"), F.sum("out").alias("out"))
+    seen = running(moves, unit, ["__t"], {"ins": total("in"), "outs": total("out")}, width)
+    whole = moves.groupBy(*unit).agg(F.sum("out").alias("all_out"))
+    pairs = seen.join(whole, unit).select(*unit, "__t", (F.col("in") * (F.col("all_out") - F.col("outs"))).alias("begun"),
+                                          (F.col("out") * (F.col("ins") - F.col("in"))).alias("ended"))
+    at = pairs.groupBy("run_id", "__t").agg((F.sum("begun") - F.sum("ended")).alias("d"))
+    before = running(at, ["run_id"], ["__t"], {"load": total("d")}, width, strict=True).select("run_id", F.col("__t").alias("entry_ts"), "load")
+    last = pairs.filter("begun > 0").groupBy(*unit).agg(F.max("__t").alias("entry_ts"))
+    return last.join(before, ["run_id", "entry_ts"]).select(*unit, F.col("load").alias("corridor_load"))
+
+
 def boundary_allocation(entered: DataFrame, exited: DataFrame, units: DataFrame, members: DataFrame) -> DataFrame:
     """Total zone residence split over its stations in proportion to base cycle times.
 
@@ -152,25 +171,28 @@ def fit_residence_by_load(residence: DataFrame, bin_min: int = 15, any_min: int
 def local_load_models(counts: DataFrame, min_samples: int = 20) -> DataFrame:
     """First station, each integer load: fit on the smallest symmetric load neighbourhood with enough rows.
 
-    Rows shrink to one histogram line per load; the radius search runs over load levels only.
+    Rows shrink to one histogram line per load. A neighbourhood that one ring less would leave too small holds fewer than ``min_samples``
+    levels inside and two at its edge, so each load looks at that many levels on either side of it and at no others.
     """
     f = counts.withColumn("load", F.greatest(F.lit(0), F.round("corridor_load").cast("int")))
     n = F.col("n")
     hist = cut_lineage(_with_pooled(f).groupBy("station_id", "variant", "load").agg(
         F.sum(n).alias("n"), F.sum(n * F.col("x")).alias("sx"), F.sum(n * F.ln("x")).alias("sl")))
-    levels = hist.filter(F.col("variant") == ALL).groupBy("station_id").agg(
-        F.min("load").alias("lo"), F.max("load").alias("hi"), F.sum("n").alias("all_n"), F.map_from_entries(F.collect_list(F.struct("load", "n"))).alias("m"))
-    t = levels.withColumn("target", F.explode(F.sequence("lo", "hi")))
-    reach = F.greatest(F.col("target") - F.col("lo"), F.col("hi") - F.col("target"))
-    # widen one ring at a time: acc counts rows, r is the first radius that is enough
-    ring = F.aggregate(F.sequence(F.lit(0), reach), F.struct(F.lit(0).cast("long").alias("acc"), F.lit(None).cast("int").alias("r")), lambda a, r: F.struct(
-        (a["acc"] + F.coalesce(F.try_element_at("m", F.col("target") + r), F.lit(0)) + F.when(r > 0, F.coalesce(
-            F.try_element_at("m", F.col("target") - r), F.lit(0))).otherwise(0)).cast("long").alias("acc"),
-        F.when(a["r"].isNotNull(), a["r"]).when(a["acc"] + F.coalesce(F.try_element_at("m", F.col("target") + r), F.lit(0)) + F.when(
-            r > 0, F.coalesce(F.try_element_at("m", F.col("target") - r), F.lit(0))).otherwise(0) >= min_samples, r).cast("int").alias("r")))
+    levels = numbered(hist.filter(F.col("variant") == ALL).select("station_id", "load", "n"), ["station_id"], ["load"], 1 << 16)
+    near = levels.select("station_id", F.explode(F.sequence(F.col("rn") - min_samples, F.col("rn") + min_samples)).alias("rn"), F.struct("load", "n").alias("l")).groupBy(
+        "station_id", "rn").agg(F.collect_list("l").alias("near"))
+    # a level stands for the loads from it up to the next one
+    following = levels.select("station_id", (F.col("rn") - 1).alias("rn"), F.col("load").alias("next"))
+    t = levels.join(following, ["station_id", "rn"], "left").join(near, ["station_id", "rn"]).select(
+        "station_id", F.explode(F.sequence("load", F.coalesce(F.col("next") - 1, F.col("load")))).alias("target"), "near")
+    rings = F.array_sort(F.transform("near", lambda l: F.struct(F.abs(l["load"] - F.col("target")).alias("r"), l["n"].alias("n"))))
+    # nearest level first: acc counts rows, r is the first radius that is enough
+    ring = F.aggregate(rings, F.struct(F.lit(0).cast("long").alias("acc"), F.lit(None).cast("int").alias("r")), lambda a, l: F.struct(
+        (a["acc"] + l["n"]).cast("long").alias("acc"), F.when(a["r"].isNotNull(), a["r"]).when(a["acc"] + l["n"] >= min_samples, l["r"]).cast("int").alias("r")))
     # fewer rows than needed in total: the whole history is the neighbourhood
-    picked = t.withColumn("radius", F.coalesce(ring["r"], reach)).select(
-        "station_id", "target", "radius", F.explode(F.sequence(F.col("target") - F.col("radius"), F.col("target") + F.col("radius"))).alias("load"))
+    reach = F.array_max(F.transform("near", lambda l: F.abs(l["load"] - F.col("target"))))
+    picked = t.withColumn("radius", F.coalesce(ring["r"], reach)).select("station_id", "target", "radius", F.explode(F.filter(
+        F.transform("near", lambda l: l["load"]), lambda l: F.abs(l - F.col("target")) <= F.col("radius"))).alias("load"))
     g = picked.join(hist, ["station_id", "load"]).groupBy("station_id", "variant", "target", "radius").agg(
         F.sum("n").alias("n"), F.sum("sx").alias("sx"), F.sum("sl").alias("sl"))
     g = g.withColumn("mean", F.col("sx") / F.col("n")).withColumn("shape", gamma_shape(F.col("mean"), F.col("sl") / F.col("n"))).withColumn(
@@ -216,18 +238,19 @@ def calibration_quality(requests: DataFrame, models: DataFrame, fallback: DataFr
     Few rows and far loads lower the quality. Requests: request_id, station_id, variant, load, is_first. ``fallback``
     holds plain dwell fits by station and variant, pooled ones under ``__ALL__``.
 
-    A (station, variant) has few models: they stand in one array and each request picks from its own and the pooled one.
+    A (station, variant) has few models by band: they stand in one array and each request picks from its own and the pooled one.
     """
     entry = F.struct("level", F.col("load_key").try_cast("int").alias("at"), "load_key", "shape", "scale", "n", "radius")
-    arrays = models.groupBy("station_id", "variant").agg(F.array_sort(F.collect_list(entry)).alias("own"))
+    local = models.filter("level = 'local'").select("station_id", "variant", F.col("load_key").try_cast("int").alias("at"), entry.alias("m"))
+    arrays = models.filter("level <> 'local'").groupBy("station_id", "variant").agg(F.array_sort(F.collect_list(entry)).alias("own"))
     pooled = arrays.filter(F.col("variant") == ALL).select("station_id", F.col("own").alias("pooled"))
-    j = requests.join(arrays, ["station_id", "variant"], "left").join(pooled, "station_id", "left")
-
-    def nearest(side: str) -> Column:
-        local = F.filter(side, lambda m: m["level"] == "local")
-        gap = lambda m: F.abs(m["at"] - F.col("load"))
-        return F.when(F.col("is_first"), F.aggregate(local, F.lit(None).cast(arrays.schema["own"].dataType.elementType), lambda best, m: F.when(
-            best.isNull() | (gap(m) < gap(best)), m).otherwise(best)))
+    # local models are as many as there are loads: each load that is asked for finds its nearest by two as-of joins, and requests take it from there
+    want = F.coalesce(F.col("load").cast("int"), F.lit(-(1 << 31)))
+    asked = requests.filter("is_first").select("station_id", "variant", want.alias("want")).distinct()
+    own = _nearest(asked, local).withColumnRenamed("m", "near_own")
+    every = _nearest(asked.withColumn("variant", F.lit(ALL)).distinct(), local).select("station_id", "want", F.col("m").alias("near_all"))
+    j = requests.withColumn("want", F.when(F.col("is_first"), want)).join(arrays, ["station_id", "variant"], "left").join(pooled, "station_id", "left").join(
+        own, ["station_id", "variant", "want"], "left").join(every, ["station_id", "want"], "left")
 
     def exactly(side: str, level: str, key: Column) -> Column:
         return F.get(F.filter(side, lambda m: (m["level"] == level) & (m["load_key"] == key)), F.lit(0))
@@ -238,7 +261,7 @@ def calibration_quality(requests: DataFrame, models: DataFrame, fallback: DataFr
         return F.when(m.isNotNull(), F.struct(m["level"].alias("level"), m["load_key"].alias("load_key"), m["shape"].alias("shape"), m["scale"].alias("scale"), quality.alias("quality")))
 
     band = sc.load_band("load")
-    chain = [judged(nearest("own"), 0.97, 0.55), judged(nearest("pooled"), 0.92, 0.55), judged(exactly("own", "band", band), 0.95, 0.45),
+    chain = [judged(F.col("near_own"), 0.97, 0.55), judged(F.col("near_all"), 0.92, 0.55), judged(exactly("own", "band", band), 0.95, 0.45),
              judged(exactly("pooled", "band", band), 0.88, 0.45), judged(exactly("own", "all", F.lit("all")), 0.68, 0.45), judged(exactly("pooled", "all", F.lit("all")), 0.60, 0.45)]
     picked = j.select(*requests.columns, F.coalesce(*chain).alias("m"))
     fit = F.struct("shape", "scale")
@@ -250,6 +273,16 @@ def calibration_quality(requests: DataFrame, models: DataFrame, fallback: DataFr
         F.coalesce("m.shape", fb["shape"]).alias("shape"), F.coalesce("m.scale", fb["scale"]).alias("scale"), F.coalesce("m.quality", F.lit(0.42)).alias("quality"))
 
 
+def _nearest(asked: DataFrame, local: DataFrame, width: int = 1 << 10) -> DataFrame:
+    """asked (station_id, variant, want) with the local model m whose load is closest to ``want``; the lower of two, none where there is none."""
+    keys = ["station_id", "variant"]
+    below = as_of(asked, local, keys, "want", "at", ["m"], ["m"], width).withColumnRenamed("m", "lo")
+    back = local.withColumn("__back", -F.col("at").cast("long"))
+    both = as_of(below.withColumn("__want", -F.col("want").cast("long")), back, keys, "__want", "__back", ["m"], ["m"], width)
+    far = F.col("m.at").cast("long") - F.col("want") < F.col("want").cast("long") - F.col("lo.at")
+    return both.select(*keys, "want", F.when(F.col("lo").isNull() | far, F.col("m")).otherwise(F.col("lo")).alias("m"))
+
+
 def leave_one_run_out(per_run: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     """History of each run = all training runs except itself, from additive per-run parts.
 
