@@ -1,7 +1,7 @@
 """Near copies by exact Jaccard similarity of word shingles.
 
-Texts at the limit of similarity differ in far more bits of a 64-bit fingerprint than a ball of few flips reaches, so
-candidates come from MinHash bands: a pair of similarity s shares a band of ROWS minima with chance s ** ROWS, and
+The fingerprints' balls (``simhash``) name the nearest texts, which are checked first. Texts at the limit of similarity differ in far more
+bits of a 64-bit fingerprint than a ball of few flips reaches, so further candidates come from MinHash bands: a pair of similarity s shares a band of ROWS minima with chance s ** ROWS, and
 misses all BANDS of them with chance (1 - s ** ROWS) ** BANDS (3e-6 at 0.8). Every link is then verified on the
 whole shingle sets.
 
@@ -14,7 +14,7 @@ passage that many texts share is no key unless nearly the whole text consists of
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -52,7 +52,11 @@ def shingle_hashes(text: str | None, shingle: int) -> list[int]:
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """The different shingle hashes of a text, ascending."""
-    return np.unique(np.array(shingle_hashes(text, shingle), np.uint64))
+    return _different(shingle_hashes(text, shingle))
+
+
+def _different(made: list[int]) -> np.ndarray:
+    return np.unique(np.array(made, np.uint64))
 
 
 def bands(made: np.ndarray) -> np.ndarray:
@@ -109,25 +113,27 @@ def _shape(made: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(made.tobytes(), SEED)
 
 
-def marked(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, content, shape, bands) of every row: hashes of its text and of its shingle set, and the set's band keys."""
+def marked(docs: DataFrame, shingle: int, print_of: Callable[[list[int]], int]) -> DataFrame:
+    """(doc_id, content, shape, print, bands) of every row: hashes of its text and of its shingle set, its fingerprint (a signed long) and the set's band keys."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shapes, keys = [], []
+            shapes, prints, keys = [], [], []
             for t in batch.column(1):
-                made = shingle_set(t.as_py(), shingle)
+                every = shingle_hashes(t.as_py(), shingle)
+                prints.append(print_of(every))
+                made = _different(every)
                 shapes.append(_shape(made))
                 keys.append(bands(made).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(shapes, np.uint64).view(np.int64)),
-                                              pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "content", "shape", "bands"])
+                                              pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "content", "shape", "print", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("content"))
-    return settled(rows.mapInArrow(run, "doc_id long, content long, shape long, bands array<long>"))
+    return settled(rows.mapInArrow(run, "doc_id long, content long, shape long, print long, bands array<long>"))
 
 
 def first_rows(rows: DataFrame) -> DataFrame:
     """(shape, first) of every shape: the row with the smallest doc_id (rows without one last), then content."""
-    return rows.groupBy("shape").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("first"))
+    return rows.groupBy("shape").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content", "print")).alias("first"))
 
 
 def same_row(docs: DataFrame, rows: DataFrame) -> Column:
@@ -207,17 +213,24 @@ def _rare_pairs(sets: DataFrame, classes: DataFrame, order: Order) -> DataFrame:
         F.least("x_shape", "y_shape").alias("a"), F.greatest("x_shape", "y_shape").alias("b")).distinct()
 
 
-def near_components(docs: DataFrame, rows: DataFrame, firsts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, component) of every shape that has a near copy; rows is ``marked``, firsts its ``first_rows``."""
+def near_components(docs: DataFrame, rows: DataFrame, firsts: DataFrame, shingle: int, similarity: float, near: DataFrame) -> DataFrame:
+    """(node, component) of every shape that has a near copy; rows is ``marked``, firsts its ``first_rows``, near pairs (a, b) of shapes to check first.
+
+    Those pairs are the ball's; a text that the check or the ball leaves apart may still be linked through the bands.
+    """
+    near = settled(near)
     parts = rows.select("shape", F.explode("bands").alias("key"))
     shared = parts.groupBy("key").agg(F.min("shape").alias("low"), F.max("shape").alias("high")).where("low <> high").select("key")
     members = settled(parts.join(shared, "key").distinct())
     # the text that copies were made from shares its buckets with all of them, a copy only those that its edits left alone
     degree = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key").groupBy("shape").agg(F.sum("size").alias("degree"))
     hubs = members.join(degree, "shape").groupBy("key").agg(F.max(F.struct("degree", "shape"))["shape"].alias("hub"))
-    sets = _sets(docs, firsts.join(members.select("shape").distinct(), "shape", "left_semi"), shingle)
-    stars = settled(members.join(hubs, "key").where("hub <> shape").select(F.col("hub").alias("a"), F.col("shape").alias("b")).distinct())
-    edges = _verified(stars, sets, similarity)
+    wanted = members.select("shape").union(near.select("a")).union(near.select("b")).distinct()
+    sets = _sets(docs, firsts.join(wanted, "shape", "left_semi"), shingle)
+    inside = _verified(near, sets, similarity)
+    stars = settled(members.join(hubs, "key").where("hub <> shape").select(F.col("hub").alias("a"), F.col("shape").alias("b")).distinct()
+                    .join(inside.select("a", "b").union(inside.select("b", "a")), ["a", "b"], "left_anti"))
+    edges = settled(inside.unionByName(_verified(stars, sets, similarity)))
     found = components(edges)
     placed = members.join(found, members["shape"] == found["node"], "left").select("key", "shape", F.coalesce("component", "shape").alias("class"))
     mixed = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")

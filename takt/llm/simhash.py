@@ -36,7 +36,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
     A-Z are lower-cased; fewer words than a shingle are one shingle; no words give 0.
     """
-    made = shingle_hashes(text, shingle)
+    return print_of(shingle_hashes(text, shingle))
+
+
+def print_of(made: list[int]) -> int:
+    """The fingerprint of a text's shingle values, repeats included."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(made), 1 << 16):  # bounded memory for very long texts
         part = np.array(made[at:at + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
@@ -179,16 +183,26 @@ def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _ball_stars(firsts: DataFrame) -> DataFrame:
+    """(a, b) pairs of shapes: each text of a component of the fingerprints' balls with the component's smallest shape."""
+    prints = settled(firsts.select("shape", F.col("first.print").alias("print")))
+    comps = components(links(prints.select("print").distinct()))
+    grouped = prints.join(comps, prints["print"] == comps["node"], "left").select("shape", F.coalesce("component", "print").alias("component"))
+    hubs = grouped.groupBy("component").agg(F.min("shape").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return grouped.join(hubs, "component").where("hub <> shape").select(F.col("hub").alias("a"), F.col("shape").alias("b"))
+
+
 def keep_first(docs: DataFrame, shingle: int = near_copies.SHINGLE, similarity: float = near_copies.SIMILARITY) -> DataFrame:
     """docs with one row of each component: the one with its smallest doc_id (rows without one come last).
 
-    Links are pairs of texts whose sets of ``shingle``-word shingles have at least that Jaccard similarity. All
-    columns stay. Of rows with equal doc_id and component the one with the smallest text hash stays, of rows
+    Links are pairs of texts whose sets of ``shingle``-word shingles have at least that Jaccard similarity. Ball hashing of
+    their fingerprints brings the nearest texts together, each pair that it names is checked on the whole sets, and what a ball of
+    RADIUS bits doesn't reach is found by ``near_copies``. All columns stay. Of rows with equal doc_id and component the one with the smallest text hash stays, of rows
     equal in both any one. Empty and NULL texts are one component.
     """
-    marked = near_copies.marked(docs, shingle)
+    marked = near_copies.marked(docs, shingle, lambda made: int(np.uint64(print_of(made)).view(np.int64)))
     firsts = settled(near_copies.first_rows(marked))
-    found = near_copies.near_components(docs, marked, firsts, shingle, similarity)
+    found = near_copies.near_components(docs, marked, firsts, shingle, similarity, _ball_stars(firsts))
     kept = (firsts.join(found, firsts["shape"] == found["node"], "left").groupBy(F.coalesce("component", "shape").alias("class"))
             .agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("at_doc"), F.col("first.content").alias("at_content")))
     out = docs.join(kept, near_copies.same_row(docs, kept), "left_semi")

@@ -310,3 +310,16 @@ def test_stage_keeps_one_of_texts_at_four_fifths(spark):
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.stage_near_duplicates(spark, df, "").collect()}
     assert kept == set(root.tolist())
+
+
+def test_near_duplicates_are_named_by_the_balls_of_fingerprints(spark, monkeypatch):
+    """The stage goes through ball hashing, and pairs that only the ball names are checked and linked."""
+    from takt.llm import near_copies
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, " ".join(f"v{i}" for i in range(400)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = [simhash.fingerprint(t, near_copies.SHINGLE) for _, t in rows]
+    assert (prints[0] ^ prints[1]).bit_count() <= simhash.RADIUS
+    asked, plain = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a: asked.append(1) or plain(*a))
+    assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == [1, 3] and asked
