@@ -25,7 +25,7 @@ def pair_by_key(entries: DataFrame, exits: DataFrame, keys=("run_id", "unit_id",
 
 
 def pair_fifo(events: DataFrame, keys=("run_id", "unit_id", "station_id"), start="PROCESSING_STARTED",
-              end="PROCESSING_COMPLETED", width: int = 600_000, keep_open: bool = False) -> tuple[DataFrame, DataFrame]:
+              end="PROCESSING_COMPLETED", width: int = 600_000, keep_open: bool = False, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """First-in first-out intervals and per-run pairing counts; with ``keep_open`` starts without an end too.
 
     With D = completions - starts so far and U = the largest D seen before (at least 0), a
@@ -38,6 +38,8 @@ def pair_fifo(events: DataFrame, keys=("run_id", "unit_id", "station_id"), start
          .select(*keys, "timestamp_ms", "event_sequence",
                  F.when(F.col("event_type") == start, 1).otherwise(0).cast("long").alias("is_start"))
          .withColumn("slice", slice_number("timestamp_ms", width)))
+    if tasks:
+        e = e.repartition(tasks, *keys, "slice")
     w = Window.partitionBy(*keys, "slice").orderBy("timestamp_ms", "event_sequence")
     upto, before = w.rowsBetween(UNBOUNDED, 0), w.rowsBetween(UNBOUNDED, -1)
     local = (e.withColumn("s_l", F.sum("is_start").over(upto))
@@ -55,7 +57,10 @@ def pair_fifo(events: DataFrame, keys=("run_id", "unit_id", "station_id"), start
     d, s = F.col("d_b") + F.col("d_l"), F.col("s_b") + F.col("s_l")
     u = F.greatest(F.lit(0), F.col("u_b"), F.col("d_b") + F.col("m_l"))
     ordinal = F.when(F.col("is_start") == 1, s).when(d <= u, d + s - u)
-    paired = (rows.withColumn("ordinal", ordinal).groupBy(*keys, "ordinal",
+    rows = rows.withColumn("ordinal", ordinal)
+    if tasks:  # the two sides of a pair mostly come from different tasks
+        rows = rows.repartition(tasks, *keys, "ordinal")
+    paired = (rows.groupBy(*keys, "ordinal",
               F.when(F.col("ordinal").isNull(), F.col("event_sequence")).alias("lone")).agg(
         F.max(F.when(F.col("is_start") == 1, F.col("timestamp_ms"))).alias("processing_start"),
         F.max(F.when(F.col("is_start") == 0, F.col("timestamp_ms"))).alias("processing_end"),
@@ -73,13 +78,13 @@ def pair_fifo(events: DataFrame, keys=("run_id", "unit_id", "station_id"), start
     return intervals, diagnostics
 
 
-def assign_by_interval(readings: DataFrame, intervals: DataFrame, width: int = 600_000) -> DataFrame:
+def assign_by_interval(readings: DataFrame, intervals: DataFrame, width: int = 600_000, tasks: int | None = None) -> DataFrame:
     """Reading -> unit being processed at its station; the latest start wins, both ends inclusive."""
     r = intervals.select("run_id", "station_id", F.col("unit_id").alias("assigned_unit_id"),
                          "processing_start", "processing_end", "start_event_sequence")
     got = as_of(readings, r, ["run_id", "station_id"], "timestamp_ms", "processing_start",
                 ["assigned_unit_id", "processing_start", "processing_end"],
-                right_tie=["processing_end", "start_event_sequence"], width=width)
+                right_tie=["processing_end", "start_event_sequence"], width=width, tasks=tasks)
     return got.filter(F.col("timestamp_ms") <= F.col("processing_end"))
 
 

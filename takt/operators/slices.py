@@ -12,15 +12,26 @@ the slice width; the width only sets how much one task holds.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from takt.functions.scalar import col
 
 UNBOUNDED = Window.unboundedPreceding
+ROWS_A_TASK = 250_000
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks to deal that many rows to: as many as the session shuffles to, more if one would hold over ROWS_A_TASK.
+
+    Adaptive execution merges small shuffle partitions by their compressed bytes. Rows of a line log shrink so much
+    that a merged task may hold gigabytes of them; a repartition to a number of tasks stays as it is.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / ROWS_A_TASK))
 
 
 def slice_number(ts, width) -> Column:
@@ -79,15 +90,18 @@ def _merge(kind: str, before: Column, here: Column) -> Column:
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, Running],
             width: int | None = None, slice_col: Column | None = None, strict: bool = False,
-            slice_keys: Sequence[str] = ()) -> DataFrame:
+            slice_keys: Sequence[str] = (), tasks: int | None = None) -> DataFrame:
     """Add running aggregates per key in the given order.
 
     The first order column decides the slice (``width``), unless ``slice_col`` gives any other
-    expression that never decreases along the order. ``strict`` leaves the row itself out.
+    expression that never decreases along the order. ``strict`` leaves the row itself out. With
+    ``tasks`` slices are dealt to so many tasks, and sorted before the values are made.
     """
     keys, order = list(keys), list(order)
     names = list(columns)
     base = df.withColumn("__s", slice_col if slice_col is not None else slice_number(order[0], width))
+    if tasks:
+        base = base.repartition(tasks, *keys, "__s").sortWithinPartitions(*keys, "__s", *order)
     for n in names:
         base = base.withColumn(f"__v_{n}", columns[n].value)
     inside = (Window.partitionBy(*keys, "__s").orderBy(*order)
@@ -144,7 +158,7 @@ def last_rows(df: DataFrame, keys, rn: str, columns: dict[str, Column], back: in
 
 
 def as_of(left: DataFrame, right: DataFrame, keys, left_ts: str, right_ts: str, take: Sequence[str],
-          right_tie: Sequence[str] = (), width: int = 600_000, strict: bool = False) -> DataFrame:
+          right_tie: Sequence[str] = (), width: int = 600_000, strict: bool = False, tasks: int | None = None) -> DataFrame:
     """For each left row the latest right row at or before it (before it, when ``strict``).
 
     Both sides go through one sorted scan per (key, slice); no product of rows is formed. Ties on
@@ -162,7 +176,7 @@ def as_of(left: DataFrame, right: DataFrame, keys, left_ts: str, right_ts: str,
     l = left.select(*keys, F.col(left_ts).alias("__t"), F.lit(left_rank).alias("__k"),
                     l_all.alias("__row"), F.lit(True).alias("__is_left"))
     both = l.unionByName(r, allowMissingColumns=True)
-    out = running(both, keys, ["__t", "__k", "__tie"], {"__m": latest(F.col("__r"))}, width)
+    out = running(both, keys, ["__t", "__k", "__tie"], {"__m": latest(F.col("__r"))}, width, tasks=tasks)
     return (out.filter("__is_left")
             .select("__row.*", *[F.col("__m")[f"c{i}"].alias(c) for i, c in enumerate(take)]))
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from takt.contracts import QUALITY_FEATURES, QUALITY_META, RECENT_MS, SIGNALS
 from takt.functions import scalar as sc
 from takt.operators.joins import assign_by_interval, pair_fifo
-from takt.operators.slices import UNBOUNDED, latest, peak, running, total
+from takt.operators.slices import UNBOUNDED, latest, peak, running, tasks_for, total
 from takt.session import cut_lineage
 
 LEVELS = list(range(18, -1, -2))  # slices of 2^18 ms (4.4 min) down to 1 ms
@@ -50,7 +50,7 @@ def _questions(pred: DataFrame) -> DataFrame:
     return pred.select(*QID, F.explode_outer(up).alias("src"))
 
 
-def _state(questions: DataFrame, elements: DataFrame, keys: list[str], recent_ms: int, width: int) -> DataFrame:
+def _state(questions: DataFrame, elements: DataFrame, keys: list[str], recent_ms: int, width: int, tasks: int) -> DataFrame:
     """Running state of every source at each question (sources: what, signal, value, ts, avail, seq)."""
     ask = questions.select(*keys, F.col("prediction_time").alias("__t"), F.lit(0).alias("__k"),
                            F.struct(*[F.col(c) for c in QID]).alias("__q"), F.lit(0).cast("long").alias("__seq"))
@@ -82,11 +82,11 @@ def _state(questions: DataFrame, elements: DataFrame, keys: list[str], recent_ms
     cols["fails"] = total(F.when(what == "manual", v))
     cols["last_check"] = latest(F.when(what == "manual", check))
     cols["last_fail"] = latest(F.when((what == "manual") & (v == 1.0), check))
-    out = running(rows, keys, ["__t", "__k", "ts", "__seq"], cols, width)
+    out = running(rows, keys, ["__t", "__k", "ts", "__seq"], cols, width, tasks=tasks)
     return out.filter(F.col("__q").isNotNull()).select("__q.*", *cols)
 
 
-def _recent_peaks(questions: DataFrame, elements: DataFrame, keys: list[str], recent_ms: int) -> DataFrame:
+def _recent_peaks(questions: DataFrame, elements: DataFrame, keys: list[str], recent_ms: int, tasks: int) -> DataFrame:
     """Largest value per signal among observations alive at each question."""
     e = (elements.filter((F.col("what") == "sensor") & (F.col("avail") < F.col("ts") + recent_ms))
          .select(*keys, "signal", "value", (F.col("avail") + 1).alias("a"), (F.col("ts") + recent_ms).alias("b")))
@@ -104,9 +104,8 @@ def _recent_peaks(questions: DataFrame, elements: DataFrame, keys: list[str], re
     ends = F.when(F.col("first") < F.col("last"), F.array(entry(0, F.col("first"), F.col("a")),
                                                           entry(1, F.col("last"), F.col("b")))
                   ).otherwise(F.array(entry(0, F.col("first"), F.lit(-1).cast("long"))))
-    nodes = (e.select(*keys, "k", "signal", "value", F.explode(F.concat(ends, inner)).alias("n"))
-             .groupBy(*keys, "k", "n.slice", "n.side", "n.pos")
-             .agg(*[F.max(F.when(F.col("signal") == s, F.col("value"))).alias(f"v_{p}") for s, p in _SIG.items()]))
+    nodes = e.select(*keys, "k", "signal", "value", F.explode(F.concat(ends, inner)).alias("n")).select(
+        *keys, "k", "n.slice", "n.side", "n.pos", "signal", "value")
     levels = e.groupBy(*keys).agg(F.collect_set("k").alias("ks"))
     ask = (questions.filter(F.col("src").isNotNull()).join(levels, keys)
            .select(*keys, *[c for c in QID if c not in keys], F.explode("ks").alias("k"))
@@ -116,24 +115,24 @@ def _recent_peaks(questions: DataFrame, elements: DataFrame, keys: list[str], re
     g = Window.partitionBy(*keys, "k", "slice")
     up = g.orderBy("pos", "side").rowsBetween(UNBOUNDED, 0)
     down = g.orderBy(F.col("pos").desc()).rangeBetween(UNBOUNDED, 0)
-    both = nodes.unionByName(ask, allowMissingColumns=True)
-    seen = both.select("*", *[F.max(F.when(F.col("side") == 0, F.col(f"v_{p}"))).over(up).alias(f"u_{p}")
-                              for p in _SIG.values()])
-    seen = seen.select("*", *[F.max(F.when(F.col("side") == 1, F.col(f"v_{p}"))).over(down).alias(f"d_{p}")
-                              for p in _SIG.values()])
+    both = (nodes.unionByName(ask, allowMissingColumns=True).repartition(tasks, *keys, "k", "slice")
+            .sortWithinPartitions(*keys, "k", "slice", "pos", "side"))
+    of = lambda side, sig: F.max(F.when((F.col("side") == side) & (F.col("signal") == sig), F.col("value")))
+    seen = both.select("*", *[of(0, sig).over(up).alias(f"u_{p}") for sig, p in _SIG.items()])
+    seen = seen.select("*", *[of(1, sig).over(down).alias(f"d_{p}") for sig, p in _SIG.items()])
     return seen.filter(F.col("side") == 2).select(
         "__q.*", *[F.greatest(f"u_{p}", f"d_{p}").alias(f"{p}_rmx") for p in _SIG.values()])
 
 
-def _gather(parts: list[DataFrame]) -> DataFrame:
-    """Merge per-source states into one row per arrival."""
+def _gather(parts: list[DataFrame], tasks: int) -> DataFrame:
+    """Merge per-source states into one row per arrival; its sources come from different tasks."""
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p, allowMissingColumns=True)
     structs = [c for c in ("last_check", "last_fail") if c in rows.columns]
     peaks = [c for c in rows.columns if c.endswith("mx")]
     sums = [c for c in rows.columns if c not in QID + structs + peaks]
-    return rows.groupBy(*QID).agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in peaks],
+    return rows.repartition(tasks, *QID).groupBy(*QID).agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in peaks],
                                   *[F.max(c).alias(c) for c in structs])
 
 
@@ -212,6 +211,12 @@ def _as_pred(rows: DataFrame) -> DataFrame:
                        F.col("station_index").alias("prediction_station_index"), "final_station_index")
 
 
+def _tasks(events: DataFrame, sensors: DataFrame, manual: DataFrame) -> int:
+    """Tasks for all rows of a scan: events, checks, three steps a reading, and a question an arrival and upstream station."""
+    n = events.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("event_type") == "UNIT_ARRIVED", F.greatest("station_index", F.lit(1)))).alias("asked")).first()
+    return tasks_for(events.sparkSession, n["rows"] + (n["asked"] or 0) + 3 * sensors.count() + manual.count())
+
+
 def _unit_elements(events: DataFrame, manual: DataFrame) -> DataFrame:
     cycles = events.filter((F.col("event_type") == "PROCESSING_COMPLETED") & F.col("cycle_time_ms").isNotNull()
                            & F.col("unit_id").isNotNull())
@@ -233,11 +238,12 @@ def quality_features(events: DataFrame, sensors: DataFrame, manual: DataFrame, u
     """Unit scope: only this unit's own observations; a reading counts once its interval has ended."""
     final = final_station(stations)
     pred = label_rows(_as_pred(prediction_rows(events, final)), inspections, final)
-    intervals, _ = pair_fifo(events)
+    tasks = _tasks(events, sensors, manual)
+    intervals, _ = pair_fifo(events, tasks=tasks)
     readings = sensors.filter(F.col("sensor_type").isin(SIGNALS) & F.col("value").isNotNull()
                               & F.col("timestamp_ms").isNotNull())
     # the assigned readings feed several scans below: write them once instead of pairing and joining again
-    assigned = cut_lineage(assign_by_interval(readings, intervals).select(
+    assigned = cut_lineage(assign_by_interval(readings, intervals, tasks=tasks).select(
         "run_id", F.col("assigned_unit_id").alias("unit_id"), "station_index", "sensor_type", "value", "timestamp_ms", "processing_end", "event_sequence"))
     queues = events.filter((F.col("event_type") == "UNIT_ARRIVED") & F.col("queue_length_after").isNotNull()
                            & F.col("unit_id").isNotNull())
@@ -246,7 +252,7 @@ def quality_features(events: DataFrame, sensors: DataFrame, manual: DataFrame, u
                 .unionByName(_unit_elements(events, manual)))
     keys = ["run_id", "unit_id", "src"]
     q = _questions(pred)
-    state = _gather([_state(q, elements, keys, recent_ms, width), _recent_peaks(q, elements, keys, recent_ms)])
+    state = _gather([_state(q, elements, keys, recent_ms, width, tasks), _recent_peaks(q, elements, keys, recent_ms, tasks)], tasks)
     return _features(pred, state, units, stations)
 
 
@@ -266,7 +272,8 @@ def quality_features_line(events: DataFrame, sensors: DataFrame, manual: DataFra
             .unionByName(_element(events.filter(F.col("queue_length_after").isNotNull()), "queue", "queue_length_after")))
     q = _questions(pred)
     own = _unit_elements(events, manual)
-    state = _gather([_state(q, line, ["run_id", "src"], recent_ms, width),
-                     _recent_peaks(q, line, ["run_id", "src"], recent_ms),
-                     _state(q, own, ["run_id", "unit_id", "src"], recent_ms, width)])
+    tasks = _tasks(events, sensors, manual)
+    state = _gather([_state(q, line, ["run_id", "src"], recent_ms, width, tasks),
+                     _recent_peaks(q, line, ["run_id", "src"], recent_ms, tasks),
+                     _state(q, own, ["run_id", "unit_id", "src"], recent_ms, width, tasks)], tasks)
     return _features(pred, state, units, stations)

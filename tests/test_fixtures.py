@@ -3,6 +3,7 @@ import itertools
 import json
 import math
 import random
+import re
 import zipfile
 
 import pytest
@@ -500,3 +501,48 @@ def test_replay_folds_pairs_without_sorting_or_collecting_them(spark, name):
     plan = plan[plan.index("== Physical Plan =="):]
     pairs = [line for line in plan.splitlines() if "stddev_samp" in line]
     assert pairs and all("SortAggregate" not in line and "collect_set" not in line and "max_by" not in line for line in pairs)
+
+
+def explained(df, capsys) -> str:
+    capsys.readouterr()
+    df.explain()
+    return capsys.readouterr().out
+
+
+def dealt_to(plan: str) -> list[int]:
+    """The numbers of tasks that a plan's repartitions name, largest first."""
+    return sorted((int(n) for n in re.findall(r"hashpartitioning\([^\n]*, (\d+)\), REPARTITION_BY_NUM", plan)), reverse=True)
+
+
+def test_r3_f15_f16_slices_are_dealt_to_tasks_that_grow_with_the_rows(spark, monkeypatch, capsys):
+    want = sorted(map(tuple, quality_case(spark).collect()), key=str)
+    assert set(dealt_to(explained(quality_case(spark), capsys))) == {4}  # few rows: as many tasks as the session has
+    monkeypatch.setattr(sl, "ROWS_A_TASK", 2)
+    got = quality_case(spark)
+    # 5 events, 4 questions (two upstream stations of one arrival, one of two), 3 steps of 3 readings, 1 check
+    assert set(dealt_to(explained(got, capsys))) == {10}
+    assert sorted(map(tuple, got.collect()), key=str) == want
+
+
+def test_r3_f15_line_scope_is_dealt_too(spark, monkeypatch, capsys):
+    e = spark.createDataFrame([("r", "S02", f"U{i % 3}", 1000 * i, i, "UNIT_ARRIVED", float(i % 5), None, 1) for i in range(30)], EV + ", station_index int")
+    se = spark.createDataFrame([("r", "S01", 0, 1000 * i + 7, 100 + i, ("TORQUE", "CURRENT")[i % 2], float(i * i % 11)) for i in range(30)],
+                               "run_id string, station_id string, station_index int, timestamp_ms long, event_sequence long, sensor_type string, value double")
+    ma = spark.createDataFrame([("r", "S01", 0, "U1", 450, 200, "FAIL")], "run_id string, station_id string, station_index int, unit_id string, timestamp_ms long, event_sequence long, result string")
+    un = spark.createDataFrame([("r", f"U{i}", "M", "B") for i in range(3)], "run_id string, unit_id string, vehicle_model string, supplier_batch string")
+    made = lambda: uq.quality_features_line(e, se, ma, un, stations(spark), ma, recent_ms=5000)
+    plain = {r.prediction_event_sequence: r for r in made().collect()}
+    monkeypatch.setattr(sl, "ROWS_A_TASK", 10)
+    assert set(dealt_to(explained(made(), capsys))) == {16}
+    assert {r.prediction_event_sequence: r for r in made().collect()} == plain
+    for i, r in plain.items():
+        recent = [k * k % 11 for k in range(0, 30, 2) if 1000 * k + 7 < 1000 * i <= 1000 * k + 7 + 5000]
+        assert r.torque_max_recent == (max(recent) if recent else None)
+
+
+def test_r3_f21_flow_windows_are_dealt_to_tasks_that_grow_with_the_rows(spark, monkeypatch, capsys):
+    e = spark.createDataFrame([("r", f"S0{1 + i % 3}", f"U{i % 4}", 20_000 * i, i, ("UNIT_ARRIVED", "PROCESSING_COMPLETED")[i % 2], float(i % 5), 10.0 * i) for i in range(60)], EV)
+    want = sorted(map(tuple, sf.window_stats(e).collect()), key=str)
+    monkeypatch.setattr(sl, "ROWS_A_TASK", 10)
+    assert set(dealt_to(explained(sf.window_stats(e), capsys))) == {6, 24}  # events, and four copies of them
+    assert sorted(map(tuple, sf.window_stats(e).collect()), key=str) == want
