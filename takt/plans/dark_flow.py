@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from takt.contracts import FLOW_FEATURES
 from takt.functions import scalar as sc
 from takt.plans.station_flow import window_stats
+from takt.session import cut_lineage
 
 
 def dark_features(ledger: DataFrame, rates: DataFrame, priors: DataFrame, stations: DataFrame) -> DataFrame:
@@ -15,7 +16,7 @@ def dark_features(ledger: DataFrame, rates: DataFrame, priors: DataFrame, statio
     e = ledger.select("run_id", "station_id", F.col("t_ms").alias("timestamp_ms"), F.col("t_ms").alias("event_sequence"),
                       F.greatest(F.lit(0.0), F.col("queue_mean")).alias("queue_length_after"), F.lit(None).cast("double").alias("cycle_time_ms"),
                       F.lit("RECONSTRUCTED").alias("event_type"))
-    s = window_stats(e).drop("arrivals", "services", "prev_arrivals", "prev_services", "cycle_mean", "cycle_std", "cycle_max", "station_last_ts")
+    s = window_stats(cut_lineage(e)).drop("arrivals", "services", "prev_arrivals", "prev_services", "cycle_mean", "cycle_std", "cycle_max", "station_last_ts")
     keys = ["run_id", "station_id"]
     line = stations.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_stations"))
     dim = stations.join(line, "run_id").select(*keys, "archetype", "base_cycle_time_ms", "cycle_time_std_ms", F.col("buffer_capacity").cast("double").alias("cap"),

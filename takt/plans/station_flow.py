@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from takt.contracts import BOUNDARY_EVENTS, FLOW_FEATURES, FLOW_META, HORIZON_MS, RECENT_MS, frozen_projection
 from takt.functions import scalar as sc
-from takt.operators.slices import UNBOUNDED, slice_number
+from takt.operators.slices import UNBOUNDED, slice_number, tasks_for
 
 KEYS = ["run_id", "station_id"]
 _SUMS = {  # name -> (guard column, expression)
@@ -46,13 +46,15 @@ def flow_windows(events: DataFrame, recent_ms: int = RECENT_MS, horizon_ms: int
         raise ValueError("slice_ms must divide the window lengths")
     k, h = recent_ms // slice_ms, horizon_ms // slice_ms
     w = F.lit(float(slice_ms))
+    n_events = events.count()
+    few, many = (tasks_for(events.sparkSession, n_events * f) for f in (1, 4))
     here = (events.filter(~F.col("event_type").isin(BOUNDARY_EVENTS))
             .select(*KEYS, F.col("timestamp_ms").alias("ts"), F.col("event_sequence").alias("seq"),
                     F.col("queue_length_after").cast("double").alias("q"),
                     F.col("cycle_time_ms").cast("double").alias("c"),
                     F.when(F.col("event_type") == "UNIT_ARRIVED", 1.0).otherwise(0.0).alias("arr"),
                     F.when(F.col("event_type") == "PROCESSING_COMPLETED", 1.0).otherwise(0.0).alias("srv"))
-            .withColumn("slice", slice_number("ts", slice_ms))
+            .withColumn("slice", slice_number("ts", slice_ms)).repartition(few, *KEYS, "slice")
             .withColumn("idx", F.row_number().over(
                 Window.partitionBy(*KEYS, "slice").orderBy("ts", "seq")).cast("long")))
 
@@ -105,6 +107,7 @@ def flow_windows(events: DataFrame, recent_ms: int = RECENT_MS, horizon_ms: int
     copies = (here.select("*", shift.alias("cp")).select(
         *KEYS, F.col("cp.kind").alias("kind"), (F.col("ts") + F.col("cp.d")).alias("tt"), "ts", "seq", "q", "c",
         "arr", "srv", "idx").withColumn("slice", slice_number("tt", slice_ms))
+        .repartition(many, *KEYS, "slice").sortWithinPartitions(*KEYS, "slice", "tt", "kind", "seq")
         .withColumn("x", (F.col("ts") - F.col("slice") * w).cast("double")))
     group = Window.partitionBy(*KEYS, "slice")
     up = group.orderBy("tt", "kind", "seq").rowsBetween(UNBOUNDED, 0)
