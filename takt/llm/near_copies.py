@@ -10,6 +10,10 @@ copies of one text without listing their pairs. Texts that share a bucket with a
 passage in common. They go through an exact join on rare shingles: in any total order, two sets of similarity t share one of the first
 n - ceil(t n) + 1 shingles of the one and one of the first n - ceil(2 t / (1 + t) n) + 1 of the smaller one. With rare shingles first, a
 passage that many texts share is no key unless nearly the whole text consists of it.
+
+In that join the texts linked to one hub are one row a key, with bounds of their sizes and bitmaps. One less Jaccard similarity is a metric: of
+two hubs' texts only those far enough from their hubs to make up for the hubs' distance are paired, so a text that a large group
+shares a passage with is checked against the group's hub, not against all of the group.
 """
 from __future__ import annotations
 
@@ -153,12 +157,21 @@ def _sets(docs: DataFrame, firsts: DataFrame, shingle: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least that Jaccard similarity."""
+    """(a, b, apart) of the pairs whose shingle sets have at least that Jaccard similarity; apart is one less it."""
     one, two = sets.toDF("a", "of_a"), sets.toDF("b", "of_b")
     common = F.size(F.array_intersect("of_a", "of_b"))
     n, m = F.size("of_a"), F.size("of_b")
     return settled(pairs.join(one, "a").join(two, "b").where(F.least(n, m) / F.greatest(n, m) >= similarity)
-                   .where(common / (n + m - common) >= similarity).select("a", "b"))
+                   .withColumn("alike", common / (n + m - common)).where(F.col("alike") >= similarity).select("a", "b", (1 - F.col("alike")).alias("apart")))
+
+
+def _groups(edges: DataFrame) -> DataFrame:
+    """(shape, center, off) of every shape in verified edges (hub, shape, apart): the hub of most shapes among its own and itself, and the distance to it."""
+    own = edges.select(F.col("a").alias("shape"), F.col("a").alias("center"), F.lit(0.0).alias("off")).distinct()
+    near = edges.select(F.col("b").alias("shape"), F.col("a").alias("center"), F.col("apart").alias("off"))
+    size = edges.groupBy(F.col("a").alias("center")).agg(F.count(F.lit(1)).alias("size"))
+    best = own.unionByName(near).join(size, "center").groupBy("shape").agg(F.max(F.struct("size", "center", "off")).alias("best"))
+    return best.select("shape", "best.center", "best.off")
 
 
 def _bitmap(made: np.ndarray) -> list[int]:
@@ -188,29 +201,64 @@ def _early_keys(sets: DataFrame, order: Order) -> DataFrame:
     return sets.mapInArrow(run, "shape long, n int, at int, key long, early boolean, bits array<long>")
 
 
-def _rare_pairs(sets: DataFrame, classes: DataFrame, order: Order) -> DataFrame:
-    """Pairs (a, b) of different classes that a rare shingle brings together and whose sizes and bitmaps allow the similarity: no similar pair is missed.
+def _bits_lacking(a: str, b: str) -> Column:
+    """How many bits of the bitmap in columns a0, a1, ... those of b lack: shingles that the other set can't hold."""
+    return sum((F.bit_count(F.col(f"{a}{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}{i}")))) for i in range(WORDS)), F.lit(0))
 
-    Under a key the largest class is not paired with itself; its members only meet those of other classes.
-    """
-    t = float(order.t)
-    parts = _early_keys(sets, order).join(classes, "shape")
+
+def _rare_parts(sets: DataFrame, grouped: DataFrame, order: Order) -> DataFrame:
+    """The first shingles of sets, with class, center and off, whose keys bring different classes together; grouped is (shape, class, center, off)."""
+    parts = _early_keys(sets, order).join(grouped, "shape")
     mixed = parts.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("early").alias("some")).where("low <> high AND some").select("key")
-    parts = settled(parts.join(mixed, "key"))
-    main = parts.groupBy("key", "class").count().groupBy("key").agg(F.max(F.struct("count", "class"))["class"].alias("main"))
-    parts = parts.join(main, "key")
-    x, y = (parts.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("shape", "n", "at", "early", "class", "main", "bits")]) for side in "xy")
-    n, m = F.col("x_n"), F.col("y_n")
-    alike = F.least(n, m) >= F.lit(t - 1e-9) * F.greatest(n, m)
+    bits = [F.get("bits", F.lit(i)).alias(f"bits{i}") for i in range(WORDS)]
+    return settled(parts.join(mixed, "key").select("key", "shape", "n", "at", "early", "class", "center", "off", *bits))
+
+
+def _rare_centers(parts: DataFrame, t: float) -> DataFrame:
+    """Pairs (a, b) of centers of different classes under which a rare shingle brings texts together whose sizes and bitmaps allow the similarity.
+
+    Under a key the texts of a center are one row: what every pair of two rows' texts would fail is left out, no similar pair is missed. The largest
+    class of a key is not paired with itself.
+    """
+    per = parts.groupBy("key", "class", "center").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("at")).alias("rest"), F.max("early").alias("early"),
+        *[F.bit_and(f"bits{i}").alias(f"all{i}") for i in range(WORDS)], *[F.bit_or(f"bits{i}").alias(f"any{i}") for i in range(WORDS)])
+    main = per.groupBy("key", "class").count().groupBy("key").agg(F.max(F.struct("count", "class"))["class"].alias("main"))
+    per = per.join(main, "key")
+    x, y = (per.select("key", *[F.col(c).alias(f"{side}_{c}") for c in per.columns if c != "key"]) for side in "xy")
+    least = F.lit(t / (1 + t)) * (F.col("x_lo") + F.col("y_lo")) - 1e-9  # shingles in common
+    alike = (F.col("x_hi") >= F.lit(t - 1e-9) * F.col("y_lo")) & (F.col("y_hi") >= F.lit(t - 1e-9) * F.col("x_lo"))
     # the smaller set must hold the key early, and what follows the key must be enough to reach the similarity
-    smaller = F.when(n < m, F.col("x_early")).when(m < n, F.col("y_early")).otherwise(F.col("x_early") & F.col("y_early"))
-    reach = F.least(n - F.col("x_at"), m - F.col("y_at")) >= F.lit(t / (1 + t)) * (n + m) - 1e-9
-    # a bit that only one set has set is a shingle that the other lacks
-    lacking = lambda a, b: sum((F.bit_count(F.get(a, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(i))))) for i in range(WORDS)), F.lit(0))
-    common = F.least(n - lacking("x_bits", "y_bits"), m - lacking("y_bits", "x_bits")) >= F.lit(t / (1 + t)) * (n + m) - 1e-9
-    apart = (F.col("x_class") != F.col("y_class")) & ((F.col("y_class") == F.col("y_main")) | (F.col("x_shape") < F.col("y_shape")))
+    level = (F.col("x_lo") == F.col("y_hi")) & (F.col("y_lo") == F.col("x_hi"))
+    smaller = F.when(F.col("x_hi") < F.col("y_lo"), F.col("x_early")).when(F.col("y_hi") < F.col("x_lo"), F.col("y_early")).when(
+        level, F.col("x_early") & F.col("y_early")).otherwise(F.col("x_early") | F.col("y_early"))
+    reach = F.least("x_rest", "y_rest") >= least
+    common = F.least(F.col("x_hi") - _bits_lacking("x_all", "y_any"), F.col("y_hi") - _bits_lacking("y_all", "x_any")) >= least
+    apart = (F.col("x_class") != F.col("y_class")) & ((F.col("y_class") == F.col("y_main")) | (F.col("x_center") < F.col("y_center")))
     return x.where("x_class <> x_main").join(y, "key").where(apart & alike & smaller & reach & common).select(
-        F.least("x_shape", "y_shape").alias("a"), F.greatest("x_shape", "y_shape").alias("b")).distinct()
+        F.least("x_center", "y_center").alias("a"), F.greatest("x_center", "y_center").alias("b")).distinct()
+
+
+def _rare_links(parts: DataFrame, sets: DataFrame, t: float, similarity: float) -> DataFrame:
+    """Similar pairs (a, b, apart) that connect all classes which a similar pair of texts under a rare shingle connects.
+
+    Two centers that are similar connect their classes. Else a similar pair x, y under centers a, b has off(x) + off(y) + 1 - similarity >= apart(a, b).
+    """
+    seen = _verified(_rare_centers(parts, t), sets, 0.0)
+    found = seen.where(F.col("apart") <= F.lit(1 - similarity))
+    members = settled(parts.select("shape", "n", "center", "off", *[f"bits{i}" for i in range(WORDS)]).dropDuplicates(["shape"]))
+    wide = members.groupBy("center").agg(F.max("off").alias("wide")).where("wide > 0")
+    left = (seen.where(F.col("apart") > F.lit(1 - similarity)).withColumn("gap", F.col("apart") - F.lit(1 - similarity + 1e-9))
+            .join(wide.toDF("a", "wide_a"), "a", "left").join(wide.toDF("b", "wide_b"), "b", "left")
+            .select("a", "b", "gap", F.coalesce("wide_a", F.lit(0.0)).alias("wide_a"), F.coalesce("wide_b", F.lit(0.0)).alias("wide_b")).where("wide_a + wide_b >= gap"))
+    x, y = (members.select(*[F.col(c).alias(f"{side}_{c}") for c in members.columns]) for side in "xy")
+    n, m = F.col("x_n"), F.col("y_n")
+    common = F.least(n - _bits_lacking("x_bits", "y_bits"), m - _bits_lacking("y_bits", "x_bits")) >= F.lit(t / (1 + t)) * (n + m) - 1e-9
+    alike = F.least(n, m) >= F.lit(t - 1e-9) * F.greatest(n, m)
+    pairs = (left.join(x, F.col("a") == F.col("x_center")).where("x_off + wide_b >= gap")
+             .join(y, F.col("b") == F.col("y_center")).where(alike & common & (F.col("x_off") + F.col("y_off") >= F.col("gap")))
+             .select(F.least("x_shape", "y_shape").alias("a"), F.greatest("x_shape", "y_shape").alias("b")).distinct())
+    return found.unionByName(_verified(pairs, sets, similarity))
 
 
 def near_components(docs: DataFrame, rows: DataFrame, firsts: DataFrame, shingle: int, similarity: float, near: DataFrame) -> DataFrame:
@@ -237,5 +285,7 @@ def near_components(docs: DataFrame, rows: DataFrame, firsts: DataFrame, shingle
     classes = settled(placed.join(mixed, "key", "left_semi").select("shape", "class").distinct())
     if classes.isEmpty():
         return found
-    pairs = _rare_pairs(sets.join(classes.select("shape"), "shape", "left_semi"), classes, order_of(docs, shingle, similarity))
-    return components(edges.unionByName(_verified(pairs, sets, similarity)))
+    order = order_of(docs, shingle, similarity)
+    grouped = classes.join(_groups(edges), "shape", "left").select("shape", "class", F.coalesce("center", "shape").alias("center"), F.coalesce("off", F.lit(0.0)).alias("off"))
+    parts = _rare_parts(sets.join(classes.select("shape"), "shape", "left_semi"), grouped, order)
+    return components(edges.unionByName(_rare_links(parts, sets, float(order.t), similarity)))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import zstandard
 
-from takt.llm import centroids, collocations, warc
+from takt.llm import centroids, collocations, near_copies, warc
 
 VECTORS = "vec_id long, embedding array<double>, label int, cluster int, v string"
 
@@ -262,3 +262,33 @@ def test_automata_keep_paths_and_weights():
     assert back == twice
     assert sum(made.levels[0][3]) == sum(twice.values())
     assert made.run(np.array([[29, 29, 29, 29], [len(made.words), -1, -1, -1]], np.int32)).tolist() == [twice.get((29, 29, 29, 29), 0), 0]
+
+
+def _rare_case(spark, rows):
+    """rows: name -> (set, class, center, off), all of positive numbers; as near_copies takes them."""
+    sets = spark.createDataFrame([(s, sorted(made)) for s, (made, *_) in rows.items()], "shape long, made array<long>")
+    grouped = spark.createDataFrame([(s, *at) for s, (_, *at) in rows.items()], "shape long, class long, center long, off double")
+    order = near_copies.Order(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0.8)
+    return near_copies.settled(near_copies._rare_parts(sets, grouped, order)), near_copies.settled(sets)
+
+
+def test_r3_pipeline_a_text_meets_the_hub_of_a_group_not_all_of_it(spark, monkeypatch):
+    asked, verified = [], near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *a: (asked.append(pairs.count()), verified(pairs, *a))[1])
+    base = set(range(100))
+    for n in (20, 60):
+        rows = {1: (base, 1, 1, 0.0)} | {10 + i: (base - {99 - i} | {1_000_000 + i}, 1, 1, 2 / 101) for i in range(n)}
+        for z in range(3):  # 87 of 113 in common, the rest with the same bits: no bound but the distance tells them from the group's texts
+            rows[500 + z] = (set(range(87)) | {512 * (z + 1) * 1000 + i for i in range(13)}, 500 + z, 500 + z, 0.0)
+        asked.clear()
+        parts, sets = _rare_case(spark, rows)
+        assert near_copies._rare_links(parts, sets, 0.8, 0.8).count() == 0
+        assert sum(asked) == 3 + 3  # each text with the hub and with the two others, whatever n
+
+
+def test_r3_pipeline_links_past_the_hub_are_found(spark):
+    base = set(range(100))
+    far = set(range(90)) | set(range(1000, 1010))
+    further = set(range(80)) | set(range(1000, 1010)) | set(range(2000, 2010))
+    parts, sets = _rare_case(spark, {1: (base, 1, 1, 0.0), 2: (far, 1, 1, 20 / 110), 3: (further, 3, 3, 0.0)})
+    assert [(r.a, r.b) for r in near_copies._rare_links(parts, sets, 0.8, 0.8).collect()] == [(2, 3)]  # 1 and 3 are no pair: 80 of 120
