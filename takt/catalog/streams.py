@@ -14,6 +14,7 @@ from takt.catalog.rollup import FB, _periods_sql
 from takt.catalog.records import BUS, _contract_preds, runtime_bus
 from takt.contracts import HORIZON_MS, QUALITY_FEATURES, QUALITY_META, TABLES
 from takt.operators.joins import pair_fifo
+from takt.session import cut_lineage
 from takt.sources.runs import read_run_documents, run_of_path, shared_folder
 from takt.sources.sinks import write_predictions
 from takt.streaming import operators as so
@@ -226,11 +227,15 @@ def defect_features_stream(spark, d):
     kept = log.filter(~starts).unionByName(log.filter(starts).join(done, ["run_id", "event_sequence"], "left_semi").select(*log.columns))
     bus = delivered(kept.select("run_id", "station_id", "station_index", "unit_id", "timestamp_ms", "event_sequence", "record_type", "event_type",
                                 "queue_length_after", "cycle_time_ms", "sensor_type", F.col("sensor_value").alias("value"), F.col("check_result").alias("result")))
+    path = f"{shared_folder(spark)}/bus"  # cut into chunks and read for its end, so pairing is done once
+    bus.write.parquet(path)
+    bus = spark.read.schema(bus.schema).parquet(path)
     first = Replay(spark, bus, "arrival", then=heartbeat(bus, 2 * DAY_MS))
     elements = first.files(station_readings_stream(first.stream))
     elements = elements.withColumn("position", F.unix_millis("event_time"))
     second = Replay(spark, elements, "position", 2, then=heartbeat(elements, 2 * DAY_MS))
-    return rounded(second.files(so.defect_features_stream(second.stream, b.units(spark, d), b.stations(spark, d))).select(*_LIVE))
+    units, stations = cut_lineage(b.units(spark, d)), cut_lineage(b.stations(spark, d))  # every micro-batch joins them
+    return rounded(second.files(so.defect_features_stream(second.stream, units, stations)).select(*_LIVE))
 
 
 @query("interval_ticks_stream", with_ctes("ev", f"""

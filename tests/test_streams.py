@@ -1,4 +1,6 @@
 """Streaming operators against their batch twins, with stop and resume between chunks."""
+import math
+import pickle
 import random
 
 import pytest
@@ -141,3 +143,177 @@ def test_replayed_batch_is_written_once(spark, tmp_path):
     write(d, 0)
     write(d.filter("seq = 6"), 1)
     assert sorted(map(tuple, so.read_idempotent(spark, str(tmp_path), ["k"], "seq").collect())) == [(1, 7, "c"), (2, 1, None)]
+
+
+class Held:
+    """A state variable in memory, of any of the three kinds."""
+
+    def __init__(self):
+        self.map, self.list = {}, []
+
+    def exists(self):
+        return bool(self.list)
+
+    def get(self):
+        return self.list if self.many else self.list[0]
+
+    def update(self, v):
+        self.list = [v]
+
+    def appendValue(self, v):
+        self.list.append(v)
+
+    def iterator(self):
+        return iter(list(self.map.items()))
+
+    def updateValue(self, k, v):
+        self.map[k] = v
+
+    def removeKey(self, k):
+        del self.map[k]
+
+
+class Handle:
+    def __init__(self):
+        self.timers = []
+
+    def _of(self, many):
+        held = Held()
+        held.many = many
+        return held
+
+    def getListState(self, *_):
+        return self._of(True)
+
+    def getValueState(self, *_):
+        return self._of(False)
+
+    def getMapState(self, *_):
+        return self._of(False)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def made(processor):
+    processor.init(Handle())
+    return processor, lambda **c: processor.row([c.get(n) for n in processor.names])
+
+
+def test_r3_f18_open_starts_are_not_searched_for_every_completion():
+    looks = [0]
+
+    class Unit(str):
+        __hash__ = str.__hash__
+
+        def __eq__(self, other):
+            looks[0] += 1
+            return str.__eq__(self, other)
+
+    n = 600
+    station, row = made(timed.StationReadings())
+    rows = [row(timestamp_ms=i, event_sequence=i, station_index=0, unit_id=Unit("U%d" % (i % 3)), event_type="PROCESSING_STARTED", record_type="STATION") for i in range(n)]
+    rows += [row(timestamp_ms=n + i // 2, event_sequence=n + i, station_index=0, unit_id=None, record_type="SENSOR", sensor_type="TORQUE", value=float(i)) for i in range(4)]
+    rows += [row(timestamp_ms=2 * n + i, event_sequence=2 * n + i, station_index=0, unit_id=Unit("U%d" % (i % 3)), event_type="PROCESSING_COMPLETED", record_type="STATION") for i in range(n)]
+    half = n + 4 + n // 2
+    out = [*station.step(("r", "S01"), rows[:half])]
+    assert len(station.groups.map) == n // 2  # each open start is kept for the next batch
+    out += station.step(("r", "S01"), rows[half:])
+    assert not station.groups.map and station.closed.get() == (n - 1, 3 * n - 1, "U2")
+    # the readings belong to the start before them and come when it has ended
+    assert [(o[1], o[4], o[6], o[8]) for o in out] == [("U2", "sensor", float(i), 3 * n - 1) for i in range(4)]
+    assert looks[0] < 40 * n  # about n * n / 2 when every completion looks through the open ones
+
+
+def test_r3_f18_starts_of_one_instant_and_unit_end_first_in_first_out():
+    station, row = made(timed.StationReadings())
+    at = lambda t, seq, **c: row(event_ms=t, timestamp_ms=t, event_sequence=seq, station_index=0, record_type="STATION", **c)
+    rows = [at(0, 0, unit_id="a", event_type="PROCESSING_STARTED"), at(0, 0, unit_id="a", event_type="PROCESSING_STARTED"), at(0, 1, unit_id="b", event_type="PROCESSING_STARTED"),
+            row(event_ms=5, timestamp_ms=5, event_sequence=2, station_index=0, record_type="SENSOR", sensor_type="CURRENT", value=1.0)]
+    assert [*station.step(("r", "S01"), rows)] == []
+    assert sorted(station.groups.map[0,][0]) == [("a", 0), ("a", 0), ("b", 1)]
+    assert [*station.step(("r", "S01"), [at(10, 3, unit_id="a", event_type="PROCESSING_COMPLETED"), at(11, 4, unit_id="b", event_type="PROCESSING_COMPLETED")])] == []
+    out = [*station.step(("r", "S01"), [at(12, 5, unit_id="a", event_type="PROCESSING_COMPLETED")])]
+    assert [(o[1], o[5], o[6], o[7], o[8]) for o in out] == [("a", "CURRENT", 1.0, 5, 12)] and not station.groups.map
+
+
+def test_r3_f18_arrivals_do_not_go_through_the_readings_of_ten_minutes():
+    looks = [0]
+
+    class Value(float):
+        pass
+
+    for name in ("__add__", "__radd__", "__mul__", "__neg__", "__abs__", "__lt__", "__gt__", "__sub__", "__rsub__"):
+        def counted(self, *other, of=getattr(float, name)):
+            looks[0] += 1
+            return of(self, *other)
+        setattr(Value, name, counted)
+
+    n = 500
+    unit, row = made(timed.UnitHistory())
+    rows, rnd = [], random.Random(3)
+    for i in range(n):
+        rows.append(row(event_ms=i, what="sensor", src=i % 3, signal="TORQUE", value=Value(rnd.randrange(1000) / 7), ts=i - rnd.randrange(300), avail=i, seq=i, rank=1))
+        rows.append(row(event_ms=i, what="arrival", src=2, ts=i, avail=i, seq=n + i, station_id="S03", rank=0))
+    out = [*unit.step(("r", "u"), sorted(rows, key=unit.place))]
+    assert len(out) == n and looks[0] < 60 * n  # about n * n / 3 additions and as many comparisons when each arrival goes through them
+
+
+def test_r3_f18_recent_figures_equal_brute_force_over_batches_and_odd_values():
+    rnd, t = random.Random(5), 0
+    unit, row = made(timed.UnitHistory(recent_ms=400_000))
+    at = {c: i for i, c in enumerate(["run", "unit", "station", "t", "seq", "index", *unit.state_columns])}
+    seen, count = [], 0
+    for _ in range(6):
+        batch = []
+        for _ in range(80):
+            t += rnd.randrange(30_000)
+            if rnd.random() < 0.5:
+                value = rnd.choice([0.1, 1e16, -3.7, float(rnd.randrange(50)), *([math.inf] if rnd.random() < 0.1 else [])])
+                batch.append(row(event_ms=t, what="sensor", src=rnd.randrange(4), signal=rnd.choice(["TORQUE", "CURRENT"]), value=value, ts=t - rnd.randrange(900_000), avail=t, seq=t, rank=1))
+            else:
+                batch.append(row(event_ms=t, what="arrival", src=rnd.randrange(5), ts=t, avail=t, seq=t, station_id="S", rank=0))
+        got = {o[4]: o for o in unit.step(("r", "u"), batch)}
+        for r in batch:
+            if r.what == "sensor":
+                seen.append(r)
+                continue
+            for p, signal in (("torque", "TORQUE"), ("current", "CURRENT")):
+                mine = [x.value for x in seen if x.signal == signal and x.src < r.src and x.ts >= r.ts - 400_000]
+                o = got[r.seq]
+                assert o[at[f"{p}_rn"]] == len(mine) and o[at[f"{p}_rmx"]] == max(mine, default=None)
+                assert o[at[f"{p}_rs"]] == pytest.approx(math.fsum(mine), rel=1e-12)
+                count += bool(mine)
+    assert count > 50 and len(unit.recent.map) < 20  # minutes that no arrival reaches are gone
+
+
+def test_r3_f18_a_frame_waits_as_one_entry_and_keeps_null_apart_from_nan():
+    import pandas as pd
+    station, _ = made(timed.StationReadings())
+    n = 1000
+    big = 2**53 + 1
+    pdf = pd.DataFrame({"event_ms": range(n), "timestamp_ms": range(n), "event_sequence": [big + i for i in range(n)], "station_index": 0, "unit_id": None, "record_type": "SENSOR",
+                        "event_type": None, "queue_length_after": 0.0, "cycle_time_ms": math.nan, "sensor_type": "TORQUE", "value": 1.5, "result": None, "blank": 1 << 7})
+    pdf.loc[0, "blank"] = 1 << 7 | 1 << 2
+    assert [*station.handleInputRows(("r", "S01"), iter([pdf]), None)] == []
+    assert len(station.waiting.list) == 1 and station.handle.timers == [0]
+    waiting = [station.row(r) for r in pickle.loads(station.waiting.list[0][0])]
+    assert len(waiting) == n and waiting[0].event_sequence is None and waiting[1].event_sequence == big + 1
+    assert waiting[5].queue_length_after is None and math.isnan(waiting[5].cycle_time_ms) and waiting[5].unit_id is None
+    assert [*station.handleInputRows((None, None), iter([pdf]), None)] == [] and len(station.waiting.list) == 1
+    out = [("r", "u", i, 0, "queue", None, v, big + i, i, None, None) for i, v in enumerate([1.0, None, math.nan])]
+    frame, = station._frames(out)
+    assert frame["odd"].tolist() == [0, 0, 1 << 6] and frame["ts"].tolist() == [big, big + 1, big + 2] and frame["seq"].tolist() == [None] * 3
+
+
+def test_r3_f18_frames_of_a_stream_keep_null_nan_and_long_numbers(spark):
+    big = 2**53 + 1
+    rows = [("r", "S01", 0, "U", 1000, big, "STATION", "UNIT_ARRIVED", math.nan, None, None, None, None), ("r", "S01", 0, "U", 2000, big + 1, "STATION", "UNIT_ARRIVED", None, None, None, None, None),
+            ("r", "S01", 0, "U", 3000, None, "MANUAL", None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, BUS).withColumn("event_time", F.timestamp_millis(F.col("timestamp_ms") + timed.DAY_MS)).withColumn("arrival", F.col("timestamp_ms"))
+    r = Replay(spark, df, "arrival", 1, then=heartbeat(df, 2 * timed.DAY_MS))
+    got = {(x.what, x.ts): x for x in r.files(timed.station_readings_stream(r.stream)).collect()}
+    assert got.keys() == {("queue", 1000), ("arrival", 1000), ("arrival", 2000), ("manual", 3000)}
+    assert math.isnan(got["queue", 1000].value) and got["arrival", 1000].value is None
+    assert got["arrival", 2000].seq == big + 1 and got["manual", 3000].seq is None and got["manual", 3000].value == 0.0
+    assert got["arrival", 2000].event_time.timestamp() * 1000 == timed.DAY_MS + 2000
