@@ -27,13 +27,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from takt.llm.common import hashed_share, settled
+from takt.llm.common import few_tasks, hashed_share, settled, settled_few
 from takt.llm.components import components
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 BANDS, ROWS = 24, 4
 AT_ONCE = 1 << 12
 WORDS, SETS_AT_ONCE = 8, 256  # longs of a set's bitmap; sets in work at a time
+SETS_A_TASK = 500  # a long text has 20,000 shingles
 SAMPLE, MOST, LEAST = 5_000, 1 << 18, 3  # texts that the order is learned from, shingles it keeps, texts a common one is in
 MULTIPLIERS = np.random.default_rng(SEED).integers(1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -145,7 +146,7 @@ def same_row(docs: DataFrame, rows: DataFrame) -> Column:
 
 
 def _sets(docs: DataFrame, firsts: DataFrame, shingle: int) -> DataFrame:
-    """(shape, made) of every shape in firsts: its shingle set."""
+    """(shape, made) of every shape in firsts (settled): its shingle set."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [shingle_set(t.as_py(), shingle) for t in batch.column(0)]
@@ -153,7 +154,8 @@ def _sets(docs: DataFrame, firsts: DataFrame, shingle: int) -> DataFrame:
                                               pa.array([m.view(np.int64) for m in made], pa.list_(pa.int64()))], names=["shape", "made"])
 
     at = firsts.select(F.col("first.doc_id").alias("at_doc"), F.col("first.content").alias("at_content"))
-    return settled(docs.join(at, same_row(docs, at), "left_semi").select("text").mapInArrow(run, "shape long, made array<long>").dropDuplicates(["shape"]))
+    held = docs.join(at, same_row(docs, at), "left_semi").select("text").mapInArrow(run, "shape long, made array<long>")
+    return few_tasks(settled(held.dropDuplicates(["shape"])), firsts.count(), SETS_A_TASK)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -161,7 +163,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     one, two = sets.toDF("a", "of_a"), sets.toDF("b", "of_b")
     common = F.size(F.array_intersect("of_a", "of_b"))
     n, m = F.size("of_a"), F.size("of_b")
-    return settled(pairs.join(one, "a").join(two, "b").where(F.least(n, m) / F.greatest(n, m) >= similarity)
+    return settled_few(pairs.join(one, "a").join(two, "b").where(F.least(n, m) / F.greatest(n, m) >= similarity)
                    .withColumn("alike", common / (n + m - common)).where(F.col("alike") >= similarity).select("a", "b", (1 - F.col("alike")).alias("apart")))
 
 
@@ -211,7 +213,7 @@ def _rare_parts(sets: DataFrame, grouped: DataFrame, order: Order) -> DataFrame:
     parts = _early_keys(sets, order).join(grouped, "shape")
     mixed = parts.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("early").alias("some")).where("low <> high AND some").select("key")
     bits = [F.get("bits", F.lit(i)).alias(f"bits{i}") for i in range(WORDS)]
-    return settled(parts.join(mixed, "key").select("key", "shape", "n", "at", "early", "class", "center", "off", *bits))
+    return settled_few(parts.join(mixed, "key").select("key", "shape", "n", "at", "early", "class", "center", "off", *bits))
 
 
 def _rare_centers(parts: DataFrame, t: float) -> DataFrame:
@@ -246,7 +248,7 @@ def _rare_links(parts: DataFrame, sets: DataFrame, t: float, similarity: float)
     """
     seen = _verified(_rare_centers(parts, t), sets, 0.0)
     found = seen.where(F.col("apart") <= F.lit(1 - similarity))
-    members = settled(parts.select("shape", "n", "center", "off", *[f"bits{i}" for i in range(WORDS)]).dropDuplicates(["shape"]))
+    members = settled_few(parts.select("shape", "n", "center", "off", *[f"bits{i}" for i in range(WORDS)]).dropDuplicates(["shape"]))
     wide = members.groupBy("center").agg(F.max("off").alias("wide")).where("wide > 0")
     left = (seen.where(F.col("apart") > F.lit(1 - similarity)).withColumn("gap", F.col("apart") - F.lit(1 - similarity + 1e-9))
             .join(wide.toDF("a", "wide_a"), "a", "left").join(wide.toDF("b", "wide_b"), "b", "left")
@@ -266,23 +268,23 @@ def near_components(docs: DataFrame, rows: DataFrame, firsts: DataFrame, shingle
 
     Those pairs are the ball's; a text that the check or the ball leaves apart may still be linked through the bands.
     """
-    near = settled(near)
+    near = settled_few(near)
     parts = rows.select("shape", F.explode("bands").alias("key"))
     shared = parts.groupBy("key").agg(F.min("shape").alias("low"), F.max("shape").alias("high")).where("low <> high").select("key")
-    members = settled(parts.join(shared, "key").distinct())
+    members = settled_few(parts.join(shared, "key").distinct())
     # the text that copies were made from shares its buckets with all of them, a copy only those that its edits left alone
     degree = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key").groupBy("shape").agg(F.sum("size").alias("degree"))
     hubs = members.join(degree, "shape").groupBy("key").agg(F.max(F.struct("degree", "shape"))["shape"].alias("hub"))
     wanted = members.select("shape").union(near.select("a")).union(near.select("b")).distinct()
-    sets = _sets(docs, firsts.join(wanted, "shape", "left_semi"), shingle)
+    sets = _sets(docs, settled_few(firsts.join(wanted, "shape", "left_semi")), shingle)
     inside = _verified(near, sets, similarity)
-    stars = settled(members.join(hubs, "key").where("hub <> shape").select(F.col("hub").alias("a"), F.col("shape").alias("b")).distinct()
+    stars = settled_few(members.join(hubs, "key").where("hub <> shape").select(F.col("hub").alias("a"), F.col("shape").alias("b")).distinct()
                     .join(inside.select("a", "b").union(inside.select("b", "a")), ["a", "b"], "left_anti"))
-    edges = settled(inside.unionByName(_verified(stars, sets, similarity)))
+    edges = settled_few(inside.unionByName(_verified(stars, sets, similarity)))
     found = components(edges)
     placed = members.join(found, members["shape"] == found["node"], "left").select("key", "shape", F.coalesce("component", "shape").alias("class"))
     mixed = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
-    classes = settled(placed.join(mixed, "key", "left_semi").select("shape", "class").distinct())
+    classes = settled_few(placed.join(mixed, "key", "left_semi").select("shape", "class").distinct())
     if classes.isEmpty():
         return found
     order = order_of(docs, shingle, similarity)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from takt.llm import near_copies
-from takt.llm.common import free_name, settled
+from takt.llm.common import free_name, settled, settled_few
 from takt.llm.components import components, local_roots
 from takt.llm.near_copies import shingle_hashes
 
@@ -162,7 +162,7 @@ def edges_of(rows: DataFrame, used: int) -> DataFrame:
 
 def _named(marked: DataFrame) -> DataFrame:
     """(print, component_id) of every fingerprint in marked."""
-    prints = settled(marked.groupBy("print").agg(F.min("doc_id").alias("first")))
+    prints = settled_few(marked.groupBy("print").agg(F.min("doc_id").alias("first")))
     comps = components(links(prints.select("print")))
     grouped = prints.join(comps, prints["print"] == comps["node"], "left").select(
         "print", "first", F.coalesce("component", "print").alias("component"))
@@ -185,7 +185,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def _ball_stars(firsts: DataFrame) -> DataFrame:
     """(a, b) pairs of shapes: each text of a component of the fingerprints' balls with the component's smallest shape."""
-    prints = settled(firsts.select("shape", F.col("first.print").alias("print")))
+    prints = settled_few(firsts.select("shape", F.col("first.print").alias("print")))
     comps = components(links(prints.select("print").distinct()))
     grouped = prints.join(comps, prints["print"] == comps["node"], "left").select("shape", F.coalesce("component", "print").alias("component"))
     hubs = grouped.groupBy("component").agg(F.min("shape").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -201,7 +201,7 @@ def keep_first(docs: DataFrame, shingle: int = near_copies.SHINGLE, similarity:
     equal in both any one. Empty and NULL texts are one component.
     """
     marked = near_copies.marked(docs, shingle, lambda made: int(np.uint64(print_of(made)).view(np.int64)))
-    firsts = settled(near_copies.first_rows(marked))
+    firsts = settled_few(near_copies.first_rows(marked))
     found = near_copies.near_components(docs, marked, firsts, shingle, similarity, _ball_stars(firsts))
     kept = (firsts.join(found, firsts["shape"] == found["node"], "left").groupBy(F.coalesce("component", "shape").alias("class"))
             .agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("at_doc"), F.col("first.content").alias("at_content")))

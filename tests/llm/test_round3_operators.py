@@ -292,3 +292,38 @@ def test_r3_pipeline_links_past_the_hub_are_found(spark):
     further = set(range(80)) | set(range(1000, 1010)) | set(range(2000, 2010))
     parts, sets = _rare_case(spark, {1: (base, 1, 1, 0.0), 2: (far, 1, 1, 20 / 110), 3: (further, 3, 3, 0.0)})
     assert [(r.a, r.b) for r in near_copies._rare_links(parts, sets, 0.8, 0.8).collect()] == [(2, 3)]  # 1 and 3 are no pair: 80 of 120
+
+
+def test_components_of_few_edges_take_few_tasks(spark):
+    """With many shuffle partitions, a round on few edges must not write files and log entries for all of them in each of its stages."""
+    from takt.llm.components import components
+
+    sc, partitions = spark.sparkContext, 101
+    held = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    edges = [(10, i) for i in range(11, 200)] + [(i, i + 1) for i in range(300, 312)] + [(500, 500), (199, 9), (10, 11)]
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    sc.setJobGroup("few edges", "")
+    try:
+        got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {9: 9} | {i: 9 for i in range(10, 200)} | {i: 300 for i in range(300, 313)}
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few edges") for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s)))
+    assert 0 < tasks < 25 * partitions, tasks  # 6,579 before, 1,526 now
+
+
+def test_few_tasks_read_all_rows(spark):
+    from takt.llm.common import few_tasks
+
+    cores, rows = spark.sparkContext.defaultParallelism, spark.range(0, 10_000, 1, 97)
+    for at_once, tasks in ((10, 97), (200, max(cores, 50)), (10_000, cores)):
+        few = few_tasks(rows, 10_000, at_once)
+        assert few.rdd.getNumPartitions() == min(97, tasks)
+        assert sorted(r.id for r in few.collect()) == list(range(10_000))
