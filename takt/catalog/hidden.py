@@ -467,7 +467,7 @@ def _association(spark, d):
         "run_id", F.lit("DZ01").alias("zone_id"), F.col("event_sequence").alias("evidence_id"), F.col("timestamp_ms").alias("ts_ms"), "station_id")
     p = with_priors(spark, d)
     q = oc.active_queries(p, e.select("run_id", "zone_id", F.col("ts_ms").alias("t_ms")).distinct())
-    return oc.evidence_association(oc.station_posterior(p, q.drop("quality"), K)[0], e)
+    return oc.evidence_association(oc.station_posterior(p, q.drop("quality"), K, apart=True)[0], e)
 
 
 _SURVIVE = f"CASE WHEN total < @ THEN {oc.CENSOR}::DOUBLE ELSE 1.0::DOUBLE END"
