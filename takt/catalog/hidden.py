@@ -36,8 +36,8 @@ def _corridor(spark, d):
                                   F.lit("S03").alias("upstream_station"))
 
 
-def residence(spark, d):
-    return ca.corridor_residence(b.station_events(spark, d), b.units(spark, d), _corridor(spark, d))
+def residence(spark, d, counted: bool = False):
+    return ca.corridor_residence(b.station_events(spark, d), b.units(spark, d), _corridor(spark, d), counted)
 
 
 _RES = {
@@ -104,7 +104,7 @@ def fit_dwell(spark, d):
 
 @query("fit_residence_by_load")
 def fit_residence_by_load(spark, d):
-    return rounded(ca.fit_residence_by_load(residence(spark, d)))
+    return rounded(ca.fit_residence_by_load(residence(spark, d, counted=True)))
 
 
 @query("prior_from_config", with_ctes("stations", """
@@ -181,7 +181,7 @@ def calibration_quality(spark, d):
         (F.col("station_id") == DARK[0]).alias("is_first"))
     dwell = dwell_history(spark, d)
     fb = ca.fit_dwell(dwell).unionByName(ca.fit_dwell(dwell.withColumn("variant", F.lit(ca.ALL))))
-    return rounded(ca.calibration_quality(req, ca.fit_residence_by_load(residence(spark, d)), fb))
+    return rounded(ca.calibration_quality(req, ca.fit_residence_by_load(residence(spark, d, counted=True)), fb))
 
 
 @query("nearest_load", with_ctes("ev", """

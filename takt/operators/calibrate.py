@@ -1,6 +1,10 @@
 """Histories of hidden stations turned into dwell and residence distributions."""
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -8,11 +12,14 @@ from takt.functions import scalar as sc
 from takt.functions.gamma import gamma_shape
 from takt.operators.aggregate import trim_limits, within_limits
 from takt.operators.joins import pair_fifo
-from takt.operators.slices import as_of, numbered, running, total
+from takt.operators.slices import as_of, numbered, running, slice_number, tasks_for, total
 from takt.operators.windows import corridor_load
 from takt.session import cut_lineage
 
 ALL = "__ALL__"
+BLOCK_MS = 1 << 18  # clocks that meet at once when pairs are counted
+AT_ONCE = 1 << 22  # pairs that a task holds
+COUNTED = "station_id string, variant string, is_first boolean, band string, corridor_load long, x double, n long, sx double, sl double"
 
 
 def dwell_history(events: DataFrame, units: DataFrame, stations: DataFrame) -> DataFrame:
@@ -23,11 +30,12 @@ def dwell_history(events: DataFrame, units: DataFrame, stations: DataFrame) -> D
     return p.join(v, ["run_id", "unit_id"]).withColumn("dwell_s", (F.col("exit_ts") - F.col("entry_ts")) / 1000.0)
 
 
-def corridor_residence(events: DataFrame, units: DataFrame, corridor: DataFrame) -> DataFrame:
+def corridor_residence(events: DataFrame, units: DataFrame, corridor: DataFrame, counted: bool = False) -> DataFrame:
     """Residence per corridor station of units with a complete passage, and the load at their entry.
 
     ``corridor``: run_id, station_id, is_first, is_last, upstream_station. A run's entry source is the
-    upstream completion if it has any, else the first station's arrivals, else its starts.
+    upstream completion if it has any, else the first station's arrivals, else its starts. A start has a row with every later end of its unit
+    and station; ``counted`` counts the same rows and doesn't list them (``_pair_counts``).
     """
     c = corridor.select("run_id", "station_id", "is_first", "is_last", "upstream_station")
     e = events.select("run_id", "unit_id", "station_id", "event_type", "timestamp_ms")
@@ -53,11 +61,72 @@ def corridor_residence(events: DataFrame, units: DataFrame, corridor: DataFrame)
     # all that a start says is joined before it meets its ends
     known = (starts.join(load, ["run_id", "unit_id"]).join(v, ["run_id", "unit_id"], "left").join(source, "run_id")
              .join(c.select("run_id", "station_id", "is_first"), ["run_id", "station_id"]))
+    known = known.withColumn("variant", F.coalesce("variant", F.lit("__UNKNOWN__")))
+    if counted:
+        return _pair_counts(known, ends)
     return (known.join(ends, ["run_id", "unit_id", "station_id"]).filter("exit_ts > entry_ts")
-            .select("run_id", "unit_id", "station_id", F.coalesce("variant", F.lit("__UNKNOWN__")).alias("variant"), "entry_ts", "exit_ts",
+            .select("run_id", "unit_id", "station_id", "variant", "entry_ts", "exit_ts",
                     "corridor_load", "is_first", "boundary_source", ((F.col("exit_ts") - F.col("entry_ts")) / 1000.0).alias("dwell_s")))
 
 
+def _pair_counts(starts: DataFrame, ends: DataFrame) -> DataFrame:
+    """Pairs of a start and a later end of its unit and station, counted: n of each residence x (s) by load band; of first stations also n, the
+    sum of x and the sum of its logarithm by load (x NULL). Parts of a sum are rows of their own.
+
+    Starts and ends meet by blocks of ``BLOCK_MS`` of their clocks. Two blocks that lie d apart have residences of d - 1 to d + 1 blocks, so a
+    task that goes through all block pairs of one band and distance needs two blocks of counters, and at most ``AT_ONCE`` pairs at a time.
+    """
+    unit, kept = ["run_id", "unit_id", "station_id"], ["station_id", "variant", "is_first", "band", "d"]
+    s = starts.filter("entry_ts IS NOT NULL").groupBy(*unit, "variant", "is_first", "corridor_load", slice_number("entry_ts", BLOCK_MS).alias("i")).agg(F.collect_list("entry_ts").alias("starts"))
+    e = ends.filter("exit_ts IS NOT NULL").groupBy(*unit, slice_number("exit_ts", BLOCK_MS).alias("j")).agg(F.collect_list("exit_ts").alias("exits"))
+    met = s.join(e, unit).filter("j >= i").select("station_id", "variant", "is_first", sc.load_band("corridor_load").alias("band"), (F.col("j") - F.col("i")).alias("d"),
+                                                  F.col("corridor_load").cast("long").alias("corridor_load"), "starts", "exits")
+
+    def flush(key: tuple, counts: np.ndarray, loads: dict) -> Iterator[pd.DataFrame]:
+        station, variant, first, band, d = key
+        at = np.nonzero(counts)[0]
+        rows = [pd.DataFrame({"corridor_load": pd.array([pd.NA] * len(at), "Int64"), "x": (at + (d - 1) * BLOCK_MS) / 1000.0, "n": counts[at], "sx": None, "sl": None})]
+        if loads:
+            rows.append(pd.DataFrame([(load, None, *sums) for load, sums in loads.items()], columns=["corridor_load", "x", "n", "sx", "sl"]))
+        for r in rows:
+            for a in range(0, len(r), 1 << 16):
+                yield r.iloc[a:a + (1 << 16)].assign(station_id=station, variant=variant, is_first=first, band=band)[[c.split()[0] for c in COUNTED.split(", ")]]
+
+    def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, counts, loads, waiting, held = None, np.zeros(2 * BLOCK_MS, np.int64), {}, [], 0
+        for batch in batches:
+            for *now, load, begun, ended in zip(*[batch[c] for c in (*kept, "corridor_load", "starts", "exits")]):
+                if tuple(now) != key:
+                    if waiting:
+                        counts += np.bincount(np.concatenate(waiting), minlength=len(counts))
+                    if key is not None:
+                        yield from flush(key, counts, loads)
+                    key, loads, waiting, held = tuple(now), {}, [], 0
+                    counts[:] = 0
+                begun, ended = np.asarray(begun, np.int64), np.asarray(ended, np.int64)
+                step = max(1, AT_ONCE // len(ended))
+                for a in range(0, len(begun), step):
+                    x = (ended[None] - begun[a:a + step, None]).ravel()
+                    x = x[x > 0]
+                    if not len(x):
+                        continue
+                    if key[2]:
+                        sums, s = loads.setdefault(load, [0, 0.0, 0.0]), x / 1000.0
+                        sums[0], sums[1], sums[2] = sums[0] + len(x), sums[1] + float(s.sum()), sums[2] + float(np.log(s).sum())
+                    waiting.append(x - (key[4] - 1) * BLOCK_MS)
+                    held += len(x)
+                    if held >= AT_ONCE:
+                        counts += np.bincount(np.concatenate(waiting), minlength=len(counts))
+                        waiting, held = [], 0
+        if waiting:
+            counts += np.bincount(np.concatenate(waiting), minlength=len(counts))
+        if key is not None:
+            yield from flush(key, counts, loads)
+
+    tasks = tasks_for(starts.sparkSession, 0)
+    return met.repartition(tasks, *kept).sortWithinPartitions(*kept).mapInPandas(count, COUNTED)
+
+
 def _last_load(entries: DataFrame, exits: DataFrame, width: int = 600_000) -> DataFrame:
     """Per unit the load at its last entry that has a later exit: passages begun before it minus passages ended before it, in its run.
 
@@ -146,10 +215,14 @@ def fit_residence_by_load(residence: DataFrame, bin_min: int = 15, any_min: int
     """Residence models: by load band, for all loads, and - first station only - by single load.
 
     First stations keep their full distribution (both the free and the queued regime are real); inner
-    ones are trimmed. Output level: 'band', 'all' or 'local'; load_key names the band or load.
+    ones are trimmed. Output level: 'band', 'all' or 'local'; load_key names the band or load. ``residence`` may be counted.
     """
-    counts = value_counts(residence, ["station_id", "variant", "is_first", "corridor_load"])
-    banded = counts.groupBy("station_id", "variant", "is_first", sc.load_band("corridor_load").alias("band"), "x").agg(F.sum("n").alias("n"))
+    if "sl" in residence.columns:
+        whole = cut_lineage(residence.groupBy("station_id", "variant", "is_first", "band", "corridor_load", "x").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sl")]))
+        banded, counts = whole.filter("x IS NOT NULL").drop("corridor_load", "sx", "sl"), whole.filter("x IS NULL").drop("band", "x")
+    else:
+        counts = value_counts(residence, ["station_id", "variant", "is_first", "corridor_load"])
+        banded = counts.groupBy("station_id", "variant", "is_first", sc.load_band("corridor_load").alias("band"), "x").agg(F.sum("n").alias("n"))
 
     def fits(rows: DataFrame, own_min: int, trim: bool, extra: list[str]) -> DataFrame:
         """Own variants with a pooled fallback, and the pooled variant by itself."""
@@ -176,8 +249,9 @@ def local_load_models(counts: DataFrame, min_samples: int = 20) -> DataFrame:
     """
     f = counts.withColumn("load", F.greatest(F.lit(0), F.round("corridor_load").cast("int")))
     n = F.col("n")
-    hist = cut_lineage(_with_pooled(f).groupBy("station_id", "variant", "load").agg(
-        F.sum(n).alias("n"), F.sum(n * F.col("x")).alias("sx"), F.sum(n * F.ln("x")).alias("sl")))
+    if "sl" not in f.columns:
+        f = f.withColumn("sx", n * F.col("x")).withColumn("sl", n * F.ln("x"))
+    hist = cut_lineage(_with_pooled(f).groupBy("station_id", "variant", "load").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sl")]))
     levels = numbered(hist.filter(F.col("variant") == ALL).select("station_id", "load", "n"), ["station_id"], ["load"], 1 << 16)
     near = levels.select("station_id", F.explode(F.sequence(F.col("rn") - min_samples, F.col("rn") + min_samples)).alias("rn"), F.struct("load", "n").alias("l")).groupBy(
         "station_id", "rn").agg(F.collect_list("l").alias("near"))

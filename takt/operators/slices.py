@@ -15,6 +15,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -198,8 +200,15 @@ def hist_quantiles(hist: DataFrame, keys, outputs: dict[str, float], slice_col:
     x = F.col("__x")
     bucket = slice_col if slice_col is not None else (
         F.signum(x) * F.floor(F.log2(1 + F.abs(x)) * 32)).cast("long")
-    ranked = running(hist, keys, ["__x"], {"__cum": total("__n")}, slice_col=bucket)
-    joined = ranked.join(hist.groupBy(*keys).agg(F.sum("__n").alias("__size")), keys)
+    # only the slices that hold an asked rank are sorted
+    sliced = hist.withColumn("__s", bucket)
+    along = Window.partitionBy(*keys).orderBy("__s").rowsBetween(UNBOUNDED, -1)
+    slices = sliced.groupBy(*keys, "__s").agg(F.sum("__n").alias("__in")).select(
+        *keys, "__s", "__in", F.coalesce(F.sum("__in").over(along), F.lit(0)).alias("__before"), F.sum("__in").over(Window.partitionBy(*keys)).alias("__size"))
+    ranks = [end(F.lit(q) * (F.col("__size") - 1)) for q in outputs.values() for end in (F.floor, F.ceil)]
+    asked = slices.filter(reduce(or_, [(F.col("__before") <= r) & (r < F.col("__before") + F.col("__in")) for r in ranks])).drop("__in")
+    inside = Window.partitionBy(*keys, "__s").orderBy("__x").rowsBetween(UNBOUNDED, 0)
+    joined = sliced.join(asked, [*keys, "__s"]).withColumn("__cum", F.col("__before") + F.sum("__n").over(inside))
     aggs = []
     for name, q in outputs.items():
         pos = F.lit(q) * (F.col("__size") - 1)
